@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import shared_dir
-from . import idfiles, packing, simhash, substring
+from . import decontaminate, idfiles, packing, simhash, substring, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten can be written in SQL that runs on whole tables: tests hold each against brute force.
@@ -47,3 +47,13 @@ def op5_idfiles_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_substring_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
