@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import partitions_for
-from .textkit import Slice, fill, slices
+from .textkit import SLICE, Slice, fill, slices
 
 CANDIDATES, KNOWN = 0, 1
 SCHEMA = "bucket int, kind int, payload binary"
@@ -203,22 +203,22 @@ class Told:
         return np.repeat(np.arange(len(keys)), hi - lo), self.pos[fill(lo, hi - lo)]
 
 
-def scan(docs: DataFrame, entries: Callable[[Slice, np.ndarray], list[tuple]]) -> DataFrame:
+def scan(docs: DataFrame, entries: Callable[[Slice, np.ndarray], list[tuple]], size: int = SLICE) -> DataFrame:
     """Rows that `entries` makes of each slice and its documents' keys; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
+        for s in slices(batches, size=size):
             yield batch(entries(s, s.column("k")))
 
     return docs.select(F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(run, SCHEMA)
 
 
-def with_told(dealt: DataFrame, known: DataFrame, work: Callable[[Slice, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+def with_told(dealt: DataFrame, known: DataFrame, work: Callable[[Slice, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, size: int = SLICE) -> DataFrame:
     """work(slice, rows, positions) over the documents of each bucket together with what is known of them."""
 
     def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
         told = Told(right)
-        out = [work(s, *told.of(s.column("k"))) for s in slices(iter(left.combine_chunks().to_batches()))]
+        out = [work(s, *told.of(s.column("k"))) for s in slices(iter(left.combine_chunks().to_batches()), size=size)]
         return pa.Table.from_batches(out) if out else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import shared_dir
-from . import decontaminate, idfiles, packing, simhash, substring, suffix
+from . import decontaminate, idfiles, langid, packing, quality, simhash, substring, suffix, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten can be written in SQL that runs on whole tables: tests hold each against brute force.
@@ -26,6 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """The fold that nothing is learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+@query
+def op1_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("row_key", "deviation")
+
+
+@query
+def op2_toxicity_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_classifier(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -49,6 +67,12 @@ def op6_substring_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_langid_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.predict_languages(table(spark, sf_dir, "documents"), ~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeated_bytes(table(spark, sf_dir, "documents"))
@@ -57,3 +81,8 @@ def op8_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_tokencount_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

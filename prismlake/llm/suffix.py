@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import marks
-from .textkit import CODES, Rolling, Slice, fill
+from .textkit import CODES, Rolling, Slice, fill, slices
 
 GRAM = 32
+#: Slices of text are smaller here: each byte of one takes some 80 bytes of working arrays.
+SLICE = 1 << 20
 _CHUNK = 1 << 23
 
 
@@ -284,10 +286,8 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRA
             yield marks.batch(runs(*np.array(told, np.int64).T))
 
     def of_documents(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
-        from .textkit import slices
-
         found = _Runs(right)
-        for s in slices(iter(left.combine_chunks().to_batches())):
+        for s in slices(iter(left.combine_chunks().to_batches()), size=SLICE):
             yield s, *found.of(s.column("k"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -313,6 +313,6 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRA
     arrow_schema = pa.schema(zip(names, [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=False))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
     dealt = marks.keyed(docs, router).repartition(router.n, "bucket")
-    found = marks.find(marks.scan(docs, anchors), router)
-    found = marks.with_told(dealt, found, contexts, marks.SCHEMA).repartition(router.n, "bucket").mapInArrow(settle, marks.SCHEMA)
+    found = marks.find(marks.scan(docs, anchors, SLICE), router)
+    found = marks.with_told(dealt, found, contexts, marks.SCHEMA, SLICE).repartition(router.n, "bucket").mapInArrow(settle, marks.SCHEMA)
     return dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut, schema)
