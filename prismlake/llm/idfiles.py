@@ -1,7 +1,7 @@
 """Token ids on disk: every document its own zstandard frame, all with one dictionary trained on serialised id arrays.
 
 A file set is two tables in a folder any Hadoop file system can hold. `dictionary`: one row (sha256, width, bytes). `blocks`: rows
-of at most about 4 MB (shard, block, dictionary sha256, tokens before it in its shard, doc_ids, n_tokens, offsets, payload).
+of about 1 MB (shard, block, dictionary sha256, tokens before it in its shard, doc_ids, n_tokens, offsets, payload).
 Shards are ranges of doc_id in ascending order, blocks ascend in a shard, documents in a block. A short document is read by the
 block whose first and last ids hold it, its slice of the payload and one frame.
 """
@@ -23,7 +23,7 @@ from .textkit import Slice, slices
 from .tokens import encoder
 
 BLOCKS = "shard int, block int, dictionary string, tokens_before long, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _CODECS: dict[tuple, object] = {}
 
 
@@ -101,7 +101,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, sa
 
     frames = docs.select("doc_id", "text").mapInArrow(compress, "shard int, doc_id long, n_tokens long, frame binary")
     dealt = frames.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "frame")
-    dealt.mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, int, bytes]:
