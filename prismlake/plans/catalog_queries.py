@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "dup_exact"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import queries_groups, queries_read, queries_scalar, queries_store  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+FLAGSHIP = "duplicates"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
