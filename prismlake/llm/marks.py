@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import partitions_for
-from .textkit import SLICE, Slice, fill, slices
+from .textkit import Slice, fill, slices
 
-CANDIDATES, KNOWN = 0, 1
+CANDIDATES, KNOWN, RUNS = 0, 1, 2
 SCHEMA = "bucket int, kind int, payload binary"
 _STREAM = 1 << 20
+#: Larger slices settle more repeats before the shuffle.
+SLICE = 2 << 20
 
 
 def labels(spark: SparkSession, n: int) -> np.ndarray:
@@ -148,8 +150,12 @@ class _Seen:
         return out
 
 
-def find(rows: DataFrame, router: Router) -> DataFrame:
-    """rows (bucket, kind, payload) of candidates and known entries -> rows (bucket, kind, payload) of all known entries, by document bucket."""
+def find(rows: DataFrame, router: Router, emit: Callable[[np.ndarray, np.ndarray], list[tuple]] | None = None) -> DataFrame:
+    """rows (bucket, kind, payload) of candidates and known entries -> rows (bucket, kind, payload) of all known entries, by document bucket.
+
+    emit makes the rows of known entries, router.known by default; rows of kind RUNS go through as they are.
+    """
+    emit = emit or router.known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, waiting, size = _Seen(), [], 0
@@ -162,10 +168,13 @@ def find(rows: DataFrame, router: Router) -> DataFrame:
             key, pos = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.empty(0, np.int64),) * 2
             waiting, size, told = [], 0, []
             order = np.lexsort((pos, key))
-            return batch(router.known(key[order], pos[order]))
+            return batch(emit(key[order], pos[order]))
 
         for b in batches:
-            for kind, raw in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            for bucket, kind, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if kind == RUNS:
+                    yield batch([(bucket, kind, raw.as_py())])
+                    continue
                 key, pos, h, many = unpack(raw.as_py())
                 if kind == KNOWN:
                     told.append((key, pos))

@@ -6,7 +6,7 @@ windows. The others send their context (the bytes of all windows they are the mi
 suffixes that begin there, and the reversed prefixes that end there, by deep-shallow sorting: multikey quicksort over eight-byte
 characters to a shallow depth, then blind tries for the groups that still agree. With both common-prefix arrays, a window with d bytes
 before the minimiser starts elsewhere exactly if some other context shares d bytes to the left and window - d to the right: for each
-d these are the cells of two partitions of the contexts, counted at once, without pairs. Comparisons are of bytes, not hashes.
+d these are the cells of two partitions of the contexts, counted at once, without pairs. These comparisons are of bytes.
 """
 
 from __future__ import annotations
@@ -19,11 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import marks
-from .textkit import CODES, Rolling, Slice, fill, slices
+from .textkit import CODES, SLICE, Rolling, Slice, fill, mix, slices
 
 GRAM = 32
-#: Slices of text are smaller here: each byte of one takes some 80 bytes of working arrays.
-SLICE = 1 << 20
 _CHUNK = 1 << 23
 
 
@@ -81,17 +79,41 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def blind_trie_order(strings: list[bytes], members: list[int]) -> list[int]:
+class Strings:
+    """Byte strings inside one buffer: string k is data[start[k]], data[start[k] + step], .. of length[k] bytes, step 1 or -1."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, step: int):
+        self.data, self.start, self.length, self.step = data, start, length, step
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def word(self, which: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
+        """Eight bytes from `depth` on as a big-endian number, zeros behind the end."""
+        place = np.asarray(depth)[..., None] + np.arange(8)
+        at = self.start[which][:, None] + self.step * place
+        there = place < self.length[which][:, None]
+        got = np.where(there, self.data[np.where(there, at, 0)], np.uint8(0))
+        return np.ascontiguousarray(got).view(">u8")[:, 0].astype(np.uint64)
+
+    def text(self, k: int) -> bytes:
+        a, n = int(self.start[k]), int(self.length[k])
+        part = self.data[a : a + n] if self.step > 0 else self.data[a - n + 1 : a + 1][::-1]
+        return part.tobytes()
+
+
+def blind_trie_order(strings: Strings, members: list[int]) -> list[int]:
     """members, sorted by their strings, from a blind trie: inner nodes keep only a depth and the branching bytes.
 
     A node is [depth, {byte or -1 for an end: child}], a leaf a list of members with equal strings under the key None.
     """
+    text = {m: strings.text(m) for m in members}
     root: list = [None, [members[0]]]
     for m in members[1:]:
-        s, node = strings[m], root
+        s, node = text[m], root
         while node[0] is not None:  # descend blindly: any child where the byte is missing
             node = node[1].get(s[node[0]] if node[0] < len(s) else -1) or next(iter(node[1].values()))
-        other = strings[node[1][0]]
+        other = text[node[1][0]]
         common = _common(s, other)
         if common == len(s) == len(other):
             node[1].append(m)
@@ -116,24 +138,27 @@ def blind_trie_order(strings: list[bytes], members: list[int]) -> list[int]:
     return out
 
 
-def deep_shallow_order(strings: list[bytes], shallow: int = 48) -> np.ndarray:
-    """The positions of the strings in sorted order."""
+def deep_shallow_order(strings: Strings, shallow: int = 48) -> np.ndarray:
+    """The positions of the strings in sorted order: multikey quicksort by eight-byte characters down to `shallow`, blind tries below."""
     n = len(strings)
-    raw = np.frombuffer(b"".join(s[:shallow].ljust(shallow, b"\0") for s in strings), ">u8").reshape(n, shallow // 8).astype(np.uint64)
-    order = np.argsort(raw[:, 0], kind="stable")
-    group = np.zeros(n, np.int64)
-    for depth in range(shallow // 8):
-        key = raw[order, depth]
-        new = np.ones(n, bool)
-        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+    everyone = np.arange(n)
+    word = strings.word(everyone, 0)
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    new = np.ones(n, bool)
+    new[1:] = word[1:] != word[:-1]
+    for depth in range(8, shallow, 8):
         group = np.cumsum(new)
-        if depth + 1 < shallow // 8:
-            size = np.bincount(group)[group]
-            busy = np.flatnonzero(size > 1)
-            if not len(busy):
-                return order
-            part = order[busy]
-            order[busy] = part[np.lexsort((raw[part, depth + 1], group[busy]))]
+        busy = np.flatnonzero(np.bincount(group)[group] > 1)
+        if not len(busy):
+            return order
+        part = order[busy]
+        word = strings.word(part, depth)
+        to = np.lexsort((word, group[busy]))
+        order[busy] = part[to]
+        word, group = word[to], group[busy]
+        new[busy[1:]] |= word[1:] != word[:-1]
+        new[busy[1:][group[1:] != group[:-1]]] = True
     first = np.flatnonzero(new)
     size = np.diff(first, append=n)
     for at, k in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
@@ -141,32 +166,85 @@ def deep_shallow_order(strings: list[bytes], shallow: int = 48) -> np.ndarray:
     return order
 
 
-def common_prefixes(strings: list[bytes], order: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(strings: Strings, order: np.ndarray, most: int) -> np.ndarray:
     """For each place in the order, the bytes (at most `most`) shared with the one before; 0 at the first."""
     out = np.zeros(len(order), np.int64)
-    for at in range(1, len(order), 1 << 14):
-        part = [strings[k] for k in order[at - 1 : at - 1 + (1 << 14) + 1].tolist()]
-        raw = np.frombuffer(b"".join(s[:most].ljust(most, b"\0") for s in part), np.uint8).reshape(len(part), most)
-        length = np.minimum([len(s) for s in part], most)
-        same = raw[1:] == raw[:-1]
-        got = np.where(same.all(axis=1), most, same.argmin(axis=1))
-        out[at : at + len(got)] = np.minimum(got, np.minimum(length[1:], length[:-1]))
+    left = np.arange(1, len(order))
+    for depth in range(0, most, 8):
+        differ = strings.word(order[left - 1], depth) ^ strings.word(order[left], depth)
+        same = differ == 0
+        out[left[same]] = depth + 8
+        raw = differ[~same].astype(">u8").view(np.uint8).reshape(-1, 8)
+        out[left[~same]] = depth + (raw != 0).argmax(axis=1)
+        left = left[same]
+        if not len(left):
+            break
+    shorter = np.minimum(strings.length[order[1:]], strings.length[order[:-1]])
+    out[1:] = np.minimum(out[1:], np.minimum(shorter, most))
     return out
 
 
-def repeated_windows(contexts: list[tuple[int, bytes]], window: int) -> np.ndarray:
-    """contexts: different (bytes before the minimiser, bytes of all its windows). [context, d]: whether the window with d bytes before the minimiser is one of another context too."""
-    n, most = len(contexts), window
-    left = [c[:d][::-1] for d, c in contexts]
-    right = [c[d:] for d, c in contexts]
-    before = np.array([d for d, _ in contexts])
-    least = before - (np.array([len(c) for _, c in contexts]) - window)
+class Contexts:
+    """Contexts of a task: the bytes of all windows of one minimiser, `before` of them in front of it, in one buffer."""
+
+    def __init__(self, key: np.ndarray, lo: np.ndarray, before: np.ndarray, many: np.ndarray, length: np.ndarray, data: np.ndarray):
+        self.key, self.lo, self.before, self.many, self.length, self.data = key, lo, before, many, length, data
+        self.start = np.cumsum(length) - length
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Contexts:
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        at, cols = 4, []
+        for kind in ("<i8", "<u4", "<u2", "u1", "<u4"):
+            cols.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+            at += np.dtype(kind).itemsize * n
+        return cls(*cols[:3], cols[3].astype(bool), cols[4], np.frombuffer(raw, np.uint8, -1, at))
+
+    def pack(self) -> bytes:
+        head = np.uint32(len(self.key)).tobytes()
+        cols = ((self.key, "<i8"), (self.lo, "<u4"), (self.before, "<u2"), (self.many, "u1"), (self.length, "<u4"))
+        return b"".join([head, *(c.astype(kind).tobytes() for c, kind in cols), self.data.tobytes()])
+
+    @classmethod
+    def join(cls, parts: list[Contexts]) -> Contexts:
+        return cls(*(np.concatenate(c) for c in zip(*((p.key, p.lo, p.before, p.many, p.length, p.data) for p in parts), strict=True)))
+
+    def take(self, which: np.ndarray) -> Contexts:
+        data = self.data[fill(self.start[which], self.length[which])]
+        return Contexts(self.key[which], self.lo[which], self.before[which], self.many[which], self.length[which], data)
+
+    def hashes(self) -> tuple[np.ndarray, Rolling]:
+        """Of each whole context with its place of the minimiser, and the rolling hash of the buffer."""
+        rolling = Rolling(CODES[self.data])
+        return mix(rolling.ranges(self.start, self.start + self.length) + self.before.astype(np.uint64)), rolling
+
+    def same(self, a: int, b: int) -> bool:
+        x, y, n = int(self.start[a]), int(self.start[b]), int(self.length[a])
+        return self.before[a] == self.before[b] and n == self.length[b] and self.data[x : x + n].tobytes() == self.data[y : y + n].tobytes()
+
+    def leaders(self, hashes: np.ndarray) -> np.ndarray:
+        """For each context the first equal one, compared byte by byte."""
+        order = np.argsort(hashes, kind="stable")
+        h, lead = hashes[order], np.arange(len(hashes))
+        for k in np.flatnonzero(h[1:] == h[:-1]).tolist():
+            a, b = lead[order[k]], order[k + 1]
+            if self.same(a, b):
+                lead[b] = a
+        return lead
+
+
+def repeated_windows(c: Contexts, window: int) -> np.ndarray:
+    """c: different contexts. [context, d]: whether the window with d bytes before the minimiser is one of another context too."""
+    n = len(c.key)
+    right = Strings(c.data, c.start + c.before, c.length - c.before, 1)
+    left = Strings(c.data, c.start + c.before - 1, c.before, -1)
+    least = c.before - (c.length - window)
     order_r, order_l = deep_shallow_order(right), deep_shallow_order(left)
-    lcp, lcs = common_prefixes(right, order_r, most), common_prefixes(left, order_l, most)
-    out = np.zeros((n, int(before.max()) + 1), bool)
+    lcp, lcs = common_prefixes(right, order_r, window), common_prefixes(left, order_l, window)
+    out = np.zeros((n, int(c.before.max()) + 1), bool)
     cell_r, cell_l = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(out.shape[1]):
-        has = np.flatnonzero((before >= d) & (least <= d))
+        has = np.flatnonzero((c.before >= d) & (least <= d))
         if len(has) < 2:
             continue
         cell_r[order_r], cell_l[order_l] = np.cumsum(lcp < window - d), np.cumsum(lcs < d)
@@ -180,22 +258,6 @@ def repeated_windows(contexts: list[tuple[int, bytes]], window: int) -> np.ndarr
     return out
 
 
-def _pack_contexts(key: np.ndarray, lo: np.ndarray, before: np.ndarray, many: np.ndarray, texts: list[bytes]) -> bytes:
-    n = len(key)
-    return b"".join([np.uint32(n).tobytes(), key.astype("<i8").tobytes(), lo.astype("<u4").tobytes(), before.astype("<u2").tobytes(), many.astype("u1").tobytes(), np.array([len(t) for t in texts], "<u4").tobytes(), *texts])
-
-
-def _unpack_contexts(raw: bytes) -> Iterator[tuple[int, int, int, bool, bytes]]:
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    at, cols = 4, []
-    for kind, size in (("<i8", 8), ("<u4", 4), ("<u2", 2), ("u1", 1), ("<u4", 4)):
-        cols.append(np.frombuffer(raw, kind, n, at).tolist())
-        at += size * n
-    for key, lo, before, many, size in zip(*cols, strict=True):
-        yield key, lo, before, bool(many), raw[at : at + size]
-        at += size
-
-
 def _pack_runs(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
     return key.astype("<i8").tobytes() + start.astype("<u4").tobytes() + n.astype("<u4").tobytes()
 
@@ -205,6 +267,10 @@ def _unpack_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64), np.frombuffer(raw, "<u4", n, 12 * n).astype(np.int64)
 
 
+def _with_rolling(c: Contexts) -> tuple[Contexts, Rolling]:
+    return c, c.hashes()[1]
+
+
 class _Runs:
     """A bucket's runs of repeated window starts, looked up for a slice."""
 
@@ -220,13 +286,14 @@ class _Runs:
         return np.repeat(np.arange(len(keys)), hi - lo), self.start[at], self.n[at]
 
 
-def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRAM, hot_gram: int = 1 << 16, with_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): bytes covered by a window that also starts anywhere else.
 
     docs: doc_id, text; other columns are ignored. Texts are UTF-8 bytes; null and empty ones have none. Matches never cross
     documents. A row repeated with the same id and text counts as a document of its own; rows of one id with different texts are
     different documents. An empty table gives an empty result. with_bytes adds the remaining bytes, which need not be UTF-8.
-    A task holds the different contexts of its grams, each once however many documents have it.
+    A task holds the different contexts of its grams, at most hot_gram of each gram; the windows of a gram that has more are found by
+    64-bit hashes, a row each, in one more round.
     """
     router = marks.router_for(docs)
 
@@ -235,59 +302,87 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRA
         return router.candidates(keys[m.doc], m.pos - s.off[m.doc], m.hash)
 
     def runs(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[tuple]:
-        return list(router._rows(np.mod(key, router.n), marks.KNOWN, lambda i: _pack_runs(key[i], start[i], n[i])))
+        return list(router._rows(np.mod(key, router.n), marks.RUNS, lambda i: _pack_runs(key[i], start[i], n[i])))
+
+    def single(key: np.ndarray, start: np.ndarray) -> list[tuple]:
+        return runs(key, start, np.ones(len(key), np.int64))
 
     def contexts(s: Slice, rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
         m = Minimisers(s, window, gram)
         take = np.flatnonzero(np.isin(m.pos, s.off[rows] + places))
-        doc, pos, lo, hi = m.doc[take], m.pos[take], m.lo[take], m.hi[take]
         if not len(take):
             return marks.batch([])
-        raw, key, start = s.data.tobytes(), s.column("k")[doc], lo - s.off[doc]
-        texts = [raw[a:b] for a, b in zip(lo.tolist(), (hi + window).tolist(), strict=True)]
-        first: dict[tuple[int, bytes], int] = {}
-        lead = np.array([first.setdefault(x, k) for k, x in enumerate(zip((pos - lo).tolist(), texts, strict=True))])
-        many = np.bincount(lead, minlength=len(lead))[lead] > 1
-        out = runs(key[many], start[many], (hi - lo + 1)[many])
+        doc, lo, length = m.doc[take], m.lo[take], m.hi[take] + window - m.lo[take]
+        c = Contexts(s.column("k")[doc], lo - s.off[doc], m.pos[take] - lo, np.zeros(len(take), bool), length, s.data[fill(lo, length)])
+        lead = c.leaders(c.hashes()[0])
+        c.many = np.bincount(lead, minlength=len(lead))[lead] > 1
+        out = runs(c.key[c.many], c.lo[c.many], (length - window + 1)[c.many])
         one = np.unique(lead)
         to = ((m.hash[take][one] >> np.uint64(32)) * np.uint64(router.n) >> np.uint64(32)).astype(np.int64)
-        out += router._rows(to, marks.CANDIDATES, lambda i: _pack_contexts(key[one[i]], start[one[i]], (pos - lo)[one[i]], many[one[i]], [texts[k] for k in one[i]]))
+        out += router._rows(to, marks.CANDIDATES, lambda i: c.take(one[i]).pack())
         return marks.batch(out)
 
+    def windows(c: Contexts, rolling: Rolling) -> list[tuple]:
+        """Rows of all windows of the contexts by their hash."""
+        if not len(c.key):
+            return []
+        n = c.length - window + 1
+        at = fill(c.start, n)
+        order = np.lexsort((fill(c.lo, n), np.repeat(c.key, n)))
+        return router.candidates(np.repeat(c.key, n)[order], fill(c.lo, n)[order], rolling.ranges(at, at + window)[order])
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: list[tuple[int, int, int]] = []
-        seen: dict[tuple[int, bytes], list] = {}  # context -> [document key, its first window, whether told]
+        held: list[Contexts] = []
+        hashes: list[np.ndarray] = []
+        grams: list[np.ndarray] = []
+        met: dict[int, int] = {}
         for b in batches:
-            for kind, raw in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                raw = raw.as_py()
-                if kind == marks.KNOWN:
-                    yield marks.batch(runs(*_unpack_runs(raw)))
+            for bucket, kind, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if kind == marks.RUNS:
+                    yield marks.batch([(bucket, kind, raw.as_py())])
                     continue
-                for key, lo, before, many, text in _unpack_contexts(raw):
-                    if (old := seen.get((before, text))) is None:
-                        seen[before, text] = [key, lo, many]
-                        continue
-                    n = len(text) - window + 1
-                    if not many:
-                        told.append((key, lo, n))
-                    if not old[2]:
-                        told.append((old[0], old[1], n))
-                        old[2] = True
-        if seen:
-            again = repeated_windows(list(seen), window)
-            again[[v[2] for v in seen.values()]] = False  # told as a whole already
-            edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            who, since = np.nonzero(edge == 1)
-            until = np.nonzero(edge == -1)[1]
-            which, where = list(seen), list(seen.values())
-            # Windows with since..until-1 bytes before the minimiser start at its place minus these.
-            told += [(where[k][0], where[k][1] + which[k][0] - b + 1, b - a) for k, a, b in zip(who.tolist(), since.tolist(), until.tolist(), strict=True)]
-        if told:
-            yield marks.batch(runs(*np.array(told, np.int64).T))
+                c = Contexts.unpack(raw.as_py())
+                whole, rolling = c.hashes()
+                at = c.start + c.before
+                g = rolling.ranges(at, at + gram)
+                for x, k in zip(*np.unique(g, return_counts=True), strict=True):
+                    met[int(x)] = met.get(int(x), 0) + int(k)
+                hot = np.array([met[x] > hot_gram for x in g.tolist()], bool)
+                if hot.any():
+                    yield marks.batch(windows(*_with_rolling(c.take(np.flatnonzero(hot)))))
+                    c, whole, g = c.take(np.flatnonzero(~hot)), whole[~hot], g[~hot]
+                held.append(c)
+                hashes.append(whole)
+                grams.append(g)
+        if not held:
+            return
+        c, h, g = Contexts.join(held), np.concatenate(hashes), np.concatenate(grams)
+        held.clear()
+        if turned := [x for x, k in met.items() if k > hot_gram]:
+            late = np.isin(g, np.array(turned, np.uint64))
+            for part in np.array_split(np.flatnonzero(late), 1 + late.sum() // 4096):
+                yield marks.batch(windows(*_with_rolling(c.take(part))))
+            c, h = c.take(np.flatnonzero(~late)), h[~late]
+        if not len(c.key):
+            return
+        lead = c.leaders(h)
+        many = np.bincount(lead, minlength=len(lead)) > 1
+        tell = many[lead] & ~c.many
+        yield marks.batch(runs(c.key[tell], c.lo[tell], (c.length - window + 1)[tell]))
+        one = np.unique(lead)
+        told = (many | c.many)[one]
+        c = c.take(one)
+        again = repeated_windows(c, window)
+        again[told] = False  # told as a whole already
+        edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        who, since = np.nonzero(edge == 1)
+        until = np.nonzero(edge == -1)[1]
+        # Windows with since..until-1 bytes before the minimiser start at its place minus these.
+        yield marks.batch(runs(c.key[who], c.lo[who] + c.before[who] - until + 1, until - since))
 
     def of_documents(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
         found = _Runs(right)
-        for s in slices(iter(left.combine_chunks().to_batches()), size=SLICE):
+        for s in slices(iter(left.combine_chunks().to_batches())):
             yield s, *found.of(s.column("k"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -315,4 +410,5 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRA
     dealt = marks.keyed(docs, router).repartition(router.n, "bucket")
     found = marks.find(marks.scan(docs, anchors, SLICE), router)
     found = marks.with_told(dealt, found, contexts, marks.SCHEMA, SLICE).repartition(router.n, "bucket").mapInArrow(settle, marks.SCHEMA)
+    found = marks.find(found, router, single)
     return dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut, schema)

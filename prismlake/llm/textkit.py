@@ -1,6 +1,6 @@
 """Vectorised work on the bytes of many texts at once: words, rolling hashes, hash tables.
 
-Texts come as Arrow batches and are worked on in slices of about 2 MB, so memory is bounded by the slice (or the one text that is
+Texts come as Arrow batches and are worked on in slices of about 1 MB, so memory is bounded by the slice (or the one text that is
 longer). Hashes are polynomials over random byte codes modulo 2^64, taken from prefix sums, so every word, shingle or window of a
 slice is hashed with a few array operations.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -29,13 +29,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     have = _POW.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, SLICE + (SLICE >> 2))
+        size = max(n, SLICE + (SLICE >> 3))
         have = np.empty(size, U)
         have[0] = 1
         have[1:] = base
         np.multiply.accumulate(have, out=have)
         _POW[int(base)] = have
-        if size > 4 * SLICE:  # for one very long text only
+        if size > 8 * SLICE:  # for one very long text only
             del _POW[int(base)]
     return have[:n]
 

@@ -34,7 +34,7 @@ CHUNK = 256
 WIDE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _CLASS: list[np.ndarray] = []
 _COUNTERS: dict[str, Counter] = {}
-MAX_PRETOKENS, MAX_STATES = 1 << 20, 1 << 19
+MAX_PRETOKENS, MAX_STATES = 1 << 19, 1 << 18
 
 
 def _first(c: int) -> int:

@@ -17,7 +17,7 @@ from .textkit import CODES, IS_SPACE, HashTable, Rolling, Slice, fill
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 #: UTF-8 of the White_Space characters outside ASCII.
 WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-MAX_ENTRIES = 1 << 20
+MAX_ENTRIES = 1 << 19
 _LEN = 24
 
 
