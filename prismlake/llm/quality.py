@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
@@ -72,38 +72,92 @@ def text_stats(s: Slice, window: int = 8) -> dict[str, np.ndarray]:
     }
 
 
-def judge(docs: DataFrame, *, lang: str = "lang", low: float = 8.0, high: float = 8.0, short: float = 300.0, max_models: int = 64) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_perplexity, kept, row_key) of every document.
+class Judge:
+    """The models and bands of a corpus, and the verdicts they give."""
+
+    def __init__(self, docs: DataFrame, lang: str, low: float, high: float, short: float, max_models: int):
+        self.low, self.high, self.short = low, high, short
+        own = F.coalesce(lang, F.lit(NO_LANGUAGE))
+        frequent = [r[0] for r in docs.groupBy(own.alias("g")).count().orderBy(F.desc("count"), "g").limit(max_models).collect()]
+        self.group = F.when(own.isin(frequent[:-1]), own).otherwise(REST) if len(frequent) == max_models else own
+        counts = collect_counts(count_grams(docs.select(self.group.alias("grp"), "text")))
+        self.models = docs.sparkSession.sparkContext.broadcast({g: SortedHashModel(c, modified=True) for g, c in counts.items()})
+        models = self.models
+        types = "doc_id long, grp string, " + "".join(f"{c} long, " for c in STATS) + "n_chars long, log_perplexity double"
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s in slices(batches):
+                stats, n, logs = _score(s, s.rows.column(1).to_pylist(), models.value)
+                arrays = [s.rows.column(0), s.rows.column(1), *(pa.array(stats[c]) for c in STATS), pa.array(n), pa.array(logs)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "grp", *STATS, "n_chars", "log_perplexity"])
+
+        self.scored = durable(docs.select("doc_id", self.group.alias("grp"), "text").mapInArrow(score, types))
+        q = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
+        rows = self.scored.filter(~base_failed()).groupBy("grp").agg(q.alias("q")).collect()  # one a model, at most max_models
+        #: group -> (median, robust deviation) of log perplexity.
+        self.bands = {r.grp: (r.q[1], max((r.q[2] - r.q[0]) / 1.349, 0.01)) for r in rows}
+
+    def verdicts(self, group: list[str], stats: dict[str, np.ndarray], n: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Whether each document is kept."""
+        middle, deviation = (np.array([self.bands.get(g, (0.0, np.inf))[k] for g in group]) for k in (0, 1))
+        z = (logs - middle) / (deviation * np.sqrt(1 + self.short / np.maximum(n, 1)))
+        failed = (stats["n_words"] < 20) | (100 * stats["n_repeat_words"] > 30 * stats["n_words"])
+        return ~failed & (z >= -self.low) & (z <= self.high)
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def _score(s: Slice, groups: list[str], models: dict[str, SortedHashModel]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Base statistics, characters and log perplexity per character of a slice's texts."""
+    stats, (code, begins, _) = {k: v.astype(np.int64) for k, v in text_stats(s).items()}, codes(s)
+    n, out, of = np.diff(begins), np.zeros(len(s)), np.array(groups)
+    for g in sorted(set(groups) & set(models)):
+        mine = of == g
+        out[mine] = -text_log_probs([models[g]], code[np.repeat(mine, n)], np.concatenate([[0], np.cumsum(n[mine])]))[0]
+    return stats, n, out / np.maximum(n, 1)
+
+
+def judge(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float = 5.0, short: float = 300.0, max_models: int = 64) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity, deviation) of every document.
 
     docs: doc_id, text and a language column; other columns are ignored. Null and empty texts have no words and fail the base
     rules; a null language is one of its own. low and high are the band in robust deviations of log perplexity per character;
     `short` is the length at which a text's own variance equals that of its language. The max_models - 1 most frequent languages
-    have a model each, all others share one. Repeated rows each give a row; an empty table gives an empty result. row_key is a hash of id and text.
+    have a model each, all others share one. Repeated rows each give a row; an empty table gives an empty result.
     """
-    own = F.coalesce(lang, F.lit(NO_LANGUAGE))
-    frequent = [r[0] for r in docs.groupBy(own.alias("g")).count().orderBy(F.desc("count"), "g").limit(max_models).collect()]
-    if len(frequent) == max_models:
-        own = F.when(own.isin(frequent[:-1]), own).otherwise(REST)
-    base = docs.select(own.alias("grp"), "text")
-    counts = collect_counts(count_grams(base))
-    shared = docs.sparkSession.sparkContext.broadcast({g: SortedHashModel(c, modified=True) for g, c in counts.items()})
-    types = "doc_id long, grp string, " + "".join(f"{c} long, " for c in STATS) + "n_chars long, log_perplexity double, row_key long"
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    j = Judge(docs, lang, low, high, short, max_models)
+    types = "doc_id long, " + "".join(f"{c} long, " for c in STATS) + "base_failed boolean, kept boolean, log_perplexity double"
+
+    def run(batches: Iterator[pa.RecordBatch], verdicts=_verdicts(j)) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = {f: b.column(k) for k, f in enumerate(b.schema.names)}
+            stats = {c: col[c].to_numpy(zero_copy_only=False) for c in STATS}
+            logs = col["log_perplexity"].to_numpy(zero_copy_only=False)
+            kept = verdicts(col["grp"].to_pylist(), stats, col["n_chars"].to_numpy(zero_copy_only=False), logs)
+            failed = (stats["n_words"] < 20) | (100 * stats["n_repeat_words"] > 30 * stats["n_words"])
+            yield pa.RecordBatch.from_arrays([col["doc_id"], *(col[c] for c in STATS), pa.array(failed), pa.array(kept), col["log_perplexity"]], ["doc_id", *STATS, "base_failed", "kept", "log_perplexity"])
+
+    return j.scored.mapInArrow(run, types)
+
+
+def keep(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float = 5.0, short: float = 300.0, max_models: int = 64) -> DataFrame:
+    """The documents that judge() keeps, all columns. Texts are scored a second time where they lie, so none is shuffled."""
+    j = Judge(docs, lang, low, high, short, max_models)
+    models = j.models
+
+    def run(batches: Iterator[pa.RecordBatch], verdicts=_verdicts(j)) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
-            stats, (code, begins, _) = text_stats(s), codes(s)
-            n, groups = np.diff(begins), np.array([g or "" for g in s.rows.column(1).to_pylist()])
-            out = np.zeros(len(s))
-            for g in sorted(set(groups) & set(shared.value)):
-                mine = groups == g
-                out[mine] = -text_log_probs([shared.value[g]], code[np.repeat(mine, n)], np.concatenate([[0], np.cumsum(n[mine])]))[0]
-            arrays = [s.rows.column(0), s.rows.column(1), *(pa.array(stats[c].astype(np.int64)) for c in STATS), pa.array(n), pa.array(out / np.maximum(n, 1)), s.rows.column(3)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "grp", *STATS, "n_chars", "log_perplexity", "row_key"])
-
-    scored = durable(docs.select("doc_id", own.alias("grp"), "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(score, types))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    q = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
-    bands = scored.filter(~failed).groupBy("grp").agg(q.alias("q")).selectExpr("grp", "q[1] as middle", "greatest((q[2] - q[0]) / 1.349, 0.01) as deviation")
-    z = (F.col("log_perplexity") - F.col("middle")) / (F.col("deviation") * F.sqrt(1 + short / F.greatest(F.col("n_chars"), F.lit(1))))
-    # One row a model, at most max_models of them.
-    return scored.join(F.broadcast(bands), "grp", "left").select("doc_id", *STATS, failed.alias("base_failed"), "log_perplexity", (~failed & F.coalesce(z.between(-low, high), F.lit(True))).alias("kept"), "row_key", z.alias("deviation"))
+            groups = s.rows.column(s.rows.num_columns - 1).to_pylist()
+            kept = verdicts(groups, *_score(s, groups, models.value))
+            yield pa.RecordBatch.from_arrays(s.rows.columns[:-1], s.rows.schema.names[:-1]).filter(pa.array(kept))
+
+    return docs.select("*", j.group.alias("_grp")).mapInArrow(run, docs.schema)
+
+
+def _verdicts(j: Judge):
+    """j.verdicts without j's DataFrames, which workers cannot have."""
+    small = Judge.__new__(Judge)
+    small.low, small.high, small.short, small.bands = j.low, j.high, j.short, j.bands
+    return small.verdicts

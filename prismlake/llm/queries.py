@@ -33,7 +33,7 @@ def held_out() -> Column:
 
 @query
 def op1_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("row_key", "deviation")
+    return quality.judge(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
@@ -83,16 +83,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """(id_col, fp): the signed 64-bit fingerprint of each whole text. Null and wordless texts get zero."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, row_key, fp): the signed 64-bit fingerprint of each whole text. Null and wordless texts get zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             raw, off = s.data.tobytes(), s.off.tolist()
             fp = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(off[:-1], off[1:], strict=True)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.array(fp)], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([s.rows.column(0), s.rows.column(1), pa.array(fp)], ["doc_id", "row_key", "fp"])
 
-    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} long, fp long")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +130,27 @@ def links(distinct_fp: DataFrame, hot_bucket: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, hot_bucket: int = 64, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every document: component_id is the least doc_id that links reach.
+    """(doc_id, fp, component_id, row_key) of every document: component_id is the least doc_id that links reach, row_key a hash of id and text.
 
     docs: doc_id, text; other columns are ignored. Links join fingerprints within two bits. Null and wordless texts have fingerprint
     zero and link like any other. A null doc_id is kept and counts as larger than any other. Repeated rows each give a row.
     """
-    prints = durable(fingerprints(docs, shingle=shingle))
+    prints = durable(fingerprints(docs, shingle))
     own = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(links(own, hot_bucket))
     joined = own.join(parts.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     heads = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(joined.join(heads, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(joined.join(heads, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id", "row_key")
+
+
+def keep_one(docs: DataFrame, hot_bucket: int = 64, shingle: int = 3) -> DataFrame:
+    """docs, all columns, with one document of each component: that with the least doc_id, and of rows that repeat it one."""
+    found = durable(near_duplicates(docs, hot_bucket, shingle))
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select(F.col("r.row_key").alias("_row_key"))
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    # The list of what stays is hashed, so the texts are dealt once and not sorted.
+    kept = keyed.join(first.hint("shuffle_hash"), "_row_key", "left_semi")
+    if not found.groupBy("row_key").count().filter("count > 1").isEmpty():
+        n = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
+        kept = kept.withColumn("_n", n).filter("_n = 1").drop("_n")
+    return kept.select(*docs.columns)
