@@ -201,6 +201,13 @@ def _look(keys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == h if len(keys) else np.zeros(len(code), bool)
 
 
+def segments(begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts cut into segments of `width` characters: where each begins (one more at the end), and each text's first segment."""
+    n = -(-np.diff(begins) // width)
+    first = np.concatenate([[0], np.cumsum(n)])
+    return np.append(np.repeat(begins[:-1], n) + width * (np.arange(first[-1]) - np.repeat(first[:-1], n)), begins[-1:]), first
+
+
 def text_log_probs(models: list[SortedHashModel], code: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """[model, text]: summed log probabilities; each n-gram that occurs in the slice is looked up once for each model."""
     some = np.flatnonzero(np.bincount(code, minlength=1))

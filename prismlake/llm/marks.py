@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import partitions_for
-from .textkit import Slice, fill, slices
+from .textkit import Slice, fill, mix, slices
 
 CANDIDATES, KNOWN, RUNS = 0, 1, 2
 SCHEMA = "bucket int, kind int, payload binary"
@@ -106,8 +106,11 @@ class Router:
         many, lead = repeats(hashes)
         out = self.known(key[many], pos[many])
         k, p, h, m = key[lead], pos[lead], hashes[lead], many[lead]
-        to = ((h >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
-        return out + list(self._rows(to, CANDIDATES, lambda i: pack(k[i], p[i], h[i], m[i])))
+        return out + list(self._rows(self.place(h), CANDIDATES, lambda i: pack(k[i], p[i], h[i], m[i])))
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """The bucket of each hash, evenly even where the hashes were chosen for being small."""
+        return ((mix(hashes) >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
 
     def known(self, key: np.ndarray, pos: np.ndarray) -> list[tuple]:
         """Rows for entries that are known to repeat, sorted by document and position."""

@@ -1,7 +1,9 @@
 """Quality rules: base text statistics, and perplexity bands of language-specific modified Kneser-Ney models.
 
-The model of a language is counted over all its documents. A document passes if its base rules do and its log perplexity lies in
-its language's band: the median plus and minus a number of robust deviations, wider for short texts, whose perplexity varies more.
+The model of a language is counted over all its documents. Each segment of a document is scored by the best of its language's model
+and those of the most frequent languages, so that a quotation in another language is not held against it. A document passes if its
+base rules do and its log perplexity lies in its language's band: the median plus and minus a number of robust deviations, wider for
+short texts, whose perplexity varies more.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
-from .charlm import SortedHashModel, codes, collect_counts, count_grams, text_log_probs
+from .charlm import SortedHashModel, codes, collect_counts, count_grams, segments, text_log_probs
 from .substring import Words
 from .textkit import CODES, Rolling, Slice, per_text, slices
 
@@ -22,6 +24,8 @@ SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Languages of null, and of those beyond the most frequent ones, share these models.
 NO_LANGUAGE, REST = "und", "other"
+#: Characters of a segment, and the number of frequent languages whose models may score a segment of any text.
+SEGMENT, COMMON = 64, 6
 
 
 def _within(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +86,13 @@ class Judge:
         self.group = F.when(own.isin(frequent[:-1]), own).otherwise(REST) if len(frequent) == max_models else own
         counts = collect_counts(count_grams(docs.select(self.group.alias("grp"), "text")))
         self.models = docs.sparkSession.sparkContext.broadcast({g: SortedHashModel(c, modified=True) for g, c in counts.items()})
-        models = self.models
+        models, common = self.models, [g for g in frequent[:COMMON] if g in counts]
+        self.common = common
         types = "doc_id long, grp string, " + "".join(f"{c} long, " for c in STATS) + "n_chars long, log_perplexity double"
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in slices(batches):
-                stats, n, logs = _score(s, s.rows.column(1).to_pylist(), models.value)
+                stats, n, logs = _score(s, s.rows.column(1).to_pylist(), models.value, common)
                 arrays = [s.rows.column(0), s.rows.column(1), *(pa.array(stats[c]) for c in STATS), pa.array(n), pa.array(logs)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "grp", *STATS, "n_chars", "log_perplexity"])
 
@@ -109,14 +114,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def _score(s: Slice, groups: list[str], models: dict[str, SortedHashModel]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def _score(s: Slice, groups: list[str], models: dict[str, SortedHashModel], common: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Base statistics, characters and log perplexity per character of a slice's texts."""
     stats, (code, begins, _) = {k: v.astype(np.int64) for k, v in text_stats(s).items()}, codes(s)
-    n, out, of = np.diff(begins), np.zeros(len(s)), np.array(groups)
-    for g in sorted(set(groups) & set(models)):
-        mine = of == g
-        out[mine] = -text_log_probs([models[g]], code[np.repeat(mine, n)], np.concatenate([[0], np.cumsum(n[mine])]))[0]
-    return stats, n, out / np.maximum(n, 1)
+    at, first = segments(begins, SEGMENT)
+    best = np.full(len(at) - 1, np.inf)
+    for g in common:
+        best = np.minimum(best, -text_log_probs([models[g]], code, at)[0])
+    n, of = np.diff(begins), np.array(groups)
+    for g in sorted(set(groups) & set(models) - set(common)):
+        mine = np.repeat(of == g, np.diff(first))
+        size = np.diff(at)
+        own = -text_log_probs([models[g]], code[np.repeat(mine, size)], np.concatenate([[0], np.cumsum(size[mine])]))[0]
+        best[mine] = np.minimum(best[mine], own)
+    sums = np.concatenate([[0], np.cumsum(np.where(np.isfinite(best), best, 0.0))])[first]
+    return stats, n, (sums[1:] - sums[:-1]) / np.maximum(n, 1)
 
 
 def judge(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float = 5.0, short: float = 300.0, max_models: int = 64) -> DataFrame:
@@ -145,12 +157,12 @@ def judge(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float
 def keep(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float = 5.0, short: float = 300.0, max_models: int = 64) -> DataFrame:
     """The documents that judge() keeps, all columns. Texts are scored a second time where they lie, so none is shuffled."""
     j = Judge(docs, lang, low, high, short, max_models)
-    models = j.models
+    models, common = j.models, j.common
 
     def run(batches: Iterator[pa.RecordBatch], verdicts=_verdicts(j)) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             groups = s.rows.column(s.rows.num_columns - 1).to_pylist()
-            kept = verdicts(groups, *_score(s, groups, models.value))
+            kept = verdicts(groups, *_score(s, groups, models.value, common))
             yield pa.RecordBatch.from_arrays(s.rows.columns[:-1], s.rows.schema.names[:-1]).filter(pa.array(kept))
 
     return docs.select("*", j.group.alias("_grp")).mapInArrow(run, docs.schema)

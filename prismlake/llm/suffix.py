@@ -184,6 +184,12 @@ def common_prefixes(strings: Strings, order: np.ndarray, most: int) -> np.ndarra
     return out
 
 
+def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray, step: int = 2048) -> np.ndarray:
+    """The bytes of many ranges in a row; `step` ranges at a time, for their indexes take eight times the bytes."""
+    parts = [data[fill(start[k : k + step], length[k : k + step])] for k in range(0, len(start), step)]
+    return np.concatenate(parts) if parts else data[:0]
+
+
 class Contexts:
     """Contexts of a task: the bytes of all windows of one minimiser, `before` of them in front of it, in one buffer."""
 
@@ -210,14 +216,17 @@ class Contexts:
         return cls(*(np.concatenate(c) for c in zip(*((p.key, p.lo, p.before, p.many, p.length, p.data) for p in parts), strict=True)))
 
     def take(self, which: np.ndarray) -> Contexts:
-        data = self.data[fill(self.start[which], self.length[which])]
-        return Contexts(self.key[which], self.lo[which], self.before[which], self.many[which], self.length[which], data)
+        return Contexts(self.key[which], self.lo[which], self.before[which], self.many[which], self.length[which], _gather(self.data, self.start[which], self.length[which]))
 
     def hashes(self) -> tuple[np.ndarray, Rolling]:
         """Of each whole context with its place of the minimiser, and the rolling hash of the buffer."""
         rolling = Rolling(CODES[self.data])
         return mix(rolling.ranges(self.start, self.start + self.length) + self.before.astype(np.uint64)), rolling
 
+    def whole_hashes(self, step: int = 2048) -> np.ndarray:
+        """hashes()[0], some contexts at a time."""
+        return np.concatenate([self.take(np.arange(k, min(k + step, len(self.key)))).hashes()[0] for k in range(0, len(self.key), step)] or [np.empty(0, np.uint64)])
+
     def same(self, a: int, b: int) -> bool:
         x, y, n = int(self.start[a]), int(self.start[b]), int(self.length[a])
         return self.before[a] == self.before[b] and n == self.length[b] and self.data[x : x + n].tobytes() == self.data[y : y + n].tobytes()
@@ -313,13 +322,12 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRA
         if not len(take):
             return marks.batch([])
         doc, lo, length = m.doc[take], m.lo[take], m.hi[take] + window - m.lo[take]
-        c = Contexts(s.column("k")[doc], lo - s.off[doc], m.pos[take] - lo, np.zeros(len(take), bool), length, s.data[fill(lo, length)])
-        lead = c.leaders(c.hashes()[0])
+        c = Contexts(s.column("k")[doc], lo - s.off[doc], m.pos[take] - lo, np.zeros(len(take), bool), length, _gather(s.data, lo, length))
+        lead = c.leaders(c.whole_hashes())
         c.many = np.bincount(lead, minlength=len(lead))[lead] > 1
         out = runs(c.key[c.many], c.lo[c.many], (length - window + 1)[c.many])
         one = np.unique(lead)
-        to = ((m.hash[take][one] >> np.uint64(32)) * np.uint64(router.n) >> np.uint64(32)).astype(np.int64)
-        out += router._rows(to, marks.CANDIDATES, lambda i: c.take(one[i]).pack())
+        out += router._rows(router.place(m.hash[take][one]), marks.CANDIDATES, lambda i: c.take(one[i]).pack())
         return marks.batch(out)
 
     def windows(c: Contexts, rolling: Rolling) -> list[tuple]:
