@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismlake.llm import decontaminate, packing, quality, simhash, substring
+from prismlake.llm import decontaminate, packing, quality, simhash, substring, textkit
 from prismlake.plans.durable import durable
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
+    textkit.small_batches(spark)
     return quality.keep(docs)
 
 

@@ -22,6 +22,8 @@ from ..plans.durable import size_in_bytes
 from .textkit import Slice, mix, slices
 
 ORDER, SYMBOLS = 4, 40
+#: Models of a list whose lookups a worker keeps.
+KEPT_TABLES = 12
 #: Symbols: a-z 0..25, other letters 26..35 by code point, then space, digit, punctuation, anything else.
 SPACE, DIGIT, PUNCTUATION, OTHER = 36, 37, 38, 39
 GRAMS = SYMBOLS**ORDER
@@ -93,7 +95,7 @@ def count_grams(docs: DataFrame, group: str = "grp", text: str = "text") -> Data
             held.clear()
             return _rows(rows)
 
-        for s in slices(batches, "text"):
+        for s in slices(batches):
             groups = s.rows.column(0).to_pylist()
             code, begins, _ = codes(s)
             names = sorted({g for g in groups if g is not None})
@@ -111,7 +113,7 @@ def count_grams(docs: DataFrame, group: str = "grp", text: str = "text") -> Data
         for b in batches:
             for g, c, _, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (g, c) not in held:
-                    if len(held) >= 256:
+                    if len(held) >= 64:
                         yield _rows([(*k, 0, _payload(x)) for k, x in held.items()])
                         held.clear()
                     held[g, c] = np.zeros(CHUNK, np.int64)
@@ -167,10 +169,23 @@ class SortedHashModel:
 
     def __init__(self, counts: np.ndarray, modified: bool):
         self.orders = []
+        self.found: np.ndarray | None = None
         for seen, logp, back in kneser_ney(counts, modified):
             at = np.flatnonzero(seen.ravel())
             self.orders.append((*_sorted(at, logp.ravel()[at]), *_sorted(ctx := np.unique(at // SYMBOLS), back.ravel()[ctx])))
 
+    def log_probs(self, code: np.ndarray) -> np.ndarray:
+        """log_prob(code), with what was looked up kept for the next texts: a table of at most 10 MB."""
+        if self.found is None:
+            self.found = np.full(GRAMS, np.nan, np.float32)
+        out = self.found[code]
+        new = np.isnan(out)
+        if new.any():
+            some = np.unique(code[new])
+            self.found[some] = self.log_prob(some)
+            out = self.found[code]
+        return out
+
     def log_prob(self, code: np.ndarray) -> np.ndarray:
         """The log probability of each n-gram code's last symbol after the others."""
         out, left = np.zeros(len(code)), np.arange(len(code))
@@ -209,12 +224,12 @@ def segments(begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_log_probs(models: list[SortedHashModel], code: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """[model, text]: summed log probabilities; each n-gram that occurs in the slice is looked up once for each model."""
-    some = np.flatnonzero(np.bincount(code, minlength=1))
-    table, out = np.empty(int(some[-1]) + 1 if len(some) else 0), np.zeros((len(models), len(begins) - 1))
+    """[model, text]: summed log probabilities."""
+    out = np.zeros((len(models), len(begins) - 1))
     sums = np.zeros(len(code) + 1)
     for k, m in enumerate(models):
-        table[some] = m.log_prob(some)
-        np.cumsum(table[code], out=sums[1:])
+        np.cumsum(m.log_probs(code), dtype=np.float64, out=sums[1:])
         out[k] = sums[begins[1:]] - sums[begins[:-1]]
+        if k >= KEPT_TABLES:
+            m.found = None
     return out

@@ -126,6 +126,7 @@ def _score(s: Slice, groups: list[str], models: dict[str, SortedHashModel], comm
         mine = np.repeat(of == g, np.diff(first))
         size = np.diff(at)
         own = -text_log_probs([models[g]], code[np.repeat(mine, size)], np.concatenate([[0], np.cumsum(size[mine])]))[0]
+        models[g].found = None  # only the common ones keep their tables
         best[mine] = np.minimum(best[mine], own)
     sums = np.concatenate([[0], np.cumsum(np.where(np.isfinite(best), best, 0.0))])[first]
     return stats, n, (sums[1:] - sums[:-1]) / np.maximum(n, 1)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import shared_dir
-from . import decontaminate, idfiles, langid, packing, quality, simhash, substring, suffix, tokencount, toxicity
+from . import decontaminate, idfiles, langid, packing, quality, simhash, substring, suffix, textkit, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten can be written in SQL that runs on whole tables: tests hold each against brute force.
@@ -23,6 +23,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    textkit.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE = 1 << 20
 U = np.uint64
@@ -69,6 +70,12 @@ class Rolling:
         return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.empty(0, U)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows in this session, unless it has its own number: a batch of texts is held by the JVM and by the worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Slice:
     """Some whole texts: bytes `data`, text k at off[k]:off[k+1], and the rows they came from."""
 
