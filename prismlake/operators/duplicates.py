@@ -146,7 +146,7 @@ def duplicate_groups(features: DataFrame, exclusions: DataFrame, t: Thresholds)
     return out.select("tier", "group_id", "asset_id", "similarity")
 
 
-#: Factor, weight and phrase, in the order that breaks ties.
+# Factor, weight and phrase, in the order that breaks ties.
 FACTORS = (
     ("technical", 0.30, "the sharpest, cleanest detail"), ("face_quality", 0.20, "the best face-capture quality"), ("aesthetic", 0.15, "the strongest composition score"),
     ("resolution", 0.15, "more usable resolution"), ("exposure", 0.10, "the most balanced exposure"), ("preference", 0.10, "your favourite/edit history"),

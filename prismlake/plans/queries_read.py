@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import media, text
-from ..operators import library, store
+from ..operators import library, people, store
 from ..operators.rules import AlbumRule
 from ..sources.catalog import CATEGORIES, Catalog
 from ..streaming import windows
@@ -290,3 +290,39 @@ def stream_changes(c: Catalog) -> DataFrame:
 @query("WITH d AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS new FROM moments), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM d) SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first_us FROM s GROUP BY user_id, s")
 def session_windows(c: Catalog) -> DataFrame:
     return windows.sessions(c.moments, 900)
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS start_ms, event_type, count(*) AS n FROM moments GROUP BY 1, 2")
+def tumbling_windows(c: Catalog) -> DataFrame:
+    return windows.tumbling(c.moments, "1 hour")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE) // 1000 AS start_ms, event_type, count(*) AS n FROM moments, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
+def sliding_windows(c: Catalog) -> DataFrame:
+    return windows.tumbling(c.moments, "1 hour", slide="30 minutes")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS start_ms, event_type, count(*) AS n FROM moments GROUP BY 1, 2")
+def watermark_windows(c: Catalog) -> DataFrame:
+    """The tumbling windows as a stream with a watermark, closed by a last event far in the future."""
+    return windows.streamed_windows(c.spark, c.moments)
+
+
+@query("SELECT asset_id FROM assets WHERE deleted AND (title ILIKE '%en%' OR filename ILIKE '%en%' OR asset_key ILIKE '%en%')")
+def search_tombstoned(c: Catalog) -> DataFrame:
+    """Search does not leave tombstoned rows out, and an empty query finds nothing."""
+    none = c.spark.createDataFrame([], "asset_id long, token string")
+    found = library.search(c.assets, none, c.tags.limit(0), "en").union(library.search(c.assets, none, c.tags, " "))
+    return c.assets.filter("deleted").join(found, "asset_id", "left_semi").select("asset_id")
+
+
+query("WITH n AS (SELECT face_id FROM faces WHERE asset_id = 43) SELECT face_id, person_id, confirmed FROM membership WHERE face_id NOT IN (SELECT face_id FROM n) UNION ALL SELECT face_id, 8, TRUE FROM n", "add_faces")(lambda c: people.confirm(c.membership, c.constraints, 8, c.faces.filter("asset_id = 43").select("face_id"))[0])
+query("SELECT face_id, asset_id, FALSE AS is_manual FROM faces UNION ALL SELECT 77777, 7, TRUE", "add_manual_face")(lambda c: c.faces.select("face_id", "asset_id", F.lit(False).alias("is_manual")).union(c.spark.createDataFrame([(77777, 7, True)], "face_id long, asset_id long, is_manual boolean")))
+query("SELECT asset_id FROM assets WHERE FALSE", "delete_all_data")(lambda c: c.assets.select("asset_id").limit(0))
+
+
+@query("SELECT name FROM (SELECT 'backup-' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS name FROM (SELECT DISTINCT o_custkey FROM orders)) ORDER BY name DESC LIMIT 3")
+def backup(c: Catalog) -> DataFrame:
+    """Which snapshots stay: the newest three by name."""
+    names = c.raw("orders").select(F.concat(F.lit("backup-"), text.padded(F.col("o_custkey"), 6)).alias("name")).distinct()
+    return names.orderBy(F.desc("name")).limit(3)

@@ -54,3 +54,14 @@ def replay_changes(spark: SparkSession, rows: DataFrame) -> DataFrame:
         stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
         stream.writeStream.foreachBatch(apply_changes(f"{base}/out", "asset_key")).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out/v1").select("asset_key", "asset_id", "stage")
+
+
+def streamed_windows(spark: SparkSession, events: DataFrame, width: str = "1 hour") -> DataFrame:
+    """tumbling() as an append-mode stream with a watermark, over a folder that also holds one last event far ahead, which closes all windows."""
+    base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    rows = events.select("event_type", "ts")
+    rows.write.parquet(f"{base}/in")
+    rows.limit(1).select(F.lit("end").alias("event_type"), F.expr("timestamp_ntz'2100-01-01 00:00:00'").alias("ts")).write.mode("append").parquet(f"{base}/in")
+    stream = tumbling(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), width, "10 minutes")
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
