@@ -211,8 +211,9 @@ def test_components(spark):
         if a is not None and a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {a: find(a) for a in parent}
+    for small in (200_000, 40, 0):
+        got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+        assert got == {a: find(a) for a in parent}
 
 
 # People
