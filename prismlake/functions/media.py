@@ -18,7 +18,7 @@ def bits_above_median(v: Column) -> Column:
     d = F.transform(v, lambda x: x.cast("double"))
     s = F.array_sort(d)
     median = (F.element_at(s, 32) + F.element_at(s, 33)) / 2
-    return _bits(F.transform(d, lambda x: x > median))
+    return _bits(F.zip_with(d, spread(median, d), lambda x, m: x > m))
 
 
 def bits_rising(v: Column) -> Column:
@@ -28,6 +28,16 @@ def bits_rising(v: Column) -> Column:
     return _bits(F.zip_with(d, nexts, lambda a, b: a < b))
 
 
+def spread(value: Column, like: Column) -> Column:
+    """An array of value, as long as `like`: inside a lambda, an expression over the row would be computed again for each element."""
+    return F.array_repeat(value, F.size(like))
+
+
+def scaled(a: Column) -> Column:
+    """Of unit length; zero vectors stay."""
+    return F.zip_with(a, spread(F.greatest(norm(a), F.lit(1e-300)), a), lambda x, n: x / n)
+
+
 def _bits(flags: Column) -> Column:
     return F.aggregate(flags, F.lit(0).cast("long"), lambda acc, f: F.shiftleft(acc, 1).bitwiseOR(f.cast("long")))
 
@@ -43,8 +53,7 @@ def norm(a: Column) -> Column:
 def centred(a: Column) -> Column:
     """Minus its mean, then of unit length."""
     mean = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.size(a)
-    moved = F.transform(a, lambda x: x.cast("double") - mean)
-    return F.transform(moved, lambda x: x / norm(moved))
+    return scaled(F.zip_with(a, spread(mean, a), lambda x, m: x.cast("double") - m))
 
 
 def sharpness_score(laplacian_variance: Column) -> Column:

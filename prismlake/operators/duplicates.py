@@ -65,9 +65,10 @@ def near_pairs(features: DataFrame, blocked: DataFrame, t: Thresholds) -> DataFr
 
     Within the near radius and the difference hashes agree, or within the loose radius and the vectors do.
     """
-    by_hash = hash_pairs(features, max(t.loose, t.near))
-    same = features.select("phash").filter("phash is not null").distinct().select(F.col("phash").alias("a"), F.col("phash").alias("b"), F.lit(0).alias("distance"))
-    f = features.filter("phash is not null")
+    # A hash computed on the way would be computed again in every join condition below.
+    f = durable(features.filter("phash is not null"))
+    by_hash = hash_pairs(f, max(t.loose, t.near))
+    same = f.select("phash").distinct().select(F.col("phash").alias("a"), F.col("phash").alias("b"), F.lit(0).alias("distance"))
     x, y = f.select([F.col(c).alias(f"x_{c}") for c in f.columns]), f.select([F.col(c).alias(f"y_{c}") for c in f.columns])
     j = by_hash.union(same).join(x, F.col("a") == F.col("x_phash")).join(y, F.col("b") == F.col("y_phash")).filter((F.col("a") != F.col("b")) | (F.col("x_asset_id") < F.col("y_asset_id")))
     dh = F.coalesce(media.hamming(F.col("x_dhash"), F.col("y_dhash")), F.lit(0))

@@ -218,8 +218,7 @@ def cluster_stats(clusters: DataFrame, faces: DataFrame) -> DataFrame:
     f = clusters.select("cluster", "face_id").join(faces.select("face_id", "quality", "vector"), "face_id")
     dims = f.select("cluster", F.posexplode("vector").alias("d", "x"), "quality").groupBy("cluster", "d").agg(F.sum(F.col("quality") * F.col("x").cast("double")).alias("x"))
     raw = dims.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c"))
-    size = F.greatest(media.norm(F.col("c")), F.lit(1e-300))
-    centre = raw.select("cluster", F.transform("c", lambda x: x / size).alias("centroid"))
+    centre = raw.select("cluster", media.scaled(F.col("c")).alias("centroid"))
     s = f.join(centre, "cluster").withColumn("s", media.dot(F.col("vector"), F.col("centroid")))
     return s.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean_similarity"), F.stddev_pop("s").alias("deviation")).join(centre, "cluster")
 
@@ -270,7 +269,7 @@ def suggestions(faces: DataFrame, members: DataFrame, persons: DataFrame, constr
     """(face_id, similarity): faces most like the mean of a person's, without its own, rejected ones and those of other named persons."""
     mine = members.filter(F.col("person_id") == person_id).select("face_id")
     dims = faces.join(mine, "face_id", "left_semi").select(F.posexplode("vector").alias("d", "x")).groupBy("d").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    mean = dims.agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c")).select(F.transform("c", lambda x: x / media.norm(F.col("c"))).alias("c"))
+    mean = dims.agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c")).select(media.scaled(F.col("c")).alias("c"))
     named = members.join(persons.filter("name is not null").select("person_id"), "person_id", "left_semi").filter(F.col("person_id") != person_id).select("face_id")
     no = constraints.filter("kind = 'cannot_link'")
     rejected = no.join(mine.withColumnRenamed("face_id", "face_a"), "face_a", "left_semi").select(F.col("face_b").alias("face_id")).union(no.join(mine.withColumnRenamed("face_id", "face_b"), "face_b", "left_semi").select("face_a"))
