@@ -98,9 +98,9 @@ class Judge:
 
         self.scored = durable(docs.select("doc_id", self.group.alias("grp"), "text").mapInArrow(score, types))
         q = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
-        rows = self.scored.filter(~base_failed()).groupBy("grp").agg(q.alias("q")).collect()  # one a model, at most max_models
-        #: group -> (median, robust deviation) of log perplexity.
-        self.bands = {r.grp: (r.q[1], max((r.q[2] - r.q[0]) / 1.349, 0.01)) for r in rows}
+        rows = self.scored.filter(~base_failed()).groupBy("grp").agg(q.alias("q"), F.count(F.lit(1)).alias("n")).collect()  # one a model, at most max_models
+        #: group -> (median, robust deviation, wider where few documents tell it) of log perplexity.
+        self.bands = {r.grp: (r.q[1], max((r.q[2] - r.q[0]) / 1.349, 0.01) * (1 + 8 / r.n**0.5)) for r in rows}
 
     def verdicts(self, group: list[str], stats: dict[str, np.ndarray], n: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """Whether each document is kept."""

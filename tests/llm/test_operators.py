@@ -125,22 +125,27 @@ def slow_model(texts, modified):
 
 
 def test_quality_perplexity_and_verdicts(small):
-    got = {r.doc_id: r for r in quality.judge(small).collect()}
-    rows = [r for r in small.collect() if r.lang == "es"]
-    symbols, p = slow_model([r.text for r in rows], True)
+    rows = [r for r in small.collect() if r.lang in ("es", "fr")]
+    got = {r.doc_id: r for r in quality.judge(small.filter("lang in ('es', 'fr')")).collect()}
+    models = {g: slow_model([r.text for r in rows if r.lang == g], True) for g in ("es", "fr")}
     want = {}
     for r in rows:
-        s = symbols(r.text)
-        want[r.doc_id] = -sum(math.log(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))) / max(len(r.text), 1)
+        cost = {}
+        for g, (symbols, p) in models.items():
+            s = symbols(r.text)
+            cost[g] = [-math.log(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))]
+        parts = range(0, len(r.text), quality.SEGMENT)
+        want[r.doc_id] = sum(min(sum(c[k : k + quality.SEGMENT]) for c in cost.values()) for k in parts) / max(len(r.text), 1)
     assert rows and all(abs(got[i].log_perplexity - v) < 1e-4 for i, v in want.items())
-    fine = sorted(got[r.doc_id].log_perplexity for r in rows if not got[r.doc_id].base_failed)
-    middle = fine[(len(fine) - 1) // 2]
-    q = [fine[max(math.ceil(f * len(fine)) - 1, 0)] for f in (0.25, 0.75)]
-    for r in rows:
-        z = (got[r.doc_id].log_perplexity - middle) / (max((q[1] - q[0]) / 1.349, 0.01) * math.sqrt(1 + 300 / len(r.text)))
-        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and -5 <= z <= 5)
-    kept = {r.doc_id for r in quality.keep(small).select("doc_id").collect()}
-    assert kept == {i for i, r in got.items() if r.kept}
+    for g in models:
+        fine = sorted(got[r.doc_id].log_perplexity for r in rows if r.lang == g and not got[r.doc_id].base_failed)
+        q = [fine[max(math.ceil(f * len(fine)) - 1, 0)] for f in (0.25, 0.5, 0.75)]
+        for r in (r for r in rows if r.lang == g):
+            deviation = max((q[2] - q[0]) / 1.349, 0.01) * (1 + 8 / len(fine) ** 0.5)
+            z = (got[r.doc_id].log_perplexity - q[1]) / (deviation * math.sqrt(1 + 300 / len(r.text)))
+            assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and -5 <= z <= 5)
+    everything = {r.doc_id for r in quality.judge(small).filter("kept").collect()}
+    assert everything == {r.doc_id for r in quality.keep(small).select("doc_id").collect()}
 
 
 def test_quality_groups_rare_languages_together(small):
