@@ -36,6 +36,16 @@ def drop_table(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file on any Hadoop file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def size_in_bytes(df: DataFrame, unknown: int = 1 << 27) -> int:
     """Catalyst's estimate of df's size (file sizes for a scan); `unknown` where it has none."""
     n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

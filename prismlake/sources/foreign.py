@@ -4,77 +4,70 @@ from __future__ import annotations
 
 import re
 import sqlite3
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import closing
-from pathlib import Path
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from ..plans.durable import shared_dir
+from ..plans.durable import shared_dir, write_file
 
 #: Seconds from the Unix epoch to 2001-01-01, the epoch of these libraries.
 EPOCH_2001 = 978307200
 
 
-class _Range(InputPartition):
-    def __init__(self, lo: int, hi: int):
-        self.lo, self.hi = lo, hi
-
-
-class SqliteReader(DataSourceReader):
-    """Reads one table of an SQLite file by ranges of rowid, a partition each."""
-
-    def __init__(self, options: dict, schema):
-        self.path, self.table, self.step, self.schema = options["path"], options["table"], int(options.get("rows", "100000")), schema
-        if not re.fullmatch(r"\w+", self.table):
-            raise ValueError("table names are words")
-
-    def _open(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-
-    def partitions(self) -> list[InputPartition]:
-        with closing(self._open()) as db:
-            lo, hi = db.execute(f"select min(rowid), max(rowid) from {self.table}").fetchone()
-        return [] if lo is None else [_Range(k, min(k + self.step, hi + 1)) for k in range(lo, hi + 1, self.step)]
+def _each_database(spark: SparkSession, path: str, schema: str, read: Callable[[sqlite3.Connection], Iterator[tuple]]) -> DataFrame:
+    """The rows that `read` finds in the SQLite file at `path`, on any file system: its bytes come through Spark and open in memory."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def read(self, part: _Range) -> Iterator[tuple]:
-        with closing(self._open()) as db:
-            have = {r[1] for r in db.execute(f"pragma table_info({self.table})")}
-            columns = ", ".join(f.name if f.name in have else "null" for f in self.schema)
-            yield from db.execute(f"select {columns} from {self.table} where rowid >= ? and rowid < ?", (part.lo, part.hi))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                with closing(sqlite3.connect(":memory:")) as db:
+                    db.deserialize(content.as_py())
+                    rows = read(db)
+                    while part := list(islice(rows, 10_000)):
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], schema=target)
 
+    target = to_arrow_schema(_parse_datatype_string(schema))
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
-class SqliteSource(DataSource):
-    """format('sqlite_table') with options path, table and rows; a column the file lacks is null."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite_table"
+def columns(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """table -> columns of an SQLite file."""
 
-    def schema(self) -> str:
-        raise ValueError("give a schema")
+    def read(db: sqlite3.Connection) -> Iterator[tuple]:
+        for (name,) in db.execute("select name from sqlite_master where type = 'table'").fetchall():
+            for r in db.execute(f'pragma table_info("{name}")').fetchall():
+                yield name, r[1]
 
-    def reader(self, schema) -> SqliteReader:
-        return SqliteReader(self.options, schema)
+    out: dict[str, list[str]] = {}
+    for name, column in _each_database(spark, path, "name string, col string", read).collect():  # a file's table definitions
+        out.setdefault(name, []).append(column)
+    return out
 
 
 def sqlite_table(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite_table").schema(schema).option("path", path).option("table", table).load()
+    """One table of an SQLite file; a column that the file lacks is null."""
+    if not re.fullmatch(r"\w+", table):
+        raise ValueError("table names are words")
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def read(db: sqlite3.Connection) -> Iterator[tuple]:
+        have = {r[1] for r in db.execute(f"pragma table_info({table})")}
+        yield from db.execute(f"select {', '.join(n if n in have else 'null' for n in names)} from {table}")
 
-def tables(path: str) -> list[str]:
-    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
-        return [r[0] for r in db.execute("select name from sqlite_master where type = 'table'")]
+    return _each_database(spark, path, schema, read)
 
 
 def scan_library(spark: SparkSession, path: str) -> DataFrame:
     """Assets of a photo library's database copy, in either generation of its schema; trashed and unknown kinds are left out."""
-    table = next((t for t in ("ZASSET", "ZGENERICASSET") if t in tables(path)), None)
+    table = next((t for t in ("ZASSET", "ZGENERICASSET") if t in columns(spark, path)), None)
     if table is None:
         raise ValueError("not a photo library")
     raw = sqlite_table(spark, path, table, "Z_PK long, ZUUID string, ZFILENAME string, ZDIRECTORY string, ZKIND int, ZKINDSUBTYPE int, ZTRASHEDSTATE int, ZDATECREATED double, ZWIDTH long, ZHEIGHT long, ZFAVORITE int, ZHIDDEN int")
@@ -87,11 +80,11 @@ def scan_library(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_albums(spark: SparkSession, path: str) -> DataFrame:
     """(album_id, title, parent_id, asset_key): albums of the user's kinds with their members, from the numbered join table."""
-    join = next((t for t in tables(path) if re.fullmatch(r"Z_\d+ASSETS", t)), None)
+    known = columns(spark, path)
+    join = next((t for t in known if re.fullmatch(r"Z_\d+ASSETS", t)), None)
     if join is None:
         raise ValueError("no album table")
-    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
-        names = [r[1] for r in db.execute(f"pragma table_info({join})")]
+    names = known[join]
     album, asset = next(n for n in names if "ALBUMS" in n), next(n for n in names if n.endswith("ASSETS"))
     albums = sqlite_table(spark, path, "ZGENERICALBUM", "Z_PK long, ZTITLE string, ZKIND int, ZPARENTFOLDER long, ZTRASHEDSTATE int")
     albums = albums.filter(F.col("ZKIND").isin(2, 4000, 3999) & (F.coalesce("ZTRASHEDSTATE", F.lit(0)) == 0))
@@ -100,10 +93,9 @@ def scan_albums(spark: SparkSession, path: str) -> DataFrame:
     return albums.join(members.join(keys, "source_pk"), "Z_PK", "left").select(F.col("Z_PK").alias("album_id"), F.col("ZTITLE").alias("title"), F.col("ZPARENTFOLDER").alias("parent_id"), "asset_key")
 
 
-def _demo() -> str:
-    path = str(Path(tempfile.gettempdir()) / "prismlake-demo-library.sqlite")
-    Path(path).unlink(missing_ok=True)
-    with closing(sqlite3.connect(path)) as db:
+def _demo(spark: SparkSession) -> str:
+    """A small library of the newer schema, in the shared folder."""
+    with closing(sqlite3.connect(":memory:")) as db:
         db.executescript("""
             create table ZASSET (Z_PK integer primary key, ZUUID text, ZFILENAME text, ZKIND int, ZKINDSUBTYPE int, ZTRASHEDSTATE int, ZDATECREATED real);
             create table ZGENERICALBUM (Z_PK integer primary key, ZTITLE text, ZKIND int, ZPARENTFOLDER int, ZTRASHEDSTATE int);
@@ -113,15 +105,18 @@ def _demo() -> str:
             insert into Z_28ASSETS values (11, 1), (11, 3), (11, 5), (12, 2);
         """)
         db.commit()
+        data = db.serialize()
+    path = f"{shared_dir(spark)}/library-{uuid.uuid4().hex}.sqlite"
+    write_file(spark, path, data)
     return path
 
 
 def demo_library(spark: SparkSession) -> DataFrame:
-    return scan_library(spark, _demo())
+    return scan_library(spark, _demo(spark))
 
 
 def demo_albums(spark: SparkSession) -> DataFrame:
-    return scan_albums(spark, _demo())
+    return scan_albums(spark, _demo(spark))
 
 
 def scan_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -133,8 +128,6 @@ def scan_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
 
 def split_by_library(assets: DataFrame) -> DataFrame:
     """Writes one partition a library; (library_id, n) as read back."""
-    import uuid
-
     path = f"{shared_dir(assets.sparkSession)}/libraries-{uuid.uuid4().hex}"
     assets.write.partitionBy("library_id").parquet(path)
     return assets.sparkSession.read.parquet(path).groupBy("library_id").agg(F.count(F.lit(1)).alias("n"))
@@ -155,9 +148,6 @@ def try_each(df: DataFrame, schema: str, work: Callable[[dict], tuple]) -> DataF
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema=target)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     target = to_arrow_schema(_parse_datatype_string(schema))
     return df.mapInArrow(run, schema)
 
