@@ -64,7 +64,7 @@ def rename_pattern(pattern: str, name: Column, number: Column, at: Column, camer
     values = {"n": padded(number, padding), "date": stamp("yyyy-MM-dd"), "year": stamp("yyyy"), "month": stamp("MM"), "day": stamp("dd"), "time": stamp("HH-mm-ss"), "camera": F.coalesce(camera, F.lit("")), "name": base}
     out: Column = F.lit(pattern)
     for token, value in values.items():
-        literal = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), r"\$", r"\\\\\$")
+        literal = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
         out = F.regexp_replace(out, F.lit(rf"(?i)\{{{token}\}}"), literal)
     out = clean_name(out)
     return F.when(out == "", base).otherwise(out)

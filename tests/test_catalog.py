@@ -129,7 +129,7 @@ def test_quality_metrics():
 
 
 def test_strictness():
-    assert media.thresholds(0.5) == {"near": 6, "loose": 11, "near_cosine": 0.97, "burst_cosine": 0.92, "similar_cosine": 0.955}
+    assert media.thresholds(0.5) == pytest.approx({"near": 6, "loose": 11, "near_cosine": 0.97, "burst_cosine": 0.92, "similar_cosine": 0.955})
 
 
 @pytest.mark.parametrize("limit", [20_000, 10])
