@@ -2,8 +2,9 @@
 
 The model of a language is counted over all its documents. Each segment of a document is scored by the best of its language's model
 and those of the most frequent languages, so that a quotation in another language is not held against it. A document passes if its
-base rules do and its log perplexity lies in its language's band: the median plus and minus a number of robust deviations, wider for
-short texts, whose perplexity varies more.
+base rules do and its log perplexity lies in its language's bands, per character and per word (run of letters): the median plus and
+minus a number of robust deviations, wider for short texts, whose perplexity varies more. Signs after each word and table bars cost
+little a character, as each foretells the next, but they are no words, so their texts cost more a word than prose does.
 """
 
 from __future__ import annotations
@@ -88,35 +89,43 @@ class Judge:
         self.models = docs.sparkSession.sparkContext.broadcast({g: SortedHashModel(c, modified=True) for g, c in counts.items()})
         models, common = self.models, [g for g in frequent[:COMMON] if g in counts]
         self.common = common
-        types = "doc_id long, grp string, " + "".join(f"{c} long, " for c in STATS) + "n_chars long, log_perplexity double"
+        types = "doc_id long, grp string, " + "".join(f"{c} long, " for c in STATS) + "n_chars long, n_runs long, log_perplexity double"
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in slices(batches):
-                stats, n, logs = _score(s, s.rows.column(1).to_pylist(), models.value, common)
-                arrays = [s.rows.column(0), s.rows.column(1), *(pa.array(stats[c]) for c in STATS), pa.array(n), pa.array(logs)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "grp", *STATS, "n_chars", "log_perplexity"])
+                stats, *rest = _score(s, s.rows.column(1).to_pylist(), models.value, common)
+                arrays = [s.rows.column(0), s.rows.column(1), *(pa.array(stats[c]) for c in STATS), *map(pa.array, rest)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "grp", *STATS, "n_chars", "n_runs", "log_perplexity"])
 
         self.scored = durable(docs.select("doc_id", self.group.alias("grp"), "text").mapInArrow(score, types))
-        q = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
-        rows = self.scored.filter(~base_failed()).groupBy("grp").agg(q.alias("q"), F.count(F.lit(1)).alias("n")).collect()  # one a model, at most max_models
-        #: group -> (median, robust deviation, wider where few documents tell it) of log perplexity.
-        self.bands = {r.grp: (r.q[1], max((r.q[2] - r.q[0]) / 1.349, 0.01) * (1 + 8 / r.n**0.5)) for r in rows}
+        per_word = F.col("log_perplexity") * F.col("n_chars") / F.greatest("n_runs", F.lit(1))
+        q = [F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000) for x in (F.col("log_perplexity"), per_word)]
+        rows = self.scored.filter(~base_failed()).groupBy("grp").agg(F.array(*q).alias("q"), F.count(F.lit(1)).alias("n")).collect()  # one a model, at most max_models
+        #: group -> (median, robust deviation, wider where few documents tell it) of log perplexity a character, and the same a word.
+        self.bands = {r.grp: [(q[1], max((q[2] - q[0]) / 1.349, 0.01) * (1 + 8 / r.n**0.5)) for q in r.q] for r in rows}
 
-    def verdicts(self, group: list[str], stats: dict[str, np.ndarray], n: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    def verdicts(self, group: list[str], stats: dict[str, np.ndarray], n: np.ndarray, runs: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """Whether each document is kept."""
-        middle, deviation = (np.array([self.bands.get(g, (0.0, np.inf))[k] for g in group]) for k in (0, 1))
-        z = (logs - middle) / (deviation * np.sqrt(1 + self.short / np.maximum(n, 1)))
-        failed = (stats["n_words"] < 20) | (100 * stats["n_repeat_words"] > 30 * stats["n_words"])
-        return ~failed & (z >= -self.low) & (z <= self.high)
+        kept = (stats["n_words"] >= 20) & (100 * stats["n_repeat_words"] <= 30 * stats["n_words"])
+        for k, value in enumerate((logs, logs * n / np.maximum(runs, 1))):
+            bands = [self.bands[g][k] if g in self.bands else (0.0, np.inf) for g in group]
+            middle, deviation = np.array(bands, float).reshape(-1, 2).T
+            z = (value - middle) / (deviation * np.sqrt(1 + self.short / np.maximum(n, 1)))
+            kept &= (z >= -self.low) & (z <= self.high)
+        return kept
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def _score(s: Slice, groups: list[str], models: dict[str, SortedHashModel], common: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Base statistics, characters and log perplexity per character of a slice's texts."""
-    stats, (code, begins, _) = {k: v.astype(np.int64) for k, v in text_stats(s).items()}, codes(s)
+def _score(s: Slice, groups: list[str], models: dict[str, SortedHashModel], common: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Base statistics, characters, runs of letters and log perplexity per character of a slice's texts."""
+    stats, (code, begins, letter) = {k: v.astype(np.int64) for k, v in text_stats(s).items()}, codes(s)
+    opens = letter.copy()
+    opens[1:] &= ~letter[:-1]
+    at = begins[begins < len(letter)]
+    opens[at] = letter[at]
     at, first = segments(begins, SEGMENT)
     best = np.full(len(at) - 1, np.inf)
     for g in common:
@@ -129,14 +138,14 @@ def _score(s: Slice, groups: list[str], models: dict[str, SortedHashModel], comm
         models[g].found = None  # only the common ones keep their tables
         best[mine] = np.minimum(best[mine], own)
     sums = np.concatenate([[0], np.cumsum(np.where(np.isfinite(best), best, 0.0))])[first]
-    return stats, n, (sums[1:] - sums[:-1]) / np.maximum(n, 1)
+    return stats, n, per_text(opens, begins), (sums[1:] - sums[:-1]) / np.maximum(n, 1)
 
 
 def judge(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float = 5.0, short: float = 300.0, max_models: int = 64) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity, deviation) of every document.
 
     docs: doc_id, text and a language column; other columns are ignored. Null and empty texts have no words and fail the base
-    rules; a null language is one of its own. low and high are the band in robust deviations of log perplexity per character;
+    rules; a null language is one of its own. low and high are the bands in robust deviations of log perplexity per character and per word;
     `short` is the length at which a text's own variance equals that of its language. The max_models - 1 most frequent languages
     have a model each, all others share one. Repeated rows each give a row; an empty table gives an empty result.
     """
@@ -147,8 +156,7 @@ def judge(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float
         for b in batches:
             col = {f: b.column(k) for k, f in enumerate(b.schema.names)}
             stats = {c: col[c].to_numpy(zero_copy_only=False) for c in STATS}
-            logs = col["log_perplexity"].to_numpy(zero_copy_only=False)
-            kept = verdicts(col["grp"].to_pylist(), stats, col["n_chars"].to_numpy(zero_copy_only=False), logs)
+            kept = verdicts(col["grp"].to_pylist(), stats, *(col[c].to_numpy(zero_copy_only=False) for c in ("n_chars", "n_runs", "log_perplexity")))
             failed = (stats["n_words"] < 20) | (100 * stats["n_repeat_words"] > 30 * stats["n_words"])
             yield pa.RecordBatch.from_arrays([col["doc_id"], *(col[c] for c in STATS), pa.array(failed), pa.array(kept), col["log_perplexity"]], ["doc_id", *STATS, "base_failed", "kept", "log_perplexity"])
 

@@ -148,6 +148,25 @@ def test_quality_perplexity_and_verdicts(small):
     assert everything == {r.doc_id for r in quality.keep(small).select("doc_id").collect()}
 
 
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Labelled documents of the 0.01 table that pass the base rules, with the verdict and the kind of junk."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = quality.judge(docs).filter("not base_failed").join(docs.select("doc_id", "text"), "doc_id").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+
+    def kind(r):
+        return "good" if r.quality else "signs" if len(re.findall(r"[#$%&*]{3}", r.text)) > 5 else "table" if r.text.count(" | ") > 5 else "other"
+
+    return [(kind(r), r.kept) for r in rows]
+
+
+def test_quality_rejects_signs_and_tables(labelled):
+    n, kept = Counter(k for k, _ in labelled), Counter(k for k, yes in labelled if yes)
+    assert n["signs"] >= 5 and n["table"] >= 5
+    assert kept["signs"] == kept["table"] == 0 and kept["good"] >= 0.99 * n["good"]
+
+
 def test_quality_groups_rare_languages_together(small):
     got = quality.judge(small, max_models=2).collect()
     assert len(got) == small.count()
