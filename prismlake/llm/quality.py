@@ -100,9 +100,9 @@ class Judge:
         self.scored = durable(docs.select("doc_id", self.group.alias("grp"), "text").mapInArrow(score, types))
         per_word = F.col("log_perplexity") * F.col("n_chars") / F.greatest("n_runs", F.lit(1))
         q = [F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000) for x in (F.col("log_perplexity"), per_word)]
-        rows = self.scored.filter(~base_failed()).groupBy("grp").agg(F.array(*q).alias("q"), F.count(F.lit(1)).alias("n")).collect()  # one a model, at most max_models
-        #: group -> (median, robust deviation, wider where few documents tell it) of log perplexity a character, and the same a word.
-        self.bands = {r.grp: [(q[1], max((q[2] - q[0]) / 1.349, 0.01) * (1 + 8 / r.n**0.5)) for q in r.q] for r in rows}
+        rows = self.scored.filter(~base_failed()).groupBy("grp").agg(F.array(*q).alias("q")).collect()  # one a model, at most max_models
+        #: group -> (median, robust deviation) of log perplexity a character, and the same a word; alike for few and many documents.
+        self.bands = {r.grp: [(q[1], max((q[2] - q[0]) / 1.349, 0.01)) for q in r.q] for r in rows}
 
     def verdicts(self, group: list[str], stats: dict[str, np.ndarray], n: np.ndarray, runs: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """Whether each document is kept."""

@@ -167,6 +167,19 @@ def test_quality_rejects_signs_and_tables(labelled):
     assert kept["signs"] == kept["table"] == 0 and kept["good"] >= 0.99 * n["good"]
 
 
+def test_quality_bands_do_not_depend_on_size(small):
+    j = quality.Judge(small, "lang", 5.0, 5.0, 300.0, 64)
+    sizes = set()
+    for g in j.bands:
+        rows = [r for r in j.scored.collect() if r.grp == g and r.n_words >= 20 and 100 * r.n_repeat_words <= 30 * r.n_words]
+        sizes.add(len(rows))
+        for band, value in zip(j.bands[g], (lambda r: r.log_perplexity, lambda r: r.log_perplexity * r.n_chars / max(r.n_runs, 1)), strict=True):
+            v = sorted(map(value, rows))
+            q = [v[math.ceil(f * len(v)) - 1] for f in (0.25, 0.5, 0.75)]
+            assert band == pytest.approx((q[1], max((q[2] - q[0]) / 1.349, 0.01)))
+    assert max(sizes) > 4 * min(sizes)
+
+
 def test_quality_groups_rare_languages_together(small):
     got = quality.judge(small, max_models=2).collect()
     assert len(got) == small.count()
