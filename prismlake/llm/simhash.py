@@ -135,18 +135,23 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = 64, shingle: int = 3) ->
     docs: doc_id, text; other columns are ignored. Links join fingerprints within two bits. Null and wordless texts have fingerprint
     zero and link like any other. A null doc_id is kept and counts as larger than any other. Repeated rows each give a row.
     """
+    return _classes(docs, hot_bucket, shingle).select("doc_id", "fp", "component_id", "row_key")
+
+
+def _classes(docs: DataFrame, hot_bucket: int, shingle: int) -> DataFrame:
+    """near_duplicates with `component`, the least fingerprint that links reach, which tells components apart whose doc_ids are all null."""
     prints = durable(fingerprints(docs, shingle))
     own = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(links(own, hot_bucket))
     joined = own.join(parts.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     heads = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(joined.join(heads, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id", "row_key")
+    return prints.join(joined.join(heads, "component").select("fp", "component", "component_id"), "fp")
 
 
 def keep_one(docs: DataFrame, hot_bucket: int = 64, shingle: int = 3) -> DataFrame:
     """docs, all columns, with one document of each component: that with the least doc_id, and of rows that repeat it one."""
-    found = durable(near_duplicates(docs, hot_bucket, shingle))
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select(F.col("r.row_key").alias("_row_key"))
+    found = durable(_classes(docs, hot_bucket, shingle).select("doc_id", "component", "row_key"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("r")).select(F.col("r.row_key").alias("_row_key"))
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
     # The list of what stays is hashed, so the texts are dealt once and not sorted.
     kept = keyed.join(first.hint("shuffle_hash"), "_row_key", "left_semi")

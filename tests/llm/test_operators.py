@@ -260,6 +260,12 @@ def test_simhash_keeps_one(docs):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_simhash_keeps_one_of_each_component_without_ids(spark):
+    rows = [(None, prose(21, 80)), (None, prose(22, 80)), (None, prose(22, 80)), (None, prose(23, 80)), (5, prose(23, 80))]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same(got, [(None, prose(21, 80)), (None, prose(22, 80)), (5, prose(23, 80))])
+
+
 def test_golay_code_is_perfect_and_keys_meet():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 1 << 23, 2000)
