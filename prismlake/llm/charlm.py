@@ -1,235 +1,391 @@
-"""Kneser-Ney character n-gram models, one for each group of texts (a language), kept in sorted hash arrays.
+"""Kneser-Ney character n-gram models, one for each group of texts (a language), kept in sorted hash arrays that grow with the corpus.
 
-Characters are folded into 40 symbols, so a model of order 4 has at most 40^4 + 40^3 + 40^2 + 40 entries, however large the corpus:
-that is the proven bound of what is broadcast. Counts are Spark's: every task counts its texts, the counts meet by
-(group, first symbol) in two salted rounds, and the driver gets one sum for each n-gram that occurs. Every n-gram of every text
-is counted and every character is scored.
+A character is a symbol of 12 bits: lower-cased and white space made one, code points below U+0C00 stand for themselves (Latin, Greek,
+Cyrillic, Hebrew, Arabic and most Indic letters), higher ones share 1,024 symbols such that neighbours in a block differ. An n-gram of
+order 5 is then one number, and only those that occur are kept.
+
+Counts are Spark's. Tasks count their texts; the counts of an n-gram meet by its hash, and then all n-grams with the same third and
+fourth symbol meet in one cell, where their orders 5, 4 and 3 are complete: contexts hold those two symbols, and so do the shorter
+n-grams that orders are counted down to. Orders 2 and 1 of a group are sums over its cells. Scoring takes the cells in blocks of a
+bounded size, each broadcast for one pass over the texts, so neither a worker nor the driver ever holds a whole model that is larger.
+Every n-gram of every text is counted and every character is scored.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import size_in_bytes
-from .textkit import Slice, mix, slices
-
-ORDER, SYMBOLS = 4, 40
-#: Models of a list whose lookups a worker keeps.
-KEPT_TABLES = 12
-#: Symbols: a-z 0..25, other letters 26..35 by code point, then space, digit, punctuation, anything else.
-SPACE, DIGIT, PUNCTUATION, OTHER = 36, 37, 38, 39
-GRAMS = SYMBOLS**ORDER
-CHUNK = GRAMS // SYMBOLS
-COUNTS = "grp string, chunk int, salt int, payload binary"
-_SYMBOL: list[np.ndarray] = []
+from ..plans.durable import durable, size_in_bytes
+from .textkit import HashTable, Slice, fill, mix, slices
+
+ORDER, BITS = 5, 12
+SYMBOLS = 1 << BITS
+EXACT, SHARED = 0xC00, 1024
+SPACE = 32
+COUNTS = "grp string, cell int, payload binary"
+MODEL = "grp string, cell int, entries long, payload binary"
+#: Different n-grams that a counting task holds before it sends them on, and log probabilities that a scoring worker keeps.
+HELD, KEPT = 1 << 20, 1 << 22
+_TABLES: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """The symbol of each code point, and whether it is a letter (2: not looked up yet)."""
+    if not _TABLES:
+        points = np.arange(0x110000)
+        low = points.copy()
+        for c in range(0x2000):
+            low[c] = SPACE if chr(c).isspace() else ord(chr(c).lower()[0])
+        low[[c for c in (*range(0x2000, 0x2030), 0x205F, 0x3000) if chr(c).isspace()]] = SPACE
+        shared = EXACT + ((low >> 7) * 37 + (low & 127)) % SHARED
+        _TABLES.extend([np.where(low < EXACT, low, shared).astype(np.uint16), np.full(0x110000, 2, np.uint8)])
+    return _TABLES
 
 
 def symbols_of(code_points: np.ndarray) -> np.ndarray:
-    if not _SYMBOL:
-        table = np.full(0x110000, 255, np.uint8)
-        _SYMBOL.append(table)
-    table = _SYMBOL[0]
-    out = table[code_points]
-    if (out == 255).any():
-        for c in np.unique(code_points[out == 255]).tolist():
-            table[c] = _symbol(c)
-        out = table[code_points]
-    return out
+    return _tables()[0][code_points]
 
 
-def _symbol(code_point: int) -> int:
-    c = chr(code_point)
-    low, kind = c.lower()[:1], unicodedata.category(c)
-    if "a" <= low <= "z":
-        return ord(low) - 97
-    if kind[0] == "L":
-        return 26 + ord(low) % 10
-    if c.isspace():
-        return SPACE
-    return DIGIT if kind[0] == "N" else PUNCTUATION if kind[0] == "P" else OTHER
+def is_letter(code_points: np.ndarray) -> np.ndarray:
+    table = _tables()[1]
+    out = table[code_points]
+    if (out == 2).any():
+        for c in np.unique(code_points[out == 2]).tolist():
+            table[c] = unicodedata.category(chr(c))[0] == "L"
+        out = table[code_points]
+    return out.astype(bool)
 
 
 def codes(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram code that ends at each character of the slice's texts, each text's first character (one more at the end), and whether each is a letter."""
+    """The n-gram that ends at each character of the slice's texts, each text's first character (one more at the end), and whether each is a letter."""
     points = np.frombuffer(s.data.tobytes().decode().encode("utf-32-le"), "<u4")
     begins = np.concatenate([[0], np.cumsum((s.data & 0xC0) != 0x80)])[s.off]
-    symbol = symbols_of(points)
     pad = ORDER - 1
     at = np.arange(len(points)) + pad * np.repeat(np.arange(1, len(s) + 1), np.diff(begins))
-    run = np.full(len(points) + pad * len(s), SPACE, np.int32)
-    run[at] = symbol
-    code = np.zeros(len(points), np.int32)
+    run = np.full(len(points) + pad * len(s), SPACE, np.int64)
+    run[at] = symbols_of(points)
+    code = np.zeros(len(points), np.int64)
     for back in range(pad, -1, -1):
-        code = code * SYMBOLS + run[at - back]
-    return code, begins, symbol < SPACE
+        code = code << BITS | run[at - back]
+    return code, begins, is_letter(points)
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sum of each one's values."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(values, first) if len(first) else values
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """int64 arrays, each as its length and its bytes by significance, which compress well."""
+    out = []
+    for a in arrays:
+        out += [np.int64(len(a)).tobytes(), np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()]
+    return b"".join(out)
+
+
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int(np.frombuffer(raw, "<i8", 1, at)[0])
+        planes = np.frombuffer(raw, np.uint8, 8 * n, at + 8).reshape(8, n)
+        out.append(np.ascontiguousarray(planes.T).view("<i8").ravel())
+        at += 8 + 8 * n
+    return out
+
+
+def cell_of(code: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of n-grams, by their third and fourth symbols."""
+    return ((mix((code >> BITS & (1 << 2 * BITS) - 1).astype(np.uint64) + np.uint64(1)) >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
+
+
+class _Held:
+    """Counts of different n-grams by group, bounded in number."""
 
+    def __init__(self):
+        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.n = self.since = 0
 
-def _payload(counts: np.ndarray) -> bytes:
-    some = np.flatnonzero(counts)
-    return some.astype("<u4").tobytes() + counts[some].astype("<i8").tobytes()
+    def add(self, group: str, code: np.ndarray, n: np.ndarray) -> bool:
+        """Whether it is time to send on what is held."""
+        self.parts.setdefault(group, []).append((code, n))
+        self.since += len(code)
+        if self.since > HELD:
+            self.parts = {g: [_sums(*map(np.concatenate, zip(*p, strict=True)))] for g, p in self.parts.items()}
+            self.n = sum(len(p[0][0]) for p in self.parts.values())
+            self.since = 0
+        return self.n > HELD
 
+    def take(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        parts, self.parts, self.n, self.since = self.parts, {}, 0, 0
+        for g, p in parts.items():
+            yield g, *_sums(*map(np.concatenate, zip(*p, strict=True)))
 
-def _add(into: np.ndarray, raw: bytes) -> None:
-    n = len(raw) // 12
-    into[np.frombuffer(raw, "<u4", n)] += np.frombuffer(raw, "<i8", n, 4 * n)
 
+def _rows(rows: list[tuple], schema: str = COUNTS) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else ((),) * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
 
-def count_grams(docs: DataFrame, group: str = "grp", text: str = "text") -> DataFrame:
-    """(grp, chunk, salt, payload): the n-gram counts of all texts by group; rows of a null group are not counted."""
-    salts = max(1, isqrt(size_in_bytes(docs) >> 24))
+
+def _split(group: str, code: np.ndarray, n: np.ndarray, to: np.ndarray) -> Iterator[tuple]:
+    order = np.argsort(to, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else ():
+        yield group, int(to[part[0]]), _pack(code[part], n[part])
+
+
+def count_grams(docs: DataFrame, group: str = "grp", text: str = "text") -> tuple[DataFrame, int]:
+    """(grp, cell, payload) with the counts of all n-grams of the texts of each group, a row a cell, and the number of cells.
+
+    Rows of a null group are not counted. The counts meet by the n-gram's hash first, so that no frequent pair of symbols, and no
+    group, brings the counts of all tasks into one.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = min(4096, max(16, 1 << (size_in_bytes(docs) >> 27).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        salt = TaskContext.get().partitionId() % salts
+        held = _Held()
 
         def out() -> pa.RecordBatch:
-            rows = [(g, c, salt, _payload(x)) for g, a in held.items() for c, x in enumerate(a.reshape(SYMBOLS, CHUNK)) if x.any()]
-            held.clear()
-            return _rows(rows)
+            return _rows([r for g, c, k in held.take() for r in _split(g, c, k, (mix(c.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) % n)])
 
         for s in slices(batches):
             groups = s.rows.column(0).to_pylist()
             code, begins, _ = codes(s)
-            names = sorted({g for g in groups if g is not None})
-            of = np.repeat(np.array([-1 if g is None else names.index(g) for g in groups]), np.diff(begins))
+            names = sorted(set(groups))
+            of = np.repeat(np.searchsorted(names, groups), np.diff(begins))
             for k, g in enumerate(names):
-                if g not in held:
-                    if len(held) >= 8:
-                        yield out()
-                    held[g] = np.zeros(GRAMS, np.int64)
-                held[g] += np.bincount(code[of == k], minlength=GRAMS)
+                if held.add(g, *np.unique(code[of == k] if len(names) > 1 else code, return_counts=True)):
+                    yield out()
         yield out()
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            for g, c, _, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if (g, c) not in held:
-                    if len(held) >= 64:
-                        yield _rows([(*k, 0, _payload(x)) for k, x in held.items()])
-                        held.clear()
-                    held[g, c] = np.zeros(CHUNK, np.int64)
-                _add(held[g, c], raw)
-        yield _rows([(*k, 0, _payload(x)) for k, x in held.items()])
+    def total(cell: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _Held()
+            for b in batches:
+                for g, raw in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                    if held.add(g, *_unpack(raw.as_py())) and cell:
+                        yield _rows([r for g, c, k in held.take() for r in _split(g, c, k, cell_of(c, cell))])
+            for g, c, k in held.take():
+                yield _rows(list(_split(g, c, k, cell_of(c, cell or cells))))
+
+        return run
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = docs.filter(F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(text).alias("text")).mapInArrow(count, COUNTS)
-    return parts.repartition(n, "grp", "chunk", "salt").mapInArrow(total, COUNTS).repartition(n, "grp", "chunk").mapInArrow(total, COUNTS)
+    return parts.repartition(n, "cell").mapInArrow(total(cells), COUNTS).repartition(n, "grp", "cell").mapInArrow(total(None), COUNTS), cells
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    g, c, s, p = zip(*rows, strict=True) if rows else ((),) * 4
-    return pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(c, pa.int32()), pa.array(s, pa.int32()), pa.array(p, pa.binary())], ["grp", "chunk", "salt", "payload"])
+def _orders(code: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, n-grams, counts) from order 5 down to `least`; lower orders count the different symbols seen before the n-gram."""
+    for order in range(ORDER, least - 1, -1):
+        if order < ORDER:
+            code, n = np.unique(code & (1 << BITS * order) - 1, return_counts=True)
+        yield order, code, n.astype(np.int64)
 
 
-def collect_counts(counts: DataFrame) -> dict[str, np.ndarray]:
-    """The dense counts of each group; at most 40 rows a group reach the driver, of the sums alone."""
-    out: dict[str, np.ndarray] = {}
-    for g, chunk, _, raw in counts.collect():
-        _add(out.setdefault(g, np.zeros(GRAMS, np.int64)).reshape(SYMBOLS, CHUNK)[chunk], bytes(raw))
-    return out
+def _spread(n: np.ndarray) -> np.ndarray:
+    return np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64)
 
 
-def kneser_ney(counts: np.ndarray, modified: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From the highest order down: (whether each n-gram was seen, its interpolated log probability, log of its context's back-off weight)."""
-    c = counts.reshape((SYMBOLS,) * ORDER)
-    levels = [c]
-    for _ in range(ORDER - 1):  # lower orders count the different characters seen before the n-gram
-        levels.append((levels[-1] > 0).sum(axis=0))
-    lower = np.full(SYMBOLS, 1 / SYMBOLS)
-    out = []
-    for n in reversed(levels):
-        n = n.astype(np.float64)
-        t = [float((n == k).sum()) for k in (1, 2, 3, 4)]
-        y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.5
-        if modified:  # discounts for counts of one, two, and three or more
-            d = [min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) if t[k - 1] else y * k / 2 for k in (1, 2, 3)]
-        else:
-            d = [y, y, y]
-        cut = np.select([n >= 3, n == 2, n == 1], [d[2], d[1], d[0]], 0.0)
-        total = n.sum(axis=-1, keepdims=True)
-        freed = cut.sum(axis=-1, keepdims=True)
-        weight = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-        p = (n - cut) / np.maximum(total, 1) + weight * lower
-        out.append((n > 0, np.log(p), np.log(np.maximum(weight[..., 0], 1e-300))))
-        lower = p
-    return out[::-1]
-
-
-class SortedHashModel:
-    """A model as sorted arrays: for each order the hashes of the n-grams seen with their log probabilities, and the contexts' back-off weights."""
-
-    def __init__(self, counts: np.ndarray, modified: bool):
-        self.orders = []
-        self.found: np.ndarray | None = None
-        for seen, logp, back in kneser_ney(counts, modified):
-            at = np.flatnonzero(seen.ravel())
-            self.orders.append((*_sorted(at, logp.ravel()[at]), *_sorted(ctx := np.unique(at // SYMBOLS), back.ravel()[ctx])))
-
-    def log_probs(self, code: np.ndarray) -> np.ndarray:
-        """log_prob(code), with what was looked up kept for the next texts: a table of at most 10 MB."""
-        if self.found is None:
-            self.found = np.full(GRAMS, np.nan, np.float32)
-        out = self.found[code]
-        new = np.isnan(out)
-        if new.any():
-            some = np.unique(code[new])
-            self.found[some] = self.log_prob(some)
-            out = self.found[code]
-        return out
+def discounts(t: np.ndarray, modified: bool) -> np.ndarray:
+    """What is cut from counts of one, two, and three or more, from how many n-grams have counts of one to four."""
+    y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.5
+    if not modified:
+        return np.full(3, y)
+    return np.array([min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) if t[k - 1] else y * k / 2 for k in (1, 2, 3)])
 
-    def log_prob(self, code: np.ndarray) -> np.ndarray:
-        """The log probability of each n-gram code's last symbol after the others."""
-        out, left = np.zeros(len(code)), np.arange(len(code))
-        for k, (keys, logp, contexts, back) in enumerate(self.orders):
-            part = code[left] % SYMBOLS ** (ORDER - k)
-            at, hit = _look(keys, part)
-            out[left[hit]] += logp[at[hit]]
-            left, part = left[~hit], part[~hit]
-            at, hit = _look(contexts, part // SYMBOLS)
-            out[left[hit]] += back[at[hit]]
-        out[left] -= np.log(SYMBOLS)
-        return out
+
+def _probabilities(code: np.ndarray, n: np.ndarray, t: np.ndarray, lower: np.ndarray, modified: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of each n-gram's last symbol, contexts, back-off weight of each); n-grams sorted, lower: those of the n-grams without their first symbol."""
+    d = discounts(t, modified)
+    cut = d[np.minimum(n, 3) - 1]
+    context = code >> BITS
+    first = np.flatnonzero(np.diff(context, prepend=context[:1] - 1))
+    size = np.diff(first, append=len(code))
+    total, freed = np.add.reduceat(n, first), np.add.reduceat(cut, first)
+    weight = freed / total
+    return (n - cut) / np.repeat(total, size) + np.repeat(weight, size) * lower, context[first], weight
 
 
-def _hash(code: np.ndarray) -> np.ndarray:
-    return mix(code.astype(np.uint64) + np.uint64(1))
+def _salt(group: str, order: int, context: bool) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(f"{order}{'c' if context else 'n'}{group}".encode()))
 
 
-def _sorted(code: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = _hash(code)
-    order = np.argsort(h)
-    return h[order], values[order].astype(np.float32)
+def _keys(code: np.ndarray, group: str, order: int, context: bool = False) -> np.ndarray:
+    return mix(code.astype(np.uint64) ^ _salt(group, order, context))
 
 
-def _look(keys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = _hash(code)
-    at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-    return at, keys[at] == h if len(keys) else np.zeros(len(code), bool)
+def estimate(counts: DataFrame, modified: bool) -> DataFrame:
+    """Model rows (grp, cell, entries, payload) from count_grams: hashes of n-grams and of contexts with log probabilities and log weights.
 
+    Cell -1 of a group holds its orders 2 and 1, at most 4,096 * 4,097 n-grams.
+    """
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def segments(begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts cut into segments of `width` characters: where each begins (one more at the end), and each text's first segment."""
-    n = -(-np.diff(begins) // width)
-    first = np.concatenate([[0], np.cumsum(n)])
-    return np.append(np.repeat(begins[:-1], n) + width * (np.arange(first[-1]) - np.repeat(first[:-1], n)), begins[-1:]), first
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each cell how many n-grams of orders 5, 4 and 3 have counts of one to four, and its order 2."""
+        for b in batches:
+            for g, raw in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                levels = [*_orders(*_unpack(raw.as_py()), 2)]
+                yield _rows([(g, 0, _pack(np.concatenate([_spread(k) for _, _, k in levels[:3]]), *levels[3][1:]))])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread: dict[str, np.ndarray] = {}
+        pairs = _Held()
+        for b in batches:
+            for g, raw in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                t, code, k = _unpack(raw.as_py())
+                spread[g] = spread.get(g, 0) + t
+                pairs.add(g, code, k)
+        for g, code, k in pairs.take():
+            yield _rows([(g, 0, _pack(spread[g], code, k))])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, cell, raw, below in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                t, pairs, k2 = _unpack(below.as_py())
+                ones, k1 = np.unique(pairs & SYMBOLS - 1, return_counts=True)
+                p1, none, w1 = _probabilities(ones, k1, _spread(k1), np.full(len(ones), 1 / SYMBOLS), modified)
+                p2, single, w2 = _probabilities(pairs, k2, _spread(k2), p1[np.searchsorted(ones, pairs & SYMBOLS - 1)], modified)
+                grams, contexts = [], []
+                if cell < 0:
+                    grams = [(1, ones, p1), (2, pairs, p2)]
+                    contexts = [(0, none, w1), (1, single, w2)]
+                else:
+                    code, k5 = _unpack(raw.as_py())
+                    shorter, p = pairs, p2
+                    for order, own, k in [*_orders(code, k5, 3)][::-1]:
+                        p, ctx, w = _probabilities(own, k, t.reshape(3, 4)[ORDER - order], p[np.searchsorted(shorter, own & (1 << BITS * (order - 1)) - 1)], modified)
+                        grams.append((order, own, p))
+                        contexts.append((order - 1, ctx, w))
+                        shorter = own
+                keys = np.concatenate([*(_keys(c, g, o) for o, c, _ in grams), *(_keys(c, g, o, True) for o, c, _ in contexts)])
+                values = np.log(np.concatenate([x for _, _, x in grams + contexts])).astype("<f4")
+                order = np.argsort(keys)
+                yield _rows([(g, cell, len(keys), keys[order].astype("<u8").tobytes() + values[order].tobytes())], MODEL)
+
+    below = counts.mapInArrow(low, COUNTS).repartition(n, "grp").mapInArrow(merge, COUNTS)
+    below = durable(below.select("grp", F.col("payload").alias("below")))
+    cells = counts.union(below.select("grp", F.lit(-1), F.lit(b"")))
+    return durable(cells.join(below, "grp").select("grp", "cell", "payload", "below").mapInArrow(finish, MODEL))
+
+
+class Block:
+    """Some cells of some groups as one sorted hash array."""
+
+    def __init__(self, rows: list[tuple[str, int, bytes]], cells: int):
+        self.cells, self.cover = cells, {}
+        keys, values = [], []
+        for g, cell, raw in rows:
+            n = len(raw) // 12
+            keys.append(np.frombuffer(raw, "<u8", n))
+            values.append(np.frombuffer(raw, "<f4", n, 8 * n))
+            if cell >= 0:
+                self.cover.setdefault(g, np.zeros(cells, bool))[cell] = True
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[tuple[str, ...], tuple[HashTable, np.ndarray]] = {}
+
+    def __getstate__(self):
+        return self.cells, self.cover, self.keys, self.values
+
+    def __setstate__(self, state):
+        self.cells, self.cover, self.keys, self.values = state
+        self._forget()
+
+    def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.values[at], self.keys[at] == keys
+
+    def log_prob(self, code: np.ndarray, group: str) -> np.ndarray:
+        """The log probability of each n-gram's last symbol after the others; 0 for those of cells that are not in the block."""
+        out = np.zeros(len(code))
+        left = np.flatnonzero(self.cover[group][cell_of(code, self.cells)])
+        mine = left
+        for order in range(ORDER, 0, -1):
+            part = code[left] & (1 << BITS * order) - 1
+            value, hit = self._look(_keys(part, group, order))
+            out[left[hit]] += value[hit]
+            left, part = left[~hit], part[~hit]
+            value, hit = self._look(_keys(part >> BITS, group, order - 1, True))
+            out[left[hit]] += value[hit]
+        out[left] -= np.log(SYMBOLS)
+        assert len(mine) == 0 or out[mine].max() < 1e-3
+        return out
+
+    def log_probs(self, code: np.ndarray, groups: tuple[str, ...]) -> np.ndarray:
+        """[character, group]: log_prob, with what was looked up kept for the next texts up to a bound."""
+        if sum(x.size for _, x in self.known.values()) > KEPT:
+            self._forget()
+        table, values = self.known.get(groups) or (HashTable(), np.empty((0, len(groups)), np.float32))
+        key = mix(code.astype(np.uint64) + np.uint64(1))
+        at = table.find(key)
+        if (new := np.flatnonzero(at < 0)).size:
+            some = np.unique(code[new])
+            table.add(mix(some.astype(np.uint64) + np.uint64(1)), np.arange(len(values), len(values) + len(some)))
+            values = np.concatenate([values, np.stack([self.log_prob(some, g) for g in groups], axis=1).astype(np.float32)])
+            at = table.find(key)
+        self.known[groups] = table, values
+        return values[at]
+
+
+def blocks(model: DataFrame, cells: int, block_entries: int = 5 << 20) -> Iterator[Block]:
+    """The model in blocks of about block_entries hashes (12 bytes each), one after another.
+
+    A block has the cell -1 of each of its groups, which is bounded by the alphabet, and at least one other cell.
+    """
+    plan: list[tuple[list[tuple[str, int]], int]] = []
+    sizes = sorted((r.grp, r.cell, r.entries) for r in model.select("grp", "cell", "entries").collect())  # one row a cell
+    below = {g: k for g, c, k in sizes if c < 0}
+    for g, c, k in sizes:
+        if c < 0:
+            continue
+        if not plan or plan[-1][1] + k + below[g] > block_entries:
+            plan.append(([], 0))
+        part, held = plan[-1]
+        if (g, -1) not in part:
+            part.append((g, -1))
+            held += below[g]
+        part.append((g, c))
+        plan[-1] = (part, held + k)
+    spark = model.sparkSession
+    for part, _ in plan:
+        rows = model if len(plan) == 1 else model.join(F.broadcast(spark.createDataFrame(part, "grp string, cell int")), ["grp", "cell"], "left_semi")
+        yield Block([(r.grp, r.cell, bytes(r.payload)) for r in rows.select("grp", "cell", "payload").collect()], cells)
+
+
+def text_log_probs(block: Block, groups: list[str], code: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """[text, group]: summed log probabilities of each text under each group's model."""
+    mine = tuple(g for g in groups if g in block.cover)
+    out = np.zeros((len(begins) - 1, len(groups)))
+    if mine and len(code):
+        sums = np.zeros((len(code) + 1, len(mine)))
+        np.cumsum(block.log_probs(code, mine), axis=0, dtype=np.float64, out=sums[1:])
+        out[:, [groups.index(g) for g in mine]] = sums[begins[1:]] - sums[begins[:-1]]
+    return out
 
 
-def text_log_probs(models: list[SortedHashModel], code: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """[model, text]: summed log probabilities."""
-    out = np.zeros((len(models), len(begins) - 1))
-    sums = np.zeros(len(code) + 1)
-    for k, m in enumerate(models):
-        np.cumsum(m.log_probs(code), dtype=np.float64, out=sums[1:])
-        out[k] = sums[begins[1:]] - sums[begins[:-1]]
-        if k >= KEPT_TABLES:
-            m.found = None
+def own_log_probs(block: Block, groups: list[str | None], code: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Each text's summed log probability under the model of its own group; 0 where the block does not have it."""
+    out, length, of = np.zeros(len(groups)), np.diff(begins), np.array([g or "" for g in groups], object)
+    for g in sorted(set(of.tolist()) & set(block.cover)):
+        which = np.flatnonzero(of == g)
+        part = code[fill(begins[:-1][which], length[which])]
+        sums = np.concatenate([[0.0], np.cumsum(block.log_probs(part, (g,))[:, 0], dtype=np.float64)])
+        ends = np.cumsum(length[which])
+        out[which] = sums[ends] - sums[ends - length[which]]
     return out

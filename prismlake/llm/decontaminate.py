@@ -52,7 +52,7 @@ class ItemIndex:
         for (width, _), members in by_size.items():
             sketch = max(len(self.items[k][1]) - self.items[k][3] + 1 for k in members)
             for k in members:
-                for h in np.sort(_hashes(self.items[k][1]))[:sketch].tolist():
+                for h in np.sort(_hashes(self.items[k][1], width))[:sketch].tolist():
                     found.setdefault(width, []).append((h, k))
         self.sketches = {}
         for width, pairs in found.items():
@@ -65,7 +65,7 @@ class ItemIndex:
         near: list[np.ndarray] = []
         for width, (keys, of) in self.sketches.items():
             at = np.flatnonzero(w.left >= width)
-            h = w.rolling.ranges(at, at + width)
+            h = w.runs.of(width)[at]
             some = np.zeros(1 << 20, bool)
             some[(keys >> np.uint64(44)).astype(np.int64)] = True
             hit = np.flatnonzero(some[(h >> np.uint64(44)).astype(np.int64)])
@@ -91,11 +91,11 @@ def _lower_words(s: Slice) -> Words:
     return Words(low)
 
 
-def _hashes(grams: set[bytes]) -> np.ndarray:
+def _hashes(grams: set[bytes], width: int) -> np.ndarray:
     texts = pa.array([g.decode() for g in grams])
     s = Slice(texts, pa.RecordBatch.from_arrays([texts], ["text"]))
     w = Words(s)
-    return w.rolling.ranges(w.first[:-1], w.first[1:])
+    return w.runs.of(width)[w.first[:-1]]
 
 
 def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:

@@ -1,7 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models, one for each language.
 
 A text's language is that of the model with the lowest cross-entropy per character. Its score is the model's posterior among the
-languages, times a rejection factor calibrated on the training texts: how likely a text of that language has so high a cross-entropy.
+languages, times a rejection factor: how likely a text of that language has so high a cross-entropy. The factor is calibrated on
+a part of the training texts that the models do not count.
 """
 
 from __future__ import annotations
@@ -14,46 +15,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
-from .charlm import SortedHashModel, codes, collect_counts, count_grams, text_log_probs
+from .charlm import blocks, codes, count_grams, estimate, text_log_probs
 from .textkit import slices
 
 UNKNOWN = "und"
 
 
-def predict_languages(docs: DataFrame, train: Column, *, lang: str = "lang", max_chars: int = 60, max_languages: int = 256) -> DataFrame:
-    """(doc_id, lang_pred, score, cross_entropy) for every whole text.
+def predict_languages(docs: DataFrame, train: Column, *, lang: str = "lang", max_chars: int = 60, max_languages: int = 256, calibrate: int = 10) -> DataFrame:
+    """(doc_id, lang_pred, score, cross_entropy, rejected) for every whole text; doc_id of any type.
 
     docs: doc_id, text and a language column, read only where `train` is true; other columns are ignored. Null texts and those
-    without a letter get 'und' and score 0, as does everything where no language is learned. Repeated rows each give a row; an
-    empty table gives an empty result. max_chars bounds the evidence that the posterior counts, never what is read.
-    max_languages bounds the models: more raise an error.
+    without a letter get 'und' and score 0, as does everything where no language is learned. Of the training texts one in
+    `calibrate`, by a hash of the text, is left out of the models and gives each language the usual cross-entropy, its deviation and
+    the limit above which a prediction is `rejected`: the 0.999 quantile of these texts, at least 4 deviations. A language without
+    such texts rejects nothing. Repeated rows each give a row; an empty table gives an empty result. max_chars bounds the evidence
+    that the posterior counts, never what is read. max_languages bounds the models: more raise an error.
     """
     spark = docs.sparkSession
-    counts = collect_counts(count_grams(docs.select(F.when(train, F.col(lang)).alias("grp"), "text")))
-    names = sorted(g for g, c in counts.items() if c.any())
+    learned = F.when(train, F.col(lang).cast("string"))
+    aside = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(calibrate)) == 0, F.lit(False))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.when(aside, learned).alias("learned"), "text")
+    counts, cells = count_grams(docs.select(F.when(~aside, learned).alias("grp"), "text"))
+    model = estimate(durable(counts), modified=False)
+    names = sorted(r.grp for r in model.select("grp").distinct().limit(max_languages + 1).collect())
     if len(names) > max_languages:
-        raise ValueError(f"{len(names)} languages; max_languages is {max_languages}")
-    shared = spark.sparkContext.broadcast([SortedHashModel(counts[g], modified=False) for g in names])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
-            code, begins, letter = codes(s)
-            n = np.diff(begins)
-            known = np.diff(np.concatenate([[0], np.cumsum(letter)])[begins]) > 0
-            entropy = -text_log_probs(shared.value, code, begins) / np.maximum(n, 1)
-            if names:
-                best = entropy.argmin(axis=0)
-                lowest = entropy[best, np.arange(len(s))]
-                odds = np.exp((lowest - entropy) * np.minimum(n, max_chars)).sum(axis=0)
-            else:
-                best, lowest, odds, known = np.zeros(len(s), int), np.zeros(len(s)), np.ones(len(s)), np.zeros(len(s), bool)
-            pred = np.where(known, np.array([*names, UNKNOWN])[np.where(known, best, len(names))], UNKNOWN)
-            yield pa.RecordBatch.from_arrays([s.rows.column(0), s.rows.column(1), pa.array(pred.astype(object), pa.string()), pa.array(np.where(known, 1 / odds, 0.0)), pa.array(np.where(known, lowest, 0.0)), pa.array(n)], ["doc_id", "learned", "lang_pred", "posterior", "cross_entropy", "n_chars"])
-
-    scored = docs.select("doc_id", F.when(train, F.col(lang)).alias("learned"), "text").mapInArrow(score, "doc_id long, learned string, lang_pred string, posterior double, cross_entropy double, n_chars long")
-    scored = durable(scored)
-    usual = scored.filter("lang_pred = learned and n_chars >= 20").groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"), F.greatest(F.stddev_pop("cross_entropy"), F.lit(0.02)).alias("sd"))
-    z = (F.col("cross_entropy") - F.col("mean")) / (F.col("sd") * F.sqrt(1 + 200 / F.greatest(F.col("n_chars"), F.lit(1))))
-    fits = F.coalesce(1 / (1 + F.exp(F.least(z - 4, F.lit(50.0)))), F.lit(1.0))
+        raise ValueError(f"more than {max_languages} languages; max_languages is {max_languages}")
+
+    def scorer(shared):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s in slices(batches):
+                code, begins, letter = codes(s)
+                known = np.diff(np.concatenate([[0], np.cumsum(letter)])[begins]) > 0
+                logs = text_log_probs(shared.value, names, code, begins) if shared.value else np.zeros((len(s), 0))
+                logs = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * len(names)), pa.array(logs.ravel()))
+                yield pa.RecordBatch.from_arrays([*s.rows.columns[:3], pa.array(np.diff(begins)), pa.array(known), logs], ["key", "doc_id", "learned", "n", "known", "logs"])
+
+        return score
+
+    schema = f"key long, doc_id {dict(docs.dtypes)['doc_id']}, learned string, n long, known boolean, logs array<double>"
+    found = blocks(model, cells)
+    shared = spark.sparkContext.broadcast(next(found, None))
+    scored, parts = durable(rows.mapInArrow(scorer(shared), schema)), None
+    for block in found:
+        shared.unpersist()
+        shared = spark.sparkContext.broadcast(block)
+        part = durable(rows.dropDuplicates(["key"]).mapInArrow(scorer(shared), schema).select("key", F.posexplode("logs")))
+        parts = part if parts is None else parts.union(part)
+    if parts is not None:
+        more = parts.groupBy("key", "pos").agg(F.sum("col").alias("x")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("more"))
+        scored = durable(scored.join(more, "key").withColumn("logs", F.expr("zip_with(logs, more, (a, b) -> a + b.x)")).drop("more"))
+    best, chars = F.array_max("logs"), F.greatest("n", F.lit(1))
+    place = F.array_position("logs", best).cast("int")
+    odds = F.aggregate(F.transform("logs", lambda x: F.exp((x - best) / chars * F.least(chars, F.lit(max_chars)))), F.lit(0.0), lambda a, x: a + x)
+    sure = F.col("known") & (F.size("logs") > 0)
+    told = scored.select(
+        "doc_id", "learned", chars.alias("n"),
+        F.when(sure, F.get(F.array(*map(F.lit, names)).cast("array<string>"), place - 1)).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(sure, 1 / odds).otherwise(0.0).alias("posterior"),
+        F.when(sure, -best / chars).otherwise(0.0).alias("cross_entropy"),
+    )
     # One row a language, at most max_languages of them.
-    return scored.join(F.broadcast(usual), "lang_pred", "left").select("doc_id", "lang_pred", (F.col("posterior") * fits).alias("score"), "cross_entropy")
+    right = told.filter("lang_pred = learned and n >= 20")
+    usual = F.broadcast(right.groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"), F.greatest(F.stddev_pop("cross_entropy"), F.lit(0.02)).alias("sd")))
+    z = (F.col("cross_entropy") - F.col("mean")) / (F.col("sd") * F.sqrt(1 + 200 / F.col("n")))
+    limits = F.broadcast(right.join(usual, "lang_pred").groupBy("lang_pred").agg(F.greatest(F.percentile_approx(z, 0.999, 10_000), F.lit(4.0)).alias("limit")))
+    placed = told.join(usual, "lang_pred", "left").join(limits, "lang_pred", "left").withColumn("z", z)
+    above = F.col("z") - F.col("limit")
+    fits = F.when(above.isNull(), 1.0).otherwise(1 / (1 + F.exp(F.least(above, F.lit(50.0)))))
+    return placed.select("doc_id", "lang_pred", (F.col("posterior") * fits).alias("score"), "cross_entropy", F.coalesce(F.col("z") > F.col("limit"), F.lit(False)).alias("rejected"))

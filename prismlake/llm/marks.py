@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import partitions_for
+from ..plans.durable import durable
 from .textkit import Slice, fill, mix, slices
 
 CANDIDATES, KNOWN, RUNS = 0, 1, 2
@@ -103,9 +103,13 @@ class Router:
         for part in np.split(order, cuts) if len(order) else ():
             yield int(self.label[to[part[0]]]), kind, packed(part)
 
-    def candidates(self, key: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> list[tuple]:
-        """Rows for a slice's entries, sorted by document and position."""
+    def candidates(self, key: np.ndarray, pos: np.ndarray, hashes: np.ndarray, copied: np.ndarray | None = None) -> list[tuple]:
+        """Rows for a slice's entries, sorted by document and position; those of `copied` rows repeat anyway."""
         many, lead = repeats(hashes)
+        if copied is not None and copied.any():
+            order = np.argsort(hashes, kind="stable")
+            first = np.flatnonzero(lead[order])
+            many[order] |= np.repeat(np.logical_or.reduceat(copied[order], first), np.diff(first, append=len(order)))
         out = self.known(key[many], pos[many])
         k, p, h, m = key[lead], pos[lead], hashes[lead], many[lead]
         return out + list(self._rows(self.place(h), CANDIDATES, lambda i: pack(k[i], p[i], h[i], m[i])))
@@ -193,13 +197,37 @@ def find(rows: DataFrame, router: Router, emit: Callable[[np.ndarray, np.ndarray
     return rows.repartition(router.n, "bucket").mapInArrow(run, SCHEMA)
 
 
-def keyed(docs: DataFrame, router: Router, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(bucket, k, doc_id, text, c0, c1, ..) by bucket: k names a row by its id and text, the same for rows that repeat; c0.. are `carry`."""
+def distinct_rows(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(k, doc_id, text, copies, c0, c1, ..), every different row once with how often it occurs, and the bytes of all texts.
+
+    k names a row by its id, text and the `carry` columns, which become c0.. . Copies of a row meet as counts, each task's first;
+    where no row repeats, which is counted before, nothing is shuffled but one number a row.
+    """
+    columns = [F.xxhash64("doc_id", "text", *carry).alias("k"), "doc_id", "text"]
+    rows = docs.select(*columns, *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    sizes = durable(rows.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.first(F.octet_length("text")).alias("n")))
+    again = sizes.filter("copies > 1").select("k", "copies")
+    total = sizes.agg(F.coalesce(F.sum(F.col("n") * 1.0), F.lit(0.0)), F.coalesce(F.max("copies"), F.lit(1))).first()
+    rest = [F.col(f"c{i}") for i in range(len(carry))]
+    if total[1] == 1:
+        return rows.select("k", "doc_id", "text", F.lit(1).cast("long").alias("copies"), *rest), int(total[0])
+    once = rows.join(again, "k", "left_anti").select("k", "doc_id", "text", F.lit(1).cast("long").alias("copies"), *rest)
+    met = rows.join(again.select("k"), "k", "left_semi").groupBy("k").agg(F.first(F.struct("doc_id", "text", *rest)).alias("r"), F.count(F.lit(1)).alias("copies"))
+    return once.union(met.select("k", "r.doc_id", "r.text", "copies", *[F.col(f"r.c{i}") for i in range(len(carry))])), int(total[0])
+
+
+def repeated_out(df: DataFrame, block: int = 1 << 12) -> DataFrame:
+    """df without its column `copies`, each row so often."""
+    blocks = df.withColumn("_at", F.expr(f"explode(sequence(0L, (copies - 1) div {block}))"))
+    return blocks.withColumn("_at", F.expr(f"explode(sequence(1L, least(copies - _at * {block}, {block}L)))")).drop("_at", "copies")
+
+
+def dealt(rows: DataFrame, router: Router) -> DataFrame:
+    """rows of distinct_rows by bucket, with the bucket in front."""
     label = F.array(*[F.lit(int(x)) for x in router.label]) if router.n <= 4096 else None
-    k = F.xxhash64("doc_id", "text")
-    spot = F.pmod(k, F.lit(router.n))
+    spot = F.pmod("k", F.lit(router.n))
     bucket = F.element_at(label, (spot + 1).cast("int")) if label is not None else spot
-    return docs.select(bucket.cast("int").alias("bucket"), k.alias("k"), "doc_id", "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    return rows.select(bucket.cast("int").alias("bucket"), "*").repartition(router.n, "bucket")
 
 
 class Told:
@@ -209,7 +237,10 @@ class Told:
         parts = [unpack(x.as_py())[:2] for x in table.column("payload")]
         key, pos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 2
         order = np.lexsort((pos, key))
-        self.key, self.pos = key[order], pos[order]
+        key, pos = key[order], pos[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
+        self.key, self.pos = key[new], pos[new]
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of keys, position) for all rows."""
@@ -217,14 +248,14 @@ class Told:
         return np.repeat(np.arange(len(keys)), hi - lo), self.pos[fill(lo, hi - lo)]
 
 
-def scan(docs: DataFrame, entries: Callable[[Slice, np.ndarray], list[tuple]], size: int = SLICE) -> DataFrame:
-    """Rows that `entries` makes of each slice and its documents' keys; nothing is shuffled."""
+def scan(rows: DataFrame, entries: Callable[[Slice, np.ndarray, np.ndarray], list[tuple]], size: int = SLICE) -> DataFrame:
+    """Rows that `entries` makes of each slice, its documents' keys and whether they have copies; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, size=size):
-            yield batch(entries(s, s.column("k")))
+            yield batch(entries(s, s.column("k"), s.column("copies") > 1))
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(run, SCHEMA)
+    return rows.select("k", "text", "copies").mapInArrow(run, SCHEMA)
 
 
 def with_told(dealt: DataFrame, known: DataFrame, work: Callable[[Slice, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, size: int = SLICE) -> DataFrame:
@@ -242,5 +273,6 @@ def with_told(dealt: DataFrame, known: DataFrame, work: Callable[[Slice, np.ndar
     return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, schema)
 
 
-def router_for(docs: DataFrame) -> Router:
-    return Router(docs.sparkSession, partitions_for(docs))
+def router_for(spark: SparkSession, text_bytes: int, per_bucket: int = 24 << 20) -> Router:
+    """Buckets of about per_bucket bytes of text, and no fewer than the session's shuffle partitions."""
+    return Router(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // per_bucket)))

@@ -1,10 +1,10 @@
 """Quality rules: base text statistics, and perplexity bands of language-specific modified Kneser-Ney models.
 
-The model of a language is counted over all its documents. Each segment of a document is scored by the best of its language's model
-and those of the most frequent languages, so that a quotation in another language is not held against it. A document passes if its
-base rules do and its log perplexity lies in its language's bands, per character and per word (run of letters): the median plus and
-minus a number of robust deviations, wider for short texts, whose perplexity varies more. Signs after each word and table bars cost
-little a character, as each foretells the next, but they are no words, so their texts cost more a word than prose does.
+A language's documents are dealt into two halves by a hash of the text, and a document is scored by the model of its own language's
+other half alone, so neither it nor its exact copies make it look usual. It passes if its base rules do and its log perplexity lies in
+its language's bands, per character and per word (run of letters): the median plus and minus a number of robust deviations, wider for
+short texts, whose perplexity varies more. Signs after each word and table bars cost little a character, as each foretells the next,
+but they are no words, so their texts cost more a word than prose does.
 """
 
 from __future__ import annotations
@@ -17,16 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
-from .charlm import SortedHashModel, codes, collect_counts, count_grams, segments, text_log_probs
+from .charlm import Block, blocks, codes, count_grams, estimate, own_log_probs
 from .substring import Words
-from .textkit import CODES, Rolling, Slice, per_text, slices
+from .textkit import Slice, per_text, range_hashes, slices
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Languages of null, and of those beyond the most frequent ones, share these models.
-NO_LANGUAGE, REST = "und", "other"
-#: Characters of a segment, and the number of frequent languages whose models may score a segment of any text.
-SEGMENT, COMMON = 64, 6
+#: The group of documents without a language; no language value can be it.
+NO_LANGUAGE = "\0"
 
 
 def _within(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +60,9 @@ def text_stats(s: Slice, window: int = 8) -> dict[str, np.ndarray]:
     full = np.diff(words_before) > 0
     start, end = start[full], end[full]
     line_of = np.searchsorted(s.off, start, "right") - 1
-    earlier, _ = _within(Rolling(CODES[data]).ranges(start, end), line_of) if len(start) else (np.zeros(0, bool),) * 2
+    earlier, _ = _within(range_hashes(data, start, end), line_of) if len(start) else (np.zeros(0, bool),) * 2
     at = np.flatnonzero(w.left >= window)
-    _, again = _within(w.rolling.ranges(at, at + window), w.doc[at]) if len(at) else (None, np.zeros(0, bool))
+    _, again = _within(w.runs.of(window)[at], w.doc[at]) if len(at) else (None, np.zeros(0, bool))
     spread = np.zeros(w.n + 1, np.int64)
     np.add.at(spread, at[again], 1)
     np.add.at(spread, at[again] + window, -1)
@@ -77,108 +75,115 @@ def text_stats(s: Slice, window: int = 8) -> dict[str, np.ndarray]:
     }
 
 
-class Judge:
-    """The models and bands of a corpus, and the verdicts they give."""
-
-    def __init__(self, docs: DataFrame, lang: str, low: float, high: float, short: float, max_models: int):
-        self.low, self.high, self.short = low, high, short
-        own = F.coalesce(lang, F.lit(NO_LANGUAGE))
-        frequent = [r[0] for r in docs.groupBy(own.alias("g")).count().orderBy(F.desc("count"), "g").limit(max_models).collect()]
-        self.group = F.when(own.isin(frequent[:-1]), own).otherwise(REST) if len(frequent) == max_models else own
-        counts = collect_counts(count_grams(docs.select(self.group.alias("grp"), "text")))
-        self.models = docs.sparkSession.sparkContext.broadcast({g: SortedHashModel(c, modified=True) for g, c in counts.items()})
-        models, common = self.models, [g for g in frequent[:COMMON] if g in counts]
-        self.common = common
-        types = "doc_id long, grp string, " + "".join(f"{c} long, " for c in STATS) + "n_chars long, n_runs long, log_perplexity double"
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for s in slices(batches):
-                stats, *rest = _score(s, s.rows.column(1).to_pylist(), models.value, common)
-                arrays = [s.rows.column(0), s.rows.column(1), *(pa.array(stats[c]) for c in STATS), *map(pa.array, rest)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "grp", *STATS, "n_chars", "n_runs", "log_perplexity"])
-
-        self.scored = durable(docs.select("doc_id", self.group.alias("grp"), "text").mapInArrow(score, types))
-        per_word = F.col("log_perplexity") * F.col("n_chars") / F.greatest("n_runs", F.lit(1))
-        q = [F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000) for x in (F.col("log_perplexity"), per_word)]
-        rows = self.scored.filter(~base_failed()).groupBy("grp").agg(F.array(*q).alias("q")).collect()  # one a model, at most max_models
-        #: group -> (median, robust deviation) of log perplexity a character, and the same a word; alike for few and many documents.
-        self.bands = {r.grp: [(q[1], max((q[2] - q[0]) / 1.349, 0.01)) for q in r.q] for r in rows}
-
-    def verdicts(self, group: list[str], stats: dict[str, np.ndarray], n: np.ndarray, runs: np.ndarray, logs: np.ndarray) -> np.ndarray:
-        """Whether each document is kept."""
-        kept = (stats["n_words"] >= 20) & (100 * stats["n_repeat_words"] <= 30 * stats["n_words"])
-        for k, value in enumerate((logs, logs * n / np.maximum(runs, 1))):
-            bands = [self.bands[g][k] if g in self.bands else (0.0, np.inf) for g in group]
-            middle, deviation = np.array(bands, float).reshape(-1, 2).T
-            z = (value - middle) / (deviation * np.sqrt(1 + self.short / np.maximum(n, 1)))
-            kept &= (z >= -self.low) & (z <= self.high)
-        return kept
-
-
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def _score(s: Slice, groups: list[str], models: dict[str, SortedHashModel], common: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Base statistics, characters, runs of letters and log perplexity per character of a slice's texts."""
-    stats, (code, begins, letter) = {k: v.astype(np.int64) for k, v in text_stats(s).items()}, codes(s)
+def _runs(begins: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """The runs of letters of each text."""
     opens = letter.copy()
     opens[1:] &= ~letter[:-1]
     at = begins[begins < len(letter)]
     opens[at] = letter[at]
-    at, first = segments(begins, SEGMENT)
-    best = np.full(len(at) - 1, np.inf)
-    for g in common:
-        best = np.minimum(best, -text_log_probs([models[g]], code, at)[0])
-    n, of = np.diff(begins), np.array(groups)
-    for g in sorted(set(groups) & set(models) - set(common)):
-        mine = np.repeat(of == g, np.diff(first))
-        size = np.diff(at)
-        own = -text_log_probs([models[g]], code[np.repeat(mine, size)], np.concatenate([[0], np.cumsum(size[mine])]))[0]
-        models[g].found = None  # only the common ones keep their tables
-        best[mine] = np.minimum(best[mine], own)
-    sums = np.concatenate([[0], np.cumsum(np.where(np.isfinite(best), best, 0.0))])[first]
-    return stats, n, per_text(opens, begins), (sums[1:] - sums[:-1]) / np.maximum(n, 1)
-
-
-def judge(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float = 5.0, short: float = 300.0, max_models: int = 64) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity, deviation) of every document.
+    return per_text(opens, begins)
 
-    docs: doc_id, text and a language column; other columns are ignored. Null and empty texts have no words and fail the base
-    rules; a null language is one of its own. low and high are the bands in robust deviations of log perplexity per character and per word;
-    `short` is the length at which a text's own variance equals that of its language. The max_models - 1 most frequent languages
-    have a model each, all others share one. Repeated rows each give a row; an empty table gives an empty result.
-    """
-    j = Judge(docs, lang, low, high, short, max_models)
-    types = "doc_id long, " + "".join(f"{c} long, " for c in STATS) + "base_failed boolean, kept boolean, log_perplexity double"
 
-    def run(batches: Iterator[pa.RecordBatch], verdicts=_verdicts(j)) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = {f: b.column(k) for k, f in enumerate(b.schema.names)}
-            stats = {c: col[c].to_numpy(zero_copy_only=False) for c in STATS}
-            kept = verdicts(col["grp"].to_pylist(), stats, *(col[c].to_numpy(zero_copy_only=False) for c in ("n_chars", "n_runs", "log_perplexity")))
-            failed = (stats["n_words"] < 20) | (100 * stats["n_repeat_words"] > 30 * stats["n_words"])
-            yield pa.RecordBatch.from_arrays([col["doc_id"], *(col[c] for c in STATS), pa.array(failed), pa.array(kept), col["log_perplexity"]], ["doc_id", *STATS, "base_failed", "kept", "log_perplexity"])
+def _key(lang: str) -> Column:
+    return F.xxhash64("doc_id", "text", lang)
+
 
-    return j.scored.mapInArrow(run, types)
+def half() -> Column:
+    """The half of its language that a text is counted in."""
+    return F.pmod(F.xxhash64("text"), F.lit(2))
 
 
-def keep(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float = 5.0, short: float = 300.0, max_models: int = 64) -> DataFrame:
-    """The documents that judge() keeps, all columns. Texts are scored a second time where they lie, so none is shuffled."""
-    j = Judge(docs, lang, low, high, short, max_models)
-    models, common = j.models, j.common
+def _model(group: Column, of: Column) -> Column:
+    return F.concat(group, F.lit("\1"), of.cast("string"))
 
-    def run(batches: Iterator[pa.RecordBatch], verdicts=_verdicts(j)) -> Iterator[pa.RecordBatch]:
+
+def score(docs: DataFrame, lang: str, carry: tuple[str, ...]) -> DataFrame:
+    """(c0, .., grp, statistics, n_chars, n_runs, log_prob) of every document; c0.. are the `carry` columns.
+
+    log_prob is the text's under the model of its language's other half; 0 where that half has no text. A model that is larger than a block is scored in one pass a block, and the
+    passes' sums meet by a hash of the row.
+    """
+    spark, group = docs.sparkSession, F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE))
+    texts = docs.select(_key(lang).alias("key"), _model(group, 1 - half()).alias("model"), "text")
+    counts, cells = count_grams(docs.select(_model(group, half()).alias("grp"), "text"))
+    found = blocks(estimate(durable(counts), modified=True), cells)
+    types = dict(docs.dtypes)
+    names = ["key", "grp", *[f"c{k}" for k in range(len(carry))], *STATS, "n_chars", "n_runs", "log_prob"]
+    schema = "key long, grp string, " + "".join(f"c{k} {types[c]}, " for k, c in enumerate(carry)) + "".join(f"{c} long, " for c in STATS) + "n_chars long, n_runs long, log_prob double"
+    shared = spark.sparkContext.broadcast(next(found, None))
+    width = len(carry)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
-            groups = s.rows.column(s.rows.num_columns - 1).to_pylist()
-            kept = verdicts(groups, *_score(s, groups, models.value, common))
-            yield pa.RecordBatch.from_arrays(s.rows.columns[:-1], s.rows.schema.names[:-1]).filter(pa.array(kept))
+            stats, (code, begins, letter) = text_stats(s), codes(s)
+            logs = own_log_probs(shared.value, s.rows.column(3).to_pylist(), code, begins) if shared.value else np.zeros(len(s))
+            arrays = [pa.array(x.astype(np.int64)) for x in (*(stats[c] for c in STATS), np.diff(begins), _runs(begins, letter))]
+            yield pa.RecordBatch.from_arrays([*s.rows.columns[:2], *s.rows.columns[4 : 4 + width], *arrays, pa.array(logs)], names)
+
+    out = durable(docs.select(_key(lang).alias("key"), group.alias("grp"), "text", _model(group, 1 - half()).alias("model"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).mapInArrow(first, schema))
+    more = []
+    for block in found:
+        shared.unpersist()
+        shared = spark.sparkContext.broadcast(block)
+        more.append(durable(texts.filter(F.col("model").isin(sorted(block.cover))).dropDuplicates(["key"]).mapInArrow(_another(shared), "key long, more double")))
+    if more:
+        parts = more[0]
+        for part in more[1:]:
+            parts = parts.union(part)
+        parts = parts.groupBy("key").agg(F.sum("more").alias("more"))
+        out = out.join(parts, "key", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return out.select(*names[1:])
+
+
+def _another(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            block: Block = shared.value
+            code, begins, _ = codes(s)
+            yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.array(own_log_probs(block, s.rows.column(1).to_pylist(), code, begins))], ["key", "more"])
+
+    return run
 
-    return docs.select("*", j.group.alias("_grp")).mapInArrow(run, docs.schema)
+
+def bands(scored: DataFrame) -> DataFrame:
+    """(grp, m0, d0, m1, d1): median and robust deviation of log perplexity a character, and a word, of each language's documents
+    that pass the base rules; alike for few and many documents."""
+    q = [F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000) for x in _values()]
+    found = scored.filter(~base_failed()).groupBy("grp").agg(q[0].alias("q0"), q[1].alias("q1"))
+    spread = [[F.col(f"q{k}")[1].alias(f"m{k}"), F.greatest((F.col(f"q{k}")[2] - F.col(f"q{k}")[0]) / 1.349, F.lit(0.01)).alias(f"d{k}")] for k in (0, 1)]
+    return found.select("grp", *spread[0], *spread[1])
+
+
+def _values() -> tuple[Column, Column]:
+    return -F.col("log_prob") / F.greatest("n_chars", F.lit(1)), -F.col("log_prob") / F.greatest("n_runs", F.lit(1))
+
+
+def _judged(docs: DataFrame, lang: str, low: float, high: float, short: float, carry: tuple[str, ...]) -> DataFrame:
+    scored = score(docs, lang, carry)
+    kept = ~base_failed()
+    for k, value in enumerate(_values()):
+        z = (value - F.col(f"m{k}")) / (F.col(f"d{k}") * F.sqrt(1 + short / F.greatest("n_chars", F.lit(1))))
+        kept &= F.coalesce(z.between(-low, high), F.lit(True))
+    return scored.join(bands(scored), "grp", "left").withColumns({"base_failed": base_failed(), "kept": kept, "log_perplexity": _values()[0]})
+
+
+def judge(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float = 5.0, short: float = 300.0) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity) of every document.
+
+    docs: doc_id, text and a language column; other columns are ignored. Null and empty texts have no words and fail the base
+    rules; documents without a language have models and bands of their own, as every language value has, however rare. low and
+    high are the bands in robust deviations of log perplexity per character and per word; `short` is the length at which a text's own
+    variance equals that of its language. Repeated rows each give a row; an empty table gives an empty result.
+    """
+    found = _judged(docs, lang, low, high, short, ("doc_id",))
+    return found.select(F.col("c0").alias("doc_id"), *STATS, "base_failed", "kept", "log_perplexity")
 
 
-def _verdicts(j: Judge):
-    """j.verdicts without j's DataFrames, which workers cannot have."""
-    small = Judge.__new__(Judge)
-    small.low, small.high, small.short, small.bands = j.low, j.high, j.short, j.bands
-    return small.verdicts
+def keep(docs: DataFrame, *, lang: str = "lang", low: float = 5.0, high: float = 5.0, short: float = 300.0) -> DataFrame:
+    """The documents that judge() keeps, all columns. Texts are scored once and travel with their scores."""
+    found = _judged(docs, lang, low, high, short, tuple(docs.columns)).filter("kept")
+    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

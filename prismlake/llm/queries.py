@@ -71,7 +71,7 @@ def op6_substring_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_langid_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.predict_languages(table(spark, sf_dir, "documents"), ~held_out())
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @query

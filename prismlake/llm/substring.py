@@ -14,9 +14,10 @@ from itertools import combinations, compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import marks
-from .textkit import BASE2, CODES, Rolling, Slice, owner
+from .textkit import Slice, Windows, owner, range_hashes
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -35,8 +36,7 @@ class Words:
 
     def __init__(self, s: Slice):
         self.start, self.end, self.first = s.words()
-        codes = Rolling(CODES[s.data]).ranges(self.start, self.end) if len(self.start) else np.empty(0, np.uint64)
-        self.rolling = Rolling(codes, BASE2)
+        self.runs = Windows(range_hashes(s.data, self.start, self.end))
         self.n = len(self.start)
         self.doc = owner(self.first, self.n)
         self.place = np.arange(self.n) - self.first[self.doc]
@@ -46,23 +46,25 @@ class Words:
 def remove_repeated(docs: DataFrame, *, window: int = 35, period: int = 21, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, text], carried columns): words covered by a window that also starts anywhere else.
 
-    docs: doc_id, text; other columns are ignored unless named in `carry`. Words are runs of other characters than ASCII spaces,
-    unchanged. Null and empty texts have no words. A row repeated with the same id and text counts as a document of its own, so
-    its windows repeat; rows of one id with different texts are different documents. An empty table gives an empty result.
-    with_text adds the kept words joined by spaces (null for a null text).
+    docs: doc_id, text; other columns are ignored unless named in `carry` (any types that can be hashed, so no maps). Words are runs
+    of other characters than ASCII spaces, unchanged. Null and empty texts have no words. A row repeated with the same id and text
+    counts as a document of its own, so its windows repeat; it travels once, with a count. Rows of one id with different texts are
+    different documents. An empty table gives an empty result. with_text adds the text without those words and the white space
+    behind them; all other white space stays (null for a null text). n_removed of a whole text leaves an empty one.
     """
     if not 1 < period <= window:
         raise ValueError("the period must be in 2..window")
     cover = np.zeros(period, bool)
     cover[list(difference_cover(period))] = True
     width = window - period + 1
-    router = marks.router_for(docs)
+    rows, text_bytes = marks.distinct_rows(docs, carry)
+    router = marks.router_for(docs.sparkSession, text_bytes)
 
-    def anchors(s: Slice, keys: np.ndarray) -> list[tuple]:
+    def anchors(s: Slice, keys: np.ndarray, copied: np.ndarray) -> list[tuple]:
         w = Words(s)
         whole = np.diff(w.first)[w.doc] >= window
         at = np.flatnonzero(cover[w.place % period] & (w.left >= width) & whole)
-        return router.candidates(keys[w.doc[at]], w.place[at], w.rolling.ranges(at, at + width))
+        return router.candidates(keys[w.doc[at]], w.place[at], w.runs.of(width)[at], copied[w.doc[at]])
 
     def windows(s: Slice, rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
         w = Words(s)
@@ -71,7 +73,7 @@ def remove_repeated(docs: DataFrame, *, window: int = 35, period: int = 21, with
         np.add.at(edges, np.maximum(anchor - period + 1, w.first[rows]), 1)
         np.add.at(edges, anchor + 1, -1)
         at = np.flatnonzero((np.cumsum(edges[:-1]) > 0) & (w.left >= window))
-        return marks.batch(router.candidates(s.column("k")[w.doc[at]], w.place[at], w.rolling.ranges(at, at + window)))
+        return marks.batch(router.candidates(s.column("k")[w.doc[at]], w.place[at], w.runs.of(window)[at], s.column("copies")[w.doc[at]] > 1))
 
     def cut(s: Slice, rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
         start, _, first = s.words()
@@ -80,22 +82,39 @@ def remove_repeated(docs: DataFrame, *, window: int = 35, period: int = 21, with
         np.add.at(edges, at, 1)
         np.add.at(edges, at + window, -1)
         gone = np.cumsum(edges[:-1]) > 0
-        raw, off, bounds, texts = s.data.tobytes(), s.off.tolist(), first.tolist(), []
+        raw, off, bounds, digests = s.data.tobytes(), s.off.tolist(), first.tolist(), []
         n_removed = np.concatenate([[0], np.cumsum(gone)])[first]
         n_removed = n_removed[1:] - n_removed[:-1]
         for k in range(len(s)):
             words = raw[off[k] : off[k + 1]].split()
-            texts.append(b" ".join(compress(words, ~gone[bounds[k] : bounds[k + 1]]) if n_removed[k] else words))
-        arrays = [s.rows.column(2), pa.array(np.diff(first)), pa.array(n_removed), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            digests.append(hashlib.sha256(b" ".join(compress(words, ~gone[bounds[k] : bounds[k + 1]]) if n_removed[k] else words)).hexdigest())
+        arrays = [s.rows.column(2), s.rows.column(4), pa.array(np.diff(first)), pa.array(n_removed), pa.array(digests)]
         if with_text:
-            arrays.append(pa.array([t.decode() for t in texts], pa.string(), mask=s.rows.column(3).is_null().to_numpy(zero_copy_only=False)))
-            names.append("text")
-        return pa.RecordBatch.from_arrays([*arrays, *s.rows.columns[4:]], [*names, *carry])
+            arrays.append(pa.array(_without(s, start, first, gone), pa.string(), mask=s.rows.column(3).is_null().to_numpy(zero_copy_only=False)))
+        return pa.RecordBatch.from_arrays([*arrays, *s.rows.columns[5:]], names)
 
     types = dict(docs.dtypes)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", `{c}` {types[c]}" for c in carry)
-    dealt = marks.keyed(docs, router, carry).repartition(router.n, "bucket")
-    found = marks.find(marks.scan(docs, anchors), router)
+    names = ["doc_id", "copies", "n_words", "n_removed", "kept_sha256", *["text"] * with_text, *[f"c{i}" for i in range(len(carry))]]
+    schema = "doc_id long, copies long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", c{i} {types[c]}" for i, c in enumerate(carry))
+    dealt = marks.dealt(rows, router)
+    found = marks.find(marks.scan(rows, anchors), router)
     found = marks.find(marks.with_told(dealt, found, windows, marks.SCHEMA), router)
-    return marks.with_told(dealt, found, cut, schema)
+    out = marks.repeated_out(marks.with_told(dealt, found, cut, schema))
+    return out.select(*[c for c in names[:1] + names[2:] if c not in names[len(names) - len(carry) :]], *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+
+
+def _without(s: Slice, start: np.ndarray, first: np.ndarray, gone: np.ndarray) -> list[str]:
+    """The slice's texts without the words that are gone and the white space up to the next word or the text's end."""
+    at = np.flatnonzero(gone)
+    ends = np.minimum(np.append(start[1:], len(s.data))[at], s.off[np.searchsorted(first, at, "right")])
+    stays = _stays(start[at], ends, len(s.data))
+    kept, size = s.data[stays].tobytes(), np.concatenate([[0], np.cumsum(stays)])[s.off].tolist()
+    return [kept[a:b].decode() for a, b in zip(size[:-1], size[1:], strict=True)]
+
+
+def _stays(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """For each of n bytes, whether no range holds it."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, start, 1)
+    np.add.at(edges, end, -1)
+    return np.cumsum(edges[:-1]) == 0

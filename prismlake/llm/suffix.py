@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import marks
-from .textkit import CODES, SLICE, Rolling, Slice, fill, mix, slices
+from .textkit import SLICE, Slice, Windows, fill, mix, range_hashes, slices
 
 GRAM = 32
 _CHUNK = 1 << 23
@@ -51,7 +51,7 @@ class Minimisers:
         self.hash = np.empty(0, np.uint64)
         if n < window:
             return
-        h = Rolling(CODES[s.data]).windows(gram)
+        h = Windows.of_bytes(s.data).of(gram)
         least = least_in_windows(h, window - gram + 1)
         doc = np.repeat(np.arange(len(s)), np.diff(s.off))
         at = np.flatnonzero(np.arange(len(least)) + window <= s.off[doc[: len(least)] + 1])
@@ -218,14 +218,13 @@ class Contexts:
     def take(self, which: np.ndarray) -> Contexts:
         return Contexts(self.key[which], self.lo[which], self.before[which], self.many[which], self.length[which], _gather(self.data, self.start[which], self.length[which]))
 
-    def hashes(self) -> tuple[np.ndarray, Rolling]:
-        """Of each whole context with its place of the minimiser, and the rolling hash of the buffer."""
-        rolling = Rolling(CODES[self.data])
-        return mix(rolling.ranges(self.start, self.start + self.length) + self.before.astype(np.uint64)), rolling
+    def hashes(self) -> np.ndarray:
+        """Of each whole context with its place of the minimiser."""
+        return mix(range_hashes(self.data, self.start, self.start + self.length) + self.before.astype(np.uint64))
 
-    def whole_hashes(self, step: int = 2048) -> np.ndarray:
-        """hashes()[0], some contexts at a time."""
-        return np.concatenate([self.take(np.arange(k, min(k + step, len(self.key)))).hashes()[0] for k in range(0, len(self.key), step)] or [np.empty(0, np.uint64)])
+    def windows(self, width: int, at: np.ndarray) -> np.ndarray:
+        """The hashes of windows of the buffer."""
+        return Windows.of_bytes(self.data).of(width)[at]
 
     def same(self, a: int, b: int) -> bool:
         x, y, n = int(self.start[a]), int(self.start[b]), int(self.length[a])
@@ -276,10 +275,6 @@ def _unpack_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64), np.frombuffer(raw, "<u4", n, 12 * n).astype(np.int64)
 
 
-def _with_rolling(c: Contexts) -> tuple[Contexts, Rolling]:
-    return c, c.hashes()[1]
-
-
 class _Runs:
     """A bucket's runs of repeated window starts, looked up for a slice."""
 
@@ -299,16 +294,17 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRA
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): bytes covered by a window that also starts anywhere else.
 
     docs: doc_id, text; other columns are ignored. Texts are UTF-8 bytes; null and empty ones have none. Matches never cross
-    documents. A row repeated with the same id and text counts as a document of its own; rows of one id with different texts are
-    different documents. An empty table gives an empty result. with_bytes adds the remaining bytes, which need not be UTF-8.
+    documents. A row repeated with the same id and text counts as a document of its own, but travels once, with a count; rows of one
+    id with different texts are different documents. An empty table gives an empty result. with_bytes adds the remaining bytes, which need not be UTF-8.
     A task holds the different contexts of its grams, at most hot_gram of each gram; the windows of a gram that has more are found by
     64-bit hashes, a row each, in one more round.
     """
-    router = marks.router_for(docs)
+    rows, text_bytes = marks.distinct_rows(docs)
+    router = marks.router_for(docs.sparkSession, text_bytes)
 
-    def anchors(s: Slice, keys: np.ndarray) -> list[tuple]:
+    def anchors(s: Slice, keys: np.ndarray, copied: np.ndarray) -> list[tuple]:
         m = Minimisers(s, window, gram)
-        return router.candidates(keys[m.doc], m.pos - s.off[m.doc], m.hash)
+        return router.candidates(keys[m.doc], m.pos - s.off[m.doc], m.hash, copied[m.doc])
 
     def runs(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[tuple]:
         return list(router._rows(np.mod(key, router.n), marks.RUNS, lambda i: _pack_runs(key[i], start[i], n[i])))
@@ -323,21 +319,21 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRA
             return marks.batch([])
         doc, lo, length = m.doc[take], m.lo[take], m.hi[take] + window - m.lo[take]
         c = Contexts(s.column("k")[doc], lo - s.off[doc], m.pos[take] - lo, np.zeros(len(take), bool), length, _gather(s.data, lo, length))
-        lead = c.leaders(c.whole_hashes())
-        c.many = np.bincount(lead, minlength=len(lead))[lead] > 1
+        lead = c.leaders(c.hashes())
+        c.many = np.bincount(lead, np.where(s.column("copies")[doc] > 1, 2, 1), len(lead))[lead] > 1
         out = runs(c.key[c.many], c.lo[c.many], (length - window + 1)[c.many])
         one = np.unique(lead)
         out += router._rows(router.place(m.hash[take][one]), marks.CANDIDATES, lambda i: c.take(one[i]).pack())
         return marks.batch(out)
 
-    def windows(c: Contexts, rolling: Rolling) -> list[tuple]:
+    def windows(c: Contexts) -> list[tuple]:
         """Rows of all windows of the contexts by their hash."""
         if not len(c.key):
             return []
         n = c.length - window + 1
         at = fill(c.start, n)
         order = np.lexsort((fill(c.lo, n), np.repeat(c.key, n)))
-        return router.candidates(np.repeat(c.key, n)[order], fill(c.lo, n)[order], rolling.ranges(at, at + window)[order])
+        return router.candidates(np.repeat(c.key, n)[order], fill(c.lo, n)[order], c.windows(window, at)[order])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Contexts] = []
@@ -350,14 +346,12 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRA
                     yield marks.batch([(bucket, kind, raw.as_py())])
                     continue
                 c = Contexts.unpack(raw.as_py())
-                whole, rolling = c.hashes()
-                at = c.start + c.before
-                g = rolling.ranges(at, at + gram)
+                whole, g = c.hashes(), c.windows(gram, c.start + c.before)
                 for x, k in zip(*np.unique(g, return_counts=True), strict=True):
                     met[int(x)] = met.get(int(x), 0) + int(k)
                 hot = np.array([met[x] > hot_gram for x in g.tolist()], bool)
                 if hot.any():
-                    yield marks.batch(windows(*_with_rolling(c.take(np.flatnonzero(hot)))))
+                    yield marks.batch(windows(c.take(np.flatnonzero(hot))))
                     c, whole, g = c.take(np.flatnonzero(~hot)), whole[~hot], g[~hot]
                 held.append(c)
                 hashes.append(whole)
@@ -369,7 +363,7 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRA
         if turned := [x for x, k in met.items() if k > hot_gram]:
             late = np.isin(g, np.array(turned, np.uint64))
             for part in np.array_split(np.flatnonzero(late), 1 + late.sum() // 4096):
-                yield marks.batch(windows(*_with_rolling(c.take(part))))
+                yield marks.batch(windows(c.take(part)))
             c, h = c.take(np.flatnonzero(~late)), h[~late]
         if not len(c.key):
             return
@@ -408,15 +402,15 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRA
             count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[s.off])
             kept, size = s.data[~gone].tobytes(), np.concatenate([[0], np.cumsum(~gone)])[s.off].tolist()
             texts = [kept[a:b] for a, b in zip(size[:-1], size[1:], strict=True)]
-            arrays = [s.rows.column(2), pa.array(np.diff(s.off)), pa.array(count(gone)), pa.array(count(begins)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+            arrays = [s.rows.column(2), s.rows.column(4), pa.array(np.diff(s.off)), pa.array(count(gone)), pa.array(count(begins)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
             out.append(pa.RecordBatch.from_arrays(arrays + ([pa.array(texts, pa.binary())] if with_bytes else []), names))
         return pa.Table.from_batches(out, arrow_schema)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes
-    arrow_schema = pa.schema(zip(names, [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=False))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    dealt = marks.keyed(docs, router).repartition(router.n, "bucket")
-    found = marks.find(marks.scan(docs, anchors, SLICE), router)
+    names = ["doc_id", "copies", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes
+    arrow_schema = pa.schema(zip(names, [pa.int64()] * 5 + [pa.string(), pa.binary()], strict=False))
+    schema = "doc_id long, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+    dealt = marks.dealt(rows, router)
+    found = marks.find(marks.scan(rows, anchors, SLICE), router)
     found = marks.with_told(dealt, found, contexts, marks.SCHEMA, SLICE).repartition(router.n, "bucket").mapInArrow(settle, marks.SCHEMA)
     found = marks.find(found, router, single)
-    return dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut, schema)
+    return marks.repeated_out(dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut, schema))

@@ -1,8 +1,8 @@
 """Vectorised work on the bytes of many texts at once: words, rolling hashes, hash tables.
 
 Texts come as Arrow batches and are worked on in slices of about 1 MB, so memory is bounded by the slice (or the one text that is
-longer). Hashes are polynomials over random byte codes modulo 2^64, taken from prefix sums, so every word, shingle or window of a
-slice is hashed with a few array operations.
+longer). Every word, shingle or window of a slice is hashed with a few array operations: short byte ranges in lanes of eight bytes,
+windows by doubling; each step scrambles, so there is no algebra by which different content could cancel out.
 """
 
 from __future__ import annotations
@@ -12,62 +12,103 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import SparkSession
 
 SLICE = 1 << 20
 U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240229))
-CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-BASE, BASE2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-_INV = {int(b): U(pow(int(b), -1, 1 << 64)) for b in (BASE, BASE2)}
-_POW: dict[int, np.ndarray] = {}
+ODD, SEED, SEED2 = U(0x9E3779B97F4A7C15), U(0x243F6A8885A308D3), U(0x13198A2E03707344)
+#: Byte ranges up to so many eight-byte lanes are hashed all at once, longer ones by XXH3 one by one.
+LANES = 8
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    have = _POW.get(int(base))
-    if have is None or len(have) < n:
-        size = max(n, SLICE + (SLICE >> 3))
-        have = np.empty(size, U)
-        have[0] = 1
-        have[1:] = base
-        np.multiply.accumulate(have, out=have)
-        _POW[int(base)] = have
-        if size > 8 * SLICE:  # for one very long text only
-            del _POW[int(base)]
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = h ^ (h >> U(31))
-    h = h * U(0x7FB5D329728EA185)
+    h *= U(0x7FB5D329728EA185)
     h ^= h >> U(27)
-    h = h * U(0x81DADEF4BC2DD44D)
+    h *= U(0x81DADEF4BC2DD44D)
     h ^= h >> U(33)
     return h
 
 
-class Rolling:
-    """Hashes of any ranges of a sequence of 64-bit codes, from one prefix sum."""
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64 = SEED) -> np.ndarray:
+    """A 64-bit hash of each byte range of data: lanes of eight bytes, scrambled one after another with the length."""
+    length = end - start
+    h = mix(length.astype(U) + seed)
+    lanes = _lanes(data)
+    live = np.flatnonzero((length > 0) & (length <= 8 * LANES))
+    for k in range(LANES):
+        if k:
+            live = live[length[live] > 8 * k]
+        if not len(live):
+            break
+        lane = lanes[start[live] + 8 * k] & _MASK[np.minimum(length[live] - 8 * k, 8)]
+        h[live] = mix(h[live] ^ lane)
+    if len(long := np.flatnonzero(length > 8 * LANES)):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b], int(seed)) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h
 
-    def __init__(self, codes: np.ndarray, base: np.uint64 = BASE):
-        n = len(codes)
-        self.base, self.sums = base, np.empty(n + 1, U)
-        self.sums[0] = 0
-        np.cumsum(codes * powers(base, n), out=self.sums[1:])
-        self.inverse = powers(_INV[int(base)], n + 1)
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two neighbouring parts from theirs."""
+    h = a * ODD
+    h ^= h >> U(32)
+    h += b
+    h *= U(0xD6E8FEB86659FD93)
+    h ^= h >> U(29)
+    return h
+
 
-    def windows(self, width: int) -> np.ndarray:
-        """The hash of every window of `width` codes."""
-        n = len(self.sums) - width
-        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.empty(0, U)
+class Windows:
+    """Hashes of all windows of a sequence, of any width: those of 2w from two of w each. No window's hash is a sum over its members,
+    so rearranged or periodic content does not cancel out."""
+
+    def __init__(self, codes: np.ndarray):
+        self.n, self.unit, self.levels = len(codes), 1, {1: codes}
+
+    @classmethod
+    def of_bytes(cls, data: np.ndarray) -> Windows:
+        """Windows of bytes, with eight of them as the least level."""
+        w = cls(_lanes(data)[: len(data)])
+        w.unit, w.levels = 8, {8: w.levels[1]}
+        return w
+
+    def _level(self, width: int) -> np.ndarray:
+        if width not in self.levels:
+            half = self._level(width // 2)
+            self.levels[width] = _join(half[: max(len(half) - width // 2, 0)], half[width // 2 :])
+        return self.levels[width]
+
+    def of(self, width: int) -> np.ndarray:
+        """The hash of the window that begins at each of the n - width + 1 places."""
+        n = self.n - width + 1
+        if n <= 0:
+            return np.empty(0, U)
+        at, out = 0, None
+        while at < width:
+            left = width - at
+            if left < self.unit:
+                part = self.levels[self.unit][at : at + n] & _MASK[left]
+                size = left
+            else:
+                size = self.unit * (1 << (left // self.unit).bit_length() - 1)
+                part = self._level(size)[at : at + n]
+            out = part if out is None else _join(out, part)
+            at += size
+        return mix(out + U(width))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .textkit import CODES, HashTable, Rolling, Slice, mix, slices
+from .textkit import SEED2, HashTable, Slice, mix, range_hashes, slices
 
 # Character classes. The letters of contractions have their own: s t m d end one, r and v need an e, l another l.
 ENDS, RV, E, L, LETTER, NUMBER, ELSE, QUOTE, BLANK, SPACE = range(10)
@@ -34,7 +34,9 @@ CHUNK = 256
 WIDE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _CLASS: list[np.ndarray] = []
 _COUNTERS: dict[str, Counter] = {}
-MAX_PRETOKENS, MAX_STATES = 1 << 19, 1 << 18
+#: What a worker keeps at most; pretokens longer than LONG bytes are not kept, and are read in pieces of PIECE bytes.
+MAX_PRETOKENS, MAX_STATES, MAX_PAIRS = 1 << 19, 1 << 18, 1 << 20
+LONG, PIECE, WARM = 64, 1024, 128
 
 
 def _first(c: int) -> int:
@@ -144,10 +146,10 @@ class BpeTransducer:
                     self.token.append(None)
                 node = self.children[node][b]
             self.token[node] = t
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
         self._reset()
 
     def _reset(self) -> None:
+        self.fits: dict[tuple[bytes, bytes], bool] = {}
         start = ((0, b"", 0),)
         self.states, self.number = [start], {start: 0}
         self.steps = HashTable()
@@ -187,13 +189,11 @@ class BpeTransducer:
             self.states.append(after)
         return self.number[after], base
 
-    def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The tokens of each byte range, all ranges read in step."""
-        if len(self.states) > MAX_STATES:
-            self._reset()
+    def read(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after, change of the count) of each byte range read from its state, all ranges in step."""
         order = np.argsort(start - end, kind="stable")
         at, length = start[order], (end - start)[order]
-        state, total, t = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), 0
+        state, total, t = state[order], np.zeros(len(at), np.int64), 0
         while len(at) and (n := int(np.searchsorted(-length, -t, "left"))):
             arc = state[:n] << 8 | data[at[:n] + t]
             key = mix(arc.astype(np.uint64) + np.uint64(1))
@@ -205,9 +205,31 @@ class BpeTransducer:
                 to = self.steps.find(key)
             state[:n], t = to >> 8, t + 1
             total[:n] += (to & 255) - 128
-        out = np.empty(len(at), np.int64)
-        out[order] = total
-        return out
+        after, out = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        after[order], out[order] = state, total
+        return after, out
+
+    def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The tokens of each byte range.
+
+        Ranges longer than a piece are read piece by piece, all pieces in step: each from the state that the bytes just before it lead
+        to, and again from the true one where its predecessor ends in another, until all agree.
+        """
+        if len(self.states) > MAX_STATES or len(self.fits) > MAX_PAIRS:
+            self._reset()
+        pieces = np.maximum(-(-(end - start) // PIECE), 1)
+        of = np.repeat(np.arange(len(start)), pieces)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        a = start[of] + PIECE * nth
+        b = np.minimum(a + PIECE, end[of])
+        begin = np.zeros(len(of), np.int64)
+        if len(later := np.flatnonzero(nth)):
+            begin[later] = self.read(data, a[later] - WARM, a[later], begin[later])[0]
+        after, total = self.read(data, a, b, begin)
+        while len(wrong := later[after[later - 1] != begin[later]]):
+            begin[wrong] = after[wrong - 1]
+            after[wrong], total[wrong] = self.read(data, a[wrong], b[wrong], begin[wrong])
+        return np.bincount(of, total, len(start)).astype(np.int64)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -232,7 +254,7 @@ class Counter:
         tokens = {plain(t): k for t, k in spec["model"]["vocab"].items() if t not in self.special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.transducer = BpeTransducer(tokens, [(plain(a), plain(b)) for a, b in merges])
-        self.known = HashTable()
+        self.known, self.entries = HashTable(), np.empty((2, 0), np.int64)
 
     def counts(self, s: Slice) -> np.ndarray:
         """The tokens of each whole text of a slice."""
@@ -275,16 +297,24 @@ class Counter:
         return tuple(np.array(spans, np.int64).reshape(-1, 2).T)
 
     def _pretokens(self, s: Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = Rolling(CODES[s.data]).ranges(start, end)
+        h, confirm = range_hashes(s.data, start, end), range_hashes(s.data, start, end, SEED2).view(np.int64)
         h[h == 0] = 1
         if self.known.n > MAX_PRETOKENS:
-            self.known = HashTable()
-        n = self.known.find(h)
-        if (new := np.flatnonzero(n < 0)).size:
+            self.known, self.entries = HashTable(), np.empty((2, 0), np.int64)
+        out, usual = np.empty(len(h), np.int64), np.flatnonzero(end - start <= LONG)
+        entry = self.known.find(h[usual])
+        if (new := usual[entry < 0]).size:
             keys, one = np.unique(h[new], return_index=True)
-            self.known.add(keys, self.transducer.count(s.data, start[new[one]], end[new[one]]))
-            n = self.known.find(h)
-        return n
+            n = self.transducer.count(s.data, start[new[one]], end[new[one]])
+            self.known.add(keys, np.arange(self.known.n, self.known.n + len(keys)))
+            self.entries = np.concatenate([self.entries, [confirm[new[one]], n]], axis=1)
+            entry = self.known.find(h[usual])
+        out[usual] = self.entries[1, entry]
+        odd = np.ones(len(h), bool)
+        odd[usual] = self.entries[0, entry] != confirm[usual]
+        if (odd := np.flatnonzero(odd)).size:  # long ones, and hashes that two pretokens share
+            out[odd] = self.transducer.count(s.data, start[odd], end[odd])
+        return out
 
 
 def counter(path: str) -> Counter:

@@ -1,8 +1,9 @@
 """Token ids of whole texts from a tokenizers file, each different chunk of text encoded once per worker.
 
 Both tokenizer kinds handled here split at every place where an ASCII space follows other characters, so the ids of a text are the
-ids of its chunks in a row. Chunks are looked up by hash in a bounded table; new ones go through the library. A text whose chunks
-would not be independent (a special token's string, or a space outside ASCII where spaces belong to tokens) is one chunk.
+ids of its chunks in a row. Short chunks are looked up in a table bounded in entries and ids, by one hash with a second one to confirm
+it; new ones, and long ones each time, go through the library. A text whose chunks would not be independent (a special token's string,
+or a space outside ASCII where spaces belong to tokens) is one chunk.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ import os
 import numpy as np
 import pyarrow.compute as pc
 
-from .textkit import CODES, IS_SPACE, HashTable, Rolling, Slice, fill
+from .textkit import IS_SPACE, SEED2, HashTable, Slice, fill, range_hashes
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 #: UTF-8 of the White_Space characters outside ASCII.
 WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-MAX_ENTRIES = 1 << 20
-_LEN = 24
+#: What a worker's table holds at most, before the chunks of one more slice; longer chunks than LONG bytes are not kept.
+MAX_ENTRIES, MAX_IDS, LONG = 1 << 20, 1 << 23, 256
 
 
 def has_wide_space(s: Slice) -> np.ndarray:
@@ -51,6 +52,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.table, self.pool, self.used = HashTable(), np.empty(1 << 20, np.uint32), 0
+        self.confirm, self.place = np.empty(1 << 10, np.uint64), np.empty((2, 1 << 10), np.int64)
 
     def _chunks(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         whole = has_wide_space(s) if self.spaces_inside else np.zeros(len(s), bool)
@@ -83,31 +85,55 @@ class Encoder:
         if not len(s.data):
             return np.empty(0, np.uint32), np.zeros(len(s) + 1, np.int64)
         start, end, first = self._chunks(s)
-        h = Rolling(CODES[s.data]).ranges(start, end)
+        h, confirm = range_hashes(s.data, start, end), range_hashes(s.data, start, end, SEED2)
         h[h == 0] = 1
-        if self.table.n > MAX_ENTRIES:
+        if self.table.n > MAX_ENTRIES or self.used > MAX_IDS:
             self._reset()
-        value = self.table.find(h)
-        if (new := np.flatnonzero(value < 0)).size:
+        at, length = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        usual = np.flatnonzero(end - start <= LONG)
+        entry = self.table.find(h[usual])
+        if (new := usual[entry < 0]).size:
             keys, one = np.unique(h[new], return_index=True)
-            raw = s.data.tobytes()
-            pieces = [raw[a:b].decode() for a, b in zip(start[new[one]].tolist(), end[new[one]].tolist(), strict=True)]
-            lengths = np.empty(len(keys), np.int64)
-            got = []
-            for at in range(0, len(pieces), 4096):
-                part = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
-                lengths[at : at + len(part)] = [len(x) for x in part]
-                got += [i for x in part for i in x]
-            if self.used + len(got) > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(got), len(self.pool)), np.uint32)])
-            self.pool[self.used : self.used + len(got)] = got
-            self.table.add(keys, (self.used + np.cumsum(lengths) - lengths) << _LEN | lengths)
-            self.used += len(got)
-            value = self.table.find(h)
-        length = value & ((1 << _LEN) - 1)
+            self._keep(keys, confirm[new[one]], *self._encode(s, start[new[one]], end[new[one]]))
+            entry = self.table.find(h[usual])
+        at[usual], length[usual] = self.place[:, entry]
+        odd = np.ones(len(h), bool)
+        odd[usual] = self.confirm[entry] != confirm[usual]
+        if (odd := np.flatnonzero(odd)).size:  # long chunks, and hashes that two chunks share, for this slice only
+            ids, length[odd] = self._encode(s, start[odd], end[odd])
+            at[odd] = self.used + np.cumsum(length[odd]) - length[odd]
+            self._room(len(ids))
+            self.pool[self.used : self.used + len(ids)] = ids
         ends = np.zeros(len(length) + 1, np.int64)
         np.cumsum(length, out=ends[1:])
-        return self.pool[fill(value >> _LEN, length)], ends[first]
+        return self.pool[fill(at, length)], ends[first]
+
+    def _encode(self, s: Slice, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks in a row, and how many each has."""
+        lengths, got = np.empty(len(start), np.int64), []
+        for at in range(0, len(start), 4096):
+            pieces = [s.data[a:b].tobytes().decode() for a, b in zip(start[at : at + 4096].tolist(), end[at : at + 4096].tolist(), strict=True)]
+            part = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            lengths[at : at + len(part)] = [len(x) for x in part]
+            got.append(np.array([i for x in part for i in x], np.uint32))
+        return np.concatenate(got), lengths
+
+    def _room(self, n: int) -> None:
+        if self.used + n > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(n, self.used), np.uint32)])
+
+    def _keep(self, keys: np.ndarray, confirm: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        entry, n = self.table.n, len(keys)
+        if entry + n > len(self.confirm):
+            more = max(n, entry)
+            self.confirm = np.concatenate([self.confirm[:entry], np.empty(more, np.uint64)])
+            self.place = np.concatenate([self.place[:, :entry], np.empty((2, more), np.int64)], axis=1)
+        self._room(len(ids))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.confirm[entry : entry + n] = confirm
+        self.place[:, entry : entry + n] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.table.add(keys, np.arange(entry, entry + n))
+        self.used += len(ids)
 
     def ids_with_end(self, s: Slice, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As ids(), with end_id after each text."""
