@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
 from .substring import Words
 from .textkit import Slice, slices
 
@@ -98,46 +99,49 @@ def _hashes(grams: set[bytes], width: int) -> np.ndarray:
     return w.runs.of(width)[w.first[:-1]]
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of about block_bytes of text, each collected when its turn comes."""
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple[int, str | None]], int]]:
+    """The items in blocks of about block_bytes of text, each collected when its turn comes, and the number of blocks."""
     items = items.select("item_id", "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-int(total) // block_bytes) or 1
     for k in range(n):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()], n
 
 
 def find_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for every document that holds at least `threshold` of an item's shingles.
 
-    docs: doc_id, text; items: item_id, text; other columns are ignored. Words are runs of other characters than ASCII spaces,
-    A-Z lower-cased; shingles are distinct runs of `shingle` words, or of all an item's words if it has fewer. Items and documents
-    that are null or wordless match nothing. Repeated rows each give their rows. Empty tables give an empty result.
+    docs: doc_id (any type), text; items: item_id, text; other columns are ignored. Words are runs of other characters than ASCII
+    spaces, A-Z lower-cased; shingles are distinct runs of `shingle` words, or of all an item's words if it has fewer. Items and
+    documents that are null or wordless match nothing. Repeated rows each give their rows. Empty tables give an empty result.
     """
-    spark, schema = docs.sparkSession, "doc_id long, item_id long, n_shared long, n_item long, containment double"
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(items, block_bytes):
+    return _matches(docs.select("doc_id", "text"), items, shingle, threshold, block_bytes)
+
+
+def _matches(texts: DataFrame, items: DataFrame, shingle: int, threshold: float, block_bytes: int) -> DataFrame:
+    """The matches of texts (a name, text). Each block is a pass that ends before the next block is broadcast, unless there is only one."""
+    spark, name = texts.sparkSession, texts.columns[0]
+    schema = f"{name} {texts.dtypes[0][1]}, item_id long, n_shared long, n_item long, containment double"
+    out = None
+    for block, n in _blocks(items, block_bytes):
         shared = spark.sparkContext.broadcast(ItemIndex(block, shingle, threshold))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for s in slices(batches):
                 row, item, n, of = np.array(shared.value.matches(s), np.int64).reshape(-1, 4).T
-                yield pa.RecordBatch.from_arrays([s.rows.column(0).take(pa.array(row)), pa.array(item), pa.array(n), pa.array(of), pa.array(n / np.maximum(of, 1))], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
+                yield pa.RecordBatch.from_arrays([s.rows.column(0).take(pa.array(row)), pa.array(item), pa.array(n), pa.array(of), pa.array(n / np.maximum(of, 1))], [name, "item_id", "n_shared", "n_item", "containment"])
 
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
+        part = texts.mapInArrow(run, schema)
+        if n > 1:
+            part = durable(part)
+            shared.unpersist()
+        out = part if out is None else out.union(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs, all columns, without the documents that find_contaminated reports."""
-    for block in _blocks(items, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, shingle, threshold))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for s in slices(batches):
-                keep = np.ones(len(s), bool)
-                keep[[m[0] for m in shared.value.matches(s)]] = False
-                yield s.rows.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """docs, all columns, without the documents that find_contaminated reports; rows that repeat a dropped one go too."""
+    key = F.xxhash64("doc_id", "text")
+    gone = durable(_matches(docs.select(key.alias("row"), "text"), items, shingle, threshold, block_bytes).select("row").distinct())
+    keyed = docs.select(key.alias("row"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    return keyed.join(gone, "row", "left_anti").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -151,11 +151,11 @@ def _another(shared):
 
 def bands(scored: DataFrame) -> DataFrame:
     """(grp, m0, d0, m1, d1): median and robust deviation of log perplexity a character, and a word, of each language's documents
-    that pass the base rules; alike for few and many documents."""
+    that pass the base rules; alike for few and many documents. A table of its own, so joins see that it has one row a language."""
     q = [F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000) for x in _values()]
     found = scored.filter(~base_failed()).groupBy("grp").agg(q[0].alias("q0"), q[1].alias("q1"))
     spread = [[F.col(f"q{k}")[1].alias(f"m{k}"), F.greatest((F.col(f"q{k}")[2] - F.col(f"q{k}")[0]) / 1.349, F.lit(0.01)).alias(f"d{k}")] for k in (0, 1)]
-    return found.select("grp", *spread[0], *spread[1])
+    return durable(found.select("grp", *spread[0], *spread[1]).coalesce(1))
 
 
 def _values() -> tuple[Column, Column]:

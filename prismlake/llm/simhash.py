@@ -7,6 +7,10 @@ within two errors always share one, through the word half way between them. So a
 of the next segment); fingerprints that share a key are verified bit by bit. A bucket with more than `hot_bucket` different
 fingerprints is not paired: its members meet at their one-bit neighbours instead, which links exactly those within two bits through
 65 rows each. Equal fingerprints are one vertex, so copies never make pairs.
+
+near_copies() is for texts that share most of their shingles rather than for fingerprints within a fixed distance. Its fingerprints
+are of a text's different words, of which near copies share more than of its shingles, and there are several, each with its own hash.
+Their keys are the same; texts that share a key are compared by their sets of shingles.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.durable import durable
-from .textkit import slices
+from .textkit import Windows, mix, range_hashes, slices
 
 #: (first bit, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -148,14 +152,138 @@ def _classes(docs: DataFrame, hot_bucket: int, shingle: int) -> DataFrame:
     return prints.join(joined.join(heads, "component").select("fp", "component", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, hot_bucket: int = 64, shingle: int = 3) -> DataFrame:
-    """docs, all columns, with one document of each component: that with the least doc_id, and of rows that repeat it one."""
-    found = durable(_classes(docs, hot_bucket, shingle).select("doc_id", "component", "row_key"))
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("r")).select(F.col("r.row_key").alias("_row_key"))
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    # The list of what stays is hashed, so the texts are dealt once and not sorted.
-    kept = keyed.join(first.hint("shuffle_hash"), "_row_key", "left_semi")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class _Shingles:
+    """The words and shingles of a slice's texts, A-Z lower-cased: text k has the codes word[first[k]:first[k+1]]."""
+
+    def __init__(self, s, width: int):
+        data = _LOWER[s.data]
+        start, end, self.first = s.words(data)
+        self.word, self.width = range_hashes(data, start, end), width
+        self.runs = Windows(self.word)
+        self.wide = self.runs.of(width)
+
+    def of(self, k: int) -> np.ndarray:
+        """The different shingles of text k in order; a text of fewer words is one shingle, one without words none."""
+        a, b = self.first[k], self.first[k + 1]
+        if b - a >= self.width:
+            return np.unique(self.wide[a : b - self.width + 1])
+        return self.runs.of(int(b - a))[a : a + 1] if b > a else np.empty(0, np.uint64)
+
+
+def word_prints(words: np.ndarray, n: int) -> np.ndarray:
+    """n SimHashes of a set of words."""
+    out = np.zeros(n, np.uint64)
+    for t in range(n):
+        h = mix(words ^ mix(np.array([t + 1], np.uint64)))
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[t] = np.packbits(2 * ones > len(h)).view(">u8")[0]
+    return out
+
+
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        vertex = batch.column(0).to_numpy(zero_copy_only=False)
+        for t, column in enumerate(batch.columns[1:]):
+            for part in _keys(iter([pa.RecordBatch.from_arrays([column], ["fp"])])):
+                fp, at = np.unique(column.to_numpy(zero_copy_only=False), return_inverse=True)
+                place = np.searchsorted(fp, part.column(0).to_numpy())
+                # Each vertex of a fingerprint gets its keys.
+                members = np.argsort(at, kind="stable")
+                size = np.bincount(at, minlength=len(fp))
+                begin = np.cumsum(size) - size
+                which = np.repeat(begin[place] - np.cumsum(size[place]) + size[place], size[place]) + np.arange(size[place].sum())
+                key = np.repeat(part.column(1).to_numpy() | t << 40, size[place])
+                yield pa.RecordBatch.from_arrays([pa.array(vertex[members[which]]), pa.array(key)], ["vertex", "key"])
+
+
+def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, prints: int = 4, hot_bucket: int = 64) -> DataFrame:
+    """(doc_id, row_key, vertex, component) of every document: components of texts whose sets of shingles have a Jaccard similarity of at least `similarity`.
+
+    docs: doc_id, text; other columns are ignored. Texts with equal sets are one vertex, wordless and null ones too. Pairs that share
+    a key are found and compared exactly; how many do is a matter of `prints`. In a bucket of more than hot_bucket members all are
+    compared with three of them, and those that are like none of these with all, so a group of copies makes few pairs. Repeated
+    rows each give a row; an empty table gives an empty result.
+    """
+    names = [f"f{t}" for t in range(prints)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            g, vertex, size, fp = _Shingles(s, shingle), np.empty(len(s), np.int64), np.empty(len(s), np.int64), np.empty((prints, len(s)), np.int64)
+            for k in range(len(s)):
+                own = g.of(k)
+                vertex[k], size[k] = np.array([xxhash.xxh3_64_intdigest(own.tobytes())], np.uint64).view(np.int64)[0], len(own)
+                fp[:, k] = word_prints(np.unique(g.word[g.first[k] : g.first[k + 1]]), prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*s.rows.columns[:2], pa.array(vertex), pa.array(size), *map(pa.array, fp)], ["doc_id", "row_key", "vertex", "size", *names])
+
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    found = durable(keyed.mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, row_key long, vertex long, size long, " + ", ".join(f"{f} long" for f in names)))
+    own = found.groupBy("vertex").agg(F.first("size").alias("size"), F.min("row_key").alias("row_key"), *[F.first(f).alias(f) for f in names]).filter("size > 0")
+    own = durable(own)
+    keys = own.select("vertex", *names).mapInArrow(_word_keys, "vertex long, key long")
+    met = durable(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"))
+    cold, hot = met.filter(F.col("n") <= hot_bucket), met.filter(F.col("n") > hot_bucket).select("key", "vertex")
+    a, b = F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")
+    pairs = cold.alias("x").join(cold.alias("y"), "key").filter("x.vertex < y.vertex").select(a, b)
+    spots = [F.min(F.struct(F.xxhash64("vertex", F.lit(k)), "vertex"))["vertex"] for k in range(3)]
+    pivots = hot.groupBy("key").agg(F.array_distinct(F.array(*spots)).alias("p")).select("key", F.explode("p").alias("vertex"))
+    to_pivots = hot.alias("x").join(pivots.alias("y"), "key").filter("x.vertex != y.vertex").select("x.key", "x.vertex", F.col("y.vertex").alias("pivot"))
+    if hot.isEmpty():
+        links = _alike(docs, own, pairs, shingle, similarity)
+    else:
+        to_pivots = durable(to_pivots)
+        links = _alike(docs, own, pairs.union(to_pivots.alias("z").select(F.least("z.vertex", "z.pivot").alias("a"), F.greatest("z.vertex", "z.pivot").alias("b"))), shingle, similarity)
+        like = links.select(F.col("a").alias("vertex"), F.col("b").alias("pivot")).union(links.select("b", "a"))
+        left = hot.join(pivots, ["key", "vertex"], "left_anti").join(to_pivots.join(like, ["vertex", "pivot"], "left_semi").select("key", "vertex"), ["key", "vertex"], "left_anti")
+        rest = left.alias("x").join(hot.alias("y"), "key").filter("x.vertex != y.vertex").select(a, b)
+        links = links.union(_alike(docs, own, rest, shingle, similarity))
+    parts = connected_components(links)
+    return found.select("doc_id", "row_key", "vertex").join(parts.withColumnRenamed("id", "vertex"), "vertex", "left").select("doc_id", "row_key", "vertex", F.coalesce("component", "vertex").alias("component"))
+
+
+def _alike(docs: DataFrame, own: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of vertices whose sets of shingles are similar, a table of its own."""
+    sizes = own.select("vertex", "size")
+    pairs = pairs.distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    pairs = durable(pairs.select("a", "b", "na", "nb"))
+    wanted = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct().join(own.select("vertex", "row_key"), "vertex")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            g = _Shingles(s, shingle)
+            yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.array([g.of(k).tobytes() for k in range(len(s))], pa.binary())], ["vertex", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (c.to_pylist() for c in batch.columns[2:])
+            n = [len(np.intersect1d(np.frombuffer(i, np.uint64), np.frombuffer(j, np.uint64), True)) for i, j in zip(x, y, strict=True)]
+            near = [k >= similarity * ((len(i) + len(j)) // 8 - k) - 1e-9 for k, i, j in zip(n, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    got = texts.join(wanted, "row_key").select("vertex", "text").dropDuplicates(["vertex"]).mapInArrow(sets, "vertex long, shingles binary")
+    got = durable(got)
+    both = pairs.select("a", "b").join(got.toDF("a", "sa"), "a").join(got.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    return durable(both.mapInArrow(compare, "a long, b long"))
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, prints: int = 4, hot_bucket: int = 64) -> DataFrame:
+    """docs, all columns, with one document of each component of near_copies: that with the least doc_id (null after all others), and of rows that repeat it one."""
+    found = durable(near_copies(docs, shingle=shingle, similarity=similarity, prints=prints, hot_bucket=hot_bucket))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("r")).select(F.col("r.row_key").alias("row_key"))
+    gone = durable(found.select("row_key").distinct().join(first, "row_key", "left_anti"))
+    kept = _with_key(docs).join(gone, F.col("_row_key") == F.col("row_key"), "left_anti")
     if not found.groupBy("row_key").count().filter("count > 1").isEmpty():
         n = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
         kept = kept.withColumn("_n", n).filter("_n = 1").drop("_n")
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, .. and _row_key."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("_row_key"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
