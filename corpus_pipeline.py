@@ -1,42 +1,51 @@
 """The corpus pipeline: quality rules, near-dedup, substring dedup, decontamination, packing.
 
-Each stage takes all that its predecessor kept; its result is a Parquet table that the next one reads.
+Each stage takes all that its predecessor kept; its result is a Parquet table that the next one reads. All but the last keep every
+column of `documents`, extra ones included. Null texts count as empty; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm import decontaminate, packing, quality, simhash, substring, textkit
-from prismlake.plans.durable import durable
+from prismlake.plans.durable import drop_table, shared_dir, temporary_tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in their language's perplexity band."""
+    """Documents that pass the base rules and lie in their language's perplexity bands; null and empty texts go, repeated rows share their fate."""
     textkit.small_batches(spark)
     return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the least doc_id, null ones last; of repeated rows one."""
     return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of repeated windows; a document stays even if none is left."""
-    found = substring.remove_repeated(docs, with_text=True, carry=("lang", "source"))
-    return found.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """Texts without the words of repeated windows, their other white space untouched; n_chars is counted anew.
+
+    A document stays even if nothing is left of it, and a null text stays null.
+    """
+    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = substring.remove_repeated(docs, with_text=True, carry=carried)
+    if "n_chars" in carried:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their training sequences."""
+    """The pieces of all documents in their training sequences; a null or empty text is the end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -46,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; of the tables between the stages only the one they come from is left."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+        with temporary_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_table(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
