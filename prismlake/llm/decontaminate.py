@@ -141,6 +141,17 @@ def _matches(texts: DataFrame, items: DataFrame, shingle: int, threshold: float,
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """docs, all columns, without the documents that find_contaminated reports; rows that repeat a dropped one go too."""
+    block, n = next(_blocks(items, block_bytes))
+    if n == 1:  # one pass that filters where the texts lie
+        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, shingle, threshold))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s in slices(batches):
+                keep = np.ones(len(s), bool)
+                keep[[m[0] for m in shared.value.matches(s)]] = False
+                yield s.rows.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
     key = F.xxhash64("doc_id", "text")
     gone = durable(_matches(docs.select(key.alias("row"), "text"), items, shingle, threshold, block_bytes).select("row").distinct())
     keyed = docs.select(key.alias("row"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])

@@ -466,12 +466,22 @@ def test_packing(docs):
 
 
 def test_step_groups_balance():
-    sizes = [4096] * 40 + [512] * 80
-    of = packing.step_groups(sizes, 1 << 15)
-    load = Counter()
-    for s, g in zip(sizes, of, strict=True):
-        load[g] += s
-    assert max(load.values()) - min(load.values()) <= 4096
+    rng = np.random.default_rng(6)
+    windows = [[4096]] * 40 + [[2048, 1024, 1024]] * 30 + [rng.multinomial(512, [0.25] * 4).tolist() for _ in range(160)]
+    of = packing.step_groups(windows, 1 << 15)
+    cost = Counter()
+    for w, g in zip(windows, of, strict=True):
+        cost[g] += sum(k * (k + 4096) for k in w)
+    assert len(cost) == 12 and max(cost.values()) <= 1.1 * min(cost.values())
+
+
+def test_packing_cuts_few_short_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").coalesce(2)
+    got = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("doc_tokens").alias("tokens")).filter("tokens <= 4096").collect()
+    assert sum(r.n > 1 for r in pieces) <= 0.01 * len(pieces)
+    tiers = {r.tier: r.n for r in got.groupBy("tier").agg(F.countDistinct("sequence_id").alias("n")).collect()}
+    assert all(tiers.get(t, 0) > 10 for t in packing.TIERS)
 
 
 def test_id_files_round_trip(spark, docs, tmp_path):
