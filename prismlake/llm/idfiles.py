@@ -1,6 +1,7 @@
 """Token ids on disk: every document its own zstandard frame, all with one dictionary trained on serialised id arrays.
 
-A file set is two tables in a folder any Hadoop file system can hold. `dictionary`: one row (sha256, width, bytes). `blocks`: rows
+A file set is two tables in a folder any Hadoop file system can hold. `dictionary`: one row (sha256, width, bytes, kind, samples), of
+kind `trained`, `raw` where zstandard finds the samples too few to train on and their bytes are the dictionary, or `none`. `blocks`: rows
 of about 1 MB (shard, block, dictionary sha256, tokens before it in its shard, doc_ids, n_tokens, offsets, payload).
 Shards are ranges of doc_id in ascending order, blocks ascend in a shard, documents in a block. A short document is read by the
 block whose first and last ids hold it, its slice of the payload and one frame.
@@ -35,36 +36,58 @@ def _codec(kind: type, dictionary: bytes, **more):
     return _CODECS[key]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int, sample_docs: int, size: int) -> bytes:
-    """A dictionary from at most sample_docs documents, the least by a hash of their id; no bytes where these are too few to train on."""
-    ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").limit(sample_docs).toArrow()
+def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int, sample_docs: int, size: int, longest: int = 1 << 16) -> tuple[bytes, str, int]:
+    """(dictionary, its kind, number of samples) from at most sample_docs documents of at most `longest` bytes, the least by a hash of their id."""
+    short = docs.filter(F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= longest))
+    ids = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    rows = short.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").limit(sample_docs).toArrow()
     encode, samples = encoder(tokenizer, True), []
     for s in slices(iter(rows.combine_chunks().to_batches())):
         got, first = encode.ids_with_end(s, end_id)
         samples += [got[a:b].astype(f"<u{width}").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+    if not samples:
+        return b"", "none", 0
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes(), "trained", len(samples)
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:size], "raw", len(samples)
+
+
+def shard_bounds(docs: DataFrame, n: int, level: int = 512) -> np.ndarray:
+    """Ascending doc_ids that cut the rows into about n even ranges: `level` quantiles, and quantiles of each of their ranges where n is more."""
+    coarse = min(n, level)
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    share = lambda k: [j / k for j in range(1, k)]
+    bounds = np.unique(np.array(ids.agg(F.percentile_approx("doc_id", share(coarse), 50_000)).first()[0] or [], np.int64)) if coarse > 1 else np.empty(0, np.int64)
+    fine = -(-n // coarse)
+    if fine == 1:
+        return bounds
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, b.column(0).to_numpy(zero_copy_only=False), "left")), b.column(0)], ["r", "doc_id"])
+
+    # One row a coarse range, of as many numbers as it gets shards.
+    rows = ids.mapInArrow(ranges, "r long, doc_id long").groupBy("r").agg(F.percentile_approx("doc_id", share(fine), 20 * fine).alias("q")).collect()
+    return np.unique(np.concatenate([bounds, *(np.array(r.q, np.int64) for r in rows)]))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, sample_docs: int = 1000, dictionary_size: int = 1 << 16, level: int = 3) -> None:
     """Write the ids of all documents (doc_id, text; other columns are ignored) to the folder `path`, in ascending doc_id order.
 
     Null and empty texts are the end id alone. A null doc_id sorts first. Rows of equal doc_id are kept, each as a document. An
-    empty table gives files without blocks. sample_docs bounds what the dictionary is trained on, never what is written.
+    empty table gives files without blocks. sample_docs bounds what the dictionary is trained on, never what is written; more than
+    1,000 documents do not make the files smaller (README).
     """
     spark = docs.sparkSession
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    dictionary = train_dictionary(docs, tokenizer, width, end_id, sample_docs, dictionary_size)
+    dictionary, kind, samples = train_dictionary(docs, tokenizer, width, end_id, sample_docs, dictionary_size)
     sha = hashlib.sha256(dictionary).hexdigest()
-    spark.createDataFrame([(sha, width, dictionary)], "sha256 string, width int, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    spark.createDataFrame([(sha, width, dictionary, kind, samples)], "sha256 string, width int, bytes binary, kind string, samples int").coalesce(1).write.parquet(f"{path}/dictionary")
     n = partitions_for(docs)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    bounds = shard_bounds(docs, n)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, codec = encoder(tokenizer, True), _codec(zstandard.ZstdCompressor, dictionary, level=level, write_content_size=True)
@@ -105,7 +128,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, sa
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, int, bytes]:
-    sha, width, raw = spark.read.parquet(f"{path}/dictionary").first()
+    sha, width, raw = spark.read.parquet(f"{path}/dictionary").select("sha256", "width", "bytes").first()
     if hashlib.sha256(raw).hexdigest() != sha:
         raise ValueError("the dictionary does not match its hash")
     return sha, width, bytes(raw)

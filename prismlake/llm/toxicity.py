@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon entries (words), patterns (word stems) and a few typographic patterns; the entries are induced from labelled
-training documents. A generative label model estimates, by expectation maximisation and without looking at single labels, how often
-each voter fires on toxic and on other documents, and which voters are correlated given the class; a clique of correlated voters
-counts once. A linear classifier over a wider vocabulary is trained on its posterior labels and scores every document.
+Voters are lexicon entries (words), patterns (word stems) and a few typographic patterns, of both polarities: some speak for a toxic
+text, some for a clean one. Labelled training documents only propose the entries and say which side each is on. How often a voter fires
+on either class, and which voters are correlated given the class, is estimated by a generative label model from their agreement alone,
+by expectation maximisation from the same first guess for all voters of a side; a clique of correlated voters counts once. A linear
+classifier over a wider vocabulary is trained on the model's posterior labels, scaled to them, and scores every document.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
 from .textkit import slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 #: Typographic patterns; their names cannot be words.
+#: How often a voter fires on the class it speaks for, and on the other, before anything is known of it.
+FIRST_GUESS = 0.2, 0.01
 PATTERNS = {"!shout": re.compile(r"!!"), "!capitals": re.compile(r"\b[A-ZÀ-Þ]{4,}\W+[A-ZÀ-Þ]{4,}"), "!symbols": re.compile(r"[#$%&*]{3}"), "!table": re.compile(r" \| ")}
 
 
@@ -52,7 +56,12 @@ class LabelModel:
             if turn == 2 and x.shape[1]:
                 self.clique = self._cliques(x, self.posterior(fires))
             q = self.posterior(fires)
-            self.prior = float(np.clip(q.mean(), 1e-4, 0.9999))
+            # The share of toxic documents is given: the model moves its prior until its posteriors have that mean.
+            logit = np.log(self.prior / (1 - self.prior))
+            for _ in range(20):
+                q = _sigmoid(self.evidence(fires) + logit)
+                logit += np.clip((prior - q.mean()) / max((q * (1 - q)).mean(), 1e-6), -2, 2)
+            self.prior = float(np.clip(_sigmoid(logit), 1e-6, 1 - 1e-6))
             self.hit = np.clip((q @ x + 0.5) / (q.sum() + 1), 1e-4, 0.9999)
             self.miss = np.clip(((1 - q) @ x + 0.5) / ((1 - q).sum() + 1), 1e-6, 0.9999)
         return self
@@ -77,15 +86,18 @@ class LabelModel:
         return label
 
     def posterior(self, fires: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.evidence(fires) + np.log(self.prior / (1 - self.prior)))
+
+    def evidence(self, fires: np.ndarray) -> np.ndarray:
         """Of a clique counts the voter that says most; silence of all counts too."""
         x = fires.astype(bool)
         on, off = np.log(self.hit / self.miss), np.log((1 - self.hit) / (1 - self.miss))
-        total = np.full(len(x), np.log(self.prior / (1 - self.prior)))
+        total = np.zeros(len(x))
         for c in np.unique(self.clique):
             of = np.flatnonzero(self.clique == c)
             votes = np.where(x[:, of], on[of], off[of])
             total += np.take_along_axis(votes, np.abs(votes).argmax(axis=1)[:, None], axis=1)[:, 0]
-        return _sigmoid(total)
+        return total
 
 
 def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, m: int, target: np.ndarray, l2: float = 0.3, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -127,12 +139,17 @@ def _counts(train: DataFrame) -> DataFrame:
     return train.select("toxic", "text").mapInArrow(run, "feature string, n long, n1 long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
 
 
-def train_classifier(docs: DataFrame, labels: DataFrame, allowed: Column, *, sample_docs: int = 12_000, support: int = 6, max_voters: int = 150, max_features: int = 4_000) -> Classifier:
-    """Learn from at most sample_docs labelled documents whose doc_id is `allowed`, the least by a hash of their id."""
+def train_classifier(docs: DataFrame, labels: DataFrame, allowed: Column, *, sample_docs: int = 12_000, support: int = 6, voter_share: float = 0.004, max_voters: int = 150, max_features: int = 4_000) -> Classifier:
+    """Learn from at most sample_docs labelled documents whose doc_id is `allowed`, the least by a hash of their id.
+
+    Of several labels of an id one toxic one counts, of several texts that with the least hash. Where all labels agree, every text
+    scores 0.02 or 0.98; where no label belongs to a document, every text scores the share of toxic labels.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & allowed).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     # At most sample_docs rows of two numbers.
-    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    train = durable(train.select("toxic", "text"))
     n, n1 = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n1 or n1 == n:
         return Classifier({}, 0.0, 0.0, 4.0 if n1 else -4.0)
@@ -149,26 +166,34 @@ def train_classifier(docs: DataFrame, labels: DataFrame, allowed: Column, *, sam
             yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
     rows = train.mapInArrow(run, "toxic int, found array<int>").collect()
-    y = np.array([r.toxic for r in rows], float)
+    if not rows:
+        return Classifier({}, 0.0, 0.0, float(np.log(base / (1 - base))))
     at = np.repeat(np.arange(len(rows)), [len(r.found) for r in rows])
     cols = np.array([k for r in rows for k in r.found], np.int64)
-    strong = [k for k, r in enumerate(wide) if r.n1 >= 0.75 * r.n and r.n1 > 0][:max_voters]
-    voters = np.array(strong + [index[p] for p in PATTERNS if index[p] not in strong])
+    # What a few copies of one document have in common is no entry, so a voter must fire on a share of all.
+    wide_enough = [(k, r) for k, r in enumerate(wide) if r.n >= voter_share * len(rows)]
+    toxic = [k for k, r in wide_enough if r.n1 >= 0.75 * r.n][:max_voters]
+    clean = [k for k, r in wide_enough if r.n1 <= base / 4 * r.n][: max_voters // 2]
+    found = {r.feature: r.z for r in wide}
+    patterns = [index[p] for p in PATTERNS if index[p] not in toxic + clean]
+    voters = np.array(toxic + clean + patterns)
+    side = np.array([1] * len(toxic) + [-1] * len(clean) + [int(np.sign(found.get(names[k], 0.0))) for k in patterns])
     column = np.full(len(names), -1)
     column[voters] = np.arange(len(voters))
     fires = np.zeros((len(rows), len(voters)), bool)
     votes = column[cols] >= 0
     fires[at[votes], column[cols][votes]] = True
-    share = np.array([(fires[y == c].sum(axis=0) + 0.5) / ((y == c).sum() + 1) for c in (1, 0)])
-    posterior = LabelModel().fit(fires, base, share[0], share[1]).posterior(fires)
+    often, rare = FIRST_GUESS
+    guess = np.select([side > 0, side < 0], [often, rare], rare), np.select([side > 0, side < 0], [rare, often], rare)
+    posterior = LabelModel().fit(fires, base, *guess).posterior(fires)
     w, b = fit_linear(at, cols, len(rows), len(names), posterior)
     raw = b + np.bincount(at, w[cols], len(rows))
-    scale, shift = _calibrate(raw, y)
+    scale, shift = _calibrate(raw, posterior)
     return Classifier({f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-3}, b, scale, shift)
 
 
 def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of the scores to the labels, by Newton steps on the logistic loss with a weak prior at (1, 0)."""
+    """Scale and shift of the scores to labels between 0 and 1, by Newton steps on the logistic loss with a weak prior at (1, 0)."""
     p = np.array([1.0, 0.0])
     x = np.stack([np.clip(raw, -15, 15), np.ones(len(raw))])
     for _ in range(50):

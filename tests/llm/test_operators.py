@@ -280,6 +280,21 @@ def test_toxicity_defined_without_labels(spark, awkward):
     model = toxicity.train_classifier(awkward, none, F.lit(True))
     got = toxicity.score_toxicity(awkward, model).collect()
     assert len(got) == awkward.count() and all(r.score < 0.1 for r in got)
+    apart = spark.createDataFrame([(10**9, 1), (10**9 + 1, 0)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(awkward, toxicity.train_classifier(awkward, apart, F.lit(True))).collect()
+    assert len(got) == awkward.count() and all(abs(r.score - 0.5) < 1e-9 for r in got)
+
+
+def test_label_model_needs_no_labels():
+    """From the first guess of each side alone the model finds how often voters fire on either class."""
+    rng = np.random.default_rng(11)
+    y = rng.random(6000) < 0.15
+    hit, miss = np.array([0.5, 0.4, 0.3, 0.3, 0.02, 0.05]), np.array([0.01, 0.02, 0.02, 0.01, 0.4, 0.3])
+    fires = rng.random((6000, 6)) < np.where(y[:, None], hit, miss)
+    often, rare = toxicity.FIRST_GUESS
+    m = toxicity.LabelModel().fit(fires, 0.3, np.array([often] * 4 + [rare] * 2), np.array([rare] * 4 + [often] * 2))
+    assert np.abs(m.hit - hit).max() < 0.1 and np.abs(m.miss - miss).max() < 0.05
+    assert ((m.posterior(fires) > 0.5) == y).mean() > 0.95
 
 
 # op3
@@ -494,6 +509,7 @@ def test_id_files_round_trip(spark, docs, tmp_path):
     assert [r.start for r in got] == np.cumsum([0, *(len(r.ids) for r in got[:-1])]).tolist()
     same([(r.doc_id, tuple(r.ids), r.n_tokens, r.ids_crc32) for r in got], [(i, tuple(x), len(x), crc(x)) for i, x in want])
     assert idfiles.read_document(spark, path, 7) == dict(want)[7]
+    assert spark.read.parquet(f"{path}/dictionary").first().kind in ("trained", "raw")
     assert idfiles.read_document(spark, path, 10**9) is None
 
 
@@ -706,6 +722,15 @@ def test_empty_tables(spark, awkward):
     assert toxicity.score_toxicity(none, toxicity.Classifier({}, 0.0, 1.0, 0.0)).count() == 0
 
 
+def test_shard_bounds(spark):
+    rng = np.random.default_rng(3)
+    ids = np.unique(np.concatenate([rng.integers(0, 1 << 40, 5000), np.arange(3000)]))
+    docs = spark.createDataFrame([(int(i),) for i in ids], "doc_id long")
+    for n, level in ((1, 8), (6, 8), (60, 8)):
+        sizes = np.bincount(np.searchsorted(idfiles.shard_bounds(docs, n, level), ids, "left"))
+        assert 0.8 * n <= len(sizes) <= 1.3 * n and sizes.max() < 2 * len(ids) / n + 2
+
+
 def test_empty_id_files(spark, awkward, tmp_path):
     path = f"file://{tmp_path}/none"
     idfiles.write_ids(awkward.limit(0), path, public_tokenizers.path("byte_bpe_50k.json"))
