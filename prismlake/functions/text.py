@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A trailing counter: separators and digits, or digits in parentheses.
-_COUNTER = r"[\s_\-.]*(\(\d+\)|\d+)$"
+# Fixed value: a trailing counter is separators and digits, or digits in parentheses.
+_COUNTER = r"(?:[\s_\-.]*+(?:\(\d++\)|\d++))"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -29,11 +33,9 @@ def clean_name(c: Column) -> Column:
 
 
 def name_stem(c: Column) -> Column:
-    """The name without trailing counters; a step that would leave nothing is not taken."""
+    """The name without trailing counters, however many; a name of counters alone keeps the first."""
     base = strip_extension(c)
-    s = base
-    for _ in range(4):
-        s = F.when(s.rlike("^" + _COUNTER), s).otherwise(F.regexp_replace(s, _COUNTER, ""))
+    s = F.when(base.rlike(f"^{_COUNTER}++$"), F.regexp_extract(base, f"^({_COUNTER})", 1)).otherwise(F.regexp_replace(base, f"{_COUNTER}++$", ""))
     s = F.regexp_replace(s, r"^[ _\-.]+|[ _\-.]+$", "")
     return F.when(s == "", base).otherwise(s)
 
@@ -101,13 +103,41 @@ def query_terms(text: Column) -> Column:
     return F.filter(F.split(text, r"[\s\"]+"), lambda t: t != "")
 
 
+@cache
+def _plain_letters() -> tuple[str, str]:
+    """Characters whose canonical decomposition is a letter and marks, and those letters."""
+    marked, plain = [], []
+    for c in map(chr, range(0xC0, sys.maxunicode + 1)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and all(unicodedata.combining(x) for x in parts[1:]) and len(parts[0]) == 1:
+            marked.append(c)
+            plain.append(parts[0])
+    keep = [k for k, c in enumerate(marked) if ord(c) < 0x10000]  # translate() works on UTF-16 units
+    return "".join(marked[k] for k in keep), "".join(plain[k] for k in keep)
+
+
+def fold(c: Column) -> Column:
+    """Lower-case, without diacritics, be they part of a letter or marks of their own."""
+    marked, plain = _plain_letters()
+    return F.regexp_replace(F.translate(F.lower(c), marked, plain), r"\p{Mn}", "")
+
+
+def fold_text(text: str) -> str:
+    """fold() of a search text."""
+    return "".join(x for x in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(x) != "Mn")
+
+
 def fold_tokens(text: Column) -> Column:
     """Lower-case words without diacritics, in order."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def natural_key(c: Column) -> Column:
-    """Sorts digit runs by value: every run is left-padded to twelve digits."""
+    """Sorts digit runs by value, of any length: a run loses its leading zeros and is led by its length."""
     runs = F.split(F.regexp_replace(F.lower(c), r"(\d+)", "\u0001$1\u0001"), "\u0001")
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d{1,12}$"), F.lpad(r, 12, "0")).otherwise(r)), "")
+
+    def value(r: Column) -> Column:
+        digits = F.regexp_replace(r, r"^0+(?=\d)", "")
+        return F.when(r.rlike(r"^\d+$"), F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(r)
+
+    return F.array_join(F.transform(runs, value), "")

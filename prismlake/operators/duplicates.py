@@ -79,12 +79,28 @@ def near_pairs(features: DataFrame, blocked: DataFrame, t: Thresholds) -> DataFr
     return pairs.join(no, ["a", "b"], "left_anti")
 
 
-def near_groups(pairs: DataFrame) -> DataFrame:
-    """Transitive closure of the pairs; a group's similarity is the mean of its pairs'."""
-    pairs = durable(pairs)
+def near_groups(features: DataFrame, blocked: DataFrame, t: Thresholds) -> DataFrame:
+    """Transitive closure of near_pairs; a group's similarity is the mean of its pairs'.
+
+    Assets with the same hashes and vector are one vertex with a weight, so k copies make no pairs; those that are blocked with
+    another stay on their own.
+    """
+    f = durable(features.filter("phash is not null").select("asset_id", "phash", "dhash", "vector"))
+    named = blocked.select(F.explode(F.array("asset_a", "asset_b")).alias("asset_id")).filter("asset_id is not null").distinct().withColumn("own", F.lit(True))
+    marked = f.join(named, "asset_id", "left").withColumn("own", F.when(F.col("own"), F.col("asset_id")))
+    keyed = marked.withColumn("look", F.xxhash64("phash", "dhash", "vector", "own"))
+    classes = durable(keyed.groupBy("look", "phash", "dhash", "vector").agg(F.min("asset_id").alias("rep"), F.count(F.lit(1)).cast("double").alias("n")))
+    pairs = durable(near_pairs(classes.select(F.col("rep").alias("asset_id"), "phash", "dhash", "vector"), blocked, t))
+    weight = classes.select("rep", "n")
     of = connected_components(pairs)
-    score = pairs.join(of, pairs.a == of.id).groupBy("component").agg(F.avg(1 - F.col("distance") / 64).alias("similarity"))
-    return of.join(score, "component").select(F.col("component").alias("group_id"), F.col("id").alias("asset_id"), "similarity")
+    copies = classes.filter("n > 1").select("rep", (F.col("n") * (F.col("n") - 1) / 2).alias("w"), F.lit(0).alias("distance"))
+    scored = pairs.join(weight.toDF("a", "na"), "a").join(weight.toDF("b", "nb"), "b").select(F.col("a").alias("rep"), (F.col("na") * F.col("nb")).alias("w"), "distance").union(copies)
+    part = scored.join(of.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    score = part.groupBy("component").agg((F.sum(F.col("w") * (1 - F.col("distance") / 64)) / F.sum("w")).alias("similarity"))
+    member = keyed.join(classes.select("look", "phash", "rep"), ["look", "phash"]).join(of.toDF("rep", "component"), "rep", "left").select(F.coalesce("component", "rep").alias("component"), "asset_id")
+    found = member.join(score, "component")
+    least = found.groupBy("component").agg(F.min("asset_id").alias("group_id"))
+    return found.join(least, "component").select("group_id", "asset_id", "similarity")
 
 
 def burst_id_groups(assets: DataFrame) -> DataFrame:
@@ -136,7 +152,7 @@ def duplicate_groups(features: DataFrame, exclusions: DataFrame, t: Thresholds)
     blocked = exclusions.filter("asset_b is not null")
     left = durable(features.join(exclusions.filter("asset_b is null").select(F.col("asset_a").alias("asset_id")), "asset_id", "left_anti"))
     stages = (
-        ("exact", exact_groups), ("near", lambda f: near_groups(near_pairs(f.select("asset_id", "phash", "dhash", "vector"), blocked, t))), ("burst", burst_id_groups),
+        ("exact", exact_groups), ("near", lambda f: near_groups(f, blocked, t)), ("burst", burst_id_groups),
         ("burst", lambda f: star_groups(f, blocked, t.burst_seconds, t.burst_cosine)), ("similar", lambda f: star_groups(f, blocked, t.similar_seconds, t.similar_cosine)),
     )
     out = None

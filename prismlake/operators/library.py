@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold_text
 from .store import FACES, HASHES, live
 
 SCREENSHOT, LIVE_PHOTO = 4, 8
@@ -102,11 +103,14 @@ def month_key(seconds: Column) -> Column:
 
 
 def section_runs(df: DataFrame, group: str) -> DataFrame:
-    """Gaps and islands: (section, month, n) for runs of one month in date order, within each `group` so that no task sorts all rows."""
-    w = Window.partitionBy(group).orderBy(F.col("created_s").desc_nulls_last(), "asset_id")
-    keyed = df.withColumn("month", month_key(F.col("created_s")))
-    new = F.when(F.lag("month").over(w).eqNullSafe(F.col("month")), 0).otherwise(1)
-    return keyed.withColumn("_new", new).withColumn("section", F.sum("_new").over(w)).groupBy(group, "section", "month").agg(F.count(F.lit(1)).alias("n"))
+    """(section, month, n) for runs of one month in date order, newest first, within each `group`.
+
+    In date order every month is one run, and undated rows (month -1) are the last, so runs are counted by month where the rows lie and only
+    the months, not the rows, are put in order.
+    """
+    runs = df.groupBy(group, month_key(F.col("created_s")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(group).orderBy(F.desc("month"))
+    return runs.select(group, F.row_number().over(w).cast("long").alias("section"), "month", "n")
 
 
 def search(assets: DataFrame, tokens: DataFrame, tags: DataFrame, query: str) -> DataFrame:
@@ -115,7 +119,7 @@ def search(assets: DataFrame, tokens: DataFrame, tags: DataFrame, query: str) ->
     As in the catalog it serves, tombstoned rows are found too and an empty query finds nothing. % and _ act as in LIKE.
     tokens: (asset_id, token), lower case without diacritics.
     """
-    terms = [t for t in query.lower().replace('"', " ").split() if t]
+    terms = [t for t in fold_text(query).replace('"', " ").split() if t]
     ids = assets.select("asset_id")
     if not terms:
         return ids.limit(0)

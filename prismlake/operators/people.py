@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media
 from ..plans.components import connected_components
-from ..plans.durable import durable
+from ..plans.durable import drop_table, durable, write_table
 
 BLOCK = 2048
 
@@ -47,6 +47,31 @@ def nearest(vectors: DataFrame, k: int, least: float = 0.2, block: int = BLOCK)
     return top_k(found, k)
 
 
+def pair_scores(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(same, similarity, k): over all pairs of rows (face_id, label, vector), how many with equal or different labels have a similarity, to six places.
+
+    Rows are dealt into blocks; a task scores one pair of blocks and sends counts, at most one for each similarity, never pairs.
+    """
+    n = -(-labelled.count() // block) or 1
+    dealt = labelled.select("face_id", "label", "vector", F.pmod(F.xxhash64("face_id"), F.lit(n)).cast("int").alias("b"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = dealt.select("face_id", "label", "vector", F.col("b").alias("i"), others.alias("j")).filter("i <= j")
+    right = dealt.select("face_id", "label", "vector", others.alias("i"), F.col("b").alias("j")).filter("i <= j")
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return empty
+        (x, u, v), (y, s, t) = ((q.column("face_id").to_numpy(), np.array(q.column("label").to_pylist(), object), np.stack(q.column("vector").to_numpy()).astype(np.float64)) for q in (a, b))
+        first = x[:, None] < y[None, :] if a.column("i")[0] == a.column("j")[0] else np.ones((len(x), len(y)), bool)
+        key = np.rint((v @ t.T)[first] * 1e6).astype(np.int64) * 2 + (u[:, None] == s[None, :])[first]
+        keys, k = np.unique(key, return_counts=True)
+        return pa.table({"same": keys % 2 == 1, "similarity": (keys >> 1) / 1e6, "k": k}, schema=empty.schema)
+
+    empty = pa.schema([("same", pa.bool_()), ("similarity", pa.float64()), ("k", pa.int64())]).empty_table()
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(score, "same boolean, similarity double, k long")
+    return found.groupBy("same", "similarity").agg(F.sum("k").alias("k"))
+
+
 def top_k(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("face_id").orderBy(F.desc("similarity"), "neighbor")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -100,49 +125,79 @@ def must_link_roots(faces: DataFrame, constraints: DataFrame, members: DataFrame
     return known.join(connected_components(edges).withColumnRenamed("id", "face_id"), "face_id", "left").select("face_id", F.coalesce("component", "face_id").alias("root"))
 
 
-def cannot_link_roots(roots: DataFrame, constraints: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b), a < b: super-nodes that may not meet, by constraint or as different persons' confirmed ones."""
+def cannot_link_told(roots: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(a, b), a < b: super-nodes that may not meet by constraint."""
     no = constraints.filter("kind = 'cannot_link'").select("face_a", "face_b")
     ra, rb = roots.select(F.col("face_id").alias("face_a"), F.col("root").alias("x")), roots.select(F.col("face_id").alias("face_b"), F.col("root").alias("y"))
-    told = no.join(ra, "face_a").join(rb, "face_b").select("x", "y")
+    return no.join(ra, "face_a").join(rb, "face_b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def root_persons(roots: DataFrame, members: DataFrame) -> DataFrame:
+    """(root, person_id): the super-node of each person's confirmed faces. Different persons' ones may not meet: a label says so without a pair."""
+    return members.filter("confirmed").join(roots, "face_id").groupBy("person_id").agg(F.min("root").alias("root")).groupBy("root").agg(F.min("person_id").alias("person_id"))
+
+
+def cannot_link_roots(roots: DataFrame, constraints: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, that may not meet, those of different persons included: a report for few persons; clustering uses the labels."""
+    told = cannot_link_told(roots, constraints)
     persons = members.filter("confirmed").join(roots, "face_id").groupBy("person_id").agg(F.min("root").alias("r"))
     p = persons.alias("p").join(persons.alias("q"), F.expr("p.person_id < q.person_id")).select(F.col("p.r").alias("x"), F.col("q.r").alias("y"))
-    return told.union(p).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return told.union(p.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def graph_edges(neighbors: DataFrame, faces: DataFrame, roots: DataFrame, cannot: DataFrame, base: float) -> DataFrame:
-    """(a, b, weight), a < b: summed similarities of neighbours above their adaptive threshold; mutual neighbours count twice."""
-    f = faces.join(roots, "face_id")
-    a = f.select("face_id", F.col("root").alias("ra"), F.col("quality").alias("qa"), F.col("pixel_size").alias("pa"), F.col("yaw").alias("ya"))
-    b = f.select(F.col("face_id").alias("neighbor"), F.col("root").alias("rb"), F.col("quality").alias("qb"), F.col("pixel_size").alias("pb"), F.col("yaw").alias("yb"))
-    j = neighbors.join(a, "face_id").join(b, "neighbor").filter("ra <> rb")
+def graph_edges(neighbors: DataFrame, faces: DataFrame, roots: DataFrame, told: DataFrame, persons: DataFrame, base: float) -> DataFrame:
+    """(a, b, weight), a < b: summed similarities of neighbours above their adaptive threshold; mutual neighbours count twice.
+
+    told: pairs (a, b) that may not meet; persons: (root, person_id), of which no two different ones may.
+    """
+    f = faces.join(roots, "face_id").join(persons, "root", "left")
+    a = f.select("face_id", F.col("root").alias("ra"), F.col("quality").alias("qa"), F.col("pixel_size").alias("pa"), F.col("yaw").alias("ya"), F.col("person_id").alias("person_a"))
+    b = f.select(F.col("face_id").alias("neighbor"), F.col("root").alias("rb"), F.col("quality").alias("qb"), F.col("pixel_size").alias("pb"), F.col("yaw").alias("yb"), F.col("person_id").alias("person_b"))
+    j = neighbors.join(a, "face_id").join(b, "neighbor").filter("ra <> rb and not coalesce(person_a <> person_b, false)")
     t = media.adaptive_threshold(base, F.col("qa"), F.col("qb"), F.col("pa"), F.col("pb"), F.col("ya"), F.col("yb"))
     e = j.filter(F.col("similarity") >= t).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")
-    return e.join(cannot, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.sum("similarity").alias("weight"))
+    return e.join(told, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.sum("similarity").alias("weight"))
 
 
-def whispers(edges: DataFrame, cannot: DataFrame, rounds: int = 40, seed: int = 0x5EED) -> DataFrame:
-    """(root, label) by Chinese Whispers in each connected component; a label that a cannot-linked node carries is forbidden.
+def whispers(edges: DataFrame, told: DataFrame, persons: DataFrame, rounds: int = 40, seed: int = 0x5EED, small: int = 100_000) -> DataFrame:
+    """(root, label) by Chinese Whispers; a label is forbidden to a node while one that may not meet it carries it: one told, or one of another person.
 
-    Labels never leave a component, so components run alone; each visits its nodes in an order seeded by itself.
+    Labels never leave a component. Components of at most `small` edges run alone in a task each, which visits the nodes in an order
+    seeded by the component; larger ones run as rounds of grouped votes (spread_whispers).
     """
     edges = durable(edges)
-    of = connected_components(edges)
-    e = edges.join(of, edges.a == of.id).select("component", "a", "b", "weight")
-    c = cannot.join(of, cannot.a == of.id).select("component", "a", "b", F.lit(None).cast("double").alias("weight"))
-    both = e.unionByName(c)
-
+    of = durable(connected_components(edges))
+    e = durable(edges.join(of, edges.a == of.id).select("component", "a", "b", "weight"))
+    large = durable(e.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select("component"))
+    alone = e.join(large, "component", "left_anti")
+    c = told.join(of, told.a == of.id).select("component", "a", "b", F.lit(None).cast("double").alias("weight"))
+    p = persons.join(of, persons.root == of.id).select("component", F.col("root").alias("a"), F.col("person_id").alias("b"), F.lit(-1.0).alias("weight"))
+    out = alone.unionByName(c.unionByName(p).join(large, "component", "left_anti")).groupBy("component").applyInPandas(_whispers_alone(rounds, seed), "root long, label long")
+    if large.isEmpty():
+        return out
+    rest = e.join(large, "component", "left_semi").drop("component")
+    return out.union(spread_whispers(rest, told, persons, rounds, seed))
+
+
+def _whispers_alone(rounds: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         linked: dict[int, list[tuple[int, float]]] = {}
         barred: dict[int, set[int]] = {}
+        person: dict[int, int] = {}
         for a, b, w in pdf[["a", "b", "weight"]].sort_values(["a", "b"]).itertuples(index=False):
+            if w < 0:
+                person[int(a)] = int(b)
+                continue
             for x, y in ((int(a), int(b)), (int(b), int(a))):
                 if np.isnan(w):
                     barred.setdefault(x, set()).add(y)
                 else:
                     linked.setdefault(x, []).append((y, float(w)))
         nodes = sorted(linked)
-        label = {x: x for x in (*nodes, *barred)}
+        label = {x: x for x in (*nodes, *barred, *person)}
+        carried: dict[int, dict[int, int]] = {}  # label -> person -> nodes
+        for x, q in person.items():
+            carried[x] = {q: 1}
         rng = np.random.Generator(np.random.PCG64([seed, nodes[0] if nodes else 0]))
         for _ in range(rounds):
             changed = False
@@ -151,14 +206,57 @@ def whispers(edges: DataFrame, cannot: DataFrame, rounds: int = 40, seed: int =
                 for y, w in linked[x]:
                     score[label[y]] = score.get(label[y], 0.0) + w
                 bad = {label[y] for y in barred.get(x, ()) if y in label}
-                ok = [(-s, v) for v, s in score.items() if v not in bad]
+                q = person.get(x)
+                ok = [(-s, v) for v, s in score.items() if v not in bad and (q is None or not carried.get(v, {}).keys() - {q})]
                 if ok and (new := min(ok)[1]) != label[x]:
+                    if q is not None:
+                        was = carried[label[x]]
+                        was[q] -= 1
+                        if not was[q]:
+                            del was[q]
+                        now = carried.setdefault(new, {})
+                        now[q] = now.get(q, 0) + 1
                     label[x], changed = new, True
             if not changed:
                 break
         return pd.DataFrame([(x, label[x]) for x in nodes], columns=["root", "label"])
 
-    return both.groupBy("component").applyInPandas(run, "root long, label long")
+    return run
+
+
+def spread_whispers(edges: DataFrame, told: DataFrame, persons: DataFrame, rounds: int = 40, seed: int = 0x5EED) -> DataFrame:
+    """whispers() as rounds of label votes over the edge table.
+
+    In a round the nodes of one of four classes, dealt anew by a hash of node and round, take the label with the largest summed weight
+    among their neighbours (ties: the least label) that is not forbidden to them. Nodes of one class that are neighbours wait for each
+    other: only the least of them by hash moves. Votes are grouped sums, so a component of any size is spread over the cluster; rounds
+    end when none of the four classes has moved, or after `rounds` turns.
+    """
+    both = durable(edges.select(F.col("a").alias("root"), F.col("b").alias("other"), "weight").union(edges.select("b", "a", "weight")))
+    barred = durable(told.select(F.col("a").alias("root"), F.col("b").alias("other")).union(told.select("b", "a")))
+    persons = durable(persons)
+    nodes = both.select("root").distinct().union(barred.select("root")).union(persons.select("root")).distinct()
+    labels, path = write_table(nodes.select("root", F.col("root").alias("label")).join(persons, "root", "left"))
+    still = 0
+    for turn in range(4 * rounds):
+        draw = lambda c: F.xxhash64(F.col(c), F.lit(seed), F.lit(turn // 4))
+        mine = F.pmod(draw("root"), F.lit(4)) == turn % 4
+        theirs = F.pmod(draw("other"), F.lit(4)) == turn % 4
+        waits = both.filter(mine & theirs & (draw("other") < draw("root"))).select("root").distinct()
+        voters = both.filter(mine).join(waits, "root", "left_anti")
+        votes = voters.join(labels.select(F.col("root").alias("other"), "label"), "other").groupBy("root", "label").agg(F.round(F.sum("weight"), 9).alias("score"))
+        bad = barred.join(labels.select(F.col("root").alias("other"), "label"), "other").select("root", "label").distinct()
+        named = labels.filter("person_id is not null").groupBy("label").agg(F.min("person_id").alias("least"), F.max("person_id").alias("most"))
+        votes = votes.join(bad, ["root", "label"], "left_anti").join(named, "label", "left").join(persons, "root", "left")
+        votes = votes.filter("person_id is null or least is null or (least = person_id and most = person_id)")
+        won = votes.groupBy("root").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("new"))
+        moved, after = write_table(labels.join(won, "root", "left").select("root", F.coalesce("new", "label").alias("label"), "person_id", (F.coalesce("new", "label") != F.col("label")).alias("moved")))
+        still = 0 if not moved.filter("moved").isEmpty() else still + 1
+        drop_table(edges.sparkSession, path)
+        labels, path = moved.drop("moved"), after
+        if still == 4:
+            break
+    return labels.join(both.select("root").distinct(), "root", "left_semi").select("root", "label")
 
 
 def build_clusters(faces: DataFrame, roots: DataFrame, labels: DataFrame, members: DataFrame, min_size: int) -> DataFrame:
@@ -279,12 +377,12 @@ def suggestions(faces: DataFrame, members: DataFrame, persons: DataFrame, constr
 
 
 def calibration(pairs: DataFrame) -> DataFrame:
-    """(threshold, tp, fp, fn, tn, balanced) for thresholds -0.20, -0.19, .. 0.99 over pairs (similarity, same).
+    """(threshold, tp, fp, fn, tn, balanced) for thresholds -0.20, -0.19, .. 0.99 over counts of pairs (similarity, same, k).
 
-    Pairs are counted by hundredths first, so the sweep runs over 121 rows whatever their number.
+    They are summed by hundredths first, so the sweep runs over 121 rows whatever their number.
     """
     hundredth = F.floor(F.round(F.col("similarity") * 100, 6)).cast("int")
-    bins = pairs.groupBy(F.least(F.greatest(hundredth, F.lit(-21)), F.lit(99)).alias("h")).agg(F.count_if("same").alias("s"), F.count_if(~F.col("same")).alias("d"))
+    bins = pairs.groupBy(F.least(F.greatest(hundredth, F.lit(-21)), F.lit(99)).alias("h")).agg(F.sum(F.when(F.col("same"), F.col("k")).otherwise(0)).alias("s"), F.sum(F.when(~F.col("same"), F.col("k")).otherwise(0)).alias("d"))
     steps = pairs.sparkSession.range(-20, 100).select(F.col("id").cast("int").alias("k"))
     n = steps.join(bins).groupBy("k").agg(*[F.sum(F.when(c, F.col(x)).otherwise(0)).alias(a) for a, x, c in (("tp", "s", F.expr("h >= k")), ("fp", "d", F.expr("h >= k")), ("fn", "s", F.expr("h < k")), ("tn", "d", F.expr("h < k")))])
     balanced = (F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")) + F.try_divide(F.col("tn"), F.col("tn") + F.col("fp"))) / 2

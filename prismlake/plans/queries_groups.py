@@ -39,17 +39,21 @@ def _pairs(c: Catalog) -> DataFrame:
     return duplicates.near_pairs(_prints(c), c.exclusions.filter("asset_b is not null"), LOOSE)
 
 
+def _near(c: Catalog) -> DataFrame:
+    return duplicates.near_groups(_prints(c), c.exclusions.filter("asset_b is not null"), LOOSE)
+
+
 query(f"WITH {_PAIRS} SELECT a, b, distance FROM pairs", "near_pairs")(_pairs)
 _GROUPS = f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), r AS (SELECT DISTINCT a, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a), g AS (SELECT a AS asset_id, min(c) AS group_id FROM r GROUP BY 1)"
-query(_GROUPS + " SELECT g.group_id, g.asset_id, round(s.s, 6) AS similarity FROM g JOIN (SELECT group_id, avg(1 - distance / 64.0) AS s FROM pairs JOIN g ON g.asset_id = pairs.a GROUP BY 1) s USING (group_id)", "near_components")(lambda c: duplicates.near_groups(_pairs(c)).withColumn("similarity", F.round("similarity", 6)))
-query(_GROUPS + " SELECT group_id, round(avg(1 - distance / 64.0), 6) AS mean_score FROM pairs JOIN g ON g.asset_id = pairs.a GROUP BY 1", "agg_mean_pair_score")(lambda c: duplicates.near_groups(_pairs(c)).groupBy("group_id").agg(F.round(F.max("similarity"), 6).alias("mean_score")))
+query(_GROUPS + " SELECT g.group_id, g.asset_id, round(s.s, 6) AS similarity FROM g JOIN (SELECT group_id, avg(1 - distance / 64.0) AS s FROM pairs JOIN g ON g.asset_id = pairs.a GROUP BY 1) s USING (group_id)", "near_components")(lambda c: _near(c).withColumn("similarity", F.round("similarity", 6)))
+query(_GROUPS + " SELECT group_id, round(avg(1 - distance / 64.0), 6) AS mean_score FROM pairs JOIN g ON g.asset_id = pairs.a GROUP BY 1", "agg_mean_pair_score")(lambda c: _near(c).groupBy("group_id").agg(F.round(F.max("similarity"), 6).alias("mean_score")))
 _BURST = "SELECT min(asset_id) OVER w AS group_id, asset_id FROM assets WHERE burst_id IS NOT NULL WINDOW w AS (PARTITION BY library_id, burst_id) QUALIFY count(*) OVER w > 1"
 query(_BURST, "burst_id")(lambda c: duplicates.burst_id_groups(c.assets).select("group_id", "asset_id"))
 
 
 def _timed(c: Catalog) -> DataFrame:
     """Moments with the vector of the print their number falls on."""
-    m = c.moments.select("asset_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("asset_id") % 500).alias("v"))
+    m = c.moments.select("asset_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.pmod("asset_id", F.lit(c.prints.count())).alias("v"))
     return m.join(c.prints.select(F.col("asset_id").alias("v"), F.col("coefficients").alias("vector")), "v").select("asset_id", (F.pmod("asset_id", F.lit(2))).alias("library_id"), (F.col("us") / 1e6).alias("at"), "vector")
 
 
@@ -62,19 +66,27 @@ query(name="similar_window")(lambda c: duplicates.star_groups(_timed(c), _blocks
 query(name="join_time_window")(lambda c: duplicates.star_groups(_timed(c), _blocks(c), 300, -1.0))
 
 
+def _factors(c: Catalog) -> DataFrame:
+    """Every asset's factors of the ranking."""
+    edited = c.edits.select("asset_id").distinct().withColumn("edited", F.lit(True))
+    placed = c.album_members.select("asset_id").distinct().withColumn("placed", F.lit(True))
+    a = c.assets.join(c.looks, "asset_id").join(edited, "asset_id", "left").join(placed, "asset_id", "left")
+    exposure = F.when(F.col("sharpness").isNotNull(), media.exposure_score(F.col("luma"), F.col("clipped")))
+    return a.select("asset_id", media.quality_score(F.col("sharpness"), F.col("noise")).alias("technical"), "face_quality", "aesthetic", (F.col("width") * F.col("height") / 1e6).alias("resolution"), exposure.alias("exposure"), media.preference(F.col("favorite"), F.col("edited"), F.col("placed")).alias("preference"))
+
+
 def _members(c: Catalog) -> DataFrame:
     """Exact groups with the factors of the ranking."""
-    g = duplicates.exact_groups(c.assets).select("group_id", "asset_id")
-    a = c.assets.select("asset_id", media.quality_score(F.col("sharpness"), F.col("noise")).alias("technical"), "face_quality", F.lit(None).cast("double").alias("aesthetic"), (F.col("width") * F.col("height") / 1e6).alias("resolution"), F.col("noise").alias("exposure"), F.when(F.col("favorite"), 0.7).otherwise(0.0).alias("preference"))
-    return g.join(a, "asset_id")
+    return duplicates.exact_groups(c.assets).select("group_id", "asset_id").join(_factors(c), "asset_id")
 
 
-_RANK = f"""g AS ({_EXACT}), m AS (SELECT g.group_id, a.asset_id, 0.75 * sharpness + 0.25 * noise AS technical, face_quality, width * height / 1e6 AS resolution, noise AS exposure, CASE WHEN favorite THEN 0.7 ELSE 0.0 END AS preference FROM g JOIN assets a USING (asset_id)),
-n AS (SELECT group_id, asset_id, {', '.join(f"CASE WHEN min({f}) OVER w IS NULL THEN NULL WHEN max({f}) OVER w > min({f}) OVER w THEN coalesce(({f} - min({f}) OVER w) / (max({f}) OVER w - min({f}) OVER w), 0) ELSE 0 END AS {f}" for f in ('technical', 'face_quality', 'resolution', 'exposure', 'preference'))} FROM m WINDOW w AS (PARTITION BY group_id)),
-s AS (SELECT *, (0.30 * coalesce(technical, 0) + 0.20 * coalesce(face_quality, 0) + 0.15 * coalesce(resolution, 0) + 0.10 * coalesce(exposure, 0) + 0.10 * coalesce(preference, 0)) / (CASE WHEN technical IS NULL THEN 0 ELSE 0.30 END + CASE WHEN face_quality IS NULL THEN 0 ELSE 0.20 END + 0.15 + 0.10 + 0.10) AS score FROM n),
+_WEIGHTS = [(f, w) for f, w, _ in duplicates.FACTORS]
+_RANK = f"""g AS ({_EXACT}), m AS (SELECT g.group_id, a.asset_id, 0.75 * sharpness + 0.25 * noise AS technical, face_quality, aesthetic, width * height / 1e6 AS resolution, CASE WHEN sharpness IS NOT NULL THEN greatest(0, 1 - least(1, abs(luma - 118) / 118) - 2 * clipped) END AS exposure, CASE WHEN favorite THEN 0.7 ELSE 0.0 END + CASE WHEN a.asset_id IN (SELECT asset_id FROM edits) THEN 0.2 ELSE 0.0 END + CASE WHEN a.asset_id IN (SELECT asset_id FROM album_members) THEN 0.1 ELSE 0.0 END AS preference FROM g JOIN assets a USING (asset_id) JOIN looks USING (asset_id)),
+n AS (SELECT group_id, asset_id, {', '.join(f"CASE WHEN min({f}) OVER w IS NULL THEN NULL WHEN max({f}) OVER w > min({f}) OVER w THEN coalesce(({f} - min({f}) OVER w) / (max({f}) OVER w - min({f}) OVER w), 0) ELSE 0 END AS {f}" for f, _ in _WEIGHTS)} FROM m WINDOW w AS (PARTITION BY group_id)),
+s AS (SELECT *, ({' + '.join(f"{w} * coalesce({f}, 0)" for f, w in _WEIGHTS)}) / ({' + '.join(f"CASE WHEN {f} IS NULL THEN 0 ELSE {w} END" for f, w in _WEIGHTS)}) AS score FROM n),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY round(score, 9) DESC, asset_id) AS INT) AS rank FROM s)"""
 query(f"WITH {_RANK} SELECT group_id, asset_id, round(score, 6) AS score, rank FROM r", "rank_best_shot")(lambda c: duplicates.rank_best(_members(c)).select("group_id", "asset_id", F.round("score", 6).alias("score"), "rank"))
-_EXPLAIN = f"""WITH {_RANK}, x AS (SELECT group_id, asset_id, rank, unnest([1, 2, 4, 5, 6]) AS k, unnest([0.30, 0.20, 0.15, 0.10, 0.10]) AS wt, unnest(['the sharpest, cleanest detail', 'the best face-capture quality', 'more usable resolution', 'the most balanced exposure', 'your favourite/edit history']) AS phrase, unnest([technical, face_quality, resolution, exposure, preference]) AS v FROM r),
+_EXPLAIN = f"""WITH {_RANK}, x AS (SELECT group_id, asset_id, rank, unnest({[k for k, _ in enumerate(duplicates.FACTORS)]}) AS k, unnest({[w for _, w in _WEIGHTS]}) AS wt, unnest([{', '.join("'" + p + "'" for _, _, p in duplicates.FACTORS)}]) AS phrase, unnest([{', '.join(f for f, _ in _WEIGHTS)}]) AS v FROM r),
 l AS (SELECT group_id, k, phrase, wt * max(v) FILTER (rank = 1) AS lead FROM x GROUP BY group_id, k, phrase, wt HAVING max(v) FILTER (rank = 1) > coalesce(max(coalesce(v, 0)) FILTER (rank > 1), 0) + 0.1),
 t AS (SELECT group_id, list(phrase ORDER BY lead DESC, k)[1:3] AS top FROM l GROUP BY 1)
 SELECT r.group_id, r.asset_id AS recommended, CASE WHEN top IS NULL THEN 'Recommended as the best overall balance; differences are small.' WHEN len(top) = 1 THEN 'Recommended because it has ' || top[1] || '.' ELSE 'Recommended because it has ' || array_to_string(top[1:len(top) - 1], ', ') || ', and ' || top[len(top)] || '.' END AS explanation FROM r LEFT JOIN t USING (group_id) WHERE rank = 1"""
@@ -99,8 +111,7 @@ def duplicates_all(c: Catalog) -> DataFrame:
 def flagship(c: Catalog) -> DataFrame:
     """Every group of every tier with its ranking and explanation, in the order the tiers are shown."""
     g = _all_groups(c)
-    a = c.assets.select("asset_id", media.quality_score(F.col("sharpness"), F.col("noise")).alias("technical"), "face_quality", F.lit(None).cast("double").alias("aesthetic"), (F.col("width") * F.col("height") / 1e6).alias("resolution"), F.col("noise").alias("exposure"), F.when(F.col("favorite"), 0.7).otherwise(0.0).alias("preference"))
-    ranked = duplicates.rank_best(g.join(a, "asset_id"))
+    ranked = duplicates.rank_best(g.join(_factors(c), "asset_id"))
     told = duplicates.explain_best(ranked)
     return ranked.select("tier", "group_id", "asset_id", F.round("score", 6).alias("score"), "rank").join(told.select("group_id", "explanation"), "group_id")
 
@@ -193,7 +204,8 @@ def adaptive_threshold(c: Catalog) -> DataFrame:
 
 
 def _edges(c: Catalog) -> DataFrame:
-    return people.graph_edges(_knn(c), _usable(c), _roots(c), _cannot(c), 0.1)
+    roots = _roots(c)
+    return people.graph_edges(_knn(c), _usable(c), roots, people.cannot_link_told(roots, c.constraints), people.root_persons(roots, c.membership), 0.1)
 
 
 _KNN_ONLY = _KNN.split("u AS (SELECT * FROM f WHERE quality >= 0.15), ")[1]
@@ -201,7 +213,8 @@ query(f"WITH RECURSIVE {_ROOTS}, {_CANNOT}, {_KNN_ONLY} SELECT least(ra.root, rb
 
 
 def _labels(c: Catalog) -> DataFrame:
-    return people.whispers(_edges(c), _cannot(c))
+    roots = _roots(c)
+    return people.whispers(_edges(c), people.cannot_link_told(roots, c.constraints), people.root_persons(roots, c.membership))
 
 
 query(name="chinese_whispers")(_labels)
@@ -230,13 +243,10 @@ query(f"WITH {_STATS} SELECT cluster, CASE WHEN cluster % 4 = 0 THEN 'confirmed'
 
 
 def _label_pairs(c: Catalog) -> DataFrame:
-    e = c.raw("embeddings").filter("vec_id < 500").select("vec_id", "label", "embedding")
-    x, y = e.select([F.col(k).alias(f"x_{k}") for k in e.columns]), e.select([F.col(k).alias(f"y_{k}") for k in e.columns])
-    near = x.join(y, F.col("x_vec_id") < F.col("y_vec_id"))
-    return near.select(F.round(media.dot(F.col("x_embedding"), F.col("y_embedding")), 6).alias("similarity"), (F.col("x_label") == F.col("y_label")).alias("same"))
+    return people.pair_scores(c.raw("embeddings").select(F.col("vec_id").alias("face_id"), "label", F.col("embedding").alias("vector")))
 
 
-_LP = f"lp AS (SELECT round({_DOT}, 6) AS similarity, x.label = y.label AS same FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE x.vec_id < 500 AND y.vec_id < 500)"
+_LP = f"lp AS (SELECT round({_DOT}, 6) AS similarity, x.label = y.label AS same FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
 query(f"WITH {_LP}, h AS (SELECT least(greatest(CAST(floor(round(similarity * 100, 6)) AS INT), -21), 99) AS h, count(*) FILTER (same) AS s, count(*) FILTER (NOT same) AS d FROM lp GROUP BY 1), t AS (SELECT k, CAST(sum(CASE WHEN h >= k THEN s ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN h >= k THEN d ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN h < k THEN s ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN h < k THEN d ELSE 0 END) AS BIGINT) AS tn FROM h, (SELECT unnest(range(-20, 100)) AS k) GROUP BY 1) SELECT k / 100 AS threshold, tp, fp, fn, tn, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced FROM t", "agg_calibration")(lambda c: people.calibration(_label_pairs(c)))
 
 
@@ -245,7 +255,7 @@ def percentile_rank_sweep(c: Catalog) -> DataFrame:
     """Percentiles as elements of the sorted scores, at index floor((n - 1) p); counts of equal scores come first."""
     from pyspark.sql import Window
 
-    n = _label_pairs(c).groupBy("same", "similarity").agg(F.count(F.lit(1)).alias("k"))
+    n = _label_pairs(c)
     w = Window.partitionBy("same").orderBy("similarity")
     cum = n.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy("same")))
     at = F.explode(F.transform(F.array(*map(F.lit, (5, 50, 99))), lambda p: F.struct(p.alias("p"), F.floor((F.col("n") - 1) * p / 100).alias("i"))))

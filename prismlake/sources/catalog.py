@@ -37,6 +37,7 @@ ADAPTERS: dict[str, tuple[str, list[str], str]] = {
         ],
         "",
     ),
+    "looks": ("documents", ["doc_id AS asset_id", "CAST(doc_id * 19 % 256 AS DOUBLE) AS luma", "CAST(doc_id * 23 % 40 AS DOUBLE) / 100 AS clipped", "CASE WHEN doc_id % 10 = 0 THEN NULL ELSE CAST(doc_id * 43 % 100 AS DOUBLE) / 100 END AS aesthetic"], ""),
     "texts": ("documents", ["doc_id AS asset_id", "text"], ""),
     "libraries": ("nation", ["CAST(n_nationkey AS BIGINT) AS library_id", "n_name AS name", "CASE WHEN n_nationkey = 1 THEN 'photokit_system' WHEN n_nationkey % 2 = 0 THEN 'photoslibrary_readonly' ELSE 'import_folder' END AS kind", "'/lib/' || n_name AS path", "CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE CAST(n_nationkey * 100 AS BIGINT) END AS opened_s"], ""),
     "faces": (

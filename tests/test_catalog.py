@@ -236,8 +236,8 @@ def cluster(spark, faces, constraints=(), members=()):
     c = spark.createDataFrame(list(constraints), "face_a long, face_b long, kind string")
     m = spark.createDataFrame(list(members), "face_id long, person_id long, confirmed boolean")
     roots = people.must_link_roots(faces, c, m)
-    cannot = people.cannot_link_roots(roots, c, m)
-    labels = people.whispers(people.graph_edges(people.nearest(faces, 30), faces, roots, cannot, 0.45), cannot)
+    told, persons = people.cannot_link_told(roots, c), people.root_persons(roots, m)
+    labels = people.whispers(people.graph_edges(people.nearest(faces, 30), faces, roots, told, persons, 0.45), told, persons)
     return people.build_clusters(faces, roots, labels, m, 3), c, m
 
 
@@ -259,6 +259,15 @@ def test_three_identities(spark):
     assert {r.x for r in labels} == {"likely"}
 
 
+def test_large_components_run_as_rounds(spark):
+    """Two triangles that meet in one weak edge fall apart, and a person's faces do not take another's label."""
+    edges = [(1, 2, 0.9), (2, 3, 0.9), (1, 3, 0.9), (4, 5, 0.9), (5, 6, 0.9), (4, 6, 0.9), (3, 4, 0.2)]
+    e = spark.createDataFrame(edges, "a long, b long, weight double")
+    none, persons = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([(1, 7), (6, 8)], "root long, person_id long")
+    got = {r.root: r.label for r in people.whispers(e, none, persons, small=0, rounds=6).collect()}
+    assert len({got[k] for k in (1, 2, 3)}) == len({got[k] for k in (4, 5, 6)}) == 1 and got[1] != got[6]
+
+
 def test_constraints_hold(spark):
     faces = identities(spark)
     got, c, m = cluster(spark, faces, [(1, 2, "cannot_link")])
