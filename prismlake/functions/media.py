@@ -112,5 +112,36 @@ def quad_area(points: list[tuple[Column, Column]]) -> Column:
     return F.abs(total) / 2
 
 
+def flip_box(y: Column, height: Column) -> Column:
+    """The top of a normalised box measured from the other edge."""
+    return 1 - (y + height)
+
+
+# The five points (eyes, nose, corners of the mouth) of a 112 x 112 aligned face.
+FACE_POINTS = ((38.2946, 51.6963), (73.5318, 51.5014), (56.0252, 71.7366), (41.5493, 92.3655), (70.7299, 92.2041))
+
+
+def similarity_transform(source: list[tuple[Column, Column]], target: list[tuple[float, float]] = FACE_POINTS) -> Column:
+    """struct(a, b, tx, ty) of the least-squares rotation, scale and shift x' = a x - b y + tx, y' = b x + a y + ty; null where all points are one."""
+    n = len(source)
+    mean = lambda cs: sum(cs[1:], cs[0]) / n
+    mx, my = mean([x for x, _ in source]), mean([y for _, y in source])
+    ux, uy = sum(x for x, _ in target) / n, sum(y for _, y in target) / n
+    total = lambda f: sum((f(x - mx, y - my, u - ux, v - uy) for (x, y), (u, v) in zip(source, target, strict=True)), F.lit(0.0))
+    spread = total(lambda x, y, u, v: x * x + y * y)
+    a, b = total(lambda x, y, u, v: x * u + y * v) / spread, total(lambda x, y, u, v: x * v - y * u) / spread
+    return F.when(spread > 1e-9, F.struct(a.alias("a"), b.alias("b"), (ux - (a * mx - b * my)).alias("tx"), (uy - (b * mx + a * my)).alias("ty")))
+
+
+def seal(vector: Column, key: Column) -> Column:
+    """A vector under AES-GCM with a random nonce of its own."""
+    return F.aes_encrypt(F.to_json(vector).cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"))
+
+
+def unseal(sealed: Column, key: Column) -> Column:
+    """The vector of seal(); another key or changed bytes are an error."""
+    return F.from_json(F.aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT")).cast("string"), "array<double>")
+
+
 def psnr(mean_squared_error: Column, peak: float = 255.0) -> Column:
     return F.when(mean_squared_error > 0, 10 * F.log10(F.lit(peak * peak) / mean_squared_error)).otherwise(F.lit(math.inf))

@@ -141,3 +141,8 @@ def natural_key(c: Column) -> Column:
         return F.when(r.rlike(r"^\d+$"), F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(r)
 
     return F.array_join(F.transform(runs, value), "")
+
+
+def exif_seconds(c: Column) -> Column:
+    """Unix seconds of an EXIF date 'yyyy:MM:dd HH:mm:ss', null where it is none."""
+    return F.unix_seconds(F.try_to_timestamp(c, F.lit("yyyy:MM:dd HH:mm:ss")))

@@ -113,6 +113,11 @@ def section_runs(df: DataFrame, group: str) -> DataFrame:
     return runs.select(group, F.row_number().over(w).cast("long").alias("section"), "month", "n")
 
 
+def shuffled(key: Column, seed: int) -> Column:
+    """A sort key that puts rows in an order of its own for each seed."""
+    return F.md5(F.concat(F.lit(f"{seed}/"), key.cast("string")))
+
+
 def search(assets: DataFrame, tokens: DataFrame, tags: DataFrame, query: str) -> DataFrame:
     """asset_id of rows that match: all terms as token prefixes, or the query inside title, filename or key, or inside a user's tag.
 

@@ -229,32 +229,36 @@ def spread_whispers(edges: DataFrame, told: DataFrame, persons: DataFrame, round
 
     In a round the nodes of one of four classes, dealt anew by a hash of node and round, take the label with the largest summed weight
     among their neighbours (ties: the least label) that is not forbidden to them. Nodes of one class that are neighbours wait for each
-    other: only the least of them by hash moves. Votes are grouped sums, so a component of any size is spread over the cluster; rounds
-    end when none of the four classes has moved, or after `rounds` turns.
+    other: only the least of them by hash moves. Votes are grouped sums, so a component of any size is spread over the cluster; it ends
+    when no node would move, or after `rounds` turns.
     """
     both = durable(edges.select(F.col("a").alias("root"), F.col("b").alias("other"), "weight").union(edges.select("b", "a", "weight")))
     barred = durable(told.select(F.col("a").alias("root"), F.col("b").alias("other")).union(told.select("b", "a")))
     persons = durable(persons)
     nodes = both.select("root").distinct().union(barred.select("root")).union(persons.select("root")).distinct()
     labels, path = write_table(nodes.select("root", F.col("root").alias("label")).join(persons, "root", "left"))
+
+    def won(voters: DataFrame) -> DataFrame:
+        """(root, new): the label that each voting node would take."""
+        votes = voters.join(labels.select(F.col("root").alias("other"), "label"), "other").groupBy("root", "label").agg(F.round(F.sum("weight"), 9).alias("score"))
+        bad = barred.join(labels.select(F.col("root").alias("other"), "label"), "other").select("root", "label").distinct()
+        named = labels.filter("person_id is not null").groupBy("label").agg(F.min("person_id").alias("least"), F.max("person_id").alias("most"))
+        votes = votes.join(bad, ["root", "label"], "left_anti").join(named, "label", "left").join(persons, "root", "left")
+        votes = votes.filter("person_id is null or least is null or (least = person_id and most = person_id)")
+        return votes.groupBy("root").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("new"))
+
     still = 0
     for turn in range(4 * rounds):
         draw = lambda c: F.xxhash64(F.col(c), F.lit(seed), F.lit(turn // 4))
         mine = F.pmod(draw("root"), F.lit(4)) == turn % 4
         theirs = F.pmod(draw("other"), F.lit(4)) == turn % 4
         waits = both.filter(mine & theirs & (draw("other") < draw("root"))).select("root").distinct()
-        voters = both.filter(mine).join(waits, "root", "left_anti")
-        votes = voters.join(labels.select(F.col("root").alias("other"), "label"), "other").groupBy("root", "label").agg(F.round(F.sum("weight"), 9).alias("score"))
-        bad = barred.join(labels.select(F.col("root").alias("other"), "label"), "other").select("root", "label").distinct()
-        named = labels.filter("person_id is not null").groupBy("label").agg(F.min("person_id").alias("least"), F.max("person_id").alias("most"))
-        votes = votes.join(bad, ["root", "label"], "left_anti").join(named, "label", "left").join(persons, "root", "left")
-        votes = votes.filter("person_id is null or least is null or (least = person_id and most = person_id)")
-        won = votes.groupBy("root").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("new"))
-        moved, after = write_table(labels.join(won, "root", "left").select("root", F.coalesce("new", "label").alias("label"), "person_id", (F.coalesce("new", "label") != F.col("label")).alias("moved")))
+        new = F.coalesce("new", "label")
+        moved, after = write_table(labels.join(won(both.filter(mine).join(waits, "root", "left_anti")), "root", "left").select("root", new.alias("label"), "person_id", (new != F.col("label")).alias("moved")))
         still = 0 if not moved.filter("moved").isEmpty() else still + 1
         drop_table(edges.sparkSession, path)
         labels, path = moved.drop("moved"), after
-        if still == 4:
+        if still >= 4 and won(both).join(labels, "root").filter("new <> label").isEmpty():  # some only waited
             break
     return labels.join(both.select("root").distinct(), "root", "left_semi").select("root", "label")
 

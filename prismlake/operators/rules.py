@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 
 # File-name patterns, size tables, label and word lists that decide categories.
 SCREENSHOT_NAMES = "^(screenshot|screen shot|screen_shot|scr_|screencapture|capture d’écran|bildschirmfoto)"
-WHATSAPP_NAMES = r"^IMG-\d{8}-WA\d+|^whatsapp (image|video)|-WA\d{4}\.[A-Za-z]+$"
-SOCIAL_NAMES = r"^(FB_IMG_|received_|Snapchat-|InShot_|IMG_\d{8}_\d{6}_\d+)|instagram"
+WHATSAPP_NAMES = (r"^IMG-\d{8}-WA\d+", r"^whatsapp (image|video)", r"-WA\d{4}\.[A-Za-z]+$")
+SOCIAL_NAMES = (r"^FB_IMG_", r"^received_", r"^Snapchat-", r"^InShot_", r"^IMG_\d{8}_\d{6}_\d+", r"instagram")
 SCREEN_SIZES = (
-    "1170x2532 1179x2556 1284x2778 1290x2796 1125x2436 1242x2688 828x1792 750x1334 1080x1920 1242x2208 640x1136 1206x2622 1320x2868 1080x2340 1080x2400 1080x2220 1440x3200 1440x3120 "
-    "1440x3040 1440x2960 720x1600 720x1520 1080x2408 1080x2412 1600x2560 1800x2880 900x1440 800x1280 1440x2560 1964x3024 2234x3456 1664x2560 1117x1728 982x1512 1050x1680 "
-    "1200x1920 768x1366 1620x2160 1668x2388 2048x2732 1536x2048"
+    (1170, 2532), (1179, 2556), (1284, 2778), (1290, 2796), (1125, 2436), (1242, 2688), (828, 1792), (750, 1334), (1080, 1920), (1242, 2208), (640, 1136), (1206, 2622),
+    (1320, 2868), (1080, 2340), (1080, 2400), (1080, 2220), (1440, 3200), (1440, 3120), (1440, 3040), (1440, 2960), (720, 1600), (720, 1520), (1080, 2408), (1080, 2412),
+    (1600, 2560), (1800, 2880), (900, 1440), (800, 1280), (1440, 2560), (1964, 3024), (2234, 3456), (1664, 2560), (1117, 1728), (982, 1512), (1050, 1680), (1200, 1920),
+    (768, 1366), (1620, 2160), (1668, 2388), (2048, 2732), (1536, 2048),
 )
 WHATSAPP_EDGES = (1600, 1280, 2560, 4096, 1024)
-SOCIAL_SIZES = "1080x1080 1080x1350 1080x1920 1080x566 1080x608 1200x630 1200x675 1600x900 1080x1440 640x640 750x750 720x1280 1024x512 1500x500 1200x1200"
+SOCIAL_SIZES = (
+    (1080, 1080), (1080, 1350), (1080, 1920), (1080, 566), (1080, 608), (1200, 630), (1200, 675), (1600, 900), (1080, 1440), (640, 640), (750, 750), (720, 1280),
+    (1024, 512), (1500, 500), (1200, 1200),
+)
 RECEIPT_WORDS = ("total", "subtotal", "grand total", "gst", "cgst", "sgst", "igst", "invoice", "receipt", "bill no", "amount", "qty", "tax", "cash", "paid", "₹", "rs.", "inr", "mrp", "balance", "upi", "gstin", "hsn", "payment")
 SEXUAL_TERMS = ("nude", "naked", "topless", "undress", "nsfw", "explicit", "sexual", "lingerie", "porn")
 MINOR_TERMS = ("child", "children", "kid", "kids", "teen", "teenage", "underage", "minor", "schoolgirl", "schoolboy", "young-looking", "loli", "shota", "baby", "toddler")
@@ -30,15 +34,19 @@ def is_screenshot_name(name: Column) -> Column:
 
 
 def is_whatsapp_name(name: Column) -> Column:
-    return name.rlike("(?i)" + WHATSAPP_NAMES)
+    return _any_like(name, WHATSAPP_NAMES)
 
 
 def is_social_name(name: Column) -> Column:
-    return name.rlike("(?i)" + SOCIAL_NAMES)
+    return _any_like(name, SOCIAL_NAMES)
+
+
+def _size_in(a: Column, b: Column, sizes: tuple[tuple[int, int], ...]) -> Column:
+    return F.concat_ws("x", a.cast("string"), b.cast("string")).isin(*[f"{x}x{y}" for x, y in sizes])
 
 
-def _size_in(a: Column, b: Column, sizes: str) -> Column:
-    return F.concat_ws("x", a.cast("string"), b.cast("string")).isin(*sizes.split())
+def _any_like(name: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [name.rlike("(?i)" + p) for p in patterns])
 
 
 def _device() -> Column:
@@ -124,6 +132,22 @@ def push_layer(layers: Column, cursor: Column, layer: Column) -> Column:
     return F.concat(active_layers(layers, cursor), F.array(layer))
 
 
+STACK_VERSION = 1
+STACK_SCHEMA = "cursor int, layers array<string>, version int"
+
+
+def encode_stack(layers: Column, cursor: Column, version: int = STACK_VERSION) -> Column:
+    """JSON of an edit stack, keys in order."""
+    return F.to_json(F.struct(cursor.cast("int").alias("cursor"), layers.alias("layers"), F.lit(version).alias("version")))
+
+
+def decode_stack(json: Column) -> Column:
+    """The stack of encode_stack(); one that is unreadable or of a newer version is an error."""
+    stack = F.from_json(json, STACK_SCHEMA)
+    known = F.when(stack["version"].isNull(), F.raise_error(F.lit("unreadable edit stack"))).when(stack["version"] > STACK_VERSION, F.raise_error(F.lit("edit stack is newer than this library"))).otherwise(stack)
+    return F.when(json.isNotNull(), known)
+
+
 RULE_SCHEMA = "version int, people array<long>, peopleMatch string, nameContains string, tags array<string>, categories array<string>, match string, media string, favoritesOnly boolean"
 
 
@@ -131,6 +155,11 @@ def decode_rule(json: Column) -> Column:
     return F.from_json(json, RULE_SCHEMA)
 
 
+def encode_rule(rule: Column) -> Column:
+    """JSON of an album rule with RULE_SCHEMA's fields."""
+    return F.to_json(rule)
+
+
 @dataclass
 class AlbumRule:
     people: list[int] = field(default_factory=list)

@@ -6,11 +6,14 @@ only when statistics prove them small.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import shared_dir
+
 METADATA, HASHES, FILE_HASH, FACES, FACE_EMBEDDINGS, SCENE, OCR, CLASSIFIED, SENSITIVE = (1 << k for k in range(9))
 
 
@@ -77,6 +80,17 @@ def latest(df: DataFrame, keys: Sequence[str], by: Sequence[Column]) -> DataFram
     return packed.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def delete_all(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, removed, remaining) after copies of the tables in the shared folder have been overwritten by empty ones of their schema."""
+    base, out = f"{shared_dir(spark)}/all-{uuid.uuid4().hex}", []
+    for name, df in tables.items():
+        df.write.parquet(f"{base}/{name}")
+        n = spark.read.parquet(f"{base}/{name}").count()
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{base}/{name}")
+        out.append((name, n, spark.read.schema(df.schema).parquet(f"{base}/{name}").count()))
+    return spark.createDataFrame(out, "name string, removed long, remaining long")
+
+
 def replace_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """old without the keys of new, and new."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new.select(*old.columns))

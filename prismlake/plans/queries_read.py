@@ -126,7 +126,7 @@ def sort_grid(c: Catalog) -> DataFrame:
 
 query("SELECT person_id, name FROM persons ORDER BY lower(name)", "sort_nocase")(lambda c: c.persons.select("person_id", "name").orderBy(F.expr("name collate UTF8_LCASE")))
 query("SELECT CAST((SELECT count(*) FROM assets WHERE NOT deleted) AS BIGINT) AS total, asset_id FROM assets WHERE NOT deleted ORDER BY created_s DESC NULLS LAST, asset_id LIMIT 20 OFFSET 40", "page")(lambda c: library.page(store.live(c.assets), library.sort_keys("newest"), 40, 20).select("asset_id").crossJoin(store.live(c.assets).agg(F.count(F.lit(1)).alias("total"))))
-query(name="slideshow_order")(lambda c: store.live(c.assets).select("asset_id").orderBy(F.xxhash64("asset_id", F.lit(7))))
+query("SELECT asset_id FROM assets WHERE NOT deleted ORDER BY md5('7/' || CAST(asset_id AS VARCHAR))", "slideshow_order")(lambda c: store.live(c.assets).select("asset_id").orderBy(library.shuffled(F.col("asset_id"), 7)))
 query("SELECT asset_id FROM (SELECT asset_id, row_number() OVER (ORDER BY created_s DESC NULLS LAST, asset_id) AS n FROM assets WHERE NOT deleted AND library_id = 2 AND media_type = 'image') WHERE n BETWEEN 5 AND 25", "selection")(lambda c: library.live_images(c.assets).filter("library_id = 2").select("asset_id", "created_s").orderBy(*library.sort_keys("newest")).limit(25).offset(4).select("asset_id"))
 
 # Set operations, trees and albums
@@ -156,7 +156,7 @@ def album_memberships(c: Catalog) -> DataFrame:
     return c.albums.filter("not is_folder").join(parent, "parent_id").join(c.album_members, "album_id").select(F.concat_ws("/", "parent", "title").alias("path"), "asset_id")
 
 
-query(name="platform_album_tree")(lambda c: library.descendants(_nodes(c)))
+query(_TREE + " SELECT ancestor, album_id FROM d", "platform_album_tree")(lambda c: library.descendants(_nodes(c)))
 
 
 @query("WITH m AS (SELECT asset_id, year(t) AS y, month(t) AS m FROM (SELECT *, to_timestamp(created_s) AT TIME ZONE 'UTC' AS t FROM assets WHERE NOT deleted AND media_type = 'image' AND created_s IS NOT NULL)) SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month, count(DISTINCT asset_id) AS n FROM m GROUP BY 1, 2 UNION ALL SELECT CAST(y AS INT), NULL, count(DISTINCT asset_id) FROM m GROUP BY 1")
@@ -261,28 +261,28 @@ def scan_folder(c: Catalog) -> DataFrame:
     return foreign.scan_folder(c.spark, c.folder, "*.parquet").select("asset_key", "size")
 
 
-@query()
+@query("SELECT library_id, count(*) AS n FROM assets GROUP BY 1")
 def split_db(c: Catalog) -> DataFrame:
     from ..sources import foreign
 
     return foreign.split_by_library(c.assets.select("asset_id", "library_id"))
 
 
-@query()
+@query("SELECT asset_id, asset_key, CAST(NULL AS DOUBLE) AS sharpness, 'photokit' AS asset_source, CAST(NULL AS VARCHAR) AS file_path, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS DOUBLE) AS sensitive_score, CAST(NULL AS BOOLEAN) AS sensitive_override, CAST(NULL AS VARCHAR) AS rule FROM assets")
 def migrations_run(c: Catalog) -> DataFrame:
     from ..sources import schema
 
     return schema.migrate(c.assets.select("asset_id", "asset_key"), 1)
 
 
-@query()
+@query("SELECT asset_id, CASE WHEN asset_id % 5 <> 0 THEN 1000.0 / (asset_id % 5) END AS result, CASE WHEN asset_id % 5 = 0 THEN 'ZeroDivisionError' END AS error FROM assets")
 def batch_foreach(c: Catalog) -> DataFrame:
     from ..sources import foreign
 
     return foreign.try_each(c.assets.select("asset_id", "width"), "asset_id long, result double, error string", lambda r: (r["asset_id"], 1000.0 / (r["asset_id"] % 5), None))
 
 
-@query()
+@query("SELECT asset_key, asset_id, CASE WHEN asset_id % 5 = 0 THEN 7 WHEN asset_id % 3 = 0 THEN 1 ELSE stage END AS stage FROM assets WHERE asset_id % 6 <> 0 OR asset_id % 5 = 0")
 def stream_changes(c: Catalog) -> DataFrame:
     return windows.replay_changes(c.spark, c.assets.select("asset_key", "asset_id", "stage"))
 
@@ -318,7 +318,8 @@ def search_tombstoned(c: Catalog) -> DataFrame:
 
 query("WITH n AS (SELECT face_id FROM faces WHERE asset_id = 43) SELECT face_id, person_id, confirmed FROM membership WHERE face_id NOT IN (SELECT face_id FROM n) UNION ALL SELECT face_id, 8, TRUE FROM n", "add_faces")(lambda c: people.confirm(c.membership, c.constraints, 8, c.faces.filter("asset_id = 43").select("face_id"))[0])
 query("SELECT face_id, asset_id, FALSE AS is_manual FROM faces UNION ALL SELECT 77777, 7, TRUE", "add_manual_face")(lambda c: c.faces.select("face_id", "asset_id", F.lit(False).alias("is_manual")).union(c.spark.createDataFrame([(77777, 7, True)], "face_id long, asset_id long, is_manual boolean")))
-query("SELECT asset_id FROM assets WHERE FALSE", "delete_all_data")(lambda c: c.assets.select("asset_id").limit(0))
+_ALL = ("assets", "faces", "persons", "tags", "albums", "edits")
+query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS removed, CAST(0 AS BIGINT) AS remaining FROM {t}" for t in _ALL), "delete_all_data")(lambda c: store.delete_all(c.spark, {t: getattr(c, t) for t in _ALL}))
 
 
 @query("SELECT name FROM (SELECT 'backup-' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS name FROM (SELECT DISTINCT o_custkey FROM orders)) ORDER BY name DESC LIMIT 3")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media, text
@@ -19,18 +19,13 @@ def sc_clean_name(c: Catalog) -> DataFrame:
     return c.media_files.select("page_id", text.clean_name(F.col("path")).alias("cleaned"))
 
 
-_P = r"[\s_\-.]*(\(\d+\)|\d+)$"
+_C = r"[\s_\-.]*(?:\(\d+\)|\d+)"
 
 
-def _stem_sql(x: str) -> str:
-    for _ in range(4):
-        x = f"(CASE WHEN regexp_matches({x}, '^{_P}') THEN {x} ELSE regexp_replace({x}, '{_P}', '') END)"
-    return x
-
-
-@query(rf"WITH b AS (SELECT asset_id, {_STRIP} AS base FROM assets), s AS (SELECT asset_id, base, regexp_replace({_stem_sql('base')}, '^[ _\-.]+|[ _\-.]+$', '', 'g') AS s FROM b) SELECT asset_id, CASE WHEN s = '' THEN base ELSE s END AS stem FROM s")
+@query(rf"WITH b AS (SELECT asset_id, {_STRIP} || CASE asset_id % 4 WHEN 0 THEN '' ELSE repeat(' (' || CAST(asset_id % 10 AS VARCHAR) || ')', CAST(asset_id % 7 AS INT)) END AS base FROM assets), s AS (SELECT asset_id, base, regexp_replace(CASE WHEN regexp_matches(base, '^({_C})+$') THEN regexp_extract(base, '^({_C})', 1) ELSE regexp_replace(base, '({_C})+$', '') END, '^[ _\-.]+|[ _\-.]+$', '', 'g') AS s FROM b) SELECT asset_id, CASE WHEN s = '' THEN base ELSE s END AS stem FROM s")
 def sc_name_stem(c: Catalog) -> DataFrame:
-    return c.assets.select("asset_id", text.name_stem(F.col("filename")).alias("stem"))
+    counters = F.when(F.col("asset_id") % 4 == 0, "").otherwise(F.repeat(F.concat(F.lit(" ("), (F.col("asset_id") % 10).cast("string"), F.lit(")")), (F.col("asset_id") % 7).cast("int")))
+    return c.assets.select("asset_id", text.name_stem(F.concat(text.strip_extension(F.col("filename")), counters)).alias("stem"))
 
 
 @query(rf"SELECT asset_id, {_STRIP} || '_' || lpad(CAST(asset_id + 1 AS VARCHAR), CAST(greatest(3, length(CAST(asset_id + 1 AS VARCHAR))) AS INT), '0') || '_' || coalesce(strftime(to_timestamp(created_s) AT TIME ZONE 'UTC', '%Y-%m-%d %H-%M-%S'), ' ') AS new_name FROM assets WHERE filename IS NOT NULL AND created_s IS NOT NULL")
@@ -131,10 +126,11 @@ def sc_top_labels(c: Catalog) -> DataFrame:
 
 
 def _rasters(c: Catalog) -> DataFrame:
-    """Rasters of 24 x 18 whose pixels are the bytes of a text."""
-    n = 24 * 18
-    px = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.ascii(F.substr(F.col("text"), k % F.length("text") + 1, F.lit(1))).cast("double"))
-    return c.texts.filter("length(text) > 0").select("asset_id", F.lit(24).alias("width"), F.lit(18).alias("height"), px.alias("pixels"))
+    """Square rasters whose pixels are the characters of a whole text, from its start again where the square is larger."""
+    side = F.ceil(F.sqrt(F.length("text"))).cast("int")
+    letters = F.split(F.repeat("text", F.lit(4)), "")
+    px = F.transform(F.slice(letters, F.lit(1), side * side), lambda x: F.ascii(x).cast("double"))
+    return c.texts.filter("length(text) > 0").select("asset_id", side.alias("width"), side.alias("height"), px.alias("pixels"))
 
 
 @query()
@@ -223,6 +219,53 @@ def edit_stack(c: Catalog) -> DataFrame:
 
 @query()
 def upscale(c: Catalog) -> DataFrame:
-    """PSNR of a raster against the same with its pixels moved by one: the quality measure of an upscaler's output."""
-    mse = F.aggregate(F.zip_with("pixels", F.slice("pixels", 2, 431), lambda a, b: (a - F.coalesce(b, a)) ** 2), F.lit(0.0), lambda s, x: s + x) / 432
-    return _rasters(c).select("asset_id", media.psnr(mse).alias("psnr"))
+    """PSNR of a raster against its half-size copy enlarged again: the quality measure of an upscaler, here nearest neighbour."""
+    def enlarged(p: Column, w: Column) -> Column:
+        # The pixel at the even row and column at or before each.
+        return F.transform(p, lambda x, i: F.get(p, (F.floor(i / w) - F.floor(i / w) % 2) * w + (i % w - i % w % 2)))
+
+    far = F.zip_with("pixels", enlarged(F.col("pixels"), F.col("width")), lambda a, b: (a - b) ** 2)
+    mse = F.aggregate(far, F.lit(0.0), lambda s, x: s + x) / F.size("pixels")
+    return _rasters(c).filter("width <= 64").select("asset_id", media.psnr(mse).alias("psnr"))
+
+
+@query("SELECT vec_id + 5000 AS embedding_id, CAST(len(embedding) AS INT) AS n, TRUE AS same FROM embeddings")
+def sc_sealed_vectors(c: Catalog) -> DataFrame:
+    """Vectors sealed with a key and opened again."""
+    v, key = F.transform("vector", lambda x: x.cast("double")), F.lit(b"a key of 16 byte")
+    opened = media.unseal(media.seal(v, key), key)
+    return c.vectors.select("embedding_id", F.size(opened).alias("n"), (opened == v).alias("same"))
+
+
+@query("SELECT asset_id, '{\"cursor\":' || CAST(asset_id % 3 AS VARCHAR) || ',\"layers\":[\"adjust\",\"crop ' || CAST(asset_id AS VARCHAR) || '\"],\"version\":1}' AS stack, CAST(asset_id % 3 AS INT) AS cursor, 'crop ' || CAST(asset_id AS VARCHAR) AS top FROM assets")
+def sc_stack_codec(c: Catalog) -> DataFrame:
+    layers = F.array(F.lit("adjust"), F.concat(F.lit("crop "), F.col("asset_id").cast("string")))
+    a = c.assets.select("asset_id", rules.encode_stack(layers, F.col("asset_id") % 3).alias("stack"))
+    return a.select("asset_id", "stack", (d := rules.decode_stack(F.col("stack")))["cursor"].alias("cursor"), F.element_at(d["layers"], -1).alias("top"))
+
+
+@query("SELECT person_id, '{\"version\":1,\"people\":[' || CAST(person_id AS VARCHAR) || '],\"nameContains\":\"' || coalesce(name, '') || '\",\"favoritesOnly\":' || CAST(hidden AS VARCHAR) || '}' AS rule, coalesce(name, '') AS needle FROM persons")
+def sc_rule_codec(c: Catalog) -> DataFrame:
+    rule = F.struct(F.lit(1).alias("version"), F.array("person_id").alias("people"), F.coalesce("name", F.lit("")).alias("nameContains"), F.col("hidden").alias("favoritesOnly"))
+    p = c.persons.select("person_id", rules.encode_rule(rule).alias("rule"))
+    return p.select("person_id", "rule", rules.decode_rule(F.col("rule"))["nameContains"].alias("needle"))
+
+
+@query("SELECT asset_id, CASE WHEN asset_id % 6 <> 0 THEN created_s END AS seconds FROM assets")
+def sc_exif_dates(c: Catalog) -> DataFrame:
+    shown = F.when(F.col("asset_id") % 6 == 0, "0000:00:00 00:00:00").otherwise(F.date_format(F.timestamp_seconds("created_s"), "yyyy:MM:dd HH:mm:ss"))
+    return c.assets.select("asset_id", text.exif_seconds(shown).alias("seconds"))
+
+
+@query("SELECT face_id, round(1 - (CAST(face_id % 50 AS DOUBLE) / 100 + CAST(face_id % 30 AS DOUBLE) / 100), 6) AS top FROM faces")
+def sc_flip_box(c: Catalog) -> DataFrame:
+    return c.faces.select("face_id", F.round(media.flip_box((F.col("face_id") % 50).cast("double") / 100, (F.col("face_id") % 30).cast("double") / 100), 6).alias("top"))
+
+
+@query("SELECT face_id, 0.0 AS a, round(-1.0 / (1 + face_id % 5), 6) AS b, round(-3.0 / (1 + face_id % 5), 6) AS tx, round(CAST(face_id % 7 AS DOUBLE) / (1 + face_id % 5), 6) AS ty FROM faces")
+def sc_similarity_transform(c: Catalog) -> DataFrame:
+    """Points that are the aligned face's turned by a right angle, enlarged and shifted."""
+    k = (1 + F.col("face_id") % 5).cast("double")
+    points = [(-k * y + (F.col("face_id") % 7).cast("double"), k * x + 3) for x, y in media.FACE_POINTS]
+    t = c.faces.select("face_id", media.similarity_transform(points).alias("t"))
+    return t.select("face_id", *[(F.round(F.col(f"t.{n}"), 6) + 0.0).alias(n) for n in ("a", "b", "tx", "ty")])

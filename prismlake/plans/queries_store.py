@@ -359,7 +359,7 @@ def reset_faces(c: Catalog) -> DataFrame:
 _ACTIVITY = "SELECT at_s, role FROM messages ORDER BY at_s DESC, role LIMIT 20"
 for _name in ("activity_read", "topk_activity"):
     query(_ACTIVITY, _name)(lambda c: c.messages.select("at_s", "role").orderBy(F.desc("at_s"), "role").limit(20))
-query("SELECT at_s FROM messages WHERE FALSE", "activity_clear")(lambda c: c.messages.select("at_s").limit(0))
+query("SELECT 'messages' AS name, count(*) AS removed, CAST(0 AS BIGINT) AS remaining FROM messages", "activity_clear")(lambda c: store.delete_all(c.spark, {"messages": c.messages}))
 
 
 @query("SELECT asset_id FROM assets UNION ALL SELECT DISTINCT 1000000 + asset_id FROM edits WHERE asset_id IN (SELECT asset_id FROM assets)")

@@ -29,31 +29,49 @@ def tumbling(events: DataFrame, width: str, watermark: str | None = None, slide:
 
 
 def apply_changes(target: str, key: str):
-    """A foreachBatch function that keeps the newest row of each key as a table version under `target`/v<n>."""
+    """A foreachBatch function that appends the newest change of each key in a batch, deletes included, under `target`.
+
+    A batch is written to a folder of its own number, so a batch that is run again replaces itself, and nothing older is rewritten.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         from ..operators.store import latest
 
-        spark = batch.sparkSession
-        new = latest(batch, [key], [F.col("seq")])
-        if number:
-            old = spark.read.parquet(f"{target}/v{number - 1}")
-            new = old.join(new.select(key), key, "left_anti").unionByName(new)
-        new.filter("op <> 'delete'").write.mode("overwrite").parquet(f"{target}/v{number}")
+        latest(batch, [key], [F.col("seq")]).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return run
 
 
+def changed_table(spark: SparkSession, target: str, key: str) -> DataFrame:
+    """The table that the changes under `target` leave: of each key the change with the largest seq, whatever batch it came in; deleted keys stay away."""
+    from ..operators.store import latest
+
+    return latest(spark.read.parquet(target).drop("batch"), [key], [F.col("seq")]).filter("op <> 'delete'")
+
+
+def compact_changes(spark: SparkSession, source: str, target: str, key: str) -> None:
+    """One change of each key, deletes included, from many batches: what a maintenance job writes beside the stream."""
+    from ..operators.store import latest
+
+    latest(spark.read.parquet(source).drop("batch"), [key], [F.col("seq")]).write.parquet(f"{target}/batch=0")
+
+
 def replay_changes(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Feeds rows through a file stream in two batches, the second updating and deleting some, and returns the table it leaves."""
+    """Feeds rows through a file stream in four batches and returns the table they leave: upserts, then updates and deletes, then a late
+    batch of older upserts, which change nothing, and last newer ones, which bring some deleted keys back."""
     base = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
-    first = rows.withColumns({"op": F.lit("upsert"), "seq": F.lit(1)})
-    second = rows.filter("asset_id % 3 = 0").withColumns({"stage": F.lit(1), "op": F.when(F.col("asset_id") % 2 == 0, "delete").otherwise("upsert"), "seq": F.lit(2)})
-    for k, df in enumerate((first, second)):
-        df.coalesce(1).write.parquet(f"{base}/in/{k}")
-        stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+    change = lambda where, stage, op, seq: rows.filter(where).withColumns({"stage": stage, "op": op, "seq": F.lit(seq)})
+    upsert = F.lit("upsert")
+    batches = (
+        change("true", F.col("stage"), upsert, 1), change("asset_id % 3 = 0", F.lit(1), F.when(F.col("asset_id") % 2 == 0, "delete").otherwise("upsert"), 3),
+        change("asset_id % 6 = 0", F.lit(9), upsert, 2), change("asset_id % 5 = 0", F.lit(7), upsert, 4),
+    )
+    for k, df in enumerate(batches):
+        df.write.parquet(f"{base}/in/{k}")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
         stream.writeStream.foreachBatch(apply_changes(f"{base}/out", "asset_key")).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out/v1").select("asset_key", "asset_id", "stage")
+    compact_changes(spark, f"{base}/out", f"{base}/compact", "asset_key")
+    return changed_table(spark, f"{base}/compact", "asset_key").select("asset_key", "asset_id", "stage")
 
 
 def streamed_windows(spark: SparkSession, events: DataFrame, width: str = "1 hour") -> DataFrame:

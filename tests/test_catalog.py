@@ -360,7 +360,32 @@ def test_migrations(spark):
 def test_change_stream(spark):
     rows = spark.createDataFrame([(f"k{n}", n, 8) for n in range(12)], "asset_key string, asset_id long, stage int")
     got = {r.asset_id: r.stage for r in windows.replay_changes(spark, rows).collect()}
-    assert got == {n: 1 if n % 3 == 0 else 8 for n in range(12) if n % 6}
+    assert got == {n: 7 if n % 5 == 0 else 1 if n % 3 == 0 else 8 for n in range(12) if n % 6 or n % 5 == 0}
+
+
+def test_scalars_that_sql_cannot_follow(spark):
+    """A stack of a newer version is refused; a sealed vector opens with its key only; folding takes any diacritics."""
+    from pyspark.errors import PySparkException
+
+    one = spark.range(1)
+    good = rules.encode_stack(F.array(F.lit("adjust")), F.lit(1), 1)
+    assert one.select(rules.decode_stack(good)["cursor"].alias("c")).first().c == 1
+    with pytest.raises(PySparkException, match="newer"):
+        one.select(rules.decode_stack(rules.encode_stack(F.array(F.lit("adjust")), F.lit(1), 99)).alias("s")).collect()
+    with pytest.raises(PySparkException, match="unreadable"):
+        one.select(rules.decode_stack(F.lit("{")).alias("s")).collect()
+    vector, key = F.array(F.lit(0.25), F.lit(-1.5)), F.lit(b"0123456789abcdef")
+    sealed = one.select(media.seal(vector, key).alias("x"))
+    assert sealed.select(media.unseal(F.col("x"), key).alias("v")).first().v == [0.25, -1.5]
+    with pytest.raises(PySparkException):
+        sealed.select(media.unseal(F.col("x"), F.lit(b"0123456789abcdeX")).alias("v")).collect()
+    words = "Ștefan ČESKÝ ё naïve e\u0301a Ångström Ελλάδα".split()
+    got = one.select(text.fold_tokens(F.lit(" ".join(words))).alias("t")).first().t
+    assert got == [text.fold_text(w) for w in words] == ["stefan", "cesky", "е", "naive", "ea", "angstrom", "ελλαδα"]
+    stems = spark.createDataFrame([("trip (1) (2) (3) (4) (5) 6-7.jpg",), ("12 (3)",), ("a1b22",), ("__7",)], "n string").select(text.name_stem(F.col("n")).alias("s"))
+    assert [r.s for r in stems.collect()] == ["trip", "12", "a1b", "7"]
+    long = spark.createDataFrame([("p20000000000000000",), ("p3000000000000000",), ("p007",), ("p10",)], "n string")
+    assert [r.n for r in long.orderBy(text.natural_key(F.col("n"))).collect()] == ["p007", "p10", "p3000000000000000", "p20000000000000000"]
 
 
 def test_streamed_windows_equal_batch(spark, tmp_path):
