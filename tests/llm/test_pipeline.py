@@ -10,7 +10,7 @@ import pytest
 from prismlake.llm import quality
 from prismlake.plans.durable import durable
 
-from .test_operators import SF, WORDS, brute_cut, copy_groups, first_of, grams, reference_ids
+from .test_operators import SF, WORDS, brute_cut, copy_groups, first_of, grams, prose, reference_ids
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +65,54 @@ def test_packing_stage(spark, stages):
         got[r.doc_id] += r.length
     assert got == want
     assert corpus_pipeline.run(spark, SF).count() == after.count()
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, bucket string, k string, row string, grp long, c0 string, copies long, vertex string, _row_key string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, and columns named like those the stages use inside."""
+    texts = [prose(k, 60) for k in range(60, 66)]
+    rows = [
+        (1, texts[0], "en"), (2, texts[0], "en"), (3, None, "en"), (4, "", None), (5, " \n ", "en"), (None, texts[1], None), (None, texts[2], "en"), (7, texts[3], "en"), (7, texts[4], "en"),
+        (8, prose(70, 20_000), "en"), (9, texts[5] + "\n\n  " + prose(71, 40), "en"), (9, texts[5] + "\n\n  " + prose(71, 40), "en"), (10, prose(72, 40) + "\n" + texts[5], "en"),
+    ]
+    return spark.createDataFrame([(i, t, g, None, len(t or ""), "b", None, "r", k, "c", 3, "v", "key") for k, (i, t, g) in enumerate(rows)], CLASHING).repartition(3)
+
+
+def test_stages_keep_columns_and_defined_rows(spark, odd):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, SF)
+        assert got.columns == odd.columns and [t for _, t in got.dtypes] == [t for _, t in odd.dtypes], name
+        assert all(r.bucket == "b" and r._row_key == "key" and r.copies == 3 for r in got.collect())
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    assert not {3, 4, 5} & set(ids(quality.keep(odd, low=1e9, high=1e9)))
+    assert ids(corpus_pipeline.near_dedup(spark, odd, SF)) == Counter([1, 3, None, None, 7, 7, 8, 9, 10])
+    cut = {(r.doc_id, r.text) for r in corpus_pipeline.substring_dedup(spark, odd, SF).collect()}
+    assert {(1, ""), (2, ""), (3, None), (4, ""), (5, " \n "), (9, ""), (7, prose(63, 60)), (10, prose(72, 40) + "\n")} <= cut
+    assert ids(corpus_pipeline.decontamination(spark, odd, SF)) == ids(odd)
+    tokens = Counter()
+    for r in corpus_pipeline.pack(spark, odd, SF).collect():
+        tokens[r.doc_id] += r.length
+    want = Counter()
+    for i, x in reference_ids("word_bpe_49k.json", [(r.doc_id, r.text) for r in odd.collect()]):
+        want[i] += len(x)
+    assert tokens == want
+
+
+def test_stages_on_an_empty_table(spark, odd):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+
+
+def test_run_leaves_only_the_last_stage_table(spark, tmp_path):
+    from pathlib import Path
+
+    from prismlake.plans.durable import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.rglob("stage-*")} | {p.name for p in folder.rglob("table-*")}
+    corpus_pipeline.run(spark, SF).count()
+    left = ({p.name for p in folder.rglob("stage-*")} | {p.name for p in folder.rglob("table-*")}) - before
+    assert len([x for x in left if x.startswith("stage-")]) == 1 and not [x for x in left if x.startswith("table-")]
