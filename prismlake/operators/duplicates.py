@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media
 from ..plans.components import connected_components
-from ..plans.durable import durable
+from ..plans.durable import drop_table, durable, write_table
 
 TIERS = ("exact", "near", "burst", "similar")
 #: Below this many different hashes every pair is tried, with one side sent to all workers; above it bands are joined.
@@ -110,20 +110,33 @@ def burst_id_groups(assets: DataFrame) -> DataFrame:
 
 
 def time_sessions(items: DataFrame, seconds: float, by: str = "library_id") -> DataFrame:
-    """items (.., at) plus session: no star can span a gap above `seconds`, so sessions are independent."""
-    w = Window.partitionBy(by).orderBy("at", "asset_id")
-    new = F.when(F.col("at") - F.lag("at").over(w) <= seconds, 0).otherwise(1)
-    return items.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    """items (.., at) that have company plus session: no star can span a gap above `seconds`, so sessions are independent.
+
+    Time is cut into cells of that width. An item can only be joined to one in its own or the next cell, so sessions are the connected
+    components of cells whose items are close enough: no task sorts a library's rows.
+    """
+    df = items.withColumn("_cell", F.floor(F.col("at") / seconds).cast("long"))
+    cells = durable(df.groupBy(by, "_cell").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n")))
+    key = F.xxhash64(F.col(by), F.col("_cell"))
+    after = cells.select(by, (F.col("_cell") - 1).alias("_cell"), F.col("first").alias("then"), F.xxhash64(F.col(by), F.col("_cell")).alias("b"))
+    edges = cells.join(after, [by, "_cell"]).filter(F.col("then") - F.col("last") <= seconds).select(key.alias("a"), "b")
+    of = connected_components(edges)
+    known = cells.select(by, "_cell", "n", key.alias("id")).join(of, "id", "left").filter(F.col("component").isNotNull() | (F.col("n") > 1))
+    return df.join(known.select(by, "_cell", F.coalesce("component", "id").alias("session")), [by, "_cell"])
 
 
-def star_groups(items: DataFrame, blocked: DataFrame, seconds: float, cosine: float, by: str = "library_id") -> DataFrame:
+def star_groups(items: DataFrame, blocked: DataFrame, seconds: float, cosine: float, by: str = "library_id", large: int = 20_000) -> DataFrame:
     """Greedy stars: in order of (at, asset_id) an unused item seeds a group and takes the later unused ones within `seconds` whose
-    vectors agree with its own and that are not blocked with it. items: `by`, asset_id, at (seconds), vector."""
-    s = time_sessions(items.filter("at is not null and vector is not null"), seconds, by)
-    busy = s.groupBy(by, "session").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(by, "session")
+    vectors agree with its own and that are not blocked with it. items: `by`, asset_id, at (seconds), vector.
+
+    Sessions of at most `large` items are walked by a task each, larger ones all at once in rounds (spread_stars), with the same result.
+    """
+    s = durable(time_sessions(items.filter("at is not null and vector is not null").select(by, "asset_id", "at", "vector"), seconds, by))
     pairs = blocked.select(F.col("asset_a").alias("asset_id"), "asset_b").union(blocked.select(F.col("asset_b").alias("asset_id"), "asset_a"))
-    no = pairs.filter("asset_id is not null and asset_b is not null").groupBy("asset_id").agg(F.collect_set("asset_b").alias("blocked"))
-    s = s.join(busy, [by, "session"], "left_semi").join(no, "asset_id", "left").select(by, "session", "asset_id", "at", "vector", "blocked")
+    pairs = pairs.filter("asset_id is not null and asset_b is not null")
+    no = pairs.groupBy("asset_id").agg(F.collect_set("asset_b").alias("blocked"))
+    wide = durable(s.groupBy(by, "session").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select(by, "session"))
+    alone = s.join(wide, [by, "session"], "left_anti").join(no, "asset_id", "left").select(by, "session", "asset_id", "at", "vector", "blocked")
 
     def stars(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "asset_id"])
@@ -144,7 +157,37 @@ def star_groups(items: DataFrame, blocked: DataFrame, seconds: float, cosine: fl
                 out += [(int(min(ids[[k, *take]])), int(ids[j]), score) for j in (k, *take)]
         return pd.DataFrame(out, columns=["group_id", "asset_id", "similarity"])
 
-    return s.groupBy(by, "session").applyInPandas(stars, "group_id long, asset_id long, similarity double")
+    out = alone.groupBy(by, "session").applyInPandas(stars, "group_id long, asset_id long, similarity double")
+    if wide.isEmpty():
+        return out
+    return out.union(spread_stars(s.join(wide, [by, "session"], "left_semi"), pairs, seconds, cosine, by))
+
+
+def spread_stars(items: DataFrame, barred: DataFrame, seconds: float, cosine: float, by: str) -> DataFrame:
+    """star_groups() over an edge table: in a round an item whose earlier neighbours are all taken becomes a seed, and one whose
+    earliest neighbour that is not taken is a seed belongs to it. Rounds follow the time that a session spans in windows, not its items.
+    """
+    spark = items.sparkSession
+    v = durable(items.select(by, "_cell", "asset_id", "at", media.scaled(F.transform("vector", lambda x: x.cast("double"))).alias("v")))
+    x = v.select(by, F.explode(F.array("_cell", F.col("_cell") + 1)).alias("_cell"), F.col("asset_id").alias("i"), F.col("at").alias("at_i"), F.col("v").alias("v_i"))
+    y = v.select(by, "_cell", F.col("asset_id").alias("j"), F.col("at").alias("at_j"), F.col("v").alias("v_j"))
+    near = x.join(y, [by, "_cell"]).filter((F.struct("at_i", "i") < F.struct("at_j", "j")) & (F.col("at_j") - F.col("at_i") <= seconds)).withColumn("s", media.dot(F.col("v_i"), F.col("v_j"))).filter(F.col("s") >= cosine)
+    edges = durable(near.join(barred.toDF("i", "j"), ["i", "j"], "left_anti").select("i", "j", "at_i", "s"))
+    state, path = write_table(v.select("asset_id", F.lit(None).cast("long").alias("seed")))  # its own id: a seed; another: taken by it
+    while True:
+        of_i = state.select(F.col("asset_id").alias("i"), F.col("seed").alias("seed_i"))
+        open_ = state.filter("seed is null").select(F.col("asset_id").alias("j"))
+        first = edges.join(open_, "j", "left_semi").join(of_i, "i").filter("seed_i is null or seed_i = i").groupBy("j").agg(F.min_by(F.struct("i", "seed_i"), F.struct("at_i", "i")).alias("f"))
+        told = open_.join(first, "j", "left").select(F.col("j").alias("asset_id"), F.when(F.col("f").isNull(), F.col("j")).otherwise(F.col("f.seed_i")).alias("new"))
+        after, new_path = write_table(state.join(told, "asset_id", "left").select("asset_id", F.coalesce("seed", "new").alias("seed")))
+        drop_table(spark, path)
+        state, path = after, new_path
+        if state.filter("seed is null").isEmpty():
+            break
+    took = state.filter("seed <> asset_id").select("seed", F.col("asset_id").alias("j")).join(edges.withColumnRenamed("i", "seed"), ["seed", "j"])
+    groups = took.groupBy("seed").agg(F.least("seed", F.min("j")).alias("group_id"), F.avg("s").alias("similarity"))
+    members = took.select("seed", F.col("j").alias("asset_id")).union(groups.select("seed", F.col("seed").alias("asset_id")))
+    return members.join(groups, "seed").select("group_id", "asset_id", "similarity")
 
 
 def duplicate_groups(features: DataFrame, exclusions: DataFrame, t: Thresholds) -> DataFrame:
