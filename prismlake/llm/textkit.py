@@ -111,10 +111,11 @@ class Windows:
         return mix(out + U(width))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows in this session, unless it has its own number: a batch of texts is held by the JVM and by the worker."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Arrow batches of at most so many rows and bytes in this session, where it has Spark's defaults: a batch of texts is held by the JVM and by the worker."""
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", usual) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(ours))
 
 
 class Slice:
