@@ -52,6 +52,19 @@ def remove_repeated(docs: DataFrame, *, window: int = 35, period: int = 21, with
     different documents. An empty table gives an empty result. with_text adds the text without those words and the white space
     behind them; all other white space stays (null for a null text). n_removed of a whole text leaves an empty one.
     """
+    found = _found(docs, window, period, with_text, carry)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", *["text"] * with_text, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+
+
+def drop_repeated(docs: DataFrame, *, window: int = 35, period: int = 21) -> DataFrame:
+    """docs, all columns, with remove_repeated's texts in place of their own."""
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    place = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(carried)}
+    return _found(docs, window, period, True, tuple(carried)).select(*[place.get(c, F.col(c)) for c in docs.columns])
+
+
+def _found(docs: DataFrame, window: int, period: int, with_text: bool, carry: tuple[str, ...]) -> DataFrame:
+    """remove_repeated's columns, the carried ones as c0, c1, .."""
     if not 1 < period <= window:
         raise ValueError("the period must be in 2..window")
     cover = np.zeros(period, bool)
@@ -95,12 +108,11 @@ def remove_repeated(docs: DataFrame, *, window: int = 35, period: int = 21, with
 
     types = dict(docs.dtypes)
     names = ["doc_id", "copies", "n_words", "n_removed", "kept_sha256", *["text"] * with_text, *[f"c{i}" for i in range(len(carry))]]
-    schema = "doc_id long, copies long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", c{i} {types[c]}" for i, c in enumerate(carry))
+    schema = f"doc_id {types['doc_id']}, copies long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", c{i} {types[c]}" for i, c in enumerate(carry))
     dealt = marks.dealt(rows, router)
     found = marks.find(marks.scan(rows, anchors), router)
     found = marks.find(marks.with_told(dealt, found, windows, marks.SCHEMA), router)
-    out = marks.repeated_out(marks.with_told(dealt, found, cut, schema))
-    return out.select(*[c for c in names[:1] + names[2:] if c not in names[len(names) - len(carry) :]], *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    return marks.repeated_out(marks.with_told(dealt, found, cut, schema))
 
 
 def _without(s: Slice, start: np.ndarray, first: np.ndarray, gone: np.ndarray) -> list[str]:

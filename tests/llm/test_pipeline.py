@@ -67,7 +67,7 @@ def test_packing_stage(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == after.count()
 
 
-CLASHING = "doc_id long, text string, lang string, source string, n_chars long, bucket string, k string, row string, grp long, c0 string, copies long, vertex string, _row_key string"
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, bucket string, k string, row string, grp long, c0 string, copies long, vertex string, n_words int, kept_sha256 string, _row_key string"
 
 
 @pytest.fixture(scope="module")
@@ -78,14 +78,14 @@ def odd(spark):
         (1, texts[0], "en"), (2, texts[0], "en"), (3, None, "en"), (4, "", None), (5, " \n ", "en"), (None, texts[1], None), (None, texts[2], "en"), (7, texts[3], "en"), (7, texts[4], "en"),
         (8, prose(70, 20_000), "en"), (9, texts[5] + "\n\n  " + prose(71, 40), "en"), (9, texts[5] + "\n\n  " + prose(71, 40), "en"), (10, prose(72, 40) + "\n" + texts[5], "en"),
     ]
-    return spark.createDataFrame([(i, t, g, None, len(t or ""), "b", None, "r", k, "c", 3, "v", "key") for k, (i, t, g) in enumerate(rows)], CLASHING).repartition(3)
+    return spark.createDataFrame([(i, t, g, None, len(t or ""), "b", None, "r", k, "c", 3, "v", 5, "h", "key") for k, (i, t, g) in enumerate(rows)], CLASHING).repartition(3)
 
 
 def test_stages_keep_columns_and_defined_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, odd, SF)
         assert got.columns == odd.columns and [t for _, t in got.dtypes] == [t for _, t in odd.dtypes], name
-        assert all(r.bucket == "b" and r._row_key == "key" and r.copies == 3 for r in got.collect())
+        assert all(r.bucket == "b" and r._row_key == "key" and r.copies == 3 and r.n_words == 5 and r.kept_sha256 == "h" for r in got.collect())
     ids = lambda df: Counter(r.doc_id for r in df.collect())
     assert not {3, 4, 5} & set(ids(quality.keep(odd, low=1e9, high=1e9)))
     assert ids(corpus_pipeline.near_dedup(spark, odd, SF)) == Counter([1, 3, None, None, 7, 7, 8, 9, 10])
