@@ -32,11 +32,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document stays even if nothing is left of it, and a null text stays null.
     """
-    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = substring.remove_repeated(docs, with_text=True, carry=carried)
-    if "n_chars" in carried:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    found = substring.drop_repeated(docs)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
