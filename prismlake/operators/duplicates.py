@@ -21,6 +21,8 @@ from ..plans.durable import drop_table, durable, write_table
 TIERS = ("exact", "near", "burst", "similar")
 #: Below this many different hashes every pair is tried, with one side sent to all workers; above it bands are joined.
 NESTED_LOOP_ROWS = 20_000
+#: Up to so many timed items are sorted by the few tasks that libraries make.
+FEW_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -109,13 +111,17 @@ def burst_id_groups(assets: DataFrame) -> DataFrame:
     return a.join(n, ["library_id", "burst_id"]).select("group_id", "asset_id", F.lit(1.0).alias("similarity"))
 
 
-def time_sessions(items: DataFrame, seconds: float, by: str = "library_id") -> DataFrame:
-    """items (.., at) that have company plus session: no star can span a gap above `seconds`, so sessions are independent.
+def time_sessions(items: DataFrame, seconds: float, by: str = "library_id", few: bool = False) -> DataFrame:
+    """items (.., at) plus session and _cell: no star can span a gap above `seconds`, so sessions are independent; items without company may be left out.
 
     Time is cut into cells of that width. An item can only be joined to one in its own or the next cell, so sessions are the connected
-    components of cells whose items are close enough: no task sorts a library's rows.
+    components of cells whose items are close enough: no task sorts a library's rows. `few` rows are sorted, which is the same.
     """
     df = items.withColumn("_cell", F.floor(F.col("at") / seconds).cast("long"))
+    if few:
+        w = Window.partitionBy(by).orderBy("at", "asset_id")
+        new = F.when(F.col("at") - F.lag("at").over(w) <= seconds, 0).otherwise(1)
+        return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
     cells = durable(df.groupBy(by, "_cell").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n")))
     key = F.xxhash64(F.col(by), F.col("_cell"))
     after = cells.select(by, (F.col("_cell") - 1).alias("_cell"), F.col("first").alias("then"), F.xxhash64(F.col(by), F.col("_cell")).alias("b"))
@@ -131,12 +137,15 @@ def star_groups(items: DataFrame, blocked: DataFrame, seconds: float, cosine: fl
 
     Sessions of at most `large` items are walked by a task each, larger ones all at once in rounds (spread_stars), with the same result.
     """
-    s = durable(time_sessions(items.filter("at is not null and vector is not null").select(by, "asset_id", "at", "vector"), seconds, by))
+    known = durable(items.filter("at is not null and vector is not null").select(by, "asset_id", "at", "vector"))
+    few = known.count() <= min(large, FEW_ROWS)
+    s = time_sessions(known, seconds, by, few)
+    s = s if few else durable(s)
     pairs = blocked.select(F.col("asset_a").alias("asset_id"), "asset_b").union(blocked.select(F.col("asset_b").alias("asset_id"), "asset_a"))
     pairs = pairs.filter("asset_id is not null and asset_b is not null")
     no = pairs.groupBy("asset_id").agg(F.collect_set("asset_b").alias("blocked"))
-    wide = durable(s.groupBy(by, "session").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select(by, "session"))
-    alone = s.join(wide, [by, "session"], "left_anti").join(no, "asset_id", "left").select(by, "session", "asset_id", "at", "vector", "blocked")
+    wide = None if few else durable(s.groupBy(by, "session").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select(by, "session"))
+    alone = (s if few else s.join(wide, [by, "session"], "left_anti")).join(no, "asset_id", "left").select(by, "session", "asset_id", "at", "vector", "blocked")
 
     def stars(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "asset_id"])
@@ -158,7 +167,7 @@ def star_groups(items: DataFrame, blocked: DataFrame, seconds: float, cosine: fl
         return pd.DataFrame(out, columns=["group_id", "asset_id", "similarity"])
 
     out = alone.groupBy(by, "session").applyInPandas(stars, "group_id long, asset_id long, similarity double")
-    if wide.isEmpty():
+    if few or wide.isEmpty():
         return out
     return out.union(spread_stars(s.join(wide, [by, "session"], "left_semi"), pairs, seconds, cosine, by))
 

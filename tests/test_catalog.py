@@ -221,8 +221,8 @@ def test_stars_of_large_sessions(spark):
     rows = [(k, k % 2, float(round(rng.random() * 60, 1)), rng.normal(size=3).tolist()) for k in range(160)]
     df = spark.createDataFrame(rows, "asset_id long, library_id long, at double, vector array<double>")
     blocked = spark.createDataFrame([(k, k + 2) for k in range(0, 150, 5)] + [(7, None)], "asset_a long, asset_b long")
-    got = [sorted((r.group_id, r.asset_id, round(r.similarity, 9)) for r in duplicates.star_groups(df, blocked, 3.0, 0.6, large=n).collect()) for n in (10_000, 0)]
-    assert got[0] == got[1] and len(got[0]) > 30
+    got = [sorted((r.group_id, r.asset_id, round(r.similarity, 9)) for r in duplicates.star_groups(df, blocked, 3.0, 0.6, large=n).collect()) for n in (10_000, 100, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 30
 
 
 # People
