@@ -206,9 +206,9 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, p
     """(doc_id, row_key, vertex, component) of every document: components of texts whose sets of shingles have a Jaccard similarity of at least `similarity`.
 
     docs: doc_id, text; other columns are ignored. Texts with equal sets are one vertex, wordless and null ones too. Pairs that share
-    a key are found and compared exactly; how many do is a matter of `prints`. In a bucket of more than hot_bucket members all are
-    compared with three of them, and those that are like none of these with all, so a group of copies makes few pairs. Repeated
-    rows each give a row; an empty table gives an empty result.
+    a key are found and compared exactly; how many do is a matter of `prints`. Members of buckets of more than hot_bucket are joined by
+    their rarest shingles instead of in pairs (_alike_in_crowds), which finds all that are alike. Repeated rows each give a row; an
+    empty table gives an empty result.
     """
     names = [f"f{t}" for t in range(prints)]
 
@@ -230,46 +230,71 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, p
     cold, hot = met.filter(F.col("n") <= hot_bucket), met.filter(F.col("n") > hot_bucket).select("key", "vertex")
     a, b = F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")
     pairs = cold.alias("x").join(cold.alias("y"), "key").filter("x.vertex < y.vertex").select(a, b)
-    spots = [F.min(F.struct(F.xxhash64("vertex", F.lit(k)), "vertex"))["vertex"] for k in range(3)]
-    pivots = hot.groupBy("key").agg(F.array_distinct(F.array(*spots)).alias("p")).select("key", F.explode("p").alias("vertex"))
-    to_pivots = hot.alias("x").join(pivots.alias("y"), "key").filter("x.vertex != y.vertex").select("x.key", "x.vertex", F.col("y.vertex").alias("pivot"))
-    if hot.isEmpty():
-        links = _alike(docs, own, pairs, shingle, similarity)
-    else:
-        to_pivots = durable(to_pivots)
-        links = _alike(docs, own, pairs.union(to_pivots.alias("z").select(F.least("z.vertex", "z.pivot").alias("a"), F.greatest("z.vertex", "z.pivot").alias("b"))), shingle, similarity)
-        like = links.select(F.col("a").alias("vertex"), F.col("b").alias("pivot")).union(links.select("b", "a"))
-        left = hot.join(pivots, ["key", "vertex"], "left_anti").join(to_pivots.join(like, ["vertex", "pivot"], "left_semi").select("key", "vertex"), ["key", "vertex"], "left_anti")
-        rest = left.alias("x").join(hot.alias("y"), "key").filter("x.vertex != y.vertex").select(a, b)
-        links = links.union(_alike(docs, own, rest, shingle, similarity))
+    links = _alike(docs, own, pairs, shingle, similarity)
+    if not hot.isEmpty():
+        links = links.union(_alike_in_crowds(docs, own, hot.select("vertex").distinct(), shingle, similarity, hot_bucket))
     parts = connected_components(links)
     return found.select("doc_id", "row_key", "vertex").join(parts.withColumnRenamed("id", "vertex"), "vertex", "left").select("doc_id", "row_key", "vertex", F.coalesce("component", "vertex").alias("component"))
 
 
-def _alike(docs: DataFrame, own: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of vertices whose sets of shingles are similar, a table of its own."""
-    sizes = own.select("vertex", "size")
-    pairs = pairs.distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
-    pairs = durable(pairs.select("a", "b", "na", "nb"))
-    wanted = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct().join(own.select("vertex", "row_key"), "vertex")
+def _sets(docs: DataFrame, own: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(vertex, shingles) of the wanted vertices, a table of its own; shingles: sorted 64-bit hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             g = _Shingles(s, shingle)
-            yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.array([g.of(k).tobytes() for k in range(len(s))], pa.binary())], ["vertex", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (c.to_pylist() for c in batch.columns[2:])
-            n = [len(np.intersect1d(np.frombuffer(i, np.uint64), np.frombuffer(j, np.uint64), True)) for i, j in zip(x, y, strict=True)]
-            near = [k >= similarity * ((len(i) + len(j)) // 8 - k) - 1e-9 for k, i, j in zip(n, x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+            lists = [g.of(k).view(np.int64) for k in range(len(s))]
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], ["vertex", "shingles"])
 
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    got = texts.join(wanted, "row_key").select("vertex", "text").dropDuplicates(["vertex"]).mapInArrow(sets, "vertex long, shingles binary")
-    got = durable(got)
-    both = pairs.select("a", "b").join(got.toDF("a", "sa"), "a").join(got.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return durable(both.mapInArrow(compare, "a long, b long"))
+    got = texts.join(wanted.join(own.select("vertex", "row_key"), "vertex"), "row_key").select("vertex", "text").dropDuplicates(["vertex"])
+    return durable(got.mapInArrow(sets, "vertex long, shingles array<long>"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, a table of its own."""
+    x, y = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    both = pairs.distinct().join(x, "a").join(y, "b").withColumns({"na": F.size("sa"), "nb": F.size("sb")})
+    both = both.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return durable(both.filter(shared >= similarity * (F.col("na") + F.col("nb") - shared) - 1e-9).select("a", "b"))
+
+
+def _alike(docs: DataFrame, own: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of vertices whose sets of shingles are similar."""
+    sizes = own.select("vertex", "size")
+    pairs = pairs.distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    pairs = durable(pairs.select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
+    return _compared(pairs, _sets(docs, own, wanted, shingle), similarity)
+
+
+def _alike_in_crowds(docs: DataFrame, own: DataFrame, crowd: DataFrame, shingle: int, similarity: float, hot_bucket: int) -> DataFrame:
+    """Links between vertices of `crowd` whose components are those of all similar pairs among them.
+
+    Two sets with a Jaccard similarity of s share one of the (1 - s) n + 1 rarest shingles of either, so only these are joined: texts that have
+    much in common but each a fifth of their own never meet. Where a rare shingle is in more than hot_bucket sets, all are compared
+    with the three that have the most common shingles, the likely centre; those unlike all three are compared with every one.
+    """
+    sets = _sets(docs, own, crowd, shingle)
+    each = sets.select("vertex", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "g").withColumn("place", F.row_number().over(Window.partitionBy("vertex").orderBy("often", "g")))
+    ranked = ranked.withColumn("common", F.avg(F.log("often")).over(Window.partitionBy("vertex")))
+    rare = ranked.filter((F.col("place") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1) & (F.col("often") > 1)).select("g", "vertex", "common")
+    rare = durable(rare.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("g"))).filter("k > 1"))
+    few, many = rare.filter(F.col("k") <= hot_bucket), rare.filter(F.col("k") > hot_bucket)
+    a, b = F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")
+    pairs = few.alias("x").join(few.alias("y"), "g").filter("x.vertex < y.vertex").select(a, b)
+    centre = many.groupBy("g").agg(F.max_by("vertex", F.struct("common", "vertex")).alias("p0"), F.max_by("vertex", F.struct(F.round("common", 1), F.xxhash64("vertex"))).alias("p1"), F.min_by("vertex", F.xxhash64("vertex")).alias("p2"))
+    centre = centre.select("g", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("vertex"))
+    near = durable(many.alias("x").join(centre.alias("y"), "g").filter("x.vertex != y.vertex").select("x.g", F.col("x.vertex").alias("vertex"), F.col("y.vertex").alias("pivot")))
+    links = _compared(pairs.union(near.select(F.least("vertex", "pivot").alias("a"), F.greatest("vertex", "pivot").alias("b"))), sets, similarity)
+    like = links.select(F.col("a").alias("vertex"), F.col("b").alias("pivot")).union(links.select("b", "a"))
+    left = many.select("g", "vertex").join(centre, ["g", "vertex"], "left_anti").join(near.join(like, ["vertex", "pivot"], "left_semi").select("g", "vertex"), ["g", "vertex"], "left_anti")
+    rest = left.alias("x").join(many.alias("y"), "g").filter("x.vertex != y.vertex").select(a, b)
+    return links.union(_compared(rest, sets, similarity))
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, prints: int = 4, hot_bucket: int = 64) -> DataFrame:
