@@ -202,7 +202,7 @@ def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(vertex[members[which]]), pa.array(key)], ["vertex", "key"])
 
 
-def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, prints: int = 4, hot_bucket: int = 64) -> DataFrame:
+def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, prints: int = 4, hot_bucket: int = 8) -> DataFrame:
     """(doc_id, row_key, vertex, component) of every document: components of texts whose sets of shingles have a Jaccard similarity of at least `similarity`.
 
     docs: doc_id, text; other columns are ignored. Texts with equal sets are one vertex, wordless and null ones too. Pairs that share
@@ -274,30 +274,33 @@ def _alike_in_crowds(docs: DataFrame, own: DataFrame, crowd: DataFrame, shingle:
     """Links between vertices of `crowd` whose components are those of all similar pairs among them.
 
     Two sets with a Jaccard similarity of s share one of the (1 - s) n + 1 rarest shingles of either, so only these are joined: texts that have
-    much in common but each a fifth of their own never meet. Where a rare shingle is in more than hot_bucket sets, all are compared
-    with the three that have the most common shingles, the likely centre; those unlike all three are compared with every one.
+    much in common but each a fifth of their own never meet; and from the places of the first such shingle in both orders of
+    rarity follows how much they can share at most. Where a rare shingle is in more than hot_bucket sets, all are compared with three, among
+    them the one with the most common shingles, the likely centre; those unlike all three are joined with every one by those places.
     """
+    place = ["n", "place"]
+    possible = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
     sets = _sets(docs, own, crowd, shingle)
     each = sets.select("vertex", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
     often = each.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
     ranked = each.join(often, "g").withColumn("place", F.row_number().over(Window.partitionBy("vertex").orderBy("often", "g")))
     ranked = ranked.withColumn("common", F.avg(F.log("often")).over(Window.partitionBy("vertex")))
-    rare = ranked.filter((F.col("place") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1) & (F.col("often") > 1)).select("g", "vertex", "common")
+    rare = ranked.filter((F.col("place") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1) & (F.col("often") > 1)).select("g", "vertex", "common", *place)
     rare = durable(rare.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("g"))).filter("k > 1"))
     few, many = rare.filter(F.col("k") <= hot_bucket), rare.filter(F.col("k") > hot_bucket)
     a, b = F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")
-    pairs = few.alias("x").join(few.alias("y"), "g").filter("x.vertex < y.vertex").select(a, b)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.g") == F.col("y.g")) & F.expr("x.vertex < y.vertex") & possible).select(a, b)
     centre = many.groupBy("g").agg(F.max_by("vertex", F.struct("common", "vertex")).alias("p0"), F.max_by("vertex", F.struct(F.round("common", 1), F.xxhash64("vertex"))).alias("p1"), F.min_by("vertex", F.xxhash64("vertex")).alias("p2"))
     centre = centre.select("g", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("vertex"))
     near = durable(many.alias("x").join(centre.alias("y"), "g").filter("x.vertex != y.vertex").select("x.g", F.col("x.vertex").alias("vertex"), F.col("y.vertex").alias("pivot")))
     links = _compared(pairs.union(near.select(F.least("vertex", "pivot").alias("a"), F.greatest("vertex", "pivot").alias("b"))), sets, similarity)
     like = links.select(F.col("a").alias("vertex"), F.col("b").alias("pivot")).union(links.select("b", "a"))
-    left = many.select("g", "vertex").join(centre, ["g", "vertex"], "left_anti").join(near.join(like, ["vertex", "pivot"], "left_semi").select("g", "vertex"), ["g", "vertex"], "left_anti")
-    rest = left.alias("x").join(many.alias("y"), "g").filter("x.vertex != y.vertex").select(a, b)
+    left = many.select("g", "vertex", *place).join(centre, ["g", "vertex"], "left_anti").join(near.join(like, ["vertex", "pivot"], "left_semi").select("g", "vertex"), ["g", "vertex"], "left_anti")
+    rest = left.alias("x").join(many.alias("y"), (F.col("x.g") == F.col("y.g")) & F.expr("x.vertex != y.vertex") & possible).select(a, b)
     return links.union(_compared(rest, sets, similarity))
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, prints: int = 4, hot_bucket: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, prints: int = 4, hot_bucket: int = 8) -> DataFrame:
     """docs, all columns, with one document of each component of near_copies: that with the least doc_id (null after all others), and of rows that repeat it one."""
     found = durable(near_copies(docs, shingle=shingle, similarity=similarity, prints=prints, hot_bucket=hot_bucket))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("r")).select(F.col("r.row_key").alias("row_key"))

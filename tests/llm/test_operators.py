@@ -380,7 +380,7 @@ def edited(seed, k, n=200, changes=3):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("hot", [64, 3])
+@pytest.mark.parametrize("hot", [64, 8, 1])
 def test_near_copies_in_groups(spark, hot):
     rows = [(100 * s + k, edited(s, k)) for s in range(12) for k in range(8)] + [(9000 + k, prose(300 + k, 150)) for k in range(20)]
     got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), hot_bucket=hot).collect()
