@@ -48,7 +48,7 @@ class LabelModel:
         self.correlated, self.rounds = correlated, rounds
 
     def fit(self, fires: np.ndarray, prior: float, hit: np.ndarray, miss: np.ndarray) -> LabelModel:
-        """fires [document, voter]; prior, hit and miss: first guesses of the share of toxic documents and of firing on either class."""
+        """fires [document, voter]; prior: the share of toxic documents, which is given; hit and miss: first guesses of firing on either class."""
         x = fires.astype(float)
         self.prior, self.hit, self.miss = prior, hit, miss
         self.clique = np.arange(x.shape[1])

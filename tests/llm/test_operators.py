@@ -261,7 +261,7 @@ def test_label_model_finds_accuracies_and_cliques():
     hit, miss = np.array([0.8, 0.7, 0.6, 0.5]), np.array([0.02, 0.05, 0.1, 0.05])
     fires = rng.random((4000, 4)) < np.where(y[:, None], hit, miss)
     fires = np.concatenate([fires, fires[:, 3:]], axis=1)
-    m = toxicity.LabelModel().fit(fires, 0.3, np.full(5, 0.6), np.full(5, 0.2))
+    m = toxicity.LabelModel().fit(fires, 0.2, np.full(5, 0.6), np.full(5, 0.2))  # the class balance is given
     assert np.abs(m.hit[:4] - hit).max() < 0.08 and np.abs(m.miss[:4] - miss).max() < 0.04
     assert m.clique[3] == m.clique[4] and len(set(m.clique[:4].tolist())) == 4
 
@@ -292,7 +292,7 @@ def test_label_model_needs_no_labels():
     hit, miss = np.array([0.5, 0.4, 0.3, 0.3, 0.02, 0.05]), np.array([0.01, 0.02, 0.02, 0.01, 0.4, 0.3])
     fires = rng.random((6000, 6)) < np.where(y[:, None], hit, miss)
     often, rare = toxicity.FIRST_GUESS
-    m = toxicity.LabelModel().fit(fires, 0.3, np.array([often] * 4 + [rare] * 2), np.array([rare] * 4 + [often] * 2))
+    m = toxicity.LabelModel().fit(fires, 0.15, np.array([often] * 4 + [rare] * 2), np.array([rare] * 4 + [often] * 2))
     assert np.abs(m.hit - hit).max() < 0.1 and np.abs(m.miss - miss).max() < 0.05
     assert ((m.posterior(fires) > 0.5) == y).mean() > 0.95
 
