@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import shared_dir
-from . import decontaminate, idfiles, langid, packing, quality, simhash, substring, suffix, textkit, tokencount, toxicity
+from . import decontaminate, idfiles, langid, packing, quality, simhash, substring, suffix, textkit, tokencount, toxicity, wordlm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten can be written in SQL that runs on whole tables: tests hold each against brute force.
@@ -27,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out() -> Column:
+def held_out(folds: int = 3) -> Column:
     """The fold that nothing is learned from."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 1, F.lit(False))
 
 
 @query
@@ -87,3 +87,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_tokencount_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op12_wordlm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return wordlm.score(docs, wordlm.train(docs.filter(~held_out(5))), F.col("doc_id"), held_out(5).alias("held_out"))
