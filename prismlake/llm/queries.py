@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import shared_dir
-from . import decontaminate, idfiles, langid, packing, quality, simhash, substring, suffix, textkit, tokencount, toxicity, wordlm
+from . import alignment, decontaminate, idfiles, langid, packing, quality, simhash, substring, suffix, textkit, tokencount, toxicity, wordlm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten can be written in SQL that runs on whole tables: tests hold each against brute force.
@@ -93,3 +93,8 @@ def op9_tokencount_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_wordlm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return wordlm.score(docs, wordlm.train(docs.filter(~held_out(5))), F.col("doc_id"), held_out(5).alias("held_out"))
+
+
+@query
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), F.col("doc_id"))
