@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import shared_dir
-from . import alignment, decontaminate, idfiles, langid, packing, quality, simhash, substring, suffix, textkit, tokencount, toxicity, wordlm
+from . import alignment, decontaminate, idfiles, langid, negatives, packing, quality, simhash, substring, suffix, textkit, tokencount, toxicity, wordlm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: None of the ten can be written in SQL that runs on whole tables: tests hold each against brute force.
+#: The others cannot be written in SQL that runs on whole tables: tests hold each against brute force.
 ORACLES: dict[str, str] = {}
 
 
@@ -98,3 +98,29 @@ def op12_wordlm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), F.col("doc_id"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, "vec_id % 100 = 0")
+
+
+ORACLES["op11_hard_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as alike, list_inner_product(a.e, b.e)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), p as (
+  select anchor_id, other_id as positive_id, score as positive_score from s where alike
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id)::integer as "rank",
+  s.other_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.alike and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+qualify "rank" <= 10
+"""
