@@ -30,7 +30,7 @@ U = np.uint64
 #: Hashes of the end and of what stands before the first token; those of words are 48 bits of a 64-bit hash.
 END, START = U(1), U(2)
 #: Different pairs that a counting task holds before it sends them on.
-HELD = 1 << 22
+HELD = 1 << 21
 #: A first word above this share of a sample's words is spread over SPREAD cells; the sample (at most so many documents) decides nothing else.
 FREQUENT, SPREAD, SAMPLE = 1 / 2000, 64, 2000
 PARTS = "cell int, payload binary"
@@ -66,12 +66,12 @@ def _sum_pairs(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return v[first], w[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _sum_rows(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys in order and the sums of their rows."""
+def _sums(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The different keys in order and the sums of their values."""
     order = np.argsort(key, kind="stable")
     key = key[order]
-    first = np.flatnonzero(np.diff(key, prepend=key[:1] + U(1)) != 0) if len(key) else np.empty(0, np.int64)
-    return key[first], np.add.reduceat(rows[order], first, axis=0) if len(first) else rows[:0]
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] + U(1)))
+    return [key[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)]
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -90,6 +90,14 @@ def _pair_parts(v: np.ndarray, w: np.ndarray, n: np.ndarray, to: np.ndarray) ->
         yield int(to[part[0]]), _pack(pv[first].astype(np.int64), np.diff(first, append=len(pv)), w[part].astype(np.int64), n[part])
 
 
+def _word_parts(buckets: int, words: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """(bucket, packed words and values, no pairs counted) for each bucket."""
+    to = ((mix(words) >> U(32)) % U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else ():
+        yield int(to[part[0]]), _pack(words[part].astype(np.int64), *(x[part] for x in values)), 0, 0, 0, 0
+
+
 @dataclass(frozen=True)
 class WordModel:
     """Where the arrays lie, and the numbers that hold for all of them."""
@@ -169,7 +177,7 @@ def train(docs: DataFrame, *, per_cell: int = 12 << 20) -> WordModel:
     folder = f"{shared_dir(spark)}/wordlm-{uuid.uuid4().hex}"
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = max(least, -(-size_in_bytes(docs) // per_cell))
-    buckets = max(4, cells // 4)
+    buckets = cells
     docs = docs.select("text")
     frequent = _frequent(docs)
 
@@ -179,7 +187,7 @@ def train(docs: DataFrame, *, per_cell: int = 12 << 20) -> WordModel:
             v, w, _ = token_hashes(s)
             parts.append(_sum_pairs(v, w, np.ones(len(v), np.int64)))
             since += len(parts[-1][0])
-            if since > HELD // 2:
+            if since > HELD // 4:
                 parts = [_sum_pairs(*map(np.concatenate, zip(*parts, strict=True)))]
                 held, since = len(parts[0][0]), 0
             if held > HELD:
@@ -202,17 +210,10 @@ def train(docs: DataFrame, *, per_cell: int = 12 << 20) -> WordModel:
         large = np.flatnonzero(n[order] >= 255)
         write_arrays(f"{folder}/pairs-{table.column('cell')[0].as_py()}", pair=key[order], count=np.minimum(n[order], 255).astype(np.uint8), large_at=large, large=n[order][large])
         t = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        # Of each word: how often it occurs, after how many different ones, and how many different ones follow once, twice, more often. The start occurs as often as it is followed.
-        mine = np.zeros((len(v), 5), np.int64)
-        mine[:, 0], mine[:, 1] = n, 1
-        own = np.zeros((len(v), 5), np.int64)
-        own[np.arange(len(v)), 1 + np.minimum(n, 3)] = 1
-        own[:, 0] = np.where(v == START, n, 0)
-        words, rows = _sum_rows(np.concatenate([w, v]), np.concatenate([mine, own]))
-        to = ((mix(words) >> U(32)) % U(buckets)).astype(np.int64)
-        order, out = np.argsort(to, kind="stable"), []
-        for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-            out.append((int(to[part[0]]), _pack(words[part].astype(np.int64), *rows[part].T), 0, 0, 0, 0))
+        # Of each word how often it occurs and after how many different ones; of each first word (the start's occurrences) how many follow it once, twice, more often.
+        first = np.flatnonzero(np.diff(v, prepend=v[:1] + U(1)))
+        follow = [np.add.reduceat(x, first) for x in ((n * (v == START)), (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]
+        out = [r for rows in (_sums(w, n, np.ones(len(w), np.int64)), [v[first], *follow]) for r in _word_parts(buckets, *rows)]
         return pa.Table.from_batches([_batch([*out, (-1, b"", *t)], LOW)])
 
     rows = docs.mapInArrow(count, PARTS).repartition(cells, "cell").groupBy("cell").applyInArrow(cell, LOW)
@@ -222,12 +223,23 @@ def train(docs: DataFrame, *, per_cell: int = 12 << 20) -> WordModel:
 
     def bucket(table: pa.Table) -> pa.Table:
         parts = [_unpack(raw.as_py()) for raw in table.column("payload")]
-        words, rows = _sum_rows(np.concatenate([p[0] for p in parts]).astype(U), np.concatenate([np.stack(p[1:], 1) for p in parts]))
-        free = rows[:, 2:] @ two
-        write_arrays(f"{folder}/words-{table.column('bucket')[0].as_py()}", word=words, count=rows[:, 0], before=rows[:, 1].astype(np.uint32), weight=np.where(free > 0, free / np.maximum(rows[:, 0], 1), 1).astype(np.float32))
+        words = np.unique(np.concatenate([p[0] for p in parts]))
+
+        def total(arrays_: int, k: int) -> np.ndarray:
+            """Column k summed over the payloads that have so many arrays."""
+            out = np.zeros(len(words), np.int64)
+            for p in parts:
+                if len(p) == arrays_:
+                    out[np.searchsorted(words, p[0])] += p[k]
+            return out
+
+        n, before = total(3, 1) + total(5, 1), total(3, 2)
+        free = sum(two[k] * total(5, 2 + k) for k in range(3))
+        words = words.astype(U)
+        write_arrays(f"{folder}/words-{table.column('bucket')[0].as_py()}", word=words, count=n, before=before.astype(np.uint32), weight=np.where(free > 0, free / np.maximum(n, 1), 1).astype(np.float32))
         token = words != START
-        before = rows[token, 1]
-        return pa.Table.from_batches([_batch([(float(rows[token, 0].sum()), int(token.sum()), float(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4)))], TOTALS)])
+        before = before[token]
+        return pa.Table.from_batches([_batch([(float(n[token].sum()), int(token.sum()), float(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4)))], TOTALS)])
 
     names = [c.split()[0] for c in TOTALS.split(", ")]
     totals = low.filter("bucket >= 0").select("bucket", "payload").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(bucket, TOTALS)
