@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,53 +160,67 @@ def graph_edges(neighbors: DataFrame, faces: DataFrame, roots: DataFrame, told:
     return e.join(told, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.sum("similarity").alias("weight"))
 
 
+#: Votes are summed as whole numbers of this part, so their order does not matter.
+_VOTE = 1e-9
+
+
+def _draw(node: Column, seed: int, sweep: int) -> Column:
+    """A node's place in the visiting order of a sweep; ties go to the least node."""
+    return F.xxhash64(node.cast("long"), F.lit(seed).cast("long"), F.lit(sweep).cast("long"))
+
+
+def draw(node: int, seed: int, sweep: int) -> int:
+    """The same outside Spark."""
+    h = 42
+    for x in (node, seed, sweep):
+        h = xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def whispers(edges: DataFrame, told: DataFrame, persons: DataFrame, rounds: int = 40, seed: int = 0x5EED, small: int = 100_000) -> DataFrame:
     """(root, label) by Chinese Whispers; a label is forbidden to a node while one that may not meet it carries it: one told, or one of another person.
 
-    Labels never leave a component. Components of at most `small` edges run alone in a task each, which visits the nodes in an order
-    seeded by the component; larger ones run as rounds of grouped votes (spread_whispers).
+    In each of at most `rounds` sweeps every node, in an order drawn anew by hash, takes the label with the largest summed weight among its neighbours, ties to the least, and
+    sees the labels that nodes before it took in this sweep; it ends with a sweep that changes nothing. Labels never leave a component. Components of at most `small` edges run in a task each;
+    larger ones run in Spark, where a node moves once all nodes before it that it depends on have moved. Both give the same labels.
     """
-    edges = durable(edges)
+    edges = durable(edges.withColumn("weight", F.round(F.col("weight") / _VOTE).cast("long")))
     of = durable(connected_components(edges))
     e = durable(edges.join(of, edges.a == of.id).select("component", "a", "b", "weight"))
     large = durable(e.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select("component"))
-    alone = e.join(large, "component", "left_anti")
-    c = told.join(of, told.a == of.id).select("component", "a", "b", F.lit(None).cast("double").alias("weight"))
-    p = persons.join(of, persons.root == of.id).select("component", F.col("root").alias("a"), F.col("person_id").alias("b"), F.lit(-1.0).alias("weight"))
-    out = alone.unionByName(c.unionByName(p).join(large, "component", "left_anti")).groupBy("component").applyInPandas(_whispers_alone(rounds, seed), "root long, label long")
+    c = told.join(of, told.a == of.id).select("component", "a", "b", F.lit("told").alias("kind"), F.lit(0).cast("long").alias("weight"))
+    p = persons.join(of, persons.root == of.id).select("component", F.col("root").alias("a"), F.col("person_id").alias("b"), F.lit("person").alias("kind"), F.lit(0).cast("long").alias("weight"))
+    all_ = e.withColumn("kind", F.lit("edge")).unionByName(c).unionByName(p)
+    out = all_.join(large, "component", "left_anti").groupBy("component").applyInPandas(_whispers_alone(rounds, seed), "root long, label long")
     if large.isEmpty():
         return out
-    rest = e.join(large, "component", "left_semi").drop("component")
-    return out.union(spread_whispers(rest, told, persons, rounds, seed))
+    rest = durable(all_.join(large, "component", "left_semi"))
+    return out.union(_whispers_spread(rest, rounds, seed))
 
 
 def _whispers_alone(rounds: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        linked: dict[int, list[tuple[int, float]]] = {}
+        linked: dict[int, list[tuple[int, int]]] = {}
         barred: dict[int, set[int]] = {}
         person: dict[int, int] = {}
-        for a, b, w in pdf[["a", "b", "weight"]].sort_values(["a", "b"]).itertuples(index=False):
-            if w < 0:
-                person[int(a)] = int(b)
+        for a, b, kind, w in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["kind"].tolist(), pdf["weight"].tolist(), strict=True):
+            if kind == "person":
+                person[a] = b
                 continue
-            for x, y in ((int(a), int(b)), (int(b), int(a))):
-                if np.isnan(w):
+            for x, y in ((a, b), (b, a)):
+                if kind == "told":
                     barred.setdefault(x, set()).add(y)
                 else:
-                    linked.setdefault(x, []).append((y, float(w)))
-        nodes = sorted(linked)
-        label = {x: x for x in (*nodes, *barred, *person)}
-        carried: dict[int, dict[int, int]] = {}  # label -> person -> nodes
-        for x, q in person.items():
-            carried[x] = {q: 1}
-        rng = np.random.Generator(np.random.PCG64([seed, nodes[0] if nodes else 0]))
-        for _ in range(rounds):
+                    linked.setdefault(x, []).append((y, w))
+        label = {x: x for x in (*linked, *barred, *person)}
+        carried: dict[int, dict[int, int]] = {x: {q: 1} for x, q in person.items()}  # label -> person -> nodes
+        for sweep in range(rounds):
             changed = False
-            for x in rng.permutation(nodes).tolist():
-                score: dict[int, float] = {}
+            for _, x in sorted((draw(x, seed, sweep), x) for x in linked):
+                score: dict[int, int] = {}
                 for y, w in linked[x]:
-                    score[label[y]] = score.get(label[y], 0.0) + w
-                bad = {label[y] for y in barred.get(x, ()) if y in label}
+                    score[label[y]] = score.get(label[y], 0) + w
+                bad = {label[y] for y in barred.get(x, ())}
                 q = person.get(x)
                 ok = [(-s, v) for v, s in score.items() if v not in bad and (q is None or not carried.get(v, {}).keys() - {q})]
                 if ok and (new := min(ok)[1]) != label[x]:
@@ -219,48 +234,56 @@ def _whispers_alone(rounds: int, seed: int):
                     label[x], changed = new, True
             if not changed:
                 break
-        return pd.DataFrame([(x, label[x]) for x in nodes], columns=["root", "label"])
+        return pd.DataFrame([(x, label[x]) for x in linked], columns=["root", "label"])
 
     return run
 
 
-def spread_whispers(edges: DataFrame, told: DataFrame, persons: DataFrame, rounds: int = 40, seed: int = 0x5EED) -> DataFrame:
-    """whispers() as rounds of label votes over the edge table.
+def _whispers_spread(graph: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """The sweeps as rounds over tables (component, a, b, kind, weight).
 
-    In a round the nodes of one of four classes, dealt anew by a hash of node and round, take the label with the largest summed weight
-    among their neighbours (ties: the least label) that is not forbidden to them. Nodes of one class that are neighbours wait for each
-    other: only the least of them by hash moves. Votes are grouped sums, so a component of any size is spread over the cluster; it ends
-    when no node would move, or after `rounds` turns.
+    In a round those nodes move that no node before them in the sweep keeps waiting: a neighbour or one told apart that has not moved, or, for a node with a person, one of another person
+    that could still take or leave a label that it might take. Votes are grouped sums and waiting is a grouped minimum, so no component and no hub is in one task.
     """
-    both = durable(edges.select(F.col("a").alias("root"), F.col("b").alias("other"), "weight").union(edges.select("b", "a", "weight")))
-    barred = durable(told.select(F.col("a").alias("root"), F.col("b").alias("other")).union(told.select("b", "a")))
-    persons = durable(persons)
-    nodes = both.select("root").distinct().union(barred.select("root")).union(persons.select("root")).distinct()
-    labels, path = write_table(nodes.select("root", F.col("root").alias("label")).join(persons, "root", "left"))
-
-    def won(voters: DataFrame) -> DataFrame:
-        """(root, new): the label that each voting node would take."""
-        votes = voters.join(labels.select(F.col("root").alias("other"), "label"), "other").groupBy("root", "label").agg(F.round(F.sum("weight"), 9).alias("score"))
-        bad = barred.join(labels.select(F.col("root").alias("other"), "label"), "other").select("root", "label").distinct()
-        named = labels.filter("person_id is not null").groupBy("label").agg(F.min("person_id").alias("least"), F.max("person_id").alias("most"))
-        votes = votes.join(bad, ["root", "label"], "left_anti").join(named, "label", "left").join(persons, "root", "left")
-        votes = votes.filter("person_id is null or least is null or (least = person_id and most = person_id)")
-        return votes.groupBy("root").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("new"))
-
-    still = 0
-    for turn in range(4 * rounds):
-        draw = lambda c: F.xxhash64(F.col(c), F.lit(seed), F.lit(turn // 4))
-        mine = F.pmod(draw("root"), F.lit(4)) == turn % 4
-        theirs = F.pmod(draw("other"), F.lit(4)) == turn % 4
-        waits = both.filter(mine & theirs & (draw("other") < draw("root"))).select("root").distinct()
-        new = F.coalesce("new", "label")
-        moved, after = write_table(labels.join(won(both.filter(mine).join(waits, "root", "left_anti")), "root", "left").select("root", new.alias("label"), "person_id", (new != F.col("label")).alias("moved")))
-        still = 0 if not moved.filter("moved").isEmpty() else still + 1
-        drop_table(edges.sparkSession, path)
-        labels, path = moved.drop("moved"), after
-        if still >= 4 and won(both).join(labels, "root").filter("new <> label").isEmpty():  # some only waited
+    spark = graph.sparkSession
+    two_ways = lambda kind: graph.filter(F.col("kind") == kind).select(F.col("a").alias("root"), F.col("b").alias("other"), "weight").union(graph.filter(F.col("kind") == kind).select("b", "a", "weight"))
+    votes_of, barred = durable(two_ways("edge")), durable(two_ways("told").select("root", "other"))
+    person = graph.filter("kind = 'person'").select(F.col("a").alias("root"), F.col("b").alias("person_id"))
+    ends = graph.filter("kind <> 'person'").select("component", F.col("a").alias("root")).union(graph.filter("kind <> 'person'").select("component", "b")).union(graph.filter("kind = 'person'").select("component", "a"))
+    nodes = ends.distinct().join(person, "root", "left").join(votes_of.select("root").distinct().withColumn("votes", F.lit(True)), "root", "left")
+    labels, path = write_table(nodes.select("root", "component", "person_id", F.col("votes").isNotNull().alias("votes"), F.col("root").alias("label"), F.lit(False).alias("done")))
+    tied = durable(votes_of.select("root", "other").union(barred))
+    for sweep in range(rounds):
+        before = labels.select("root", F.col("label").alias("was"))
+        kept_path, path, first = path, None, True
+        labels = labels.withColumn("done", ~F.col("votes")).withColumn("at", F.struct(_draw(F.col("root"), seed, sweep), "root"))
+        while True:
+            waiting = labels.filter("not done").select("root", "at")
+            late = tied.join(waiting, "root").join(waiting.select(F.col("root").alias("other"), F.col("at").alias("other_at")), "other").filter("other_at < at").select("root").distinct()
+            ready = labels.filter("not done").join(late, "root", "left_anti").select("root", "component", "person_id", "at", F.col("label").alias("own"))
+            votes = votes_of.join(ready, "root").join(labels.select(F.col("root").alias("other"), "label"), "other").groupBy("root", "component", "person_id", "at", "own", "label").agg(F.sum("weight").alias("score"))
+            bad = barred.join(labels.select(F.col("root").alias("other"), "label"), "other").select("root", "label").distinct()
+            votes = durable(votes.join(bad, ["root", "label"], "left_anti"))
+            named = votes.filter("person_id is not null")
+            might = named.select("component", "label", "at").union(ready.filter("person_id is not null").select("component", "own", "at")).groupBy("component", "label").agg(F.min("at").alias("first"))
+            unready = labels.filter("not done and person_id is not null").join(ready.select("root"), "root", "left_anti").groupBy("component").agg(F.min("at").alias("first"))
+            held = named.join(might, ["component", "label"]).filter("first < at").select("root").union(named.join(unready, "component").filter("first < at").select("root")).distinct()
+            taken = labels.filter("person_id is not null").groupBy("label").agg(F.min("person_id").alias("least"), F.max("person_id").alias("most"))
+            free = votes.join(taken, "label", "left").filter("person_id is null or least is null or (least = person_id and most = person_id)")
+            new = free.groupBy("root").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("new"))
+            go = ready.select("root").join(held, "root", "left_anti").join(new, "root", "left").withColumn("go", F.lit(True))
+            after, own = write_table(labels.join(go, "root", "left").select("root", "component", "person_id", "votes", F.when(F.col("go"), F.coalesce("new", "label")).otherwise(F.col("label")).alias("label"), (F.col("done") | F.coalesce("go", F.lit(False))).alias("done"), "at"))
+            if path:
+                drop_table(spark, path)
+            labels, path, first = after, own, False
+            if labels.filter("not done").isEmpty():
+                break
+        changed = not labels.join(before, "root").filter("label <> was").isEmpty()
+        drop_table(spark, kept_path)
+        if not changed:
             break
-    return labels.join(both.select("root").distinct(), "root", "left_semi").select("root", "label")
+        labels = labels.drop("at")
+    return labels.filter("votes").select("root", "label")
 
 
 def build_clusters(faces: DataFrame, roots: DataFrame, labels: DataFrame, members: DataFrame, min_size: int) -> DataFrame:
@@ -275,38 +298,53 @@ def build_clusters(faces: DataFrame, roots: DataFrame, labels: DataFrame, member
 def verify_clusters(clusters: DataFrame, faces: DataFrame, constraints: DataFrame, members: DataFrame, base: float, named_margin: float = 0.05) -> DataFrame:
     """(cluster, face_id, similarity, verdict): keep, conflict or below, in the order protected first, then most central.
 
-    A face must reach max(base, mean - 3 deviations) of its cluster, and for a named person the confirmed faces' centroid.
+    A face must reach max(base, mean - 3 deviations) of its cluster, and for a named person the confirmed faces' centroid. Confirmed and must-linked faces are protected.
+    Of faces that may not meet the first in order stays: only they are ordered, in rounds in which those are settled whose earlier opponents are. No cluster is in one task.
     """
-    sure = members.filter("confirmed").select("face_id", F.lit(True).alias("sure"))
-    must = constraints.filter("kind = 'must_link'").select(F.explode(F.array("face_a", "face_b")).alias("face_id")).distinct().withColumn("linked", F.lit(True))
+    sure = members.filter("confirmed").select("face_id").distinct().withColumn("sure", F.lit(True))
+    f = clusters.select("cluster", "face_id", "person_id").join(faces.select("face_id", "quality", "vector"), "face_id").join(sure, "face_id", "left").join(_linked(constraints), "face_id", "left")
+    f = durable(f.withColumn("safe", F.col("sure").isNotNull() | F.col("linked").isNotNull()))
+    named = cluster_stats(f.filter("sure and person_id is not null").select("cluster", "face_id"), faces).select("cluster", F.col("centroid").alias("known"))
+    stats = cluster_stats(clusters, faces).select("cluster", "centroid", F.greatest(F.lit(base), F.col("mean_similarity") - 3 * F.col("deviation")).alias("floor"))
+    scored = f.join(stats, "cluster").join(named, "cluster", "left").withColumn("similarity", media.dot(F.col("vector"), F.col("centroid")))
+    stranger = F.coalesce(media.dot(F.col("vector"), F.col("known")) < base + named_margin, F.lit(False))
+    scored = durable(scored.select("cluster", "face_id", "safe", "similarity", (~F.col("safe") & ((F.col("similarity") < F.col("floor")) | stranger)).alias("below"), F.struct(~F.col("safe"), -F.col("similarity"), "face_id").alias("at")))
     no = constraints.filter("kind = 'cannot_link'")
-    no = no.select(F.col("face_a").alias("face_id"), F.col("face_b").alias("other")).union(no.select("face_b", "face_a")).groupBy("face_id").agg(F.collect_set("other").alias("barred"))
-    df = clusters.join(faces.select("face_id", "quality", "vector"), "face_id").join(sure, "face_id", "left").join(must, "face_id", "left").join(no, "face_id", "left")
+    no = no.select(F.col("face_a").alias("face_id"), F.col("face_b").alias("other")).union(no.select("face_b", "face_a")).distinct()
+    mine = scored.select("cluster", "face_id", "safe", "at", "below")
+    there = mine.select("cluster", F.col("face_id").alias("other"), F.col("safe").alias("other_safe"), F.col("below").alias("other_below"), F.col("at").alias("other_at"))
+    # Who an unprotected face would have to give way to: an earlier one that can stay.
+    before = durable(no.join(mine, "face_id").join(there, ["cluster", "other"]).filter("not safe and not other_below and other_at < at").select("cluster", "face_id", "other", "other_safe"))
+    lost, settled = _give_way(before)
+    lost = lost.withColumn("conflict", F.lit(True))
+    found = scored.join(lost, ["cluster", "face_id"], "left")
+    return found.select("cluster", "face_id", "similarity", F.when(F.col("conflict"), "conflict").when(F.col("below"), "below").otherwise("keep").alias("verdict"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("face_id")
-        v, q = np.stack(pdf.vector.to_list()).astype(float), pdf.quality.to_numpy(float)
-        centre = _centroid(v, q)
-        sims = v @ centre
-        floor = max(base, sims.mean() - 3 * sims.std())
-        sure = pdf.sure.notna().to_numpy()
-        safe = sure | pdf.linked.notna().to_numpy()
-        named = _centroid(v[sure], q[sure]) if pdf.person_id.notna().any() and sure.any() else None
-        ids, kept, out = pdf.face_id.to_numpy(), set(), []
-        barred = [set(b) if b is not None else set() for b in pdf.barred]
-        for k in sorted(range(len(ids)), key=lambda k: (not safe[k], -sims[k], ids[k])):
-            verdict = "keep"
-            if not safe[k]:
-                if barred[k] & kept:
-                    verdict = "conflict"
-                elif sims[k] < floor or (named is not None and v[k] @ named < base + named_margin):
-                    verdict = "below"
-            if verdict == "keep":
-                kept.add(int(ids[k]))
-            out.append((int(pdf.cluster.iloc[0]), int(ids[k]), float(sims[k]), verdict))
-        return pd.DataFrame(out, columns=["cluster", "face_id", "similarity", "verdict"])
-
-    return df.groupBy("cluster").applyInPandas(run, "cluster long, face_id long, similarity double, verdict string")
+
+def _linked(constraints: DataFrame) -> DataFrame:
+    return constraints.filter("kind = 'must_link'").select(F.explode(F.array("face_a", "face_b")).alias("face_id")).distinct().withColumn("linked", F.lit(True))
+
+
+def _give_way(before: DataFrame) -> tuple[DataFrame, int]:
+    """(cluster, face_id) of the faces that meet an earlier one that stays, over pairs (cluster, face_id, other, other_safe) with other earlier, and the number of rounds.
+
+    A face stays if none before it does; what has no pair of its own stays.
+    """
+    key, rounds = ["cluster", "face_id"], 0
+    lost = durable(before.filter("other_safe").select(*key).distinct())
+    left = durable(before.join(lost, key, "left_anti"))
+    while not left.isEmpty():
+        rounds += 1
+        gone = left.join(lost.select("cluster", F.col("face_id").alias("other")), ["cluster", "other"], "left_anti")  # who lost no longer counts
+        open_ = gone.join(left.select("cluster", F.col("face_id").alias("other")).distinct().withColumn("waits", F.lit(True)), ["cluster", "other"], "left")
+        more = durable(open_.filter("waits is null").select(*key).distinct())  # an opponent that waits for nobody stays
+        if more.isEmpty():
+            # Those whose opponents all lost stay; the first of what is left always belongs to them.
+            left = durable(open_.select("cluster", "face_id", "other", "other_safe"))
+            continue
+        lost = durable(lost.union(more))
+        left = durable(open_.join(more, key, "left_anti").select("cluster", "face_id", "other", "other_safe"))
+    return lost, rounds
 
 
 def _centroid(v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -329,17 +367,100 @@ def confidence_label(existing: Column, mean: Column, n: Column) -> Column:
     return F.when(existing, "confirmed").when((mean >= 0.70) & (n >= 5), "likely").when(mean >= 0.55, "needs_review").otherwise("low_confidence")
 
 
-def ambiguous(clusters: DataFrame, faces: DataFrame, neighbors: DataFrame, stats: DataFrame, margin: float = 0.05) -> DataFrame:
-    """(face_id, own, other) of faces whose best other cluster, among those of their neighbours, is within the margin of their own.
+def ambiguous(clusters: DataFrame, faces: DataFrame, neighbors: DataFrame, constraints: DataFrame, members: DataFrame, margin: float = 0.05, small: int = 20_000) -> DataFrame:
+    """(cluster, face_id, own, evicted) of all faces of (cluster, face_id): those whose best other cluster, among those of their neighbours, is within the margin of their own go.
+
+    Clusters take their turn in order of their ids; one that loses faces gets a new centroid, which later clusters see. Protected faces stay. A cluster depends on the earlier ones
+    that its faces' neighbours belong to: groups of dependent clusters of up to `small` faces take turns in one task, larger ones in rounds of all clusters whose earlier ones are done. Both give the same.
+    """
+    spark = clusters.sparkSession
+    safe = members.filter("confirmed").select("face_id").union(_linked(constraints).select("face_id")).distinct().withColumn("safe", F.lit(True))
+    f = durable(clusters.select("cluster", "face_id").join(faces.select("face_id", "quality", "vector"), "face_id").join(safe, "face_id", "left").withColumn("safe", F.col("safe").isNotNull()))
+    where = f.select(F.col("face_id").alias("neighbor"), F.col("cluster").alias("there"))
+    near = durable(neighbors.select("face_id", "neighbor").join(f.filter("not safe").select("face_id", "cluster"), "face_id").join(where, "neighbor").filter("there <> cluster").select("cluster", "face_id", "there").distinct())
+    links = durable(near.select("cluster", "there").distinct())
+    of = durable(connected_components(links, "cluster", "there").select(F.col("id").alias("cluster"), F.col("component").alias("group")))
+    f = f.join(of, "cluster", "left")
+    large = durable(f.filter(F.col("group").isNotNull()).groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select("group"))
+    own = f.filter(F.col("group").isNull()).join(cluster_stats(f.filter(F.col("group").isNull()), faces).select("cluster", "centroid"), "cluster")
+    out = own.select("cluster", "face_id", media.dot(F.col("vector"), F.col("centroid")).alias("own"), F.lit(False).alias("evicted"))
+    told = near.groupBy("face_id").agg(F.collect_set("there").alias("there"))  # at most as many as a face has neighbours
+    alone = f.filter(F.col("group").isNotNull()).join(large, "group", "left_anti").join(told, "face_id", "left")
+    out = out.union(alone.groupBy("group").applyInPandas(_turns_alone(margin), "cluster long, face_id long, own double, evicted boolean"))
+    if large.isEmpty():
+        return out
+    f = durable(f.join(large, "group", "left_semi").drop("group"))
+    near, links = (durable(x.join(f.select("cluster").distinct(), "cluster", "left_semi")) for x in (near, links))
+    centres, path = write_table(cluster_stats(f, faces).select("cluster", "centroid", F.lit(False).alias("done")))
+    while True:
+        open_ = centres.filter("not done").select("cluster")
+        held = links.filter("there < cluster").join(open_, "cluster").join(open_.withColumnRenamed("cluster", "there"), "there").select("cluster").distinct()
+        turn = durable(open_.join(held, "cluster", "left_anti"))
+        mine = f.join(turn, "cluster").join(centres.select("cluster", "centroid"), "cluster").select("cluster", "face_id", "vector", "quality", media.dot(F.col("vector"), F.col("centroid")).alias("own"))
+        others = mine.join(near.drop("cluster"), "face_id").join(centres.select(F.col("cluster").alias("there"), F.col("centroid").alias("their")), "there")
+        best = others.groupBy("face_id").agg(F.max(media.dot(F.col("vector"), F.col("their"))).alias("other"))
+        seen = durable(mine.join(best, "face_id", "left").select("cluster", "face_id", "own", F.coalesce(F.col("other") > F.col("own") - margin, F.lit(False)).alias("evicted")))
+        out = out.union(seen)
+        torn = seen.filter("evicted").select("cluster").distinct()
+        rebuilt = cluster_stats(seen.filter("not evicted").join(torn, "cluster", "left_semi").select("cluster", "face_id"), faces).select("cluster", F.col("centroid").alias("fresh"))
+        empty = torn.join(rebuilt, "cluster", "left_anti").withColumn("fresh", F.array().cast("array<double>"))
+        after, new_path = write_table(centres.join(turn.withColumn("now", F.lit(True)), "cluster", "left").join(rebuilt.union(empty), "cluster", "left").select("cluster", F.coalesce("fresh", "centroid").alias("centroid"), (F.col("done") | F.col("now").isNotNull()).alias("done")))
+        drop_table(spark, path)
+        centres, path = after, new_path
+        if centres.filter("not done").isEmpty():
+            return out
+
+
+def _turns_alone(margin: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cluster", "face_id"])
+        v, q = np.stack(pdf.vector.to_list()).astype(float), pdf.quality.to_numpy(float)
+        cluster, ids = pdf.cluster.to_numpy(), pdf.face_id.to_numpy()
+        rows = {int(c): np.flatnonzero(cluster == c) for c in np.unique(cluster)}
+        centre = {c: _centroid(v[at], q[at]) for c, at in rows.items()}
+        there = [list(t) if t is not None else [] for t in pdf.there]
+        out = []
+        for c, at in rows.items():
+            gone = []
+            for k in at.tolist():
+                own = float(v[k] @ centre[c])
+                other = max((float(v[k] @ centre[o]) if len(centre[o]) else 0.0 for o in there[k]), default=-1.0)
+                gone.append(bool(there[k]) and other > own - margin)
+                out.append((c, int(ids[k]), own, gone[-1]))
+            if any(gone):
+                left = at[~np.array(gone)]
+                centre[c] = _centroid(v[left], q[left]) if len(left) else np.empty(0)
+        return pd.DataFrame(out, columns=["cluster", "face_id", "own", "evicted"])
+
+    return run
+
+
+def cluster_faces(
+    faces: DataFrame, neighbors: DataFrame, constraints: DataFrame, members: DataFrame, *, base: float = 0.45, min_quality: float = 0.15, min_size: int = 3, margin: float = 0.05, named_margin: float = 0.05, rounds: int = 40, seed: int = 0x5EED, small: int = 100_000
+) -> tuple[DataFrame, DataFrame]:
+    """(clusters, review) of all faces (face_id, quality, pixel_size, yaw, vector), from their neighbours to the review queue.
 
-    Centroids are one snapshot for all clusters, where a sequential pass would let earlier clusters' changes reach later ones.
+    clusters: (cluster, face_id, person_id, mean_similarity, confidence), the last two of the faces that stay. review: (face_id, cluster, similarity, reason): low_quality,
+    below_cluster_threshold (small groups, without a cluster, and faces below their cluster's threshold), constraint_conflict, ambiguous_between_clusters. Every face is in just one of the two.
+    neighbors: (face_id, neighbor, similarity); null qualities count as low; faces that are not there are ignored. `small` bounds what one task takes, never what comes out.
     """
-    c = clusters.select("face_id", "cluster").join(faces.select("face_id", "vector"), "face_id")
-    own = c.join(stats.select("cluster", "centroid"), "cluster").select("face_id", "cluster", "vector", media.dot(F.col("vector"), F.col("centroid")).alias("own"))
-    near = neighbors.select("face_id", F.col("neighbor")).join(clusters.select(F.col("face_id").alias("neighbor"), F.col("cluster").alias("there")), "neighbor").select("face_id", "there").distinct()
-    others = own.join(near, "face_id").filter("there <> cluster").join(stats.select(F.col("cluster").alias("there"), F.col("centroid").alias("their")), "there")
-    best = others.groupBy("face_id").agg(F.max(media.dot(F.col("vector"), F.col("their"))).alias("other"), F.first("own").alias("own"))
-    return best.filter(F.col("other") > F.col("own") - margin).select("face_id", "own", "other")
+    usable = durable(faces.filter(F.col("quality") >= min_quality))
+    low = faces.join(usable.select("face_id"), "face_id", "left_anti")
+    roots = durable(must_link_roots(usable, constraints, members))
+    told, persons = durable(cannot_link_told(roots, constraints)), durable(root_persons(roots, members))
+    labels = durable(whispers(graph_edges(neighbors, usable, roots, told, persons, base), told, persons, rounds, seed, small))
+    built = durable(build_clusters(usable, roots, labels, members, min_size))
+    verdicts = durable(verify_clusters(built, usable, constraints, members, base, named_margin))
+    kept = durable(built.join(verdicts.filter("verdict = 'keep'").select("cluster", "face_id"), ["cluster", "face_id"]))
+    turns = durable(ambiguous(kept, usable, neighbors, constraints, members, margin, small))
+    final = kept.join(turns.filter("not evicted").select("cluster", "face_id"), ["cluster", "face_id"])
+    stats = cluster_stats(final, usable).select("cluster", "n", "mean_similarity")
+    clusters = final.join(stats, "cluster").select("cluster", "face_id", "person_id", "mean_similarity", confidence_label(F.col("person_id").isNotNull(), F.col("mean_similarity"), F.col("n")).alias("confidence"))
+    none, below = F.lit(None), "below_cluster_threshold"
+    review = low.select("face_id", none.cast("long").alias("cluster"), none.cast("double").alias("similarity"), F.lit("low_quality").alias("reason"))
+    review = review.union(usable.join(built, "face_id", "left_anti").select("face_id", none.cast("long"), none.cast("double"), F.lit(below)))
+    review = review.union(verdicts.filter("verdict <> 'keep'").select("face_id", "cluster", "similarity", F.when(F.col("verdict") == "conflict", "constraint_conflict").otherwise(below)))
+    return clusters, review.union(turns.filter("evicted").select("face_id", "cluster", "own", F.lit("ambiguous_between_clusters")))
 
 
 def confirm(members: DataFrame, constraints: DataFrame, person_id: int, faces: DataFrame) -> tuple[DataFrame, DataFrame]:

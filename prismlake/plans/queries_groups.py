@@ -236,7 +236,17 @@ def cluster_build(c: Catalog) -> DataFrame:
 
 
 query(name="cluster_verify")(lambda c: people.verify_clusters(_clusters(c), _usable(c), c.constraints, c.membership, 0.1))
-query(name="cluster_ambiguity")(lambda c: people.ambiguous(cl := _clusters(c, True), _faces(c), _knn(c), people.cluster_stats(cl, _faces(c))))
+query(name="cluster_ambiguity")(lambda c: people.ambiguous(_clusters(c, True), _faces(c), _knn(c), c.constraints, c.membership))
+
+
+@query()
+def face_clustering(c: Catalog) -> DataFrame:
+    """From neighbours to clusters and the review queue: a row for each face, with a cluster and its confidence or a reason."""
+    clusters, review = people.cluster_faces(_faces(c), _knn(c), c.constraints, c.membership, base=0.1, min_size=2)
+    kept = clusters.select("face_id", "cluster", "person_id", F.round("mean_similarity", 6).alias("similarity"), F.col("confidence").alias("state"))
+    return kept.union(review.select("face_id", "cluster", F.lit(None).cast("long"), F.round("similarity", 6), "reason"))
+
+
 _STATS = f"f AS ({_FACES}), m AS (SELECT person_id, f.* FROM f JOIN membership USING (face_id)), s AS (SELECT person_id, d, sum(quality * CAST(embedding[d] AS DOUBLE)) AS x FROM m, (SELECT unnest(range(1, 65)) AS d) GROUP BY 1, 2), c AS (SELECT person_id, list(x ORDER BY d) AS c, sqrt(sum(x * x)) AS n FROM s GROUP BY 1), t AS (SELECT person_id, list_sum(list_transform(range(1, 65), lambda k: CAST(embedding[k] AS DOUBLE) * c[k] / n)) AS s FROM m JOIN c USING (person_id)), g AS (SELECT person_id AS cluster, count(*) AS n, avg(s) AS mean, stddev_pop(s) AS sd FROM t GROUP BY 1)"
 query(f"WITH {_STATS} SELECT cluster, n, round(mean, 6) AS mean_similarity, round(sd, 6) AS deviation FROM g", "agg_cluster_stats")(lambda c: people.cluster_stats(_clusters(c, True), _faces(c)).select("cluster", "n", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("deviation", 6).alias("deviation")))
 query(f"WITH {_STATS} SELECT cluster, CASE WHEN cluster % 4 = 0 THEN 'confirmed' WHEN mean >= 0.70 AND n >= 5 THEN 'likely' WHEN mean >= 0.55 THEN 'needs_review' ELSE 'low_confidence' END AS label FROM g", "confidence_label")(lambda c: people.cluster_stats(_clusters(c, True), _faces(c)).select("cluster", people.confidence_label(F.col("cluster") % 4 == 0, F.col("mean_similarity"), F.col("n")).alias("label")))
