@@ -24,12 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing has yet; inside temporary_tables it is dropped with them."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def write_table(df: DataFrame) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder; the reread table and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
