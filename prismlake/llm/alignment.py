@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from ..plans.durable import durable, shared_dir
+from ..plans.durable import durable, new_folder
 from .shards import arrays, look_up, write_arrays
 from .textkit import ODD, Slice, fill, mix, per_text, slices
 from .tokens import Encoder
@@ -286,7 +285,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, *keep: Column) -> DataFrame
     """
     spark = docs.sparkSession
     tokenized = durable(_tokenized(docs, path_a, path_b, keep))
-    folder, buckets = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}", max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder, buckets = new_folder(spark, "links"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     size_b = side(path_b).size
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,9 +6,9 @@ order 5 is then one number, and only those that occur are kept.
 
 Counts are Spark's. Tasks count their texts; the counts of an n-gram meet by its hash, and then all n-grams with the same third and
 fourth symbol meet in one cell, where their orders 5, 4 and 3 are complete: contexts hold those two symbols, and so do the shorter
-n-grams that orders are counted down to. Orders 2 and 1 of a group are sums over its cells. Scoring takes the cells in blocks of a
-bounded size, each broadcast for one pass over the texts, so neither a worker nor the driver ever holds a whole model that is larger.
-Every n-gram of every text is counted and every character is scored.
+n-grams that orders are counted down to. Orders 2 and 1 of a group are sums over its cells. A cell's task writes its sorted hash arrays to
+a file of the shared folder, and workers memory-map the files that they look into: texts are scored in one pass and never shuffled, and neither a worker nor the driver
+holds a model. Every n-gram of every text is counted and every character is scored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable, size_in_bytes
+from ..plans.durable import durable, new_folder, size_in_bytes
+from .shards import arrays, look_up, write_arrays
 from .textkit import HashTable, Slice, fill, mix, slices
 
 ORDER, BITS = 5, 12
@@ -30,7 +31,7 @@ SYMBOLS = 1 << BITS
 EXACT, SHARED = 0xC00, 1024
 SPACE = 32
 COUNTS = "grp string, cell int, payload binary"
-MODEL = "grp string, cell int, entries long, payload binary"
+MODEL = "grp string, cell int, entries long"
 #: Different n-grams that a counting task holds before it sends them on, and log probabilities that a scoring worker keeps.
 HELD, KEPT = 1 << 20, 1 << 22
 _TABLES: list[np.ndarray] = []
@@ -225,11 +226,12 @@ def _keys(code: np.ndarray, group: str, order: int, context: bool = False) -> np
     return mix(code.astype(np.uint64) ^ _salt(group, order, context))
 
 
-def estimate(counts: DataFrame, modified: bool) -> DataFrame:
-    """Model rows (grp, cell, entries, payload) from count_grams: hashes of n-grams and of contexts with log probabilities and log weights.
+def estimate(counts: DataFrame, cells: int, modified: bool) -> Model:
+    """The models of all groups from count_grams: hashes of n-grams and of contexts with log probabilities and log weights, a file a cell.
 
-    Cell -1 of a group holds its orders 2 and 1, at most 4,096 * 4,097 n-grams.
+    The file `low` of a group holds its orders 2 and 1, at most 4,096 * 4,097 n-grams.
     """
+    folder = new_folder(counts.sparkSession, "charlm")
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,59 +274,61 @@ def estimate(counts: DataFrame, modified: bool) -> DataFrame:
                 keys = np.concatenate([*(_keys(c, g, o) for o, c, _ in grams), *(_keys(c, g, o, True) for o, c, _ in contexts)])
                 values = np.log(np.concatenate([x for _, _, x in grams + contexts])).astype("<f4")
                 order = np.argsort(keys)
-                yield _rows([(g, cell, len(keys), keys[order].astype("<u8").tobytes() + values[order].tobytes())], MODEL)
+                write_arrays(f"{folder}/{file_of(g, cell)}", key=keys[order].astype("<u8"), value=values[order])
+                yield _rows([(g, cell, len(keys))], MODEL)
 
     below = counts.mapInArrow(low, COUNTS).repartition(n, "grp").mapInArrow(merge, COUNTS)
     below = durable(below.select("grp", F.col("payload").alias("below")))
-    cells = counts.union(below.select("grp", F.lit(-1), F.lit(b"")))
-    return durable(cells.join(below, "grp").select("grp", "cell", "payload", "below").mapInArrow(finish, MODEL))
-
-
-class Block:
-    """Some cells of some groups as one sorted hash array."""
-
-    def __init__(self, rows: list[tuple[str, int, bytes]], cells: int):
-        self.cells, self.cover = cells, {}
-        keys, values = [], []
-        for g, cell, raw in rows:
-            n = len(raw) // 12
-            keys.append(np.frombuffer(raw, "<u8", n))
-            values.append(np.frombuffer(raw, "<f4", n, 8 * n))
-            if cell >= 0:
-                self.cover.setdefault(g, np.zeros(cells, bool))[cell] = True
-        keys, values = np.concatenate(keys), np.concatenate(values)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+    parts = counts.union(below.select("grp", F.lit(-1), F.lit(b"")))
+    written = parts.join(below, "grp").select("grp", "cell", "payload", "below").mapInArrow(finish, MODEL).groupBy("grp").agg(F.sum("entries").alias("entries"))
+    return Model(folder, cells, {r.grp: r.entries for r in written.collect()})  # one row a group
+
+
+def file_of(group: str, cell: int) -> str:
+    return f"{xxhash.xxh3_128_hexdigest(group.encode())}-{cell if cell >= 0 else 'low'}"
+
+
+class Model:
+    """Where the arrays of some groups lie, with the number of each one's entries; workers map them when they look into them."""
+
+    def __init__(self, folder: str, cells: int, entries: dict[str, int]):
+        self.folder, self.cells, self.entries = folder, cells, entries
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[tuple[str, ...], tuple[HashTable, np.ndarray]] = {}
 
     def __getstate__(self):
-        return self.cells, self.cover, self.keys, self.values
+        return self.folder, self.cells, self.entries
 
     def __setstate__(self, state):
-        self.cells, self.cover, self.keys, self.values = state
+        self.folder, self.cells, self.entries = state
         self._forget()
 
-    def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.values[at], self.keys[at] == keys
+    def _descend(self, out: np.ndarray, code: np.ndarray, left: np.ndarray, group: str, cell: int, orders: range) -> np.ndarray:
+        """Adds what a file knows of the n-grams at `left`, from the longest order down; those that it does not end."""
+        table = arrays(self.folder, file_of(group, cell))
+        if not table:
+            return left
+        for order in orders:
+            part = code[left] & (1 << BITS * order) - 1
+            at, hit = look_up(table["key"], _keys(part, group, order))
+            out[left[hit]] += table["value"][at[hit]]
+            left, part = left[~hit], part[~hit]
+            at, hit = look_up(table["key"], _keys(part >> BITS, group, order - 1, True))
+            out[left[hit]] += table["value"][at[hit]]
+        return left
 
     def log_prob(self, code: np.ndarray, group: str) -> np.ndarray:
-        """The log probability of each n-gram's last symbol after the others; 0 for those of cells that are not in the block."""
+        """The log probability of each n-gram's last symbol after the others."""
         out = np.zeros(len(code))
-        left = np.flatnonzero(self.cover[group][cell_of(code, self.cells)])
-        mine = left
-        for order in range(ORDER, 0, -1):
-            part = code[left] & (1 << BITS * order) - 1
-            value, hit = self._look(_keys(part, group, order))
-            out[left[hit]] += value[hit]
-            left, part = left[~hit], part[~hit]
-            value, hit = self._look(_keys(part >> BITS, group, order - 1, True))
-            out[left[hit]] += value[hit]
+        cell = cell_of(code, self.cells)
+        order = np.argsort(cell, kind="stable")
+        cuts = np.flatnonzero(np.diff(cell[order])) + 1
+        left = [self._descend(out, code, part, group, int(cell[part[0]]), range(ORDER, 2, -1)) for part in np.split(order, cuts) if len(part)]
+        left = self._descend(out, code, np.concatenate(left) if left else order, group, -1, range(2, 0, -1))
         out[left] -= np.log(SYMBOLS)
-        assert len(mine) == 0 or out[mine].max() < 1e-3
+        assert not len(out) or out.max() < 1e-3
         return out
 
     def log_probs(self, code: np.ndarray, groups: tuple[str, ...]) -> np.ndarray:
@@ -343,49 +347,28 @@ class Block:
         return values[at]
 
 
-def blocks(model: DataFrame, cells: int, block_entries: int = 5 << 20) -> Iterator[Block]:
-    """The model in blocks of about block_entries hashes (12 bytes each), one after another.
+#: Groups whose log probabilities of a slice are held at once.
+AT_ONCE = 8
 
-    A block has the cell -1 of each of its groups, which is bounded by the alphabet, and at least one other cell.
-    """
-    plan: list[tuple[list[tuple[str, int]], int]] = []
-    sizes = sorted((r.grp, r.cell, r.entries) for r in model.select("grp", "cell", "entries").collect())  # one row a cell
-    below = {g: k for g, c, k in sizes if c < 0}
-    for g, c, k in sizes:
-        if c < 0:
-            continue
-        if not plan or plan[-1][1] + k + below[g] > block_entries:
-            plan.append(([], 0))
-        part, held = plan[-1]
-        if (g, -1) not in part:
-            part.append((g, -1))
-            held += below[g]
-        part.append((g, c))
-        plan[-1] = (part, held + k)
-    spark = model.sparkSession
-    for part, _ in plan:
-        rows = model if len(plan) == 1 else model.join(F.broadcast(spark.createDataFrame(part, "grp string, cell int")), ["grp", "cell"], "left_semi")
-        yield Block([(r.grp, r.cell, bytes(r.payload)) for r in rows.select("grp", "cell", "payload").collect()], cells)
-
-
-def text_log_probs(block: Block, groups: list[str], code: np.ndarray, begins: np.ndarray) -> np.ndarray:
+
+def text_log_probs(model: Model, groups: list[str], code: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """[text, group]: summed log probabilities of each text under each group's model."""
-    mine = tuple(g for g in groups if g in block.cover)
     out = np.zeros((len(begins) - 1, len(groups)))
-    if mine and len(code):
-        sums = np.zeros((len(code) + 1, len(mine)))
-        np.cumsum(block.log_probs(code, mine), axis=0, dtype=np.float64, out=sums[1:])
-        out[:, [groups.index(g) for g in mine]] = sums[begins[1:]] - sums[begins[:-1]]
+    for at in range(0, len(groups) if len(code) else 0, AT_ONCE):
+        some = tuple(groups[at : at + AT_ONCE])
+        sums = np.zeros((len(code) + 1, len(some)))
+        np.cumsum(model.log_probs(code, some), axis=0, dtype=np.float64, out=sums[1:])
+        out[:, at : at + len(some)] = sums[begins[1:]] - sums[begins[:-1]]
     return out
 
 
-def own_log_probs(block: Block, groups: list[str | None], code: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Each text's summed log probability under the model of its own group; 0 where the block does not have it."""
+def own_log_probs(model: Model, groups: list[str | None], code: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Each text's summed log probability under the model of its own group; 0 where there is none."""
     out, length, of = np.zeros(len(groups)), np.diff(begins), np.array([g or "" for g in groups], object)
-    for g in sorted(set(of.tolist()) & set(block.cover)):
+    for g in sorted(set(of.tolist()) & set(model.entries)):
         which = np.flatnonzero(of == g)
         part = code[fill(begins[:-1][which], length[which])]
-        sums = np.concatenate([[0.0], np.cumsum(block.log_probs(part, (g,))[:, 0], dtype=np.float64)])
+        sums = np.concatenate([[0.0], np.cumsum(model.log_probs(part, (g,))[:, 0], dtype=np.float64)])
         ends = np.cumsum(length[which])
         out[which] = sums[ends] - sums[ends - length[which]]
     return out

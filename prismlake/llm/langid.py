@@ -13,15 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..plans.durable import durable
-from .charlm import blocks, codes, count_grams, estimate, text_log_probs
+from .charlm import codes, count_grams, estimate, text_log_probs
 from .textkit import slices
 
 UNKNOWN = "und"
 
 
-def predict_languages(docs: DataFrame, train: Column, *, lang: str = "lang", max_chars: int = 60, max_languages: int = 256, calibrate: int = 10) -> DataFrame:
+def predict_languages(docs: DataFrame, train: Column, *, lang: str = "lang", max_chars: int = 60, calibrate: int = 10) -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, rejected) for every whole text; doc_id of any type.
 
     docs: doc_id, text and a language column, read only where `train` is true; other columns are ignored. Null texts and those
@@ -29,41 +30,25 @@ def predict_languages(docs: DataFrame, train: Column, *, lang: str = "lang", max
     `calibrate`, by a hash of the text, is left out of the models and gives each language the usual cross-entropy, its deviation and
     the limit above which a prediction is `rejected`: the 0.999 quantile of these texts, at least 4 deviations. A language without
     such texts rejects nothing. Repeated rows each give a row; an empty table gives an empty result. max_chars bounds the evidence
-    that the posterior counts, never what is read. max_languages bounds the models: more raise an error.
+    that the posterior counts, never what is read. Every language value that is learned has a model, however many there are.
     """
-    spark = docs.sparkSession
     learned = F.when(train, F.col(lang).cast("string"))
     aside = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(calibrate)) == 0, F.lit(False))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.when(aside, learned).alias("learned"), "text")
+    rows = docs.select("doc_id", F.when(aside, learned).alias("learned"), "text")
     counts, cells = count_grams(docs.select(F.when(~aside, learned).alias("grp"), "text"))
-    model = estimate(durable(counts), modified=False)
-    names = sorted(r.grp for r in model.select("grp").distinct().limit(max_languages + 1).collect())
-    if len(names) > max_languages:
-        raise ValueError(f"more than {max_languages} languages; max_languages is {max_languages}")
+    model = estimate(durable(counts), cells, modified=False)
+    names = sorted(model.entries)
+    schema = StructType([docs.schema["doc_id"], StructField("learned", StringType()), StructField("n", LongType()), StructField("known", BooleanType()), StructField("logs", ArrayType(DoubleType()))])
 
-    def scorer(shared):
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for s in slices(batches):
-                code, begins, letter = codes(s)
-                known = np.diff(np.concatenate([[0], np.cumsum(letter)])[begins]) > 0
-                logs = text_log_probs(shared.value, names, code, begins) if shared.value else np.zeros((len(s), 0))
-                logs = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * len(names)), pa.array(logs.ravel()))
-                yield pa.RecordBatch.from_arrays([*s.rows.columns[:3], pa.array(np.diff(begins)), pa.array(known), logs], ["key", "doc_id", "learned", "n", "known", "logs"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            code, begins, letter = codes(s)
+            known = np.diff(np.concatenate([[0], np.cumsum(letter)])[begins]) > 0
+            logs = text_log_probs(model, names, code, begins)
+            logs = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * len(names)), pa.array(logs.ravel()))
+            yield pa.RecordBatch.from_arrays([*s.rows.columns[:2], pa.array(np.diff(begins)), pa.array(known), logs], schema.names)
 
-        return score
-
-    schema = f"key long, doc_id {dict(docs.dtypes)['doc_id']}, learned string, n long, known boolean, logs array<double>"
-    found = blocks(model, cells)
-    shared = spark.sparkContext.broadcast(next(found, None))
-    scored, parts = durable(rows.mapInArrow(scorer(shared), schema)), None
-    for block in found:
-        shared.unpersist()
-        shared = spark.sparkContext.broadcast(block)
-        part = durable(rows.dropDuplicates(["key"]).mapInArrow(scorer(shared), schema).select("key", F.posexplode("logs")))
-        parts = part if parts is None else parts.union(part)
-    if parts is not None:
-        more = parts.groupBy("key", "pos").agg(F.sum("col").alias("x")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("more"))
-        scored = durable(scored.join(more, "key").withColumn("logs", F.expr("zip_with(logs, more, (a, b) -> a + b.x)")).drop("more"))
+    scored = durable(rows.mapInArrow(run, schema))
     best, chars = F.array_max("logs"), F.greatest("n", F.lit(1))
     place = F.array_position("logs", best).cast("int")
     odds = F.aggregate(F.transform("logs", lambda x: F.exp((x - best) / chars * F.least(chars, F.lit(max_chars)))), F.lit(0.0), lambda a, x: a + x)
@@ -74,7 +59,7 @@ def predict_languages(docs: DataFrame, train: Column, *, lang: str = "lang", max
         F.when(sure, 1 / odds).otherwise(0.0).alias("posterior"),
         F.when(sure, -best / chars).otherwise(0.0).alias("cross_entropy"),
     )
-    # One row a language, at most max_languages of them.
+    # One row a language.
     right = told.filter("lang_pred = learned and n >= 20")
     usual = F.broadcast(right.groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"), F.greatest(F.stddev_pop("cross_entropy"), F.lit(0.02)).alias("sd")))
     z = (F.col("cross_entropy") - F.col("mean")) / (F.col("sd") * F.sqrt(1 + 200 / F.col("n")))

@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..plans.durable import durable
-from .charlm import Block, blocks, codes, count_grams, estimate, own_log_probs
+from .charlm import codes, count_grams, estimate, own_log_probs
 from .substring import Words
-from .textkit import Slice, per_text, range_hashes, slices
+from .textkit import Slice, per_text, quoted, range_hashes, slices
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -88,10 +89,6 @@ def _runs(begins: np.ndarray, letter: np.ndarray) -> np.ndarray:
     return per_text(opens, begins)
 
 
-def _key(lang: str) -> Column:
-    return F.xxhash64("doc_id", "text", lang)
-
-
 def half() -> Column:
     """The half of its language that a text is counted in."""
     return F.pmod(F.xxhash64("text"), F.lit(2))
@@ -104,49 +101,24 @@ def _model(group: Column, of: Column) -> Column:
 def score(docs: DataFrame, lang: str, carry: tuple[str, ...]) -> DataFrame:
     """(c0, .., grp, statistics, n_chars, n_runs, log_prob) of every document; c0.. are the `carry` columns.
 
-    log_prob is the text's under the model of its language's other half; 0 where that half has no text. A model that is larger than a block is scored in one pass a block, and the
-    passes' sums meet by a hash of the row.
+    log_prob is the text's under the model of its language's other half; 0 where that half has no text. Texts are read twice, to be counted
+    and to be scored, and never shuffled.
     """
-    spark, group = docs.sparkSession, F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE))
-    texts = docs.select(_key(lang).alias("key"), _model(group, 1 - half()).alias("model"), "text")
+    group = F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE))
     counts, cells = count_grams(docs.select(_model(group, half()).alias("grp"), "text"))
-    found = blocks(estimate(durable(counts), modified=True), cells)
-    types = dict(docs.dtypes)
-    names = ["key", "grp", *[f"c{k}" for k in range(len(carry))], *STATS, "n_chars", "n_runs", "log_prob"]
-    schema = "key long, grp string, " + "".join(f"c{k} {types[c]}, " for k, c in enumerate(carry)) + "".join(f"{c} long, " for c in STATS) + "n_chars long, n_runs long, log_prob double"
-    shared = spark.sparkContext.broadcast(next(found, None))
-    width = len(carry)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = estimate(durable(counts), cells, modified=True)
+    carried = [StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(carry)]
+    schema = StructType([StructField("grp", StringType()), *carried, *(StructField(c, LongType()) for c in (*STATS, "n_chars", "n_runs")), StructField("log_prob", DoubleType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             stats, (code, begins, letter) = text_stats(s), codes(s)
-            logs = own_log_probs(shared.value, s.rows.column(3).to_pylist(), code, begins) if shared.value else np.zeros(len(s))
+            logs = own_log_probs(model, s.rows.column(2).to_pylist(), code, begins)
             arrays = [pa.array(x.astype(np.int64)) for x in (*(stats[c] for c in STATS), np.diff(begins), _runs(begins, letter))]
-            yield pa.RecordBatch.from_arrays([*s.rows.columns[:2], *s.rows.columns[4 : 4 + width], *arrays, pa.array(logs)], names)
-
-    out = durable(docs.select(_key(lang).alias("key"), group.alias("grp"), "text", _model(group, 1 - half()).alias("model"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).mapInArrow(first, schema))
-    more = []
-    for block in found:
-        shared.unpersist()
-        shared = spark.sparkContext.broadcast(block)
-        more.append(durable(texts.filter(F.col("model").isin(sorted(block.cover))).dropDuplicates(["key"]).mapInArrow(_another(shared), "key long, more double")))
-    if more:
-        parts = more[0]
-        for part in more[1:]:
-            parts = parts.union(part)
-        parts = parts.groupBy("key").agg(F.sum("more").alias("more"))
-        out = out.join(parts, "key", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
-    return out.select(*names[1:])
-
-
-def _another(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
-            block: Block = shared.value
-            code, begins, _ = codes(s)
-            yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.array(own_log_probs(block, s.rows.column(1).to_pylist(), code, begins))], ["key", "more"])
+            yield pa.RecordBatch.from_arrays([s.rows.column(0), *s.rows.columns[3:], *arrays, pa.array(logs)], names)
 
-    return run
+    return durable(docs.select(group.alias("grp"), "text", _model(group, 1 - half()).alias("model"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(carry)]).mapInArrow(run, schema))
 
 
 def bands(scored: DataFrame) -> DataFrame:

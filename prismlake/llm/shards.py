@@ -15,6 +15,8 @@ import uuid
 import numpy as np
 from pyarrow import fs as arrow_fs
 
+#: Maps that a worker keeps; a process may have 65,530.
+KEPT = 8192
 _OPEN: dict[str, dict[str, np.ndarray]] = {}
 _FOLDER: list[str] = []
 
@@ -65,6 +67,8 @@ def arrays(folder: str, name: str) -> dict[str, np.ndarray]:
         _OPEN.clear()
         _FOLDER[:] = [folder]
     if name not in _OPEN:
+        if len(_OPEN) >= KEPT:
+            _OPEN.pop(next(iter(_OPEN)))
         raw, found = _buffer(f"{folder}/{name}"), {}
         if raw is not None:
             size = int.from_bytes(raw[:8], "little")

@@ -111,6 +111,11 @@ class Windows:
         return mix(out + U(width))
 
 
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Arrow batches of at most so many rows and bytes in this session, where it has Spark's defaults: a batch of texts is held by the JVM and by the worker."""
     for key, usual, ours in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):

@@ -12,7 +12,6 @@ pass without any shuffle: a slice's pairs are sorted and looked up in the mapped
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable, shared_dir, size_in_bytes
+from ..plans.durable import durable, new_folder, size_in_bytes
 from .charlm import _pack, _unpack, discounts
 from .shards import arrays, look_up, write_arrays
 from .textkit import ODD, SEED, Slice, mix, per_text, range_hashes, slices
@@ -174,7 +173,7 @@ def train(docs: DataFrame, *, per_cell: int = 12 << 20) -> WordModel:
     per_cell: bytes of input for each cell; a cell's pairs are what one task holds. An empty table gives a model that knows no word.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/wordlm-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "wordlm")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = max(least, -(-size_in_bytes(docs) // per_cell))
     buckets = cells

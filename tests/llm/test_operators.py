@@ -234,21 +234,48 @@ def test_quality_has_a_model_for_every_language_however_rare(spark, small):
     assert quality.judge(small.withColumn("lang", F.lit(None).cast("string"))).filter("kept").count() > 0
 
 
-def test_models_in_blocks_score_alike(small, monkeypatch):
+def test_models_of_many_cells_score_alike(small, monkeypatch):
     whole = quality.judge(small).select("doc_id", "log_perplexity", "kept").collect()
     told = langid.predict_languages(small, F.lit(True)).collect()
-    in_parts = charlm.blocks
-    for module in (quality, langid):
-        monkeypatch.setattr(module, "blocks", lambda model, cells: in_parts(model, cells, 40_000))
-    assert len(list(in_parts(charlm.estimate(charlm.count_grams(small.selectExpr("lang as grp", "text"))[0], True), 16, 40_000))) > 3
+    size = charlm.size_in_bytes
+    monkeypatch.setattr(charlm, "size_in_bytes", lambda df: size(df) << 20)
+    assert charlm.count_grams(small.selectExpr("lang as grp", "text"))[1] > 1000
     parts = {r.doc_id: r for r in quality.judge(small).collect()}
     assert all(abs(parts[r.doc_id].log_perplexity - r.log_perplexity) < 1e-5 and parts[r.doc_id].kept == r.kept for r in whole)
     parts = {r.doc_id: r for r in langid.predict_languages(small, F.lit(True)).collect()}
     assert all(parts[r.doc_id].lang_pred == r.lang_pred and abs(parts[r.doc_id].score - r.score) < 1e-4 for r in told)
 
 
+def test_texts_are_read_twice_and_never_shuffled(spark, small, monkeypatch):
+    """Whatever the model's size, no plan of op1 or op7 has a text under an exchange, and there are two passes over the texts."""
+    size = charlm.size_in_bytes
+    monkeypatch.setattr(charlm, "size_in_bytes", lambda df: size(df) << 12)
+    plans = []
+    from pyspark.sql import DataFrameWriter
+
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, path, *a, **k))
+    for run in (lambda: quality.judge(small), lambda: langid.predict_languages(small, F.lit(True))):
+        plans.clear()
+        plans.append(run()._jdf.queryExecution().executedPlan().toString())
+        assert sum("documents.parquet" in p for p in plans) == 2
+        for p in plans:
+            assert not re.search(r"Exchange hashpartitioning\([^\n]*text|Sort \[[^\n]*text", p)
+
+
+def test_three_hundred_languages(spark):
+    rng = np.random.default_rng(4)
+    alphabet = [chr(c) for c in range(0x100, 0xC00) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    rows = [(k * 5 + j, " ".join("".join(rng.choice(alphabet[k * 3 : k * 3 + 3], 4)) for _ in range(12)), f"l{k}") for k in range(300) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict_languages(docs, F.col("doc_id") % 5 < 3, calibrate=1 << 40)
+    assert got.select("lang_pred").distinct().count() == 300
+    wrong = got.join(docs.select("doc_id", "lang"), "doc_id").filter("lang <> lang_pred").count()
+    assert wrong == 0
+
+
 def test_models_grow_with_the_corpus(spark, small):
-    n = [charlm.estimate(charlm.count_grams(d.selectExpr("'x' as grp", "text"))[0], True).agg(F.sum("entries")).first()[0] for d in (small, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))]
+    n = [charlm.estimate(*charlm.count_grams(d.selectExpr("'x' as grp", "text")), True).entries["x"] for d in (small, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))]
     assert n[1] > 1.5 * n[0]
 
 
@@ -596,12 +623,11 @@ def test_deep_shallow_sorting():
 def test_language_model_matches_dictionaries(spark, modified):
     texts = ["the cat sat on the mat", "a cat and a dog", "Ünïcode, 12 dogs!", "кот и собака", "", None]
     rows = spark.createDataFrame([("x", t) for t in texts] + [("y", "other words"), (None, "not counted")], "grp string, text string").repartition(3)
-    counts, cells = charlm.count_grams(rows)
-    (block,) = charlm.blocks(charlm.estimate(counts, modified), cells)
+    model = charlm.estimate(*charlm.count_grams(rows), modified)
     symbols, p = slow_model([t for t in texts if t], modified)
     probe = symbols("the dog sits, unseen zq! собаки")
     grams = [tuple(probe[k - 4 : k + 1]) for k in range(4, len(probe))]
-    got = block.log_prob(np.array([sum(x << 12 * (4 - k) for k, x in enumerate(g)) for g in grams]), "x")
+    got = model.log_prob(np.array([sum(x << 12 * (4 - k) for k, x in enumerate(g)) for g in grams]), "x")
     assert np.allclose(got, [math.log(p(g)) for g in grams], atol=1e-5)
 
 
