@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..plans.durable import durable
 from .substring import Words
-from .textkit import Slice, slices
+from .textkit import Slice, quoted, slices
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -121,7 +122,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, th
 def _matches(texts: DataFrame, items: DataFrame, shingle: int, threshold: float, block_bytes: int) -> DataFrame:
     """The matches of texts (a name, text). Each block is a pass that ends before the next block is broadcast, unless there is only one."""
     spark, name = texts.sparkSession, texts.columns[0]
-    schema = f"{name} {texts.dtypes[0][1]}, item_id long, n_shared long, n_item long, containment double"
+    schema = StructType([texts.schema[0], *(StructField(c, LongType()) for c in ("item_id", "n_shared", "n_item")), StructField("containment", DoubleType())])
     out = None
     for block, n in _blocks(items, block_bytes):
         shared = spark.sparkContext.broadcast(ItemIndex(block, shingle, threshold))
@@ -151,8 +152,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, th
                 keep[[m[0] for m in shared.value.matches(s)]] = False
                 yield s.rows.filter(pa.array(keep))
 
-        return docs.mapInArrow(run, docs.schema)
+        plain = ["text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)]
+        rows = docs.select(*[F.col(quoted(c)).alias(p) for c, p in zip(docs.columns, plain, strict=True)])
+        return rows.mapInArrow(run, rows.schema).select(*[F.col(p).alias(c) for c, p in zip(docs.columns, plain, strict=True)])
     key = F.xxhash64("doc_id", "text")
     gone = durable(_matches(docs.select(key.alias("row"), "text"), items, shingle, threshold, block_bytes).select("row").distinct())
-    keyed = docs.select(key.alias("row"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    keyed = docs.select(key.alias("row"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)])
     return keyed.join(gone, "row", "left_anti").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -12,15 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from ..plans.durable import durable
-from .textkit import Slice, fill, mix, slices
+from .textkit import Slice, fill, mix, quoted, slices
 
 CANDIDATES, KNOWN, RUNS = 0, 1, 2
 SCHEMA = "bucket int, kind int, payload binary"
-_STREAM = 1 << 20
+_STREAM = 1 << 19
 #: Larger slices settle more repeats before the shuffle.
 SLICE = 2 << 20
 
@@ -129,33 +130,44 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class _Seen:
-    """The different hashes of one task, each with the entry that came first; `open` ones have not been found again."""
+    """The different hashes of one task, each with the entry that came first; `open` ones have not been found again.
+
+    They lie in CELLS sorted parts by their leading bits, and an insertion copies one part, so there is never a second copy of all of them.
+    """
+
+    CELLS = 64
 
     def __init__(self):
-        self.hash, self.key, self.pos, self.open = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)) for _ in range(self.CELLS)]
 
     def meet(self, key: np.ndarray, pos: np.ndarray, h: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Take in entries; those now known to repeat, older ones included, but not those flagged `many`, which their slice has told."""
+        h = mix(h)  # hashes of a bucket share their leading bits
         order = np.argsort(h, kind="stable")
-        key, pos, h, many = key[order], pos[order], h[order], many[order]
+        h = h[order]
+        cuts = np.searchsorted(h, np.arange(1, self.CELLS, dtype=np.uint64) << np.uint64(64 - self.CELLS.bit_length() + 1))
+        out = [self._cell(c, key[at], pos[at], h[a:b], many[at]) for c, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True)) if b > a for at in [order[a:b]]]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
+
+    def _cell(self, c: int, key: np.ndarray, pos: np.ndarray, h: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes, keys, places, open_ = self.parts[c]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         first = np.flatnonzero(new)
         size = np.diff(first, append=len(h))
-        at = np.searchsorted(self.hash, h[first])
-        old = at < len(self.hash)
-        old[old] = self.hash[at[old]] == h[first][old]
+        at = np.searchsorted(hashes, h[first])
+        old = at < len(hashes)
+        old[old] = hashes[at[old]] == h[first][old]
         again = old | (size > 1) | np.logical_or.reduceat(many, first)
         tell = np.repeat(again, size) & ~many
         reopened = at[old]
-        reopened = reopened[self.open[reopened]]
-        self.open[reopened] = False
-        out = np.concatenate([key[tell], self.key[reopened]]), np.concatenate([pos[tell], self.pos[reopened]])
+        reopened = reopened[open_[reopened]]
+        open_[reopened] = False
+        out = np.concatenate([key[tell], keys[reopened]]), np.concatenate([pos[tell], places[reopened]])
         add = first[~old]
         if len(add):
             to = at[~old]
-            self.hash, self.key = np.insert(self.hash, to, h[add]), np.insert(self.key, to, key[add])
-            self.pos, self.open = np.insert(self.pos, to, pos[add]), np.insert(self.open, to, ~again[~old])
+            self.parts[c] = np.insert(hashes, to, h[add]), np.insert(keys, to, key[add]), np.insert(places, to, pos[add]), np.insert(open_, to, ~again[~old])
         return out
 
 
@@ -197,15 +209,37 @@ def find(rows: DataFrame, router: Router, emit: Callable[[np.ndarray, np.ndarray
     return rows.repartition(router.n, "bucket").mapInArrow(run, SCHEMA)
 
 
+def row_key(docs: DataFrame, names: tuple[str, ...]) -> Column:
+    """A hash of these columns of any type; nulls count, and maps as their JSON."""
+
+    def has_map(kind: DataType) -> bool:
+        return isinstance(kind, MapType) or isinstance(kind, ArrayType) and has_map(kind.elementType) or isinstance(kind, StructType) and any(has_map(f.dataType) for f in kind)
+
+    return F.xxhash64(*[x for c in names for col in [F.col(quoted(c))] for x in (col.isNull(), F.to_json(F.struct(col.alias("c"))) if has_map(docs.schema[c].dataType) else col)])
+
+
+def _weight(docs: DataFrame, names: tuple[str, ...]) -> Column:
+    """Bytes of a row's text and of the columns it carries; texts of very short words count as six bytes a word, as their entries do."""
+    words = F.length("text") - F.length(F.translate("text", " \t\n\x0b\f\r", ""))
+    out = F.coalesce(F.greatest(F.octet_length("text"), 6 * words), F.lit(0))
+    for c in names:
+        kind = docs.schema[c].dataType
+        if isinstance(kind, StringType | BinaryType):
+            out += F.coalesce(F.octet_length(quoted(c)), F.lit(0))
+        elif isinstance(kind, MapType | ArrayType | StructType):
+            out += F.coalesce(F.length(F.to_json(F.struct(F.col(quoted(c)).alias("c")))), F.lit(0))
+    return out
+
+
 def distinct_rows(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(k, doc_id, text, copies, c0, c1, ..), every different row once with how often it occurs, and the bytes of all texts.
+    """(k, doc_id, text, copies, c0, c1, ..), every different row once with how often it occurs, and the bytes of all rows (_weight).
 
-    k names a row by its id, text and the `carry` columns, which become c0.. . Copies of a row meet as counts, each task's first;
+    k names a row by its id, text and the `carry` columns, of any types, which become c0.. . Copies of a row meet as counts, each task's first;
     where no row repeats, which is counted before, nothing is shuffled but one number a row.
     """
-    columns = [F.xxhash64("doc_id", "text", *carry).alias("k"), "doc_id", "text"]
-    rows = docs.select(*columns, *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    sizes = durable(rows.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.first(F.octet_length("text")).alias("n")))
+    columns = [row_key(docs, ("doc_id", "text", *carry)).alias("k"), "doc_id", "text"]
+    rows = docs.select(*columns, *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(carry)])
+    sizes = durable(docs.select(columns[0], _weight(docs, carry).alias("n")).groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
     again = sizes.filter("copies > 1").select("k", "copies")
     total = sizes.agg(F.coalesce(F.sum(F.col("n") * 1.0), F.lit(0.0)), F.coalesce(F.max("copies"), F.lit(1))).first()
     rest = [F.col(f"c{i}") for i in range(len(carry))]
@@ -258,7 +292,7 @@ def scan(rows: DataFrame, entries: Callable[[Slice, np.ndarray, np.ndarray], lis
     return rows.select("k", "text", "copies").mapInArrow(run, SCHEMA)
 
 
-def with_told(dealt: DataFrame, known: DataFrame, work: Callable[[Slice, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, size: int = SLICE) -> DataFrame:
+def with_told(dealt: DataFrame, known: DataFrame, work: Callable[[Slice, np.ndarray, np.ndarray], pa.RecordBatch], schema: str | StructType, size: int = SLICE) -> DataFrame:
     """work(slice, rows, positions) over the documents of each bucket together with what is known of them."""
 
     def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
@@ -269,7 +303,7 @@ def with_told(dealt: DataFrame, known: DataFrame, work: Callable[[Slice, np.ndar
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    empty = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema).empty_table()
     return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, schema)
 
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .textkit import slices
 from .tokens import encoder
@@ -146,7 +147,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, spaces_inside: bool = Fal
     table gives an empty result; doc_id may have any type. sequence_id is unique over all tasks; step_group numbers balanced groups of a task's block.
     with_ids adds the pieces' ids (array<int>).
     """
-    schema = SCHEMA.replace("doc_id long", f"doc_id {dict(docs.dtypes)['doc_id']}") + (", ids array<int>" if with_ids else "")
+    rest = _parse_datatype_string(SCHEMA + (", ids array<int>" if with_ids else "")).fields[1:]
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *rest])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, spaces_inside)

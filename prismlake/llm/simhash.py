@@ -22,10 +22,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.components import connected_components
 from ..plans.durable import durable
-from .textkit import Windows, mix, range_hashes, slices
+from .textkit import Windows, mix, quoted, range_hashes, slices
 
 #: (first bit, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -222,11 +223,12 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, p
             yield pa.RecordBatch.from_arrays([*s.rows.columns[:2], pa.array(vertex), pa.array(size), *map(pa.array, fp)], ["doc_id", "row_key", "vertex", "size", *names])
 
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    found = durable(keyed.mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, row_key long, vertex long, size long, " + ", ".join(f"{f} long" for f in names)))
+    found = durable(keyed.mapInArrow(scan, StructType([docs.schema["doc_id"], *(StructField(f, LongType()) for f in ("row_key", "vertex", "size", *names))])))
     own = found.groupBy("vertex").agg(F.first("size").alias("size"), F.min("row_key").alias("row_key"), *[F.first(f).alias(f) for f in names]).filter("size > 0")
     own = durable(own)
     keys = own.select("vertex", *names).mapInArrow(_word_keys, "vertex long, key long")
-    met = durable(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"))
+    keys = durable(keys)
+    met = durable(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"))
     cold, hot = met.filter(F.col("n") <= hot_bucket), met.filter(F.col("n") > hot_bucket).select("key", "vertex")
     a, b = F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")
     pairs = cold.alias("x").join(cold.alias("y"), "key").filter("x.vertex < y.vertex").select(a, b)
@@ -286,7 +288,8 @@ def _alike_in_crowds(docs: DataFrame, own: DataFrame, crowd: DataFrame, shingle:
     ranked = each.join(often, "g").withColumn("place", F.row_number().over(Window.partitionBy("vertex").orderBy("often", "g")))
     ranked = ranked.withColumn("common", F.avg(F.log("often")).over(Window.partitionBy("vertex")))
     rare = ranked.filter((F.col("place") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1) & (F.col("often") > 1)).select("g", "vertex", "common", *place)
-    rare = durable(rare.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("g"))).filter("k > 1"))
+    rare = durable(rare)
+    rare = durable(rare.join(rare.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "g"))
     few, many = rare.filter(F.col("k") <= hot_bucket), rare.filter(F.col("k") > hot_bucket)
     a, b = F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.g") == F.col("y.g")) & F.expr("x.vertex < y.vertex") & possible).select(a, b)
@@ -314,4 +317,4 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, prin
 
 def _with_key(docs: DataFrame) -> DataFrame:
     """docs with columns c0, c1, .. and _row_key."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("_row_key"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    return docs.select(F.xxhash64("doc_id", "text").alias("_row_key"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)])

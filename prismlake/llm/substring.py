@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import marks
-from .textkit import Slice, Windows, owner, range_hashes
+from .textkit import Slice, Windows, owner, quoted, range_hashes
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -46,7 +47,7 @@ class Words:
 def remove_repeated(docs: DataFrame, *, window: int = 35, period: int = 21, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, text], carried columns): words covered by a window that also starts anywhere else.
 
-    docs: doc_id, text; other columns are ignored unless named in `carry` (any types that can be hashed, so no maps). Words are runs
+    docs: doc_id, text; other columns are ignored unless named in `carry` (of any types). Words are runs
     of other characters than ASCII spaces, unchanged. Null and empty texts have no words. A row repeated with the same id and text
     counts as a document of its own, so its windows repeat; it travels once, with a count. Rows of one id with different texts are
     different documents. An empty table gives an empty result. with_text adds the text without those words and the white space
@@ -60,7 +61,7 @@ def drop_repeated(docs: DataFrame, *, window: int = 35, period: int = 21) -> Dat
     """docs, all columns, with remove_repeated's texts in place of their own."""
     carried = [c for c in docs.columns if c not in ("doc_id", "text")]
     place = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(carried)}
-    return _found(docs, window, period, True, tuple(carried)).select(*[place.get(c, F.col(c)) for c in docs.columns])
+    return _found(docs, window, period, True, tuple(carried)).select(*[place.get(c, F.col(quoted(c))) for c in docs.columns])
 
 
 def _found(docs: DataFrame, window: int, period: int, with_text: bool, carry: tuple[str, ...]) -> DataFrame:
@@ -106,9 +107,10 @@ def _found(docs: DataFrame, window: int, period: int, with_text: bool, carry: tu
             arrays.append(pa.array(_without(s, start, first, gone), pa.string(), mask=s.rows.column(3).is_null().to_numpy(zero_copy_only=False)))
         return pa.RecordBatch.from_arrays([*arrays, *s.rows.columns[5:]], names)
 
-    types = dict(docs.dtypes)
-    names = ["doc_id", "copies", "n_words", "n_removed", "kept_sha256", *["text"] * with_text, *[f"c{i}" for i in range(len(carry))]]
-    schema = f"doc_id {types['doc_id']}, copies long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", c{i} {types[c]}" for i, c in enumerate(carry))
+    counts = [StructField(c, LongType()) for c in ("copies", "n_words", "n_removed")]
+    carried = [StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *counts, StructField("kept_sha256", StringType()), *[StructField("text", StringType())] * with_text, *carried])
+    names = schema.names
     dealt = marks.dealt(rows, router)
     found = marks.find(marks.scan(rows, anchors), router)
     found = marks.find(marks.with_told(dealt, found, windows, marks.SCHEMA), router)

@@ -101,6 +101,22 @@ def test_stages_keep_columns_and_defined_rows(spark, odd):
     assert tokens == want
 
 
+def test_stages_carry_columns_of_any_type(spark):
+    """Maps, arrays, binary, dates, decimals, structs with odd field names, and names with dots and ticks."""
+    schema = "doc_id long, text string, lang string, m map<string,int>, a array<map<int,string>>, s struct<`a b`:int,`x:y`:array<string>>, `dot.ted` binary, `tick``ed` decimal(9,2), day date, n_chars int"
+    from datetime import date
+    from decimal import Decimal
+
+    rows = [(k, prose(200 + k // 2, 40), "en", {"x": k // 2} if k % 5 else None, [{1: "y"}], (k, ["z"]) if k % 3 else None, b"\0\1", Decimal("1.50"), date(2020, 1, 2), 7) for k in range(12)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and [t for _, t in got.dtypes] == [t for _, t in docs.dtypes], name
+        for r in got.collect():
+            assert tuple(r)[3:9] == rows[r.doc_id][3:9], name
+    assert corpus_pipeline.pack(spark, docs, SF).select("doc_id").distinct().count() == 12
+
+
 def test_stages_on_an_empty_table(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), SF).count() == 0, name
@@ -112,7 +128,7 @@ def test_run_leaves_only_the_last_stage_table(spark, tmp_path):
     from prismlake.plans.durable import shared_dir
 
     folder = Path(shared_dir(spark).removeprefix("file:"))
-    before = {p.name for p in folder.rglob("stage-*")} | {p.name for p in folder.rglob("table-*")}
+    before = {p.name for p in folder.rglob("stage-*")} | {p.name for p in folder.rglob("table-*")} | {p.name for p in folder.rglob("charlm-*")}
     corpus_pipeline.run(spark, SF).count()
-    left = ({p.name for p in folder.rglob("stage-*")} | {p.name for p in folder.rglob("table-*")}) - before
-    assert len([x for x in left if x.startswith("stage-")]) == 1 and not [x for x in left if x.startswith("table-")]
+    left = ({p.name for p in folder.rglob("stage-*")} | {p.name for p in folder.rglob("table-*")} | {p.name for p in folder.rglob("charlm-*")}) - before
+    assert len([x for x in left if x.startswith("stage-")]) == 1 and not [x for x in left if not x.startswith("stage-")]
