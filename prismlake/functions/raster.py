@@ -80,3 +80,59 @@ def dhash_udf(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.Seri
 def quality_udf(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.DataFrame:
     rows = _each(lambda a: (laplacian_variance(a), noise_sigma(a), float(a.mean()), float(((a <= 2) | (a >= 253)).mean())), width, height, pixels)
     return pd.DataFrame(rows, columns=["laplacian_variance", "noise_sigma", "mean_luma", "clipped"])
+
+
+# Enlarging
+
+TAPS = 3
+
+
+def _lanczos(size: int, out: int, first: int, last: int) -> tuple[np.ndarray, int]:
+    """Weights of input places for the output places first..last, and the first input place that they need; places beyond the edge count as the edge."""
+    scale = size / out
+    wide = TAPS * max(scale, 1.0)
+    centre = (np.arange(first, last) + 0.5) * scale - 0.5
+    begin, end = int(np.floor(centre[0] - wide)), int(np.ceil(centre[-1] + wide)) + 1
+    x = (np.arange(begin, end)[None, :] - centre[:, None]) / max(scale, 1.0)
+    w = np.where(np.abs(x) < TAPS, np.sinc(x) * np.sinc(x / TAPS), 0.0)
+    w /= w.sum(1, keepdims=True)
+    places = np.clip(np.arange(begin, end), 0, size - 1)
+    lo = places[0]
+    out_w = np.zeros((len(centre), places[-1] - lo + 1))
+    np.add.at(out_w.T, places - lo, w.T)
+    return out_w, int(lo)
+
+
+def lanczos(a: np.ndarray, h: int, w: int, tile: int = 256) -> np.ndarray:
+    """a at h x w by a Lanczos filter, in tiles that read so much beyond their edges that no seam shows."""
+    out = np.empty((h, w))
+    for i in range(0, h, tile):
+        rows, top = _lanczos(a.shape[0], h, i, min(i + tile, h))
+        for j in range(0, w, tile):
+            cols, left = _lanczos(a.shape[1], w, j, min(j + tile, w))
+            part = a[top : top + rows.shape[1], left : left + cols.shape[1]]
+            out[i : i + tile, j : j + tile] = rows @ part @ cols.T
+    return out
+
+
+def psnr(a: np.ndarray, b: np.ndarray, peak: float = 255.0) -> float:
+    mse = float(((a - b) ** 2).mean())
+    return float("inf") if mse == 0 else 10 * np.log10(peak * peak / mse)
+
+
+def upscale_quality(a: np.ndarray, factor: int) -> tuple[float, float]:
+    """PSNR and sharpness (share of the Laplacian's variance) of a raster that was made smaller by `factor` and enlarged again."""
+    small = _resize(a, max(1, a.shape[0] // factor), max(1, a.shape[1] // factor))
+    again = lanczos(small, *a.shape)
+    sharp = laplacian_variance(a)
+    return psnr(a, again), laplacian_variance(again) / sharp if sharp > 0 else 1.0
+
+
+def upscale_udf(factor: int):
+    """(psnr, sharpness) of whole rasters, whatever their size."""
+
+    @F.pandas_udf(T.StructType([T.StructField("psnr", T.DoubleType()), T.StructField("sharpness", T.DoubleType())]))
+    def run(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(_each(lambda a: upscale_quality(a, factor), width, height, pixels), columns=["psnr", "sharpness"])
+
+    return run

@@ -7,7 +7,9 @@ them. Groups are (tier, group_id, asset_id, similarity); group_id is the least m
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, islice, pairwise
+from math import comb, inf
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from ..plans.components import connected_components
 from ..plans.durable import drop_table, durable, write_table
 
 TIERS = ("exact", "near", "burst", "similar")
-#: Below this many different hashes every pair is tried, with one side sent to all workers; above it bands are joined.
+#: Below this many different hashes every pair is tried, with one side sent to all workers; above it parts are joined.
 NESTED_LOOP_ROWS = 20_000
 #: Up to so many timed items are sorted by the few tasks that libraries make.
 FEW_ROWS = 20_000
@@ -53,13 +55,93 @@ def hash_pairs(hashes: DataFrame, radius: int, col: str = "phash") -> DataFrame:
     if d.count() <= NESTED_LOOP_ROWS:
         near = left.alias("x").join(F.broadcast(right).alias("y"), F.expr("a < b") & (distance <= radius))
         return near.select("a", "b", distance.alias("distance"))
-    # Four bands of 16 bits: a pair within the radius agrees in one but for radius / 4 bits.
-    masks = [sum(1 << k for k in c) for n in range(radius // 4 + 1) for c in combinations(range(16), n)]
-    band = lambda h, k: F.shiftrightunsigned(h, 16 * k).bitwiseAND(F.lit(0xFFFF))
-    banded = lambda df, h: df.select(h, F.posexplode(F.array(*[band(F.col(h), k) for k in range(4)])).alias("band", "value"))
-    probes = banded(left, "a").select("a", "band", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: m.bitwiseXOR(F.col("value")))).alias("value"))
-    near = probes.alias("x").join(banded(right, "b").alias("y"), ["band", "value"]).filter(F.expr("a < b") & (distance <= radius))
-    return near.select("a", "b", distance.alias("distance")).distinct()
+    plan = hamming_parts(d, radius)
+    near = _probes(left, "a", plan, True).join(_probes(right, "b", plan, False), ["part", "value"])
+    near = near.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
+    return near.filter((F.col("a") < F.col("b")) & (F.col("distance") <= radius)).distinct()
+
+
+@dataclass(frozen=True)
+class Part:
+    """Bits [offset, offset + width) of a hash, and the errors looked for in them: the one side flips up to half of these (rounded up), the other the rest."""
+
+    offset: int
+    width: int
+    errors: int
+
+    def masks(self, first: bool) -> list[int]:
+        return [sum(1 << k for k in c) for n in range((self.errors + first) // 2 + 1) for c in combinations(range(self.width), n)]
+
+
+def _ball(width: int, errors: int) -> int:
+    return sum(comb(width, n) for n in range(min(errors, width) + 1))
+
+
+def _split(parts: int) -> list[tuple[int, int]]:
+    """(offset, width) of 64 bits in so many parts that differ by one bit at most."""
+    edges = [64 * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in pairwise(edges)]
+
+
+def _shared(parts: list[tuple[int, int]], same: list[float], radius: int, most: int) -> tuple[float, list[Part]] | None:
+    """The errors of each part that let fewest pairs through with at most `most` probes a hash, and the share of pairs that they let through.
+
+    If two hashes differ in `radius` bits and the errors and one for each part add up to more than that, some part has no more than its errors; a part may be left out
+    for the price of its one. same: the share of pairs that are equal in each part.
+    """
+    need = radius - len(parts) + 1
+    best: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {(0, 0): (0.0, ())}  # (errors given, probes) -> share, errors
+    for (_, width), p in zip(parts, same, strict=True):
+        after: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {}
+        for (given, probes), (share, errors) in best.items():
+            for e in range(-1, min(need + len(parts), width) + 1):
+                cost = 0 if e < 0 else _ball(width, (e + 1) // 2) + _ball(width, e // 2)
+                if probes + cost > most:
+                    break
+                key, new = (given + e, probes + cost), (share + (0.0 if e < 0 else min(1.0, p * _ball(width, e))), (*errors, e))
+                if key not in after or new < after[key]:
+                    after[key] = new
+        # What gives as many errors with no more probes and no larger share is enough.
+        best, lowest = {}, {}
+        for (given, probes), new in sorted(after.items()):
+            if new[0] < lowest.get(given, inf):
+                lowest[given] = new[0]
+                best[given, probes] = new
+    found = [v for (given, _), v in best.items() if given >= need]
+    if not found:
+        return None
+    share, errors = min(found)
+    return share, [Part(o, w, e) for (o, w), e in zip(parts, errors, strict=True) if e >= 0]
+
+
+def hamming_parts(hashes: DataFrame, radius: int, most: int = 500) -> list[Part]:
+    """How to cut 64-bit hashes (h) so that pairs within the radius meet: the cut with the fewest expected candidates among those with at most `most` probes a hash, both sides together.
+
+    The parts' frequencies are counted for the three coarsest cuts that the bound allows, so bits that many hashes share are probed with fewer errors or not at all.
+    """
+    cuts = list(islice((c for c in map(_split, range(1, 65)) if _shared(c, [2.0**-w for _, w in c], radius, most)), 3))
+    if not cuts:
+        raise ValueError(f"a radius of {radius} bits needs more than {most} probes a hash")
+    values = F.array(*[F.struct(F.lit(k).alias("cut"), F.lit(o).alias("offset"), _bits(F.col("h"), o, w).alias("value")) for k, c in enumerate(cuts) for o, w in c])
+    often = hashes.select(F.explode(values).alias("v")).groupBy("v.cut", "v.offset", "v.value").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    same = {(r.cut, r.offset): r.same / max(r.all, 1.0) ** 2 for r in often.groupBy("cut", "offset").agg(F.sum(F.col("n") * F.col("n")).alias("same"), F.sum("n").alias("all")).collect()}  # a row a part
+    plans = [_shared(c, [same.get((k, o), 0.0) for o, _ in c], radius, most) for k, c in enumerate(cuts)]
+    return min((p for p in plans if p), key=lambda p: p[0])[1]
+
+
+def _bits(h: Column, offset: int, width: int) -> Column:
+    return F.shiftrightunsigned(h, offset).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+
+
+def _probes(df: DataFrame, h: str, plan: list[Part], first: bool) -> DataFrame:
+    """(h, part, value): what a hash is looked for, or found, by."""
+
+    def values(p: Part) -> Column:
+        own = _bits(F.col(h), p.offset, p.width)
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in p.masks(first)]), lambda m: m.bitwiseXOR(own))
+
+    rows = [df.select(h, F.lit(k).alias("part"), F.explode(values(p)).alias("value")) for k, p in enumerate(plan)]
+    return reduce(DataFrame.union, rows)
 
 
 def near_pairs(features: DataFrame, blocked: DataFrame, t: Thresholds) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_text
+from ..plans.durable import durable
 from .store import FACES, HASHES, live
 
 SCREENSHOT, LIVE_PHOTO = 4, 8
@@ -135,20 +136,51 @@ def search(assets: DataFrame, tokens: DataFrame, tags: DataFrame, query: str) ->
     return by_text.union(by_name).union(by_tag).distinct()
 
 
-def descendants(nodes: DataFrame, depth: int = 12) -> DataFrame:
-    """(ancestor, album_id) for every node and itself, down to `depth` levels, so a cycle ends. nodes: album_id, parent_id.
+def descendants(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """(ancestor, album_id) for every node and itself, down to `depth` levels or, by default, all. nodes: album_id, parent_id; a cycle ends where it begins.
 
-    One join a level, each against the adjacency table; levels stop when one is empty.
+    The distance that is covered doubles each round: pairs at a distance of 2^k extend all pairs nearer than that, so a chain of n levels takes log n rounds, each a table of its own.
     """
-    edges = nodes.select(F.col("album_id").alias("child"), F.col("parent_id").alias("parent"))
-    level = nodes.select(F.col("album_id").alias("ancestor"), "album_id")
-    out = level
-    for _ in range(depth):
-        level = level.join(edges, level.album_id == edges.parent).select("ancestor", F.col("child").alias("album_id"))
-        if level.isEmpty():
+    child = nodes.filter("parent_id is not null").select(F.col("album_id"), F.col("parent_id").alias("ancestor"))
+    step = durable(child.join(nodes.select(F.col("album_id").alias("ancestor")).distinct(), "ancestor").select("ancestor", "album_id").distinct())
+    out = durable(nodes.select(F.col("album_id").alias("ancestor"), "album_id").distinct())
+    if depth is not None:
+        level = out
+        for _ in range(depth):
+            level = durable(level.join(step.select(F.col("ancestor").alias("album_id"), F.col("album_id").alias("below")), "album_id").select("ancestor", F.col("below").alias("album_id")).distinct())
+            if level.isEmpty():
+                break
+            out = out.union(level)
+        return out.distinct()
+    known = out.count()
+    while not step.isEmpty():
+        further = step.select("ancestor", F.col("album_id").alias("mid"))
+        out = durable(out.union(further.join(out.select(F.col("ancestor").alias("mid"), "album_id"), "mid").select("ancestor", "album_id")).distinct())
+        now = out.count()
+        if now == known:
             break
-        out = out.union(level)
-    return out.distinct()
+        known = now
+        step = durable(further.join(step.select(F.col("ancestor").alias("mid"), "album_id"), "mid").select("ancestor", "album_id").distinct())
+    return out
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """(album_id, path): the titles from the top down to each node, joined by slashes. nodes: album_id, parent_id, title.
+
+    A node whose parent is missing is at the top; nodes in or below a cycle are not reached from the top and have no row. The steps upward double each round.
+    """
+    here = nodes.select(F.col("album_id").alias("up")).distinct().withColumn("there", F.lit(True))
+    now = nodes.select("album_id", F.col("parent_id").alias("up"), F.coalesce("title", F.lit("")).alias("path")).join(here, "up", "left")
+    now = durable(now.select("album_id", F.when(F.col("there"), F.col("up")).alias("up"), "path"))
+    left = now.filter("up is not null").count()
+    while left:
+        above = now.select(F.col("album_id").alias("up"), F.col("up").alias("further"), F.col("path").alias("before"))
+        now = durable(now.join(above, "up", "left").select("album_id", F.col("further").alias("up"), F.concat_ws("/", "before", "path").alias("path")))
+        still = now.filter("up is not null").count()
+        if still == left:  # a cycle and what hangs below it
+            break
+        left = still
+    return now.filter("up is null").select("album_id", "path")
 
 
 def path_prefixes(df: DataFrame, path: str) -> DataFrame:

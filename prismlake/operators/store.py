@@ -110,42 +110,8 @@ def top_labels(labels: DataFrame, least: float = 0.3, most: int = 10) -> DataFra
 
 def import_dedupe(files: DataFrame, known_hashes: DataFrame) -> DataFrame:
     """files (pos, file_hash) with status added, skipped (known, or again in the batch) or failed (no hash)."""
-    w = Window.partitionBy("file_hash").orderBy("pos")
     known = known_hashes.select("file_hash").filter("file_hash is not null").distinct().withColumn("_known", F.lit(True))
-    j = files.withColumn("_n", F.row_number().over(w)).join(known, "file_hash", "left")
-    status = F.when(F.col("file_hash").isNull(), "failed").when(F.col("_known") | (F.col("_n") > 1), "skipped").otherwise("added")
+    first = files.filter("file_hash is not null").groupBy("file_hash").agg(F.min("pos").alias("_first"))
+    j = files.join(first, "file_hash", "left").join(known, "file_hash", "left")
+    status = F.when(F.col("file_hash").isNull(), "failed").when(F.col("_known") | (F.col("pos") > F.col("_first")), "skipped").otherwise("added")
     return j.select("pos", "file_hash", status.alias("status"))
-
-
-def copy_faces(faces: DataFrame, members: DataFrame, constraints: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Faces, memberships and constraints of mapped assets under new ids (old id + offset): mapping (asset_id, new_asset_id, offset).
-
-    Constraints need both faces copied and stay ordered.
-    """
-    f = faces.join(mapping, "asset_id").select("face_id", (F.col("face_id") + F.col("offset")).alias("new_face_id"), "new_asset_id")
-    m = members.join(f, "face_id").select(F.col("new_face_id").alias("face_id"), "person_id")
-    a, b = f.select(F.col("face_id").alias("face_a"), F.col("new_face_id").alias("na")), f.select(F.col("face_id").alias("face_b"), F.col("new_face_id").alias("nb"))
-    c = constraints.join(a, "face_a").join(b, "face_b").select(F.least("na", "nb").alias("face_a"), F.greatest("na", "nb").alias("face_b"), "kind")
-    return f, m, c
-
-
-def orphans(df: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
-    """df without the rows whose parent is gone."""
-    return df.join(parent.select(F.col(parent_key).alias(key)).distinct(), key, "left_semi")
-
-
-def ordered_pair(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.withColumns({a: F.least(a, b), b: F.greatest(a, b)}).filter(F.col(a) < F.col(b))
-
-
-def find_or_create(existing: DataFrame, wanted: DataFrame, on: Sequence[str]) -> DataFrame:
-    """existing and the wanted rows whose key it lacks."""
-    return existing.unionByName(wanted.join(existing.select(*on), list(on), "left_anti").select(*existing.columns))
-
-
-def delete_confirmed(assets: DataFrame, ids: DataFrame, expected: int) -> DataFrame:
-    """Tombstones ids only if exactly `expected` of them are live; otherwise nothing changes."""
-    target = live(assets).join(ids.select("asset_id").distinct(), "asset_id", "left_semi").select("asset_id")
-    n = target.agg((F.count(F.lit(1)) == expected).alias("_ok"))
-    hit = target.crossJoin(F.broadcast(n)).filter("_ok").select("asset_id")  # n is one row
-    return flag(assets, hit, "asset_id", deleted=F.lit(True))

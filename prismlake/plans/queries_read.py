@@ -139,24 +139,43 @@ def _nodes(c: Catalog) -> DataFrame:
     return c.albums.select("album_id", "parent_id").union(c.folders.select("album_id", "parent_id"))
 
 
-@query(_TREE + " SELECT DISTINCT d.ancestor AS album_id, m.asset_id FROM d JOIN album_members m ON m.album_id = d.album_id")
+# Every album whose number ends in 5 is smart: it shows the favourites with one label.
+_SMART = "SELECT a.album_id, t.asset_id FROM albums a JOIN (SELECT DISTINCT x.asset_id, lower(label) AS label FROM tags x JOIN assets y ON y.asset_id = x.asset_id WHERE favorite AND NOT deleted) t ON t.label = CASE WHEN a.album_id % 2 = 0 THEN 'de' ELSE 'en' END WHERE a.album_id % 10 = 5"
+
+
+def _shown_members(c: Catalog) -> DataFrame:
+    """(album_id, asset_id) of manual and smart albums."""
+    smart = [AlbumRule(tags=[label], favorites_only=True).evaluate(_items(c), _person_assets(c), c.tags, library.category_members(c.categories, c.overrides)).select("asset_id", F.lit(label).alias("label")) for label in ("de", "en")]
+    wants = c.albums.filter("album_id % 10 = 5").select("album_id", F.when(F.col("album_id") % 2 == 0, "de").otherwise("en").alias("label"))
+    return c.album_members.filter("album_id % 10 <> 5").select("album_id", "asset_id").union(wants.join(smart[0].union(smart[1]), "label").select("album_id", "asset_id"))
+
+
+@query(_TREE + f", m AS (SELECT album_id, asset_id FROM album_members WHERE album_id % 10 <> 5 UNION ALL {_SMART}) SELECT DISTINCT d.ancestor AS album_id, m.asset_id FROM d JOIN m ON m.album_id = d.album_id")
 def setop_folder(c: Catalog) -> DataFrame:
-    return library.descendants(_nodes(c)).join(c.album_members, "album_id").select(F.col("ancestor").alias("album_id"), "asset_id").distinct()
+    """What every album and folder shows: its own members, manual or smart, and those of all albums below it."""
+    return library.descendants(_nodes(c)).join(_shown_members(c), "album_id").select(F.col("ancestor").alias("album_id"), "asset_id").distinct()
 
 
-@query(_TREE + " SELECT d.ancestor AS album_id, count(DISTINCT d.album_id) - 1 AS n_below, count(DISTINCT m.asset_id) AS n_assets FROM d LEFT JOIN album_members m ON m.album_id = d.album_id GROUP BY 1")
+_TREE_12 = f"WITH RECURSIVE n AS ({_NODES}), l AS (SELECT album_id AS ancestor, album_id, 0 AS depth FROM n UNION SELECT l.ancestor, n.album_id, depth + 1 FROM l JOIN n ON n.parent_id = l.album_id WHERE depth < 12), d AS (SELECT DISTINCT ancestor, album_id FROM l)"
+
+
+@query(_TREE_12 + " SELECT d.ancestor AS album_id, count(DISTINCT d.album_id) - 1 AS n_below, count(DISTINCT m.asset_id) AS n_assets FROM d LEFT JOIN album_members m ON m.album_id = d.album_id GROUP BY 1")
 def album_tree(c: Catalog) -> DataFrame:
-    d = library.descendants(_nodes(c)).join(c.album_members, "album_id", "left")
+    d = library.descendants(_nodes(c), depth=12).join(c.album_members, "album_id", "left")
     return d.groupBy(F.col("ancestor").alias("album_id")).agg((F.countDistinct("album_id") - 1).alias("n_below"), F.countDistinct("asset_id").alias("n_assets"))
 
 
-@query("SELECT f.title || '/' || a.title AS path, m.asset_id FROM albums a JOIN folders f ON f.album_id = a.parent_id JOIN album_members m ON m.album_id = a.album_id WHERE NOT a.is_folder")
+_PATHS = "n AS (SELECT album_id, parent_id, title FROM albums UNION ALL SELECT album_id, parent_id, title FROM folders), p AS (SELECT album_id, title AS path FROM n WHERE parent_id IS NULL OR parent_id NOT IN (SELECT album_id FROM n) UNION ALL SELECT n.album_id, p.path || '/' || n.title FROM n JOIN p ON n.parent_id = p.album_id)"
+
+
+@query(f"WITH RECURSIVE {_PATHS} SELECT p.path, m.asset_id FROM albums a JOIN p USING (album_id) JOIN album_members m USING (album_id) WHERE NOT a.is_folder")
 def album_memberships(c: Catalog) -> DataFrame:
-    parent = c.folders.select(F.col("album_id").alias("parent_id"), F.col("title").alias("parent"))
-    return c.albums.filter("not is_folder").join(parent, "parent_id").join(c.album_members, "album_id").select(F.concat_ws("/", "parent", "title").alias("path"), "asset_id")
+    """Albums' paths from the top, however deep they lie, with their members."""
+    nodes = c.albums.select("album_id", "parent_id", "title").union(c.folders.select("album_id", "parent_id", "title"))
+    return c.albums.filter("not is_folder").select("album_id").join(library.paths(nodes), "album_id").join(c.album_members, "album_id").select("path", "asset_id")
 
 
-query(_TREE + " SELECT ancestor, album_id FROM d", "platform_album_tree")(lambda c: library.descendants(_nodes(c)))
+query(_TREE_12 + " SELECT ancestor, album_id FROM d", "platform_album_tree")(lambda c: library.descendants(_nodes(c), depth=12))
 
 
 @query("WITH m AS (SELECT asset_id, year(t) AS y, month(t) AS m FROM (SELECT *, to_timestamp(created_s) AT TIME ZONE 'UTC' AS t FROM assets WHERE NOT deleted AND media_type = 'image' AND created_s IS NOT NULL)) SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month, count(DISTINCT asset_id) AS n FROM m GROUP BY 1, 2 UNION ALL SELECT CAST(y AS INT), NULL, count(DISTINCT asset_id) FROM m GROUP BY 1")

@@ -219,14 +219,12 @@ def edit_stack(c: Catalog) -> DataFrame:
 
 @query()
 def upscale(c: Catalog) -> DataFrame:
-    """PSNR of a raster against its half-size copy enlarged again: the quality measure of an upscaler, here nearest neighbour."""
-    def enlarged(p: Column, w: Column) -> Column:
-        # The pixel at the even row and column at or before each.
-        return F.transform(p, lambda x, i: F.get(p, (F.floor(i / w) - F.floor(i / w) % 2) * w + (i % w - i % w % 2)))
-
-    far = F.zip_with("pixels", enlarged(F.col("pixels"), F.col("width")), lambda a, b: (a - b) ** 2)
-    mse = F.aggregate(far, F.lit(0.0), lambda s, x: s + x) / F.size("pixels")
-    return _rasters(c).filter("width <= 64").select("asset_id", media.psnr(mse).alias("psnr"))
+    """How much of each whole raster comes back when it is made smaller by 2 or 4 and enlarged again."""
+    from ..functions import raster
+
+    r = _rasters(c)
+    both = [r.select("asset_id", F.lit(k).alias("factor"), raster.upscale_udf(k)("width", "height", "pixels").alias("q")) for k in (2, 4)]
+    return both[0].union(both[1]).select("asset_id", "factor", "q.*")
 
 
 @query("SELECT vec_id + 5000 AS embedding_id, CAST(len(embedding) AS INT) AS n, TRUE AS same FROM embeddings")

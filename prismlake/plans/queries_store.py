@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media, text
-from ..operators import library, store
+from ..operators import cascades, library, names, store
+from ..operators.cascades import ForeignKey
 from ..sources.catalog import Catalog
 from .registry import query
 
@@ -33,17 +36,28 @@ def media_probe(c: Catalog) -> DataFrame:
     return c.media_files.select("page_id", ext.alias("extension"), kind.alias("kind"))
 
 
-@query("WITH n AS (SELECT asset_id, lower(coalesce(title, filename, 'x')) AS k, coalesce(title, filename, 'x') AS name FROM assets) SELECT asset_id, CASE WHEN row_number() OVER w > 1 THEN name || ' ' || CAST(row_number() OVER w AS VARCHAR) ELSE name END AS unique_name FROM n WINDOW w AS (PARTITION BY k ORDER BY asset_id)")
-def export_files(c: Catalog) -> DataFrame:
-    named = c.assets.select("asset_id", F.coalesce("title", "filename", F.lit("x")).alias("name"))
-    return library.uniq_names(named, "name", "asset_id").select("asset_id", "unique_name")
+_EXPORT_NAME = r"SELECT asset_id, CASE WHEN coalesce(title, '') <> '' THEN title || '.' || CASE WHEN filename IS NULL THEN CASE WHEN media_type = 'video' THEN 'mov' ELSE 'jpg' END ELSE 'jpg' END WHEN filename IS NOT NULL THEN filename ELSE 'Photo-' || CAST(asset_id AS VARCHAR) || CASE WHEN media_type = 'video' THEN '.mov' ELSE '.jpg' END END AS export_name FROM assets"
 
 
-@query(r"SELECT asset_id, CASE WHEN coalesce(title, '') <> '' THEN title || '.' || CASE WHEN filename IS NULL THEN CASE WHEN media_type = 'video' THEN 'mov' ELSE 'jpg' END ELSE 'jpg' END WHEN filename IS NOT NULL THEN filename ELSE 'Photo-' || CAST(asset_id AS VARCHAR) || CASE WHEN media_type = 'video' THEN '.mov' ELSE '.jpg' END END AS export_name FROM assets")
+@query(_EXPORT_NAME)
 def export_name(c: Catalog) -> DataFrame:
     return c.assets.select("asset_id", text.export_name(F.col("title"), F.col("filename"), F.col("asset_id"), F.col("media_type") == "video").alias("export_name"))
 
 
+# Row by row: the first of a name's candidates that is not among the names used so far.
+_FREE_SQL = f"""WITH RECURSIVE e AS ({_EXPORT_NAME}), n AS (SELECT row_number() OVER (ORDER BY asset_id) AS k, asset_id, export_name AS name, regexp_replace(export_name, '(.)\\.[^.]+$', '\\1') AS stem,
+CASE WHEN regexp_matches(export_name, '.\\.[^.]+$') THEN regexp_extract(export_name, '(\\.[^.]+)$', 1) ELSE '' END AS ext FROM e),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS asset_id, CAST(NULL AS VARCHAR) AS free_name, CAST([] AS VARCHAR[]) AS used UNION ALL
+SELECT k, asset_id, free_name, list_append(used, lower(free_name)) FROM (SELECT n.k, n.asset_id, r.used, list_filter(list_concat([n.name], list_transform(range(2, 3 + len(list_filter(r.used, lambda u: starts_with(u, lower(n.stem))))), lambda i: n.stem || ' ' || CAST(i AS VARCHAR) || n.ext)), lambda x: NOT list_contains(r.used, lower(x)))[1] AS free_name FROM r JOIN n ON n.k = r.k + 1))
+SELECT asset_id, free_name FROM r WHERE k > 0"""
+
+
+@query(_FREE_SQL)
+def export_files(c: Catalog) -> DataFrame:
+    """The names under which assets are written to a folder."""
+    return names.free_names(export_name(c), "export_name", "asset_id").select("asset_id", "free_name")
+
+
 _SCAN = "SELECT library_id, CASE WHEN asset_id % 9 = 4 THEN asset_key || 'x' ELSE asset_key END AS asset_key, CASE WHEN asset_id % 4 = 0 THEN modified_s ELSE modified_s + 1 END AS modified_s, CASE WHEN asset_id % 2 = 0 THEN filename END AS filename, CAST(NULL AS BIGINT) AS file_size, CASE WHEN asset_id % 8 = 0 THEN 'new' END AS file_hash, CASE WHEN asset_id % 3 = 0 THEN 'cloud_only' END AS availability FROM assets WHERE asset_id % 2 = 0"
 
 
@@ -119,19 +133,83 @@ def replace_faces(c: Catalog) -> DataFrame:
     return store.replace_rows(c.faces.select("face_id", "asset_id", F.coalesce("quality", F.lit(0.5)).alias("quality")), new, ["asset_id"])
 
 
-@query("SELECT f.face_id FROM faces f WHERE f.asset_id NOT IN (SELECT asset_id FROM assets WHERE library_id = 2)")
+# Foreign keys of the catalog: (child, column, parent), and the columns by which a table's rows are told apart in results.
+_IDS = {"libraries": "library_id", "assets": "asset_id", "faces": "face_id", "persons": "person_id", "embeddings_index": "embedding_id"}
+_SHOWN = {
+    "libraries": "library_id", "assets": "asset_id, library_id", "texts": "asset_id", "tags": "asset_id, label, source", "categories": "asset_id, category", "overrides": "asset_id, category",
+    "removals": "asset_id", "album_members": "album_id, asset_id", "faces": "face_id, asset_id", "edits": "edit_id, asset_id", "exclusions": "asset_a, asset_b", "persons": "person_id, library_id",
+    "embeddings_index": "embedding_id, entity_type, entity_id", "vectors": "embedding_id", "membership": "face_id, person_id", "constraints": "face_a, face_b, kind",
+}
+_ANALYSIS = [
+    ForeignKey("assets", "library_id", "libraries"), *[ForeignKey(t, "asset_id", "assets") for t in ("texts", "tags", "categories", "overrides", "faces")],
+    ForeignKey("embeddings_index", "entity_id", "assets", where="entity_type = 'asset'"), ForeignKey("embeddings_index", "entity_id", "faces", where="entity_type = 'face'"),
+    ForeignKey("vectors", "embedding_id", "embeddings_index"), ForeignKey("persons", "library_id", "libraries"), ForeignKey("membership", "face_id", "faces"),
+    ForeignKey("membership", "person_id", "persons", needed=True), ForeignKey("constraints", "face_a", "faces"), ForeignKey("constraints", "face_b", "faces"),
+]
+_KEYS = [
+    *_ANALYSIS, ForeignKey("removals", "asset_id", "assets"), ForeignKey("album_members", "asset_id", "assets"), ForeignKey("edits", "asset_id", "assets", "restrict"),
+    ForeignKey("exclusions", "asset_a", "assets"), ForeignKey("exclusions", "asset_b", "assets"),
+]
+
+
+def _tables(c: Catalog, keys: list[ForeignKey]) -> dict[str, DataFrame]:
+    return {n: getattr(c, n) for n in dict.fromkeys(x for k in keys for x in (k.parent, k.child))}
+
+
+def _shown(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, row): every row of all tables by its telling columns; nulls are dashes."""
+    rows = [df.select(F.lit(n).alias("table"), F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("-")) for x in _SHOWN[n].split(", ")]).alias("row")) for n, df in sorted(tables.items())]
+    return reduce(DataFrame.union, rows)
+
+
+def _shown_sql(where: dict[str, str], only: list[str], row: dict[str, str] | None = None) -> str:
+    """SQL for _shown over tables restricted by `where`; row: other expressions for a table's telling columns."""
+    told = lambda n: (row or {}).get(n) or ", ".join(f"coalesce(CAST({x} AS VARCHAR), '-')" for x in _SHOWN[n].split(", "))
+    return " UNION ALL ".join(f"SELECT '{n}' AS \"table\", concat_ws('|', {told(n)}) AS row FROM {n} WHERE {where.get(n, 'TRUE')}" for n in only)
+
+
+def _dead_sql(asset: str, person: str, library: str) -> dict[str, str]:
+    """Of each table the rows that stay when assets and persons for which these hold go."""
+    a, f = f"(SELECT asset_id FROM assets WHERE {asset})", f"(SELECT face_id FROM faces WHERE asset_id IN (SELECT asset_id FROM assets WHERE {asset}))"
+    e = f"(entity_type = 'asset' AND entity_id IN {a}) OR (entity_type = 'face' AND entity_id IN {f})"
+    out = {n: f"asset_id NOT IN {a}" for n in ("assets", "texts", "tags", "categories", "overrides", "removals", "album_members", "faces", "edits")}
+    return out | {
+        "libraries": f"NOT ({library})", "persons": f"NOT ({person})", "embeddings_index": f"NOT ({e})", "vectors": f"embedding_id NOT IN (SELECT embedding_id FROM embeddings_index WHERE {e})",
+        "membership": f"face_id NOT IN {f} AND person_id NOT IN (SELECT person_id FROM persons WHERE {person})", "constraints": f"face_a NOT IN {f} AND face_b NOT IN {f}",
+        "exclusions": f"asset_a NOT IN {a} AND (asset_b IS NULL OR asset_b NOT IN {a})",
+    }
+
+
+_ALL = sorted({x for k in _KEYS for x in (k.parent, k.child)})
+
+
+def _without(c: Catalog, libraries: DataFrame) -> dict[str, DataFrame]:
+    """All tables without these libraries and what hangs on them; their assets' edits, which would restrict that, go first."""
+    tables = _tables(c, _KEYS)
+    lost = c.assets.join(libraries, "library_id", "left_semi").select("asset_id")
+    tables["edits"] = tables["edits"].join(lost, "asset_id", "left_anti").select(tables["edits"].columns)
+    return cascades.delete(tables, _IDS, _KEYS, {"libraries": libraries})
+
+
+@query(_shown_sql(_dead_sql("library_id = 2", "library_id = 2", "library_id = 2"), _ALL))
 def remove_library(c: Catalog) -> DataFrame:
-    gone = c.assets.filter("library_id = 2").select("asset_id")
-    return c.faces.join(gone, "asset_id", "left_anti").select("face_id")
+    """Every row that all tables keep when library 2 goes."""
+    return _shown(_without(c, c.libraries.filter("library_id = 2 and kind <> 'photokit_system'").select("library_id")))
+
+
+_KEEP_1 = _dead_sql("library_id <> 1", "library_id <> 1", "library_id <> 1")
+_ORPHANS = {
+    "embeddings_index": "((entity_type = 'asset' AND entity_id IN (SELECT asset_id FROM assets WHERE library_id = 1)) OR (entity_type = 'face' AND entity_id IN (SELECT face_id FROM faces WHERE asset_id IN (SELECT asset_id FROM assets WHERE library_id = 1))))",
+    "exclusions": "(asset_b IS NULL OR asset_b IN (SELECT asset_id FROM assets WHERE library_id = 1))", "persons": "library_id = 1", "texts": "asset_id IN (SELECT asset_id FROM assets WHERE library_id = 1)",
+}
 
 
-@query("SELECT e.embedding_id FROM embeddings_index e WHERE (entity_type = 'asset' AND entity_id IN (SELECT asset_id FROM assets WHERE library_id = 1)) OR (entity_type = 'face' AND entity_id IN (SELECT face_id FROM faces f JOIN assets a ON a.asset_id = f.asset_id WHERE library_id = 1))")
+@query(_shown_sql({n: f"({w}) AND {_ORPHANS.get(n, 'TRUE')}" for n, w in _KEEP_1.items()}, _ALL))
 def prune_source(c: Catalog) -> DataFrame:
-    kept = c.assets.filter("library_id = 1")
-    faces = store.orphans(c.faces, kept, "asset_id", "asset_id")
-    of_assets = store.orphans(c.embeddings_index.filter("entity_type = 'asset'"), kept, "entity_id", "asset_id")
-    of_faces = store.orphans(c.embeddings_index.filter("entity_type = 'face'"), faces, "entity_id", "face_id")
-    return of_assets.union(of_faces).select("embedding_id")
+    """Every row that all tables keep when only library 1 stays and orphans go too."""
+    tables = _without(c, c.libraries.filter("library_id <> 1").select("library_id"))
+    swept = [k for k in _KEYS if k.child in _ORPHANS and k.column != "asset_a"]
+    return _shown(cascades.sweep(tables, _IDS, swept))
 
 
 @query("SELECT asset_id, CAST(stage & ~24 AS INT) AS stage FROM assets")
@@ -139,14 +217,28 @@ def delete_face_data(c: Catalog) -> DataFrame:
     return c.assets.select("asset_id", store.clear_bits(F.col("stage"), store.FACES | store.FACE_EMBEDDINGS).alias("stage"))
 
 
-_MAP = "SELECT asset_id, asset_id + 100000 AS new_asset_id, CAST(500000 AS BIGINT) AS off FROM assets WHERE library_id = 1"
+_COPIED = "(SELECT asset_id FROM assets WHERE library_id = 1)"
+_COPIED_FACES = f"(SELECT face_id FROM faces WHERE asset_id IN {_COPIED})"
+_COPIED_INDEX = f"((entity_type = 'asset' AND entity_id IN {_COPIED}) OR (entity_type = 'face' AND entity_id IN {_COPIED_FACES}))"
+_COPIED_WHERE = {
+    **{n: f"asset_id IN {_COPIED}" for n in ("assets", "texts", "tags", "categories", "overrides", "faces")}, "embeddings_index": _COPIED_INDEX, "vectors": f"embedding_id IN (SELECT embedding_id FROM embeddings_index WHERE {_COPIED_INDEX})",
+    "persons": f"person_id IN (SELECT person_id FROM membership WHERE face_id IN {_COPIED_FACES})", "membership": f"face_id IN {_COPIED_FACES} AND person_id IN (SELECT person_id FROM persons)", "constraints": f"face_a IN {_COPIED_FACES} AND face_b IN {_COPIED_FACES}",
+}
+_COPIED_ROW = {
+    "assets": "asset_id + 100000, 99", "texts": "asset_id + 100000", "tags": "asset_id + 100000, label, source", "categories": "asset_id + 100000, category", "overrides": "asset_id + 100000, category",
+    "faces": "face_id + 500000, asset_id + 100000", "embeddings_index": "embedding_id + 900000, entity_type, entity_id + CASE WHEN entity_type = 'asset' THEN 100000 ELSE 500000 END", "vectors": "embedding_id + 900000",
+    "persons": "person_id + 1000, 99", "membership": "face_id + 500000, person_id + 1000", "constraints": "face_a + 500000, face_b + 500000, kind",
+}
 
 
-@query(f"WITH m AS ({_MAP}), f AS (SELECT face_id, face_id + off AS nf FROM faces JOIN m USING (asset_id)) SELECT least(a.nf, b.nf) AS face_a, greatest(a.nf, b.nf) AS face_b, kind FROM constraints c JOIN f a ON a.face_id = c.face_a JOIN f b ON b.face_id = c.face_b UNION ALL SELECT f.nf, person_id, 'member' FROM membership JOIN f USING (face_id)")
+@query(_shown_sql(_COPIED_WHERE, sorted(_COPIED_WHERE), _COPIED_ROW))
 def copy_analysis(c: Catalog) -> DataFrame:
-    mapping = c.assets.filter("library_id = 1").select("asset_id", (F.col("asset_id") + 100000).alias("new_asset_id"), F.lit(500000).alias("offset"))
-    _, members, constraints = store.copy_faces(c.faces, c.membership, c.constraints, mapping)
-    return constraints.union(members.select("face_id", "person_id", F.lit("member")))
+    """All rows that library 1's analysis becomes in a new library 99: assets, texts, tags, categories, faces, vectors, people who have a copied face, memberships and constraints."""
+    mapping = c.assets.filter("library_id = 1").select("asset_id", (F.col("asset_id") + 100000).alias("new"))
+    new_id = {"faces": F.col("face_id") + 500000, "persons": F.col("person_id") + 1000, "embeddings_index": F.col("embedding_id") + 900000}
+    there = {n: {"library_id": F.lit(99).cast("long")} for n in ("assets", "persons")}
+    made = cascades.copy(_tables(c, _ANALYSIS), _IDS, _ANALYSIS, {"assets": mapping}, new_id, there)
+    return _shown({n: df for n, df in made.items() if n != "libraries"})
 
 
 @query("WITH f AS (SELECT asset_id AS pos, file_hash FROM assets WHERE asset_id % 2 = 1), k AS (SELECT DISTINCT file_hash FROM assets WHERE asset_id % 10 = 0 AND file_hash IS NOT NULL) SELECT f.pos, f.file_hash, CASE WHEN f.file_hash IS NULL THEN 'failed' WHEN k.file_hash IS NOT NULL OR row_number() OVER (PARTITION BY f.file_hash ORDER BY f.pos) > 1 THEN 'skipped' ELSE 'added' END AS status FROM f LEFT JOIN k ON k.file_hash = f.file_hash")
