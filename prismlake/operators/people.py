@@ -1,14 +1,12 @@
-"""People: exact nearest neighbours, constrained graph clustering, and the review queue."""
+"""People: constrained graph clustering, and the review queue."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media
@@ -18,36 +16,6 @@ from ..plans.durable import drop_table, durable, write_table
 BLOCK = 2048
 
 
-def nearest(vectors: DataFrame, k: int, least: float = 0.2, block: int = BLOCK) -> DataFrame:
-    """(face_id, neighbor, similarity, rank): the k most similar others of each row of (face_id, vector), exactly.
-
-    Rows are dealt into blocks; a task multiplies two blocks and keeps each row's k best, and the lists meet by face. A pair of
-    blocks is all that a task holds.
-    """
-    n = -(-vectors.count() // block) or 1
-    dealt = vectors.select("face_id", "vector", F.pmod(F.xxhash64("face_id"), F.lit(n)).cast("int").alias("b"))
-    left = dealt.select("face_id", "vector", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    right = dealt.select(F.col("face_id").alias("other"), F.col("vector").alias("other_vector"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.col("b").alias("j"))
-
-    def matrix(t: pa.Table, name: str) -> np.ndarray:
-        return np.stack(t.column(name).to_numpy()).astype(np.float64)
-
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return empty
-        ids, others = a.column("face_id").to_numpy(), b.column("other").to_numpy()
-        sim = matrix(a, "vector") @ matrix(b, "other_vector").T
-        sim[ids[:, None] == others[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(others, sim.shape), -sim), axis=1)[:, :k]
-        top = np.take_along_axis(sim, order, axis=1)
-        keep = top >= least
-        return pa.table({"face_id": np.repeat(ids, keep.sum(axis=1)), "neighbor": others[order][keep], "similarity": top[keep]}, schema=empty.schema)
-
-    empty = pa.schema([("face_id", pa.int64()), ("neighbor", pa.int64()), ("similarity", pa.float64())]).empty_table()
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "face_id long, neighbor long, similarity double")
-    return top_k(found, k)
-
-
 def pair_scores(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
     """(same, similarity, k): over all pairs of rows (face_id, label, vector), how many with equal or different labels have a similarity, to six places.
 
@@ -73,48 +41,6 @@ def pair_scores(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.groupBy("same", "similarity").agg(F.sum("k").alias("k"))
 
 
-def top_k(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("face_id").orderBy(F.desc("similarity"), "neighbor")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def nearest_added(old: DataFrame, vectors: DataFrame, added: DataFrame, removed: DataFrame, k: int, least: float = 0.2) -> DataFrame:
-    """The neighbour lists after adding and removing faces: lists that lost a member are made anew, the others learn only the new faces.
-
-    added and removed: face_id; vectors holds all faces that remain.
-    """
-    gone = removed.select("face_id")
-    torn = old.join(gone.select(F.col("face_id").alias("neighbor")), "neighbor", "left_semi").select("face_id").union(added.select("face_id")).distinct().join(gone, "face_id", "left_anti")
-    kept = old.join(gone, "face_id", "left_anti").join(torn, "face_id", "left_anti").select("face_id", "neighbor", "similarity")
-    pairs = lambda a, b: _products(a, b, least)
-    remade = pairs(vectors.join(torn, "face_id", "left_semi"), vectors)
-    learnt = pairs(vectors.join(torn, "face_id", "left_anti"), vectors.join(added.select("face_id"), "face_id", "left_semi"))
-    return top_k(kept.union(learnt).union(remade), k)
-
-
-def _products(a: DataFrame, b: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(face_id, neighbor, similarity) between two sets in blocks of the second, which go to the workers one at a time."""
-    n = -(-b.count() // block) or 1
-    out = a.sparkSession.createDataFrame([], "face_id long, neighbor long, similarity double")
-    for part in range(n):
-        rows = b.filter(F.pmod(F.xxhash64("face_id"), F.lit(n)) == part).select("face_id", "vector").collect()  # one bounded block
-        if not rows:
-            continue
-        shared = a.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for t in batches:
-                if t.num_rows:
-                    own = t.column(0).to_numpy()
-                    sim = np.stack(t.column(1).to_numpy(zero_copy_only=False)).astype(float) @ matrix.T
-                    r, c = np.nonzero((sim >= least) & (own[:, None] != ids[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(ids[c]), pa.array(sim[r, c])], ["face_id", "neighbor", "similarity"])
-
-        out = out.union(a.select("face_id", "vector").mapInArrow(run, "face_id long, neighbor long, similarity double"))
-    return out
-
-
 def must_link_roots(faces: DataFrame, constraints: DataFrame, members: DataFrame) -> DataFrame:
     """(face_id, root): super-nodes of must-links and of faces confirmed for one person; the least face is the root."""
     must = constraints.filter("kind = 'must_link'").select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))

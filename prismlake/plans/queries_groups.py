@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media
-from ..operators import duplicates, people, store
+from ..operators import duplicates, neighbours, people, store
 from ..sources.catalog import Catalog
 from .queries_scalar import DHASH_SQL, PHASH_SQL
 from .registry import query
@@ -155,7 +155,7 @@ _KNN = f"f AS ({_FACES}), u AS (SELECT * FROM f WHERE quality >= 0.15), k AS (SE
 
 
 def _knn(c: Catalog) -> DataFrame:
-    return people.nearest(_usable(c).select("face_id", "vector"), 10)
+    return neighbours.nearest(_usable(c).select("face_id", "vector"), 10)
 
 
 _KNN_ALL = f"WITH {_KNN} SELECT face_id, neighbor, round(similarity, 6) AS similarity, rank FROM k"
@@ -168,8 +168,8 @@ def knn_incremental(c: Catalog) -> DataFrame:
     """Lists of all but every seventh face, plus faces that go away again; then the seventh added and those removed."""
     f = _usable(c).select("face_id", "vector")
     strange = f.filter("face_id % 50 = 1").select((F.col("face_id") + 100000).alias("face_id"), "vector")
-    old = people.nearest(f.filter("face_id % 7 <> 0").union(strange), 10)
-    return people.nearest_added(old, f, f.filter("face_id % 7 = 0").select("face_id"), strange.select("face_id"), 10).withColumn("similarity", F.round("similarity", 6))
+    old = neighbours.nearest(f.filter("face_id % 7 <> 0").union(strange), 10)
+    return neighbours.nearest_added(old, f, f.filter("face_id % 7 = 0").select("face_id"), strange.select("face_id"), 10).withColumn("similarity", F.round("similarity", 6))
 
 
 query(f"WITH f AS ({_FACES}) SELECT face_id, CASE WHEN quality < 0.15 THEN 'low_quality' ELSE 'usable' END AS state FROM f", "face_quality_split")(lambda c: _faces(c).select("face_id", F.when(F.col("quality") < 0.15, "low_quality").otherwise("usable").alias("state")))

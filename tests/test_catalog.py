@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismlake.functions import media, raster, text
-from prismlake.operators import duplicates, library, people, rules, store
+from prismlake.operators import duplicates, library, neighbours, people, rules, store
 from prismlake.plans import catalog_queries
 from prismlake.plans.components import connected_components
 from prismlake.sources import foreign, schema
@@ -246,7 +246,7 @@ def cluster(spark, faces, constraints=(), members=()):
     m = spark.createDataFrame(list(members), "face_id long, person_id long, confirmed boolean")
     roots = people.must_link_roots(faces, c, m)
     told, persons = people.cannot_link_told(roots, c), people.root_persons(roots, m)
-    labels = people.whispers(people.graph_edges(people.nearest(faces, 30), faces, roots, told, persons, 0.45), told, persons)
+    labels = people.whispers(people.graph_edges(neighbours.nearest(faces, 30), faces, roots, told, persons, 0.45), told, persons)
     return people.build_clusters(faces, roots, labels, m, 3), c, m
 
 
@@ -298,7 +298,7 @@ def test_nearest_is_exact(spark, block):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "face_id long, vector array<double>")
     got = {}
-    for r in people.nearest(df, 8, 0.1, block).collect():
+    for r in neighbours.nearest(df, 8, 0.1, block).collect():
         got.setdefault(r.face_id, []).append((r.rank, r.neighbor))
     sim = v @ v.T
     np.fill_diagonal(sim, -9)
