@@ -9,6 +9,7 @@ from ..functions import media, text
 from ..operators import library, people, store
 from ..operators.rules import AlbumRule
 from ..operators.textindex import TextIndex
+from ..sources import foreign, sqlite
 from ..sources.catalog import CATEGORIES, Catalog
 from ..streaming import windows
 from .durable import new_folder
@@ -271,31 +272,38 @@ def registry(c: Catalog) -> DataFrame:
 # Foreign sources, streams and batches
 
 
-@query()
-def scan_library_sql(c: Catalog) -> DataFrame:
-    from ..sources import foreign
+def _photo_library(c: Catalog) -> str:
+    """The catalog's assets and albums as a photo library's database files, in the newer generation of its schema."""
+    path, i = new_folder(c.spark, "photo-library"), F.col("asset_id")
+    kind, trashed = F.when(i % 23 == 0, 7).when(F.col("media_type") == "video", 1).otherwise(0), F.col("deleted").cast("int")
+    sub = F.when(i % 5 == 0, 10).when(i % 5 == 1, 2).otherwise(0)
+    taken = F.col("created_s") - 978307200.0
+    sqlite.write_tables(c.assets.select(i.alias("Z_PK"), F.col("asset_key").alias("ZUUID"), F.col("filename").alias("ZFILENAME"), kind.alias("ZKIND"), sub.alias("ZKINDSUBTYPE"), trashed.alias("ZTRASHEDSTATE"), taken.alias("ZDATECREATED")), path, "ZASSET")
+    albums = c.albums.select(F.col("album_id").alias("Z_PK"), F.col("title").alias("ZTITLE"), F.when(F.col("is_folder"), 4000).otherwise(2).alias("ZKIND"), F.col("parent_id").alias("ZPARENTFOLDER"), F.when(F.col("album_id") % 9 == 0, 1).alias("ZTRASHEDSTATE"))
+    sqlite.write_tables(albums, path, "ZGENERICALBUM")
+    sqlite.write_tables(c.album_members.select(F.col("album_id").alias("Z_28ALBUMS"), F.col("asset_id").alias("Z_3ASSETS")), path, "Z_28ASSETS")
+    return path
 
-    return foreign.demo_library(c.spark).select("asset_key", "media_type", "created_at", "subtype")
 
+@query("SELECT asset_key, media_type, created_s, CAST(CASE WHEN asset_id % 5 = 0 THEN 4 WHEN asset_id % 5 = 1 THEN 8 ELSE 0 END AS INT) AS subtype FROM assets WHERE NOT deleted AND asset_id % 23 <> 0")
+def scan_library_sql(c: Catalog) -> DataFrame:
+    """A foreign library's items: its files are written from the assets and read back by ranges of rows."""
+    return foreign.scan_library(c.spark, _photo_library(c)).select("asset_key", "media_type", F.unix_seconds("created_at").alias("created_s"), "subtype")
 
-@query()
-def scan_albums_sql(c: Catalog) -> DataFrame:
-    from ..sources import foreign
 
-    return foreign.demo_albums(c.spark)
+@query("SELECT a.album_id, a.title, a.parent_id, k.asset_key FROM albums a LEFT JOIN (SELECT m.album_id, x.asset_key FROM album_members m JOIN assets x ON x.asset_id = m.asset_id WHERE NOT x.deleted AND x.asset_id % 23 <> 0) k ON k.album_id = a.album_id WHERE a.album_id % 9 <> 0")
+def scan_albums_sql(c: Catalog) -> DataFrame:
+    """A foreign library's albums with their members."""
+    return foreign.scan_albums(c.spark, _photo_library(c))
 
 
 @query()
 def scan_folder(c: Catalog) -> DataFrame:
-    from ..sources import foreign
-
     return foreign.scan_folder(c.spark, c.folder, "*.parquet").select("asset_key", "size")
 
 
 @query("SELECT library_id, count(*) AS n FROM assets GROUP BY 1")
 def split_db(c: Catalog) -> DataFrame:
-    from ..sources import foreign
-
     return foreign.split_by_library(c.assets.select("asset_id", "library_id"))
 
 
@@ -308,8 +316,6 @@ def migrations_run(c: Catalog) -> DataFrame:
 
 @query("SELECT asset_id, CASE WHEN asset_id % 5 <> 0 THEN 1000.0 / (asset_id % 5) END AS result, CASE WHEN asset_id % 5 = 0 THEN 'ZeroDivisionError' END AS error FROM assets")
 def batch_foreach(c: Catalog) -> DataFrame:
-    from ..sources import foreign
-
     return foreign.try_each(c.assets.select("asset_id", "width"), "asset_id long, result double, error string", lambda r: (r["asset_id"], 1000.0 / (r["asset_id"] % 5), None))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..plans.durable import shared_dir, write_file
+from . import sqlite
 
 #: Seconds from the Unix epoch to 2001-01-01, the epoch of these libraries.
 EPOCH_2001 = 978307200
@@ -38,29 +39,36 @@ def _each_database(spark: SparkSession, path: str, schema: str, read: Callable[[
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
+def _mounted(path: str) -> bool:
+    """Whether the path is one that Python opens on every machine: a mount of a shared folder."""
+    return path.startswith(("/", "file:"))
+
+
 def columns(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """table -> columns of an SQLite file."""
+    """table -> columns of an SQLite file, or of all files of a folder."""
 
     def read(db: sqlite3.Connection) -> Iterator[tuple]:
-        for (name,) in db.execute("select name from sqlite_master where type = 'table'").fetchall():
-            for r in db.execute(f'pragma table_info("{name}")').fetchall():
-                yield name, r[1]
+        yield from db.execute(sqlite.DEFINITIONS)
 
+    found = sqlite.definitions(spark, path) if _mounted(path) else _each_database(spark, path, "name string, col string", read)
     out: dict[str, list[str]] = {}
-    for name, column in _each_database(spark, path, "name string, col string", read).collect():  # a file's table definitions
+    for name, column in found.distinct().collect():  # table definitions
         out.setdefault(name, []).append(column)
     return out
 
 
 def sqlite_table(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    """One table of an SQLite file; a column that the file lacks is null."""
+    """One table of an SQLite file or of a folder of them; a column that a file lacks is null. Files that only Spark can read come through it whole, at most 2 GB each."""
     if not re.fullmatch(r"\w+", table):
         raise ValueError("table names are words")
+    if _mounted(path):
+        return sqlite.read_table(spark, path, table, schema)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def read(db: sqlite3.Connection) -> Iterator[tuple]:
         have = {r[1] for r in db.execute(f"pragma table_info({table})")}
-        yield from db.execute(f"select {', '.join(n if n in have else 'null' for n in names)} from {table}")
+        if have:
+            yield from db.execute(f"select {', '.join(n if n in have else 'null' for n in names)} from {table}")
 
     return _each_database(spark, path, schema, read)
 
