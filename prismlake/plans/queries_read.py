@@ -12,7 +12,7 @@ from ..operators.textindex import TextIndex
 from ..sources import foreign, sqlite
 from ..sources.catalog import CATEGORIES, Catalog
 from ..streaming import windows
-from .durable import new_folder
+from .durable import durable, new_folder
 from .registry import query
 from .queries_scalar import _MEMBERS
 
@@ -63,7 +63,7 @@ def _tokens(c: Catalog) -> DataFrame:
 
 def _index(c: Catalog) -> TextIndex:
     """An index of the texts as a catalog keeps it: the first half, then the rest in two additions, one of which corrects wrong words, and a few that go and come back."""
-    tokens = _tokens(c)
+    tokens = durable(_tokens(c))  # texts are split once, not for each segment
     index = TextIndex.open(c.spark, new_folder(c.spark, "index"))
     index = index.add(tokens.filter("asset_id % 2 = 0").union(c.texts.filter("asset_id % 7 = 1").select("asset_id", F.lit("the clown"))))
     index = index.add(tokens.filter("asset_id % 2 = 1"), c.texts.filter("asset_id % 7 = 1").select("asset_id"))
