@@ -61,6 +61,17 @@ def drop_table(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """An empty folder, unless it is there already."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
+
+
 def write_file(spark: SparkSession, path: str, data: bytes) -> None:
     """One small file on any Hadoop file system."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

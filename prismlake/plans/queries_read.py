@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from ..functions import media, text
 from ..operators import library, people, store
+from ..operators.batches import Batches
 from ..operators.rules import AlbumRule
 from ..operators.textindex import TextIndex
 from ..sources import foreign, sqlite
@@ -319,6 +321,28 @@ def batch_foreach(c: Catalog) -> DataFrame:
     return foreign.try_each(c.assets.select("asset_id", "width"), "asset_id long, result double, error string", lambda r: (r["asset_id"], 1000.0 / (r["asset_id"] % 5), None))
 
 
+def _try_ratio(row: dict) -> tuple:
+    if row["asset_id"] % 7 == 0 and row["_attempt"] == 1:
+        raise OSError
+    return (1000.0 / (row["asset_id"] % 5),)
+
+
+_RATIO_SQL = """
+    SELECT asset_id, CAST(CASE WHEN asset_id % 5 = 0 THEN 3 WHEN asset_id % 7 = 0 THEN 2 ELSE 1 END AS INT) AS attempts, asset_id % 5 <> 0 AS done,
+        CASE WHEN asset_id % 5 = 0 THEN 'ZeroDivisionError' END AS error, CASE WHEN asset_id % 5 <> 0 THEN 1000.0 / (asset_id % 5) END AS ratio
+    FROM assets"""
+
+
+@query(_RATIO_SQL)
+def batch_resume(c: Catalog) -> DataFrame:
+    """A job over all assets in four chunks that is stopped after two, and goes on from its ledger in a second run."""
+    items = c.assets.select("asset_id")
+    job = Batches(c.spark, new_folder(c.spark, "ledger"), "asset_id", StructType().add("ratio", DoubleType()), chunk_rows=items.count() // 4 + 1)
+    job.run(items, _try_ratio, lambda done, _: done < 2)
+    job.run(items, _try_ratio)
+    return job.results(items).select("asset_id", "attempts", "done", "error", "result.ratio")
+
+
 @query("SELECT asset_key, asset_id, CASE WHEN asset_id % 5 = 0 THEN 7 WHEN asset_id % 3 = 0 THEN 1 ELSE stage END AS stage FROM assets WHERE asset_id % 6 <> 0 OR asset_id % 5 = 0")
 def stream_changes(c: Catalog) -> DataFrame:
     return windows.replay_changes(c.spark, c.assets.select("asset_key", "asset_id", "stage"))
