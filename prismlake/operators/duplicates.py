@@ -114,14 +114,26 @@ def _shared(parts: list[tuple[int, int]], same: list[float], radius: int, most:
     return share, [Part(o, w, e) for (o, w), e in zip(parts, errors, strict=True) if e >= 0]
 
 
+def _cuts(radius: int, most: int) -> list[list[tuple[int, int]]]:
+    """The three coarsest cuts that the bound of probes allows."""
+    cuts = list(islice((c for c in map(_split, range(1, 65)) if _shared(c, [2.0**-w for _, w in c], radius, most)), 3))
+    if not cuts:
+        raise ValueError(f"a radius of {radius} bits needs more than {most} probes a hash")
+    return cuts
+
+
+def even_parts(radius: int, most: int = 500) -> list[Part]:
+    """hamming_parts() for hashes whose bits are even and independent, without counting any."""
+    plans = [_shared(c, [2.0**-w for _, w in c], radius, most) for c in _cuts(radius, most)]
+    return min((p for p in plans if p), key=lambda p: p[0])[1]
+
+
 def hamming_parts(hashes: DataFrame, radius: int, most: int = 500) -> list[Part]:
     """How to cut 64-bit hashes (h) so that pairs within the radius meet: the cut with the fewest expected candidates among those with at most `most` probes a hash, both sides together.
 
     The parts' frequencies are counted for the three coarsest cuts that the bound allows, so bits that many hashes share are probed with fewer errors or not at all.
     """
-    cuts = list(islice((c for c in map(_split, range(1, 65)) if _shared(c, [2.0**-w for _, w in c], radius, most)), 3))
-    if not cuts:
-        raise ValueError(f"a radius of {radius} bits needs more than {most} probes a hash")
+    cuts = _cuts(radius, most)
     values = F.array(*[F.struct(F.lit(k).alias("cut"), F.lit(o).alias("offset"), _bits(F.col("h"), o, w).alias("value")) for k, c in enumerate(cuts) for o, w in c])
     often = hashes.select(F.explode(values).alias("v")).groupBy("v.cut", "v.offset", "v.value").agg(F.count(F.lit(1)).cast("double").alias("n"))
     same = {(r.cut, r.offset): r.same / max(r.all, 1.0) ** 2 for r in often.groupBy("cut", "offset").agg(F.sum(F.col("n") * F.col("n")).alias("same"), F.sum("n").alias("all")).collect()}  # a row a part

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media
-from ..operators import duplicates, neighbours, people, store
+from ..operators import duplicates, extensions, neighbours, people, store
 from ..sources.catalog import Catalog
+from .durable import durable
 from .queries_scalar import DHASH_SQL, PHASH_SQL
 from .registry import query
 
@@ -300,3 +301,41 @@ gone AS (SELECT face_id FROM mine UNION SELECT face_id FROM membership WHERE per
 SELECT face_id, round(s, 6) AS similarity FROM (SELECT face_id, list_sum(list_transform(range(1, 65), lambda k: CAST(embedding[k] AS DOUBLE) * c[k] / n)) AS s FROM f, c WHERE face_id NOT IN (SELECT face_id FROM gone)) WHERE s >= 0.05 ORDER BY s DESC, face_id LIMIT 60"""
 for _name in ("topk_suggestions", "suggestions"):
     query(_SUGGEST, _name)(lambda c: people.suggestions(_faces(c), c.membership, c.persons, c.constraints, 3, 0.1).withColumn("similarity", F.round("similarity", 6)))
+
+
+# Extension points for SQL users
+
+_RADIUS_SQL = f"""
+    WITH p AS (SELECT DISTINCT phash FROM ({PHASH_SQL}))
+    SELECT x.phash AS a, y.phash AS b, CAST(bit_count(xor(x.phash, y.phash)) AS INT) AS distance
+    FROM p x JOIN p y ON x.phash < y.phash WHERE bit_count(xor(x.phash, y.phash)) <= 14"""
+
+
+@query(_RADIUS_SQL)
+def sql_radius(c: Catalog) -> DataFrame:
+    """Different hashes within 14 bits of each other, found in SQL by the table function."""
+    hashes = durable(_prints(c).select(F.col("phash").alias("h")).distinct())
+    extensions.register(c.spark, {14: duplicates.hamming_parts(hashes, 14)})
+    return c.spark.sql(
+        """
+        SELECT DISTINCT x.h AS a, y.h AS b, bit_count(x.h ^ y.h) AS distance FROM
+            (SELECT h, p.* FROM {hashes}, LATERAL hash_probes(h, 14, TRUE) p) x JOIN
+            (SELECT h, p.* FROM {hashes}, LATERAL hash_probes(h, 14, FALSE) p) y USING (part, value)
+        WHERE x.h < y.h AND bit_count(x.h ^ y.h) <= 14""",
+        hashes=hashes,
+    )
+
+
+_CENTROIDS_SQL = """
+    WITH t AS (SELECT person_id, CASE WHEN confirmed THEN 3 ELSE 1 END AS w, vector, unnest(range(1, len(vector) + 1)) AS position
+        FROM membership JOIN faces USING (face_id) JOIN vectors USING (embedding_id))
+    SELECT person_id, CAST(position AS INT) AS position, round(sum(w * floor(256 * CAST(vector[position] AS DOUBLE))) / sum(w), 6) AS value FROM t GROUP BY 1, 2"""
+
+
+@query(_CENTROIDS_SQL)
+def weighted_centroids(c: Catalog) -> DataFrame:
+    """The mean vector of each person's faces, confirmed ones counting three times; components in 256ths, so sums are exact in any order."""
+    v = c.membership.join(c.faces.select("face_id", "embedding_id"), "face_id").join(c.vectors, "embedding_id")
+    v = v.withColumn("vector", F.transform("vector", lambda x: F.floor(x.cast("double") * 256).cast("double"))).withColumn("w", F.when(F.col("confirmed"), 3).otherwise(1))
+    m = extensions.centroids(v, "person_id", "vector", "w", "face_id")
+    return m.select("person_id", F.posexplode("centroid").alias("position", "value")).select("person_id", (F.col("position") + 1).alias("position"), F.round("value", 6).alias("value"))
