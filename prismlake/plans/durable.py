@@ -72,6 +72,13 @@ def make_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none where it does not exist."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+
+
 def write_file(spark: SparkSession, path: str, data: bytes) -> None:
     """One small file on any Hadoop file system."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
 from ..functions import media, text
 from ..operators import library, people, store
@@ -13,7 +13,7 @@ from ..operators.rules import AlbumRule
 from ..operators.textindex import TextIndex
 from ..sources import foreign, sqlite
 from ..sources.catalog import CATEGORIES, Catalog
-from ..streaming import windows
+from ..streaming import feed, windows
 from .durable import durable, new_folder
 from .registry import query
 from .queries_scalar import _MEMBERS
@@ -348,6 +348,43 @@ def stream_changes(c: Catalog) -> DataFrame:
     return windows.replay_changes(c.spark, c.assets.select("asset_key", "asset_id", "stage"))
 
 
+_FEED_SQL = """
+    WITH s AS (SELECT *, asset_id % 6 <> 0 OR asset_id % 5 = 0 AS was, CASE WHEN asset_id % 5 = 0 THEN 7 WHEN asset_id % 3 = 0 THEN 1 ELSE stage END AS stage_was,
+            asset_id % 8 = 0 OR (asset_id % 4 <> 0 AND asset_id % 8 <> 1) AS now, CASE WHEN asset_id % 8 = 0 THEN 6 ELSE 5 END AS stage_now FROM assets)
+    SELECT asset_key, CASE WHEN now THEN stage_now END AS stage,
+        CASE WHEN was AND NOT now THEN 'deleted' WHEN now AND NOT was THEN 'inserted' WHEN stage_was <> stage_now OR asset_id % 8 = 0 THEN 'updated' END AS change
+    FROM s WHERE was OR now"""
+
+
+@query(_FEED_SQL)
+def stream_feed(c: Catalog) -> DataFrame:
+    """A feed of upserts, deletes and late repeats in three runs, whose source then loses history: a reconcile from a snapshot, and a run after it.
+
+    Result: the living assets and those that were deleted since the third run, with what became of them since.
+    """
+    base, rows = new_folder(c.spark, "feed"), c.assets.select("asset_key", "asset_id", "stage")
+    f = feed.ChangeFeed(c.spark, f"{base}/feed", "asset_key", StructType().add("asset_id", LongType()).add("stage", IntegerType()))
+
+    def change(run: int, seq: int, where: str, stage: str = "stage", op: str = "'upsert'") -> None:
+        df = rows.filter(where).selectExpr("asset_key", f"{seq}L AS seq", f"{op} AS op", "asset_id", f"{stage} AS stage")
+        df.write.mode("append").parquet(f"{base}/in/{run}")
+
+    change(0, 1, "true")
+    f.apply(f"{base}/in", first=1)
+    change(1, 3, "asset_id % 3 = 0", "1", "if(asset_id % 2 = 0, 'delete', 'upsert')")
+    f.apply(f"{base}/in", first=1)
+    change(2, 2, "asset_id % 6 = 0", "9")
+    change(2, 4, "asset_id % 5 = 0", "7")
+    f.apply(f"{base}/in", first=1)
+    at = f.position()
+    change(3, 10, "asset_id % 8 = 0", "6")
+    change(3, 11, "asset_id % 8 = 1", "stage", "'delete'")
+    if not f.apply(f"{base}/in", first=10):
+        f.reconcile(rows.filter("asset_id % 4 <> 0").withColumn("stage", F.lit(5)), 9)
+        f.apply(f"{base}/in", first=10)
+    return f.table().join(f.delta(at), "asset_key", "full_outer").select("asset_key", "stage", "change")
+
+
 @query("WITH d AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS new FROM moments), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM d) SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first_us FROM s GROUP BY user_id, s")
 def session_windows(c: Catalog) -> DataFrame:
     return windows.sessions(c.moments, 900)
