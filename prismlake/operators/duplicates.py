@@ -12,13 +12,13 @@ from itertools import combinations, islice, pairwise
 from math import comb, inf
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import media
 from ..plans.components import connected_components
-from ..plans.durable import drop_table, durable, write_table
+from ..plans.durable import drop_table, durable, new_folder, write_table
 
 TIERS = ("exact", "near", "burst", "similar")
 #: Below this many different hashes every pair is tried, with one side sent to all workers; above it parts are joined.
@@ -225,45 +225,90 @@ def time_sessions(items: DataFrame, seconds: float, by: str = "library_id", few:
     return df.join(known.select(by, "_cell", F.coalesce("component", "id").alias("session")), [by, "_cell"])
 
 
-def star_groups(items: DataFrame, blocked: DataFrame, seconds: float, cosine: float, by: str = "library_id", large: int = 20_000) -> DataFrame:
+def star_groups(items: DataFrame, blocked: DataFrame, seconds: float, cosine: float, by: str = "library_id", large: int = 20_000, chunk: int = 250_000) -> DataFrame:
     """Greedy stars: in order of (at, asset_id) an unused item seeds a group and takes the later unused ones within `seconds` whose
     vectors agree with its own and that are not blocked with it. items: `by`, asset_id, at (seconds), vector.
 
-    Sessions of at most `large` items are walked by a task each, larger ones all at once in rounds (spread_stars), with the same result.
+    Sessions of at most `large` items are walked by a task each, larger ones in chunks of about `chunk` items that take turns (chunked_stars), those with more items than that
+    within `seconds` all at once in rounds (spread_stars), with the same result.
     """
     known = durable(items.filter("at is not null and vector is not null").select(by, "asset_id", "at", "vector"))
     few = known.count() <= min(large, FEW_ROWS)
     s = time_sessions(known, seconds, by, few)
-    s = s if few else durable(s)
     pairs = blocked.select(F.col("asset_a").alias("asset_id"), "asset_b").union(blocked.select(F.col("asset_b").alias("asset_id"), "asset_a"))
     pairs = pairs.filter("asset_id is not null and asset_b is not null")
-    no = pairs.groupBy("asset_id").agg(F.collect_set("asset_b").alias("blocked"))
-    wide = None if few else durable(s.groupBy(by, "session").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select(by, "session"))
-    alone = (s if few else s.join(wide, [by, "session"], "left_anti")).join(no, "asset_id", "left").select(by, "session", "asset_id", "at", "vector", "blocked")
-
-    def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "asset_id"])
-        ids, at = pdf.asset_id.to_numpy(), pdf["at"].to_numpy(float)
-        v = np.stack(pdf.vector.to_list()).astype(float)
+    no = durable(pairs.groupBy("asset_id").agg(F.collect_set("asset_b").alias("blocked")))
+    cells = None if few else durable(s.groupBy(by, "session", "_cell").agg(F.count(F.lit(1)).alias("n")))
+    wide = None if few else durable(cells.groupBy(by, "session").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter(F.col("n") > large))
+    alone = (s if few else s.join(wide, [by, "session"], "left_anti")).join(no, "asset_id", "left").select("asset_id", "at", "vector", "blocked", F.lit(False).alias("ahead"), F.lit(False).alias("used"), by, "session")
+    out = alone.groupBy(by, "session").applyInArrow(_walk(seconds, cosine), STARS)
+    if few or wide.isEmpty():
+        return out
+    dense = wide.filter(F.col("most") > chunk).select(by, "session")
+    if not dense.isEmpty():
+        out = out.union(spread_stars(s.join(dense, [by, "session"], "left_semi"), pairs, seconds, cosine, by))
+    rest = cells.join(wide.filter(F.col("most") <= chunk).select(by, "session"), [by, "session"], "left_semi")
+    return out if rest.isEmpty() else out.union(chunked_stars(s.join(no, "asset_id", "left"), rest, seconds, cosine, by, chunk))
+
+
+STARS = "group_id long, asset_id long, similarity double"
+
+
+def _walk(seconds: float, cosine: float):
+    """The stars of rows (asset_id, at, vector, blocked, ahead, used): those ahead can be taken and seed none, the used can do neither."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, at = table.column("asset_id").to_numpy(), table.column("at").to_numpy().astype(float)
+        order = np.lexsort((ids, at))
+        ids, at = ids[order], at[order]
+        v = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)[order]
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        barred = [set(b) if b is not None else set() for b in pdf.blocked]
-        used, out = np.zeros(len(ids), bool), []
+        told = table.column("blocked").combine_chunks().take(pa.array(order))
+        barred = {k: set(told[k].as_py()) for k in np.flatnonzero(told.is_valid().to_numpy(zero_copy_only=False)).tolist()}
+        ahead, used = (table.column(c).fill_null(False).to_numpy()[order] for c in ("ahead", "used"))
+        ends, found = np.searchsorted(at, at + seconds, "right"), []
         for k in range(len(ids)):
-            if used[k]:
+            if used[k] or ahead[k]:
                 continue
-            end = np.searchsorted(at, at[k] + seconds, "right")
-            near = v[k + 1 : end] @ v[k]
-            take = [k + 1 + j for j in np.flatnonzero((near >= cosine) & ~used[k + 1 : end]) if ids[k + 1 + j] not in barred[k]]
-            if take:
-                used[[k, *take]] = True
-                score = float(np.mean([v[k] @ v[j] for j in take]))
-                out += [(int(min(ids[[k, *take]])), int(ids[j]), score) for j in (k, *take)]
-        return pd.DataFrame(out, columns=["group_id", "asset_id", "similarity"])
-
-    out = alone.groupBy(by, "session").applyInPandas(stars, "group_id long, asset_id long, similarity double")
-    if few or wide.isEmpty():
-        return out
-    return out.union(spread_stars(s.join(wide, [by, "session"], "left_semi"), pairs, seconds, cosine, by))
+            near = v[k + 1 : ends[k]] @ v[k]
+            take = np.flatnonzero((near >= cosine) & ~used[k + 1 : ends[k]])
+            if k in barred:
+                take = take[[ids[k + 1 + j] not in barred[k] for j in take.tolist()]] if len(take) else take
+            if len(take):
+                own = np.concatenate([[k], k + 1 + take])
+                used[own] = True
+                found.append((ids[own], np.full(len(own), ids[own].min()), np.full(len(own), near[take].mean())))
+        of, group, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"group_id": group, "asset_id": of, "similarity": score})
+
+    return run
+
+
+def chunked_stars(items: DataFrame, cells: DataFrame, seconds: float, cosine: float, by: str, chunk: int) -> DataFrame:
+    """star_groups() of the sessions of cells (by, session, _cell, n), none with more than `chunk` items in a cell; items: by, session, _cell, asset_id, at, vector, blocked.
+
+    A session is cut between cells into chunks that follow each other: a task walks one and the cell after it, whose items it may take, and the next chunk is told which it took.
+    In a turn all sessions walk a chunk. No task sorts a session's cells: their running sums are those of 4,096 cells each, and of cells inside them.
+    """
+    spark, key = items.sparkSession, [by, "session"]
+    far = cells.withColumn("far", F.floor(F.col("_cell") / 4096).cast("long"))
+    upto = far.groupBy(*key, "far").agg(F.sum("n").alias("all")).withColumn("start", F.sum("all").over(Window.partitionBy(*key).orderBy("far")) - F.col("all"))
+    inside = F.sum("n").over(Window.partitionBy(*key, "far").orderBy("_cell")) - F.col("n")
+    turn = far.withColumn("inside", inside).join(upto, [*key, "far"]).select(*key, "_cell", F.floor((F.col("start") + F.col("inside")) / chunk).cast("int").alias("turn"))
+    turn = durable(turn)
+    before = turn.select(*key, (F.col("_cell") + 1).alias("_cell"), F.col("turn").alias("was"))
+    # A chunk's first cell is also walked with the chunk before.
+    turns = turn.join(before, [*key, "_cell"], "left").select(*key, "_cell", F.explode(F.when(F.col("was") < F.col("turn"), F.array("turn", "was")).otherwise(F.array("turn"))).alias("now"), "turn")
+    placed = items.join(turns, [*key, "_cell"]).select("asset_id", "at", "vector", "blocked", (F.col("now") < F.col("turn")).alias("ahead"), *key, F.col("now").alias("turn"))
+    path = new_folder(spark, "chunks")
+    placed.repartition("turn", *key).write.partitionBy("turn").parquet(path)
+    schema, out, last = placed.drop("turn").schema, None, None
+    for k in range(turn.agg(F.max("turn")).first()[0] + 1):
+        now = spark.read.schema(schema).parquet(f"{path}/turn={k}")
+        now = now.withColumn("used", F.lit(False)) if last is None else now.join(last.select("asset_id", F.lit(True).alias("used")), "asset_id", "left")
+        last = durable(now.select("asset_id", "at", "vector", "blocked", "ahead", "used", *key).groupBy(*key).applyInArrow(_walk(seconds, cosine), STARS))
+        out = last if out is None else out.union(last)
+    return out
 
 
 def spread_stars(items: DataFrame, barred: DataFrame, seconds: float, cosine: float, by: str) -> DataFrame:

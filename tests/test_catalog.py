@@ -225,6 +225,19 @@ def test_stars_of_large_sessions(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) > 30
 
 
+@pytest.mark.parametrize("cosine", [0.6, -1.0])
+def test_stars_of_a_long_session_in_chunks(spark, monkeypatch, cosine):
+    rng = np.random.default_rng(15)
+    rows = [(k, k % 2, float(round(rng.random() * 90, 1)), rng.normal(size=3).tolist()) for k in range(240)]
+    df = spark.createDataFrame(rows, "asset_id long, library_id long, at double, vector array<double>")
+    blocked = spark.createDataFrame([(k, k + 2) for k in range(0, 230, 5)] + [(7, None)], "asset_a long, asset_b long")
+    seen = lambda **o: sorted((r.group_id, r.asset_id, round(r.similarity, 9)) for r in duplicates.star_groups(df, blocked, 3.0, cosine, **o).collect())
+    whole = seen()
+    assert seen(large=0, chunk=0) == whole and len(whole) > 30
+    monkeypatch.setattr(duplicates, "spread_stars", None)  # its rounds follow the length of a session
+    assert seen(large=20, chunk=15) == seen(large=0, chunk=40) == whole
+
+
 # People
 
 
