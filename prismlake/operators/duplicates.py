@@ -6,6 +6,7 @@ them. Groups are (tier, group_id, asset_id, similarity); group_id is the least m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations, islice, pairwise
@@ -17,12 +18,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import media
-from ..plans.components import connected_components
+from ..plans.components import connected_components, hook_roots
 from ..plans.durable import drop_table, durable, new_folder, write_table
+from ..plans.tiles import block_pairs, packed
 
 TIERS = ("exact", "near", "burst", "similar")
 #: Below this many different hashes every pair is tried, with one side sent to all workers; above it parts are joined.
 NESTED_LOOP_ROWS = 20_000
+#: Where the best cut lets through more than this share of all pairs, comparing all of them block by block is cheaper than joining the candidates.
+WIDE = 0.01
+#: Hashes of a block; assets of a block, with their vectors.
+HASH_BLOCK, ASSET_BLOCK = 16_384, 32_768
 #: Up to so many timed items are sorted by the few tasks that libraries make.
 FEW_ROWS = 20_000
 
@@ -55,12 +61,37 @@ def hash_pairs(hashes: DataFrame, radius: int, col: str = "phash") -> DataFrame:
     if d.count() <= NESTED_LOOP_ROWS:
         near = left.alias("x").join(F.broadcast(right).alias("y"), F.expr("a < b") & (distance <= radius))
         return near.select("a", "b", distance.alias("distance"))
-    plan = hamming_parts(d, radius)
+    share, plan = _best_parts(d, radius)
+    if share > WIDE:
+        return block_pairs(packed(left, "a", HASH_BLOCK), _near_hashes(radius), "a long, b long, distance int")
     near = _probes(left, "a", plan, True).join(_probes(right, "b", plan, False), ["part", "value"])
     near = near.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
     return near.filter((F.col("a") < F.col("b")) & (F.col("distance") <= radius)).distinct()
 
 
+def _close(x: np.ndarray, y: np.ndarray, radius: int, same: bool, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in x, places in y, distances) of hashes within the radius, for some rows of x at a time; of one block each pair once."""
+    for at in range(0, len(x), rows):
+        past = at if same else 0
+        d = np.bitwise_count((x[at : at + rows, None] ^ y[None, past:]).view(np.uint64))
+        i, j = np.nonzero(d <= radius)
+        far, i, j = d[i, j].astype(np.int32), i + at, j + past
+        if same:
+            once = i < j
+            i, j, far = i[once], j[once], far[once]
+        if len(i):
+            yield i, j, far
+
+
+def _near_hashes(radius: int):
+    def run(rows: pa.Table, others: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        x, y = (t.column("a").to_numpy() for t in (rows, others))
+        for i, j, far in _close(x, y, radius, same):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j])), pa.array(far)], ["a", "b", "distance"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Part:
     """Bits [offset, offset + width) of a hash, and the errors looked for in them: the one side flips up to half of these (rounded up), the other the rest."""
@@ -129,7 +160,12 @@ def even_parts(radius: int, most: int = 500) -> list[Part]:
 
 
 def hamming_parts(hashes: DataFrame, radius: int, most: int = 500) -> list[Part]:
-    """How to cut 64-bit hashes (h) so that pairs within the radius meet: the cut with the fewest expected candidates among those with at most `most` probes a hash, both sides together.
+    """How to cut 64-bit hashes (h) so that pairs within the radius meet, as _best_parts() finds it."""
+    return _best_parts(hashes, radius, most)[1]
+
+
+def _best_parts(hashes: DataFrame, radius: int, most: int = 500) -> tuple[float, list[Part]]:
+    """The share of pairs that are candidates, and how to cut 64-bit hashes (h) so that pairs within the radius meet: the cut with the fewest expected candidates among those with at most `most` probes a hash, both sides together.
 
     The parts' frequencies are counted for the three coarsest cuts that the bound allows, so bits that many hashes share are probed with fewer errors or not at all.
     """
@@ -138,7 +174,7 @@ def hamming_parts(hashes: DataFrame, radius: int, most: int = 500) -> list[Part]
     often = hashes.select(F.explode(values).alias("v")).groupBy("v.cut", "v.offset", "v.value").agg(F.count(F.lit(1)).cast("double").alias("n"))
     same = {(r.cut, r.offset): r.same / max(r.all, 1.0) ** 2 for r in often.groupBy("cut", "offset").agg(F.sum(F.col("n") * F.col("n")).alias("same"), F.sum("n").alias("all")).collect()}  # a row a part
     plans = [_shared(c, [same.get((k, o), 0.0) for o, _ in c], radius, most) for k, c in enumerate(cuts)]
-    return min((p for p in plans if p), key=lambda p: p[0])[1]
+    return min((p for p in plans if p), key=lambda p: p[0])
 
 
 def _bits(h: Column, offset: int, width: int) -> Column:
@@ -163,6 +199,9 @@ def near_pairs(features: DataFrame, blocked: DataFrame, t: Thresholds) -> DataFr
     """
     # A hash computed on the way would be computed again in every join condition below.
     f = durable(features.filter("phash is not null"))
+    if _all_pairs(f, t):
+        rows = f.withColumn("n", F.lit(1.0)).withColumn("own", F.lit(True))
+        return block_pairs(packed(rows, "asset_id", ASSET_BLOCK), _looks(t), LOOKS).select("a", "b", "distance").join(_blocked(blocked), ["a", "b"], "left_anti")
     by_hash = hash_pairs(f, max(t.loose, t.near))
     same = f.select("phash").distinct().select(F.col("phash").alias("a"), F.col("phash").alias("b"), F.lit(0).alias("distance"))
     x, y = f.select([F.col(c).alias(f"x_{c}") for c in f.columns]), f.select([F.col(c).alias(f"y_{c}") for c in f.columns])
@@ -171,8 +210,83 @@ def near_pairs(features: DataFrame, blocked: DataFrame, t: Thresholds) -> DataFr
     cosine = media.dot(F.col("x_vector"), F.col("y_vector"))
     alike = ((F.col("distance") <= t.near) & (dh <= t.dhash)) | ((F.col("distance") <= t.loose) & (cosine >= t.near_cosine))
     pairs = j.filter(alike).select(F.least("x_asset_id", "y_asset_id").alias("a"), F.greatest("x_asset_id", "y_asset_id").alias("b"), "distance")
-    no = blocked.select(F.least("asset_a", "asset_b").alias("a"), F.greatest("asset_a", "asset_b").alias("b"))
-    return pairs.join(no, ["a", "b"], "left_anti")
+    return pairs.join(_blocked(blocked), ["a", "b"], "left_anti")
+
+
+def _blocked(blocked: DataFrame) -> DataFrame:
+    return blocked.select(F.least("asset_a", "asset_b").alias("a"), F.greatest("asset_a", "asset_b").alias("b"))
+
+
+def _all_pairs(f: DataFrame, t: Thresholds) -> bool:
+    """Whether near_pairs compares all assets with a hash block by block: so many hashes that a cut would let too many candidates through."""
+    d = durable(f.select(F.col("phash").alias("h")).distinct())
+    return d.count() > NESTED_LOOP_ROWS and _best_parts(d, max(t.loose, t.near))[0] > WIDE
+
+
+#: Links of pairs of blocks: a pair with its distance, its weight w and s = w (64 - distance); a link between assets that are already in one group of the two blocks has no row, and its weight is in a row without b.
+LOOKS = "a long, b long, distance int, w double, s double"
+
+
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one length, filled up with zeros, and their own lengths (-1 for null, or with a null inside)."""
+    column = column.combine_chunks()
+    n = column.value_lengths().fill_null(-1).to_numpy().astype(np.int64)
+    out, holes = np.zeros((len(n), max(int(n.max(initial=0)), 0)), order="F"), np.zeros((len(n), max(int(n.max(initial=0)), 0)), bool)
+    filled, flat = np.arange(out.shape[1])[None, :] < n[:, None], column.flatten()
+    out[filled], holes[filled] = flat.to_numpy(zero_copy_only=False), flat.is_null().to_numpy(zero_copy_only=False)
+    return out, np.where(holes.any(1), -1, n)
+
+
+def _looks(t: Thresholds):
+    """Links between rows (asset_id, phash, dhash, vector, n, own) of two blocks that look alike as near_pairs has it, with n copies each."""
+
+    def run(rows: pa.Table, others: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        def out(*columns: np.ndarray | None) -> pa.RecordBatch:
+            n = len(columns[0])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in LOOKS.split(", ")])
+
+        (x, u, v, size), (y, p, q, sizes) = ((r.column("asset_id").to_numpy(), r.column("phash").to_numpy(), *_vectors(r.column("vector"))) for r in (rows, others))
+        (n, own, dx), (m, there, dy) = ((r.column("n").to_numpy(), r.column("own").to_numpy(), r.column("dhash").combine_chunks()) for r in (rows, others))
+        (dx, known), (dy, knows) = ((d.fill_null(0).to_numpy(), d.is_valid().to_numpy(zero_copy_only=False)) for d in (dx, dy))
+        ids, first = (x, 0) if same else (np.concatenate([x, y]), len(x))
+        root, weight, score = np.arange(len(ids)), np.zeros(len(x)), np.zeros(len(x))
+        waiting, waits = [], 0
+
+        def hook() -> None:
+            if waiting:
+                hook_roots(root, *(np.concatenate(c) for c in zip(*waiting, strict=True)))
+                waiting.clear()
+
+        for i, j, far in _close(u, p, max(t.loose, t.near), same):
+            apart = np.where(known[i] & knows[j], np.bitwise_count((dx[i] ^ dy[j]).view(np.uint64)), 0)
+            alike = (far <= t.near) & (apart <= t.dhash)
+            more = np.flatnonzero(~alike & (far <= t.loose) & (size[i] == sizes[j]) & (size[i] >= 0))
+            k, l, cosine = i[more], j[more], np.zeros(len(more))
+            for d in range(min(v.shape[1], q.shape[1])):  # in the order in which SQL adds
+                cosine += v[k, d] * q[l, d]
+            alike[more] = ~(cosine < t.near_cosine)
+            i, j, far = i[alike], j[alike], far[alike]
+            w = n[i] * m[j]
+            s = w * (64 - far)
+            told = own[i] & there[j]
+            if told.any():
+                a, b = x[i[told]], y[j[told]]
+                yield out(np.minimum(a, b), np.maximum(a, b), far[told], w[told], s[told])
+            i, j = i[~told], j[~told]
+            weight += np.bincount(i, w[~told], len(x))
+            score += np.bincount(i, s[~told], len(x))
+            waiting.append((i, first + j))
+            waits += len(i)
+            if waits > 1 << 20:
+                hook()
+                waits = 0
+        hook()
+        member, heavy = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(weight)
+        yield out(ids[root[member]], ids[member], None, np.zeros(len(member)), np.zeros(len(member)))
+        yield out(x[heavy], None, None, weight[heavy], score[heavy])
+
+    return run
 
 
 def near_groups(features: DataFrame, blocked: DataFrame, t: Thresholds) -> DataFrame:
@@ -185,14 +299,21 @@ def near_groups(features: DataFrame, blocked: DataFrame, t: Thresholds) -> DataF
     named = blocked.select(F.explode(F.array("asset_a", "asset_b")).alias("asset_id")).filter("asset_id is not null").distinct().withColumn("own", F.lit(True))
     marked = f.join(named, "asset_id", "left").withColumn("own", F.when(F.col("own"), F.col("asset_id")))
     keyed = marked.withColumn("look", F.xxhash64("phash", "dhash", "vector", "own"))
-    classes = durable(keyed.groupBy("look", "phash", "dhash", "vector").agg(F.min("asset_id").alias("rep"), F.count(F.lit(1)).cast("double").alias("n")))
-    pairs = durable(near_pairs(classes.select(F.col("rep").alias("asset_id"), "phash", "dhash", "vector"), blocked, t))
-    weight = classes.select("rep", "n")
-    of = connected_components(pairs)
-    copies = classes.filter("n > 1").select("rep", (F.col("n") * (F.col("n") - 1) / 2).alias("w"), F.lit(0).alias("distance"))
-    scored = pairs.join(weight.toDF("a", "na"), "a").join(weight.toDF("b", "nb"), "b").select(F.col("a").alias("rep"), (F.col("na") * F.col("nb")).alias("w"), "distance").union(copies)
-    part = scored.join(of.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    score = part.groupBy("component").agg((F.sum(F.col("w") * (1 - F.col("distance") / 64)) / F.sum("w")).alias("similarity"))
+    classes = durable(keyed.groupBy("look", "phash", "dhash", "vector", F.col("own").isNotNull().alias("own")).agg(F.min("asset_id").alias("rep"), F.count(F.lit(1)).cast("double").alias("n")))
+    rows = classes.select(F.col("rep").alias("asset_id"), "phash", "dhash", "vector", "n", "own")
+    if _all_pairs(rows, t):
+        found = durable(block_pairs(packed(rows, "asset_id", ASSET_BLOCK), _looks(t), LOOKS))
+        told = found.filter("distance is not null").join(_blocked(blocked), ["a", "b"], "left_anti")
+        of = connected_components(told.select("a", "b").union(found.filter("distance is null and b is not null").select("a", "b")))
+        scored = told.select(F.col("a").alias("rep"), "w", "s").union(found.filter("b is null").select("a", "w", "s"))
+    else:
+        pairs, weight = durable(near_pairs(rows.drop("n", "own"), blocked, t)), classes.select("rep", "n")
+        of = connected_components(pairs)
+        w = F.col("na") * F.col("nb")
+        scored = pairs.join(weight.toDF("a", "na"), "a").join(weight.toDF("b", "nb"), "b").select(F.col("a").alias("rep"), w.alias("w"), (w * (64 - F.col("distance"))).alias("s"))
+    copies = classes.filter("n > 1").select("rep", (F.col("n") * (F.col("n") - 1) / 2).alias("w"), (F.col("n") * (F.col("n") - 1) * 32).alias("s"))
+    part = scored.union(copies).join(of.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    score = part.groupBy("component").agg((F.sum("s") / 64 / F.sum("w")).alias("similarity"))
     member = keyed.join(classes.select("look", "phash", "rep"), ["look", "phash"]).join(of.toDF("rep", "component"), "rep", "left").select(F.coalesce("component", "rep").alias("component"), "asset_id")
     found = member.join(score, "component")
     least = found.groupBy("component").agg(F.min("asset_id").alias("group_id"))

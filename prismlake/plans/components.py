@@ -33,6 +33,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("hi > lo").distinct()
 
 
+def hook_roots(root: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> None:
+    """Join the trees of edges between places; each place's root is the least place of its tree."""
+    while (root[hi] != root[lo]).any():
+        x, y = root[hi], root[lo]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The components of all edges of one task, by hooking roots to the least neighbour and halving paths."""
     parts = [np.stack([b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)]) for b in batches if b.num_rows]
@@ -41,11 +50,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, place = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
     hi, lo = place.reshape(2, -1)
     root = np.arange(len(ids))
-    while (root[hi] != root[lo]).any():
-        x, y = root[hi], root[lo]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while (root[root] != root).any():
-            root = root[root]
+    hook_roots(root, hi, lo)
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "component"])
 
 

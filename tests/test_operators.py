@@ -178,6 +178,43 @@ def test_hash_pairs_are_exact_at_wide_radii(spark, monkeypatch, radius, stuck):
     assert sum(p.errors + 1 for p in plan) > radius, "some part of any pair within the radius has no more than its errors"
 
 
+def slow_near(rows, blocked, th):
+    dot = lambda v, w: sum(a * b for a, b in zip(v, w, strict=True)) if v and w and len(v) == len(w) else -1
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    for k, (a, p, d, v) in enumerate(rows):
+        for b, q, e, w in rows[k + 1 :]:
+            far, dh = apart(p, q), 0 if d is None or e is None else apart(d, e)
+            if not {(a, b), (b, a)} & blocked and ((far <= th.near and dh <= th.dhash) or (far <= th.loose and dot(v, w) >= th.near_cosine)):
+                yield min(a, b), max(a, b), far
+
+
+def test_near_pairs_and_groups_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "hash_pairs", None)  # no pair of hashes is joined to the assets
+    monkeypatch.setattr(duplicates, "NESTED_LOOP_ROWS", 0)
+    monkeypatch.setattr(duplicates, "ASSET_BLOCK", 60)
+    rng, th = np.random.default_rng(5), duplicates.Thresholds(near=14, loose=19, dhash=30, near_cosine=0.3)
+    rows = [(9 * k % 331, h, None if k % 9 == 0 else int(rng.integers(0, 1 << 62)), None if k % 11 == 0 else rng.normal(size=4 - (k % 7 == 0)).tolist()) for k, h in enumerate(near_hashes(3, 160))]
+    rows += [(1000 + a, *x) for a, *x in rows[::4]] + [(2000 + a, *x) for a, *x in rows[::8]]
+    pairs = list(slow_near(rows, set(), th))
+    blocked = {(a, b) for a, b, _ in pairs[::5]}
+    df = spark.createDataFrame(rows + [(5000, None, None, None)], "asset_id long, phash long, dhash long, vector array<double>")
+    no = spark.createDataFrame(sorted(blocked), "asset_a long, asset_b long")
+    want = sorted(slow_near(rows, blocked, th))
+    assert sorted(tuple(r) for r in duplicates.near_pairs(df, no, th).collect()) == want and len(want) > 100
+    for some in (blocked, {pairs[0][:2], pairs[7][:2]}):
+        want = list(slow_near(rows, some, th))
+        of = {a: a for a, *_ in rows}
+        for _ in rows:
+            for a, b, _ in want:
+                of[a] = of[b] = min(of[a], of[b])
+        scores = {}
+        for a, _, far in want:
+            scores.setdefault(of[a], []).append(1 - far / 64)
+        seen = {a for p in want for a in p[:2]}
+        got = {r.asset_id: (r.group_id, round(r.similarity, 9)) for r in duplicates.near_groups(df, spark.createDataFrame(sorted(some), "asset_a long, asset_b long"), th).collect()}
+        assert got == {a: (of[a], round(sum(scores[of[a]]) / len(scores[of[a]]), 9)) for a in seen}
+
+
 def test_bits_that_all_hashes_share_are_not_probed():
     share, parts = duplicates._shared(duplicates._split(5), [1.0, 2.0**-9, 2.0**-13, 2.0**-13, 2.0**-13], 12, 500)
     assert share < 0.2 and all(p.offset for p in parts) and sum(p.errors + 1 for p in parts) > 12
