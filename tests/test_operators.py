@@ -215,6 +215,22 @@ def test_near_pairs_and_groups_block_by_block(spark, monkeypatch):
         assert got == {a: (of[a], round(sum(scores[of[a]]) / len(scores[of[a]]), 9)) for a in seen}
 
 
+def test_hash_rows_come_as_often_as_assets_have_them(spark, tmp_path):
+    from prismlake.plans.catalog_queries import QUERIES
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(40, 64)).round(3)
+    rows = [(k, x.tolist()) for k, x in enumerate([*v, *(2 * v), *(3 * v[:9]), *(v + rng.normal(size=v.shape).round(3) / 8)])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["join_hamming_range"](spark, str(tmp_path)).collect())
+    x = np.array([x for _, x in rows], np.float32).astype(float)
+    s = np.sort(x)
+    bits = [int("".join("01"[int(b)] for b in row), 2) for row in x > ((s[:, 31] + s[:, 32]) / 2)[:, None]]
+    signed = [b - (1 << 64) if b >> 63 else b for b in bits]
+    want = sorted((a, b, ((a ^ b) & (1 << 64) - 1).bit_count()) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 18)
+    assert got == want and len(want) > len(set(want))
+
+
 def test_bits_that_all_hashes_share_are_not_probed():
     share, parts = duplicates._shared(duplicates._split(5), [1.0, 2.0**-9, 2.0**-13, 2.0**-13, 2.0**-13], 12, 500)
     assert share < 0.2 and all(p.offset for p in parts) and sum(p.errors + 1 for p in parts) > 12
