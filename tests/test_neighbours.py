@@ -97,3 +97,15 @@ def test_lists_of_another_length_are_made_anew(spark):
     wrong = spark.createDataFrame([(0, 99, 1.0, 1)], "face_id long, neighbor long, similarity double, rank int")
     nobody = spark.createDataFrame([], "face_id long")
     alike(lists(neighbours.nearest_added(wrong, frame(spark, rows), nobody, nobody, 2, 0.1, made_for=5)), slow(rows, 2, 0.1))
+
+
+def test_products_of_blocks_are_read_and_not_shuffled(spark, small_blocks):
+    rows = clustered(7, 300, 9, 3.0)
+    df = frame(spark, rows)
+    pivots = neighbours.choose_pivots(df, 300)
+    blocks = neighbours.blocks_of(df, pivots)
+    found = neighbours._multiplied(neighbours.bounded_pairs(blocks, blocks, pivots), blocks, blocks, 5, 0.1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan
+    alike(lists(neighbours.top_k(found, 5)), slow(rows, 5, 0.1))
+    assert blocks.count() > 4 and found.count() <= 300 * 5, "a row has k for each range of blocks, not for each block"
