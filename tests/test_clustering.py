@@ -63,6 +63,18 @@ def frames(spark, edges, told, persons):
     return (spark.createDataFrame(edges, "a long, b long, weight double"), spark.createDataFrame(told, "a long, b long"), spark.createDataFrame(persons, "root long, person_id long"))
 
 
+def test_a_component_above_a_hundred_thousand_edges_needs_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(people, "_whispers_spread", None)  # each of its rounds is several jobs, and a sweep takes many
+    ids = np.arange(-5, 40)
+    assert people.draws(ids, 0x5EED, 3).tolist() == [people.draw(k, 0x5EED, 3) for k in ids.tolist()]
+    edges = spark.range(30_000).selectExpr("id", "explode(sequence(1, 4)) k").selectExpr("id a", "(id + k * k) % 30000 b", "1D + id % 7 weight")
+    edges = edges.selectExpr("least(a, b) a", "greatest(a, b) b", "weight")
+    persons = spark.createDataFrame([(5, 1), (900, 2), (904, 3)], "root long, person_id long")
+    told = spark.createDataFrame([(10, 14)], "a long, b long")
+    got = {r.root: r.label for r in people.whispers(edges, told, persons).collect()}
+    assert len(got) == 30_000 and got[10] != got[14] and len({got[5], got[900], got[904]}) == 3
+
+
 @pytest.mark.parametrize("seed,n,m,small,rounds", [(1, 60, 110, 10**6, 40), (2, 60, 80, 100, 40), (3, 18, 26, 1, 2)])
 def test_whispers_do_not_depend_on_size(spark, few_partitions, seed, n, m, small, rounds):
     graph = random_graph(seed, n, m)
