@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from prismlake.operators import neighbours
+from prismlake.operators import neighbours, people
 
 SCHEMA = "face_id long, vector array<double>"
 
@@ -109,3 +111,14 @@ def test_products_of_blocks_are_read_and_not_shuffled(spark, small_blocks):
     assert "CartesianProduct" in plan and "SortMergeJoin" not in plan
     alike(lists(neighbours.top_k(found, 5)), slow(rows, 5, 0.1))
     assert blocks.count() > 4 and found.count() <= 300 * 5, "a row has k for each range of blocks, not for each block"
+
+
+@pytest.mark.parametrize("scale", [1.0, 9.0])
+def test_pair_scores_count_every_pair_once(spark, scale):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), None if k % 10 == 0 else int(k % 3), (scale * rng.normal(size=4) / 4).tolist()) for k in range(90)]
+    found = people.pair_scores(spark.createDataFrame(rows, "face_id long, label int, vector array<double>"), 16)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sum(r.k for r in found.collect()), {(r.same, round(r.similarity, 6)): r.k for r in found.collect()}
+    want = Counter((u == s, round(float(np.rint(np.dot(v, w) * 1e6)) / 1e6, 6)) for a, u, v in rows for b, s, w in rows if a < b)
+    assert got == (90 * 89 // 2, dict(want))
