@@ -61,9 +61,9 @@ def hash_pairs(hashes: DataFrame, radius: int, col: str = "phash") -> DataFrame:
     if d.count() <= NESTED_LOOP_ROWS:
         near = left.alias("x").join(F.broadcast(right).alias("y"), F.expr("a < b") & (distance <= radius))
         return near.select("a", "b", distance.alias("distance"))
-    share, plan = _best_parts(d, radius)
+    share, plan = best_parts(d, radius)
     if share > WIDE:
-        return block_pairs(packed(left, "a", HASH_BLOCK), _near_hashes(radius), "a long, b long, distance int")
+        return block_pairs(packed(left, "a", HASH_BLOCK), near_hashes(radius), "a long, b long, distance int")
     near = _probes(left, "a", plan, True).join(_probes(right, "b", plan, False), ["part", "value"])
     near = near.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
     return near.filter((F.col("a") < F.col("b")) & (F.col("distance") <= radius)).distinct()
@@ -83,7 +83,9 @@ def _close(x: np.ndarray, y: np.ndarray, radius: int, same: bool, rows: int = 64
             yield i, j, far
 
 
-def _near_hashes(radius: int):
+def near_hashes(radius: int):
+    """Different hashes (a) of two blocks within the radius, each pair once with a < b."""
+
     def run(rows: pa.Table, others: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
         x, y = (t.column("a").to_numpy() for t in (rows, others))
         for i, j, far in _close(x, y, radius, same):
@@ -160,11 +162,11 @@ def even_parts(radius: int, most: int = 500) -> list[Part]:
 
 
 def hamming_parts(hashes: DataFrame, radius: int, most: int = 500) -> list[Part]:
-    """How to cut 64-bit hashes (h) so that pairs within the radius meet, as _best_parts() finds it."""
-    return _best_parts(hashes, radius, most)[1]
+    """How to cut 64-bit hashes (h) so that pairs within the radius meet, as best_parts() finds it."""
+    return best_parts(hashes, radius, most)[1]
 
 
-def _best_parts(hashes: DataFrame, radius: int, most: int = 500) -> tuple[float, list[Part]]:
+def best_parts(hashes: DataFrame, radius: int, most: int = 500) -> tuple[float, list[Part]]:
     """The share of pairs that are candidates, and how to cut 64-bit hashes (h) so that pairs within the radius meet: the cut with the fewest expected candidates among those with at most `most` probes a hash, both sides together.
 
     The parts' frequencies are counted for the three coarsest cuts that the bound allows, so bits that many hashes share are probed with fewer errors or not at all.
@@ -220,7 +222,7 @@ def _blocked(blocked: DataFrame) -> DataFrame:
 def _all_pairs(f: DataFrame, t: Thresholds) -> bool:
     """Whether near_pairs compares all assets with a hash block by block: so many hashes that a cut would let too many candidates through."""
     d = durable(f.select(F.col("phash").alias("h")).distinct())
-    return d.count() > NESTED_LOOP_ROWS and _best_parts(d, max(t.loose, t.near))[0] > WIDE
+    return d.count() > NESTED_LOOP_ROWS and best_parts(d, max(t.loose, t.near))[0] > WIDE
 
 
 #: Links of pairs of blocks: a pair with its distance, its weight w and s = w (64 - distance); a link between assets that are already in one group of the two blocks has no row, and its weight is in a row without b.

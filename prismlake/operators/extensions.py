@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
-from .duplicates import Part, even_parts
+from ..plans.tiles import table_of
+from .duplicates import Part, even_parts, near_hashes
 
 
 _PROBE = StructType().add("part", IntegerType()).add("value", LongType())
@@ -59,6 +60,23 @@ def hash_probes(parts: Mapping[int, list[Part]] | None = None):
     return F.udtf(HashProbes, returnType=_PROBE, useArrow=True)
 
 
+_NEAR = StructType().add("a", LongType()).add("b", LongType()).add("distance", IntegerType())
+
+
+class HashBlockPairs:
+    """The table function hash_block_pairs(x binary, y binary, same boolean, radius int) -> (a bigint, b bigint, distance int).
+
+    Different hashes within the radius of two blocks (column a, as tiles.packed() makes them), a < b; same: both are one block. For radii at which a cut of the hashes lets so many
+    candidates through that the join on hash_probes is dearer than comparing all pairs (duplicates.WIDE).
+    """
+
+    def eval(self, x: bytes, y: bytes, same: bool, radius: int) -> Iterator[tuple[int, int, int]]:
+        if x is None or y is None or same is None or radius is None:
+            return
+        for batch in near_hashes(radius)(table_of(x), table_of(y), same):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
 def _vector_sum(vector: pa.Array, weight: pa.Array) -> pa.Scalar:
     """Sum of weight * vector over a group, null where no row has both; vectors of different lengths are an error."""
     keep = pc.and_(pc.is_valid(vector), pc.is_valid(weight))
@@ -76,8 +94,9 @@ vector_sum = F.arrow_udf(_vector_sum, ArrayType(DoubleType()))
 
 
 def register(spark: SparkSession, parts: Mapping[int, list[Part]] | None = None) -> None:
-    """hash_probes and vector_sum(vector, weight) for the session's SQL."""
+    """hash_probes, hash_block_pairs and vector_sum(vector, weight) for the session's SQL."""
     spark.udtf.register("hash_probes", hash_probes(parts))
+    spark.udtf.register("hash_block_pairs", F.udtf(HashBlockPairs, returnType=_NEAR, useArrow=True))
     spark.udf.register("vector_sum", vector_sum)
 
 

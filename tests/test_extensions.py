@@ -74,3 +74,18 @@ def test_vector_sum_in_sql(spark):
     r = spark.sql("SELECT vector_sum(array(CAST(id AS DOUBLE), 1D), 2D) AS s FROM range(5)").first()
     assert r.s == [20.0, 10.0]
     assert spark.range(3).select(F.array(F.lit(None).cast("double")).alias("v"), F.lit(1.0).alias("w")).agg(extensions.vector_sum("v", "w").alias("s")).first().s is not None
+
+
+def test_sql_radius_compares_blocks_above_a_number_of_hashes(spark, tmp_path, monkeypatch):
+    from prismlake.plans.catalog_queries import QUERIES
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(50, 64))
+    rows = [(k, x.tolist()) for k, x in enumerate(np.concatenate([v, 2 * v, v + rng.normal(size=v.shape) / 6]).round(3))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = sorted(tuple(r) for r in QUERIES["sql_radius"](spark, str(tmp_path)).collect())
+    monkeypatch.setattr(duplicates, "NESTED_LOOP_ROWS", 0)
+    monkeypatch.setattr(duplicates, "HASH_BLOCK", 20)
+    found = QUERIES["sql_radius"](spark, str(tmp_path))
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 20
