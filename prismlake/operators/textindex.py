@@ -16,11 +16,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import drop_table, write_file
+from ..plans.durable import drop_table, size_in_bytes, write_file
 
+#: Tombstones of more bytes are hashed by asset on both sides; Spark may send fewer to all workers.
+BROADCAST = 8 << 20
 POSTINGS, TOMBS, TERMS = "token string, asset_id long", "asset_id long", "token string, n long"
 
 
+def ranged(postings: DataFrame, n: int) -> DataFrame:
+    """Different postings (token, asset_id), sorted in n ranges; equal ones meet in a range, so one shuffle is enough."""
+    return postings.repartitionByRange(n, "token", "asset_id").distinct().sortWithinPartitions("token", "asset_id")
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """One version of an index. segments: (name, has postings), oldest first."""
@@ -54,6 +61,8 @@ class TextIndex:
         if where is not None:
             found = found.filter(where)
         dead = self._table("tombstones", TOMBS, self.segments[1:]).groupBy("asset_id").agg(F.max("segment").alias("until"))
+        if size_in_bytes(dead) > BROADCAST:
+            dead = dead.hint("shuffle_hash")  # spares a sort of all postings
         alive = found.join(dead, "asset_id", "left").filter(F.col("until").isNull() | (F.col("segment") >= F.col("until")))
         return alive.select("token", "asset_id")
 
@@ -77,7 +86,7 @@ class TextIndex:
 
     def add(self, tokens: DataFrame, changed: DataFrame | None = None) -> TextIndex:
         """With the postings tokens (asset_id, token) in place of all that their assets had; changed: assets (asset_id) that now may have none."""
-        new = tokens.select("token", F.col("asset_id").cast("long").alias("asset_id")).filter("token is not null and asset_id is not null").distinct()
+        new = tokens.select("token", F.col("asset_id").cast("long").alias("asset_id")).filter("token is not null and asset_id is not null")
         name = f"segment-{uuid.uuid4().hex}"
         self._write(name, new)
         ids = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{name}/postings").select("asset_id")
@@ -107,7 +116,7 @@ class TextIndex:
     def _write(self, name: str, postings: DataFrame) -> None:
         # A frequent token's postings are ranges of assets, so none is in one task alone.
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        postings.repartitionByRange(n, "token", "asset_id").sortWithinPartitions("token", "asset_id").write.parquet(f"{self.path}/{name}/postings")
+        ranged(postings, n).write.parquet(f"{self.path}/{name}/postings")
         written = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{name}/postings")
         written.groupBy("token").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{name}/terms")
 

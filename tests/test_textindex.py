@@ -67,3 +67,18 @@ def test_a_prefix_reads_a_range(spark):
     files.sort()
     assert len(files) > 1 and all(x.b <= y.a for x, y in zip(files[:-1], files[1:], strict=True))
     assert index.prefix("t0000").count() == 10
+
+
+def test_postings_are_shuffled_once_and_not_sorted_by_asset(spark, tmp_path, monkeypatch):
+    from prismlake.operators import textindex
+
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("a", 1), ("a", 2), ("c", 3)], "token string, asset_id long")
+    sorted_ = textindex.ranged(rows, 3)
+    got = [tuple(r) for r in sorted_.collect()]
+    assert got == [("a", 1), ("a", 2), ("b", 1), ("c", 3)]
+    assert sorted_._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    monkeypatch.setattr(textindex, "BROADCAST", -1)
+    index = textindex.TextIndex.open(spark, str(tmp_path / "index")).add(rows).add(rows.filter("asset_id = 1 and token = 'b'"))
+    alive = index.postings()
+    assert sorted(tuple(r) for r in alive.collect()) == [("a", 2), ("b", 1), ("c", 3)]
+    assert "SortMergeJoin" not in alive._jdf.queryExecution().executedPlan().toString()
