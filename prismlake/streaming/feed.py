@@ -3,7 +3,7 @@
 Changes (key, seq, op, ..) come as Parquet files in any order, repeated or late; op is upsert or delete, and of a key's changes the one
 with the largest seq counts, a delete before an upsert of the same seq. Changes without a key or a seq say nothing and are left out.
 
-The stream's state holds a seq for each living key, and for each deleted one during `keep_seconds`. What it lets through goes to a log
+The stream's state holds a seq for each living key, and for each deleted one during `keep_seconds`, by buckets of keys. What it lets through goes to a log
 (gen, batch, ..) under the feed's folder; a batch that is run again replaces itself. A source that keeps no change older than `first`
 has lost some for a feed that has come no further than first - 2: then, and where a change is so late that the tombstone that might
 forbid it may be forgotten, apply() returns False and a reconcile with a full snapshot starts the next generation.
@@ -21,38 +21,60 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, LongType, StringType, StructType, TimestampType
 
 from ..plans.durable import drop_table, make_folder, names_in
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_SEQ = StructType().add("seq", LongType())
+_LIVE = StructType().add("names", ArrayType(StringType())).add("seqs", ArrayType(LongType()))
+_GONE = StructType([*_LIVE.fields]).add("since", ArrayType(LongType()))
+# Never changes while a feed lives: its state lies in these buckets.
+_BUCKETS = 1 << 12
+_NAME, _BUCKET = "__name", "__bucket"
 DELETE, UPSERT, LATE = "delete", "upsert", "late"
 
 
 class Newest(StatefulProcessor):
-    """Lets a change through if it is newer than all that its key had; one of a key without state that is not above `horizon` is marked late."""
+    """Lets a change through if it is newer than all that its key had; one of a key without state that is not above `horizon` is marked late.
+
+    A group is a bucket of keys, since a call of the state and a group's own Arrow batch cost as much as hundreds of rows.
+    """
 
     def __init__(self, keep_ms: int, horizon: int):
         self.keep_ms, self.horizon = keep_ms, horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getValueState("live", _SEQ)
-        self.gone = handle.getValueState("gone", _SEQ, self.keep_ms)
+        self.live = handle.getValueState("live", _LIVE)
+        # Each tombstone has its own time; one of a bucket that no change touches goes with the last of its bucket.
+        self.gone = handle.getValueState("gone", _GONE, self.keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        best = max(rows, key=lambda r: (r.seq, r.op == DELETE))
-        known = self.live.get() or self.gone.get()
-        if known is None and best.seq <= self.horizon:
-            yield Row(**{**best.asDict(), "op": LATE})
-        elif known is None or best.seq > known[0]:
-            if best.op == DELETE:
-                self.live.clear()
-                self.gone.update((best.seq,))
-            else:
-                self.gone.clear()
-                self.live.update((best.seq,))
-            yield best
+        best: dict[str, Row] = {}
+        for r in rows:
+            b = best.get(name := r[_NAME])
+            if b is None or (r.seq, r.op == DELETE) > (b.seq, b.op == DELETE):
+                best[name] = r
+        now = timerValues.getCurrentProcessingTimeInMs()
+        live = dict(zip(*(self.live.get() or ((), ())), strict=True))
+        gone = {n: (seq, at) for n, seq, at in zip(*(self.gone.get() or ((), (), ())), strict=True) if now < at + self.keep_ms}
+        out, live_new, gone_new = [], False, False
+        for name, r in best.items():
+            known = live[name] if name in live else gone.get(name, (None,))[0]
+            if known is None and r.seq <= self.horizon:
+                out.append(Row(**{**r.asDict(), "op": LATE}))
+            elif known is None or r.seq > known:
+                if r.op == DELETE:
+                    live_new |= live.pop(name, None) is not None
+                    gone[name], gone_new = (r.seq, now), True
+                else:
+                    gone_new |= gone.pop(name, None) is not None
+                    live[name], live_new = r.seq, True
+                out.append(r)
+        if live_new:
+            self.live.update((list(live), list(live.values()))) if live else self.live.clear()
+        if gone_new:
+            self.gone.update((list(gone), *map(list, zip(*gone.values(), strict=True)))) if gone else self.gone.clear()
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -73,6 +95,16 @@ def _reduced(key: str):
     return run
 
 
+def _name(key: str, kind: DataType) -> Column:
+    """A string that two keys share only if they are the same."""
+    k = F.col(key)
+    if isinstance(kind, BinaryType):
+        return F.hex(k)
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(k).cast("string")
+    return (k + F.lit(0.0).cast(kind) if isinstance(kind, (FloatType, DoubleType)) else k).cast("string")
+
+
 class ChangeFeed:
     """The feed whose log and state lie under `folder`. payload: the columns beside key, seq and op, named otherwise than these, gen and batch."""
 
@@ -147,7 +179,8 @@ class ChangeFeed:
         own.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
         changes = own.readStream.schema(self.schema).option("recursiveFileLookup", True).parquet(source)
         changes = changes.filter(F.col(self.key).isNotNull() & (F.col("seq") > floor)).mapInArrow(_reduced(self.key), self.schema)
-        through = changes.groupBy(self.key).transformWithState(Newest(self.keep_ms, horizon), self.schema, "Update", "ProcessingTime")
+        changes = changes.withColumn(_NAME, _name(self.key, self.schema[self.key].dataType)).withColumn(_BUCKET, F.pmod(F.xxhash64(_NAME), F.lit(_BUCKETS)).cast("int"))
+        through = changes.groupBy(_BUCKET).transformWithState(Newest(self.keep_ms, horizon), self.schema, "Update", "ProcessingTime")
         path = f"{self.folder}/log/gen={generation}"
         # One batch a run: with processing time, which forgets tombstones, a run over what is available would go on without data.
         stream = through.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import random
 import time
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import types as T
 from pyspark.sql.types import LongType, StructType
 
-from prismlake.streaming.feed import ChangeFeed
+from prismlake.streaming.feed import ChangeFeed, Newest
 
 PAYLOAD = StructType().add("value", LongType())
 SCHEMA = "id string, seq long, op string, value long"
@@ -108,3 +113,62 @@ def test_empty_source(spark, tmp_path):
     source, feed = Source(spark, tmp_path / "in"), ChangeFeed(spark, str(tmp_path / "feed"), "id", PAYLOAD)
     source.put([])
     assert feed.apply(source.path) is True and table(feed) == {}
+
+
+class Kept:
+    """A state variable that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.update(None)
+
+
+def test_state_is_called_once_a_bucket_not_once_a_key():
+    kept = {"live": Kept(), "gone": Kept()}
+    newest = Newest(1000, -1)
+    newest.init(SimpleNamespace(getValueState=lambda name, schema, ttl=None: kept[name]))
+
+    def run(now, *changes):
+        rows = [Row(id=k, seq=s, op=op, __name=k) for k, s, op in changes]
+        return {(r.id, r.seq, r.op) for r in newest.handleInputRows((1,), iter(rows), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now))}
+
+    many = [(f"k{i}", i % 3, "upsert") for i in range(3000)]
+    assert run(0, *many, *[(k, 0, "upsert") for k, _, _ in many]) == set(many)
+    assert sum(k.calls for k in kept.values()) <= 4
+    assert run(5, ("k1", 5, "delete"), ("k2", 2, "delete"), ("k4", 9, "delete")) == {("k1", 5, "delete"), ("k4", 9, "delete")}
+    assert run(900, ("k1", 4, "upsert"), ("k4", 10, "upsert"), ("k7", 6, "delete")) == {("k4", 10, "upsert"), ("k7", 6, "delete")}
+    # Tombstones go one by one: that of k1 has been forgotten, that of k7 in the same bucket has not.
+    assert run(1005, ("k1", 3, "upsert"), ("k7", 5, "upsert")) == {("k1", 3, "upsert")}
+    newest.horizon = 7
+    assert run(1900, ("k7", 6, "upsert")) == {("k7", 6, "late")}
+
+
+@pytest.mark.parametrize(
+    "kind, make",
+    [
+        (T.LongType(), lambda i: i - 300), (T.BinaryType(), lambda i: bytes([255 - i % 256, i // 256])), (T.DecimalType(20, 3), lambda i: decimal.Decimal(i) / 8),
+        (T.TimestampType(), lambda i: datetime.datetime(2026, 10, 25, tzinfo=datetime.UTC) + datetime.timedelta(minutes=i)), (T.DateType(), lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i)),
+        (T.DoubleType(), lambda i: float("nan") if i == 7 else -0.0 if i == 0 else i / 7),
+    ],
+)
+def test_keys_of_any_type(spark, tmp_path, kind, make):
+    """What a second run lets through shows that it met each key's state of the first, where buckets hold several keys or none."""
+    schema = StructType().add("id", kind).add("seq", LongType()).add("op", "string").add("value", LongType())
+    feed, n = ChangeFeed(spark, str(tmp_path / "feed"), "id", PAYLOAD, key_type=kind), 600
+    spark.createDataFrame([(make(i), 2, "upsert", (1 << 60) + i if i % 2 else None) for i in range(n)], schema).write.parquet(str(tmp_path / "in/0"))
+    assert feed.apply(str(tmp_path / "in"))
+    second = [(0.0 if make(i) == 0 and kind == T.DoubleType() else make(i), 1 + i % 3, "delete" if i % 2 else "upsert", -i) for i in range(n)]
+    spark.createDataFrame(second, schema).write.parquet(str(tmp_path / "in/1"))
+    assert feed.apply(str(tmp_path / "in"))
+    assert feed.log().count() == n + n // 3
+    got = sorted((r.seq, r.value if r.value is not None else 0) for r in feed.table().collect())
+    assert got == sorted((3, -i) if i % 3 == 2 else (2, (1 << 60) + i if i % 2 else 0) for i in range(n) if i % 3 != 2 or i % 2 == 0)
