@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -47,11 +49,19 @@ def dhash(raster: np.ndarray) -> int:
     return _signed((a[:, :-1] < a[:, 1:]).ravel())
 
 
+def _laplacian_variances(a: np.ndarray) -> np.ndarray:
+    """Of each raster of a stack."""
+    if min(a.shape[-2:]) < 3:
+        return np.zeros(a.shape[:-2])
+    lap = a[..., :-2, 1:-1] + a[..., 2:, 1:-1]
+    lap += a[..., 1:-1, :-2]
+    lap += a[..., 1:-1, 2:]
+    lap -= 4 * a[..., 1:-1, 1:-1]
+    return lap.var((-2, -1))
+
+
 def laplacian_variance(a: np.ndarray) -> float:
-    if min(a.shape) < 3:
-        return 0.0
-    lap = a[:-2, 1:-1] + a[2:, 1:-1] + a[1:-1, :-2] + a[1:-1, 2:] - 4 * a[1:-1, 1:-1]
-    return float(lap.var())
+    return float(_laplacian_variances(a))
 
 
 def noise_sigma(a: np.ndarray) -> float:
@@ -62,8 +72,13 @@ def noise_sigma(a: np.ndarray) -> float:
     return float(np.abs(m).sum() * np.sqrt(np.pi / 2) / (6 * m.size))
 
 
+def _numbers(pixels: np.ndarray | str) -> np.ndarray:
+    """Pixels as an array of numbers, or as a text whose code points they are."""
+    return np.frombuffer(pixels.encode("utf-32-le"), "<u4").astype(float) if isinstance(pixels, str) else np.asarray(pixels, float)
+
+
 def _each(f, width: pd.Series, height: pd.Series, pixels: pd.Series) -> list:
-    return [f(np.asarray(p, float).reshape(h, w)) for w, h, p in zip(width, height, pixels, strict=True)]
+    return [f(_numbers(p).reshape(h, w)) for w, h, p in zip(width, height, pixels, strict=True)]
 
 
 @F.pandas_udf(T.LongType())
@@ -85,8 +100,21 @@ def quality_udf(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.Da
 # Enlarging
 
 TAPS = 3
+TILE = 64
+STACK_PIXELS = 1 << 16
+
+
+@lru_cache(256)
+def _box(size: int, out: int, first: int, last: int) -> tuple[np.ndarray, int]:
+    """As _lanczos, for the sum over the places that an output place covers; sums are divided last, so that flat rasters stay flat."""
+    edge = np.linspace(0, size, out + 1)[first : last + 1]
+    lo = min(int(edge[0]), size - 1)
+    x = np.arange(lo, min(int(np.ceil(edge[-1])), size))[None, :]
+    w = np.minimum(edge[1:, None], x + 1) - np.maximum(edge[:-1, None], x)
+    return np.maximum(w, 0.0), lo
 
 
+@lru_cache(256)
 def _lanczos(size: int, out: int, first: int, last: int) -> tuple[np.ndarray, int]:
     """Weights of input places for the output places first..last, and the first input place that they need; places beyond the edge count as the edge."""
     scale = size / out
@@ -103,36 +131,63 @@ def _lanczos(size: int, out: int, first: int, last: int) -> tuple[np.ndarray, in
     return out_w, int(lo)
 
 
-def lanczos(a: np.ndarray, h: int, w: int, tile: int = 256) -> np.ndarray:
-    """a at h x w by a Lanczos filter, in tiles that read so much beyond their edges that no seam shows."""
-    out = np.empty((h, w))
+def _resample(weights, a: np.ndarray, h: int, w: int, tile: int) -> np.ndarray:
+    """a, a raster or a stack of them, at h x w in tiles of the result; weights: _box or _lanczos."""
+    out = np.empty((*a.shape[:-2], h, w))
     for i in range(0, h, tile):
-        rows, top = _lanczos(a.shape[0], h, i, min(i + tile, h))
+        rows, top = weights(a.shape[-2], h, i, min(i + tile, h))
         for j in range(0, w, tile):
-            cols, left = _lanczos(a.shape[1], w, j, min(j + tile, w))
-            part = a[top : top + rows.shape[1], left : left + cols.shape[1]]
-            out[i : i + tile, j : j + tile] = rows @ part @ cols.T
+            cols, left = weights(a.shape[-1], w, j, min(j + tile, w))
+            part = a[..., top : top + rows.shape[1], left : left + cols.shape[1]]
+            out[..., i : i + tile, j : j + tile] = rows @ part @ cols.T
     return out
 
 
+def lanczos(a: np.ndarray, h: int, w: int, tile: int = 256) -> np.ndarray:
+    """a at h x w by a Lanczos filter, in tiles that read so much beyond their edges that no seam shows."""
+    return _resample(_lanczos, a, h, w, tile)
+
+
 def psnr(a: np.ndarray, b: np.ndarray, peak: float = 255.0) -> float:
     mse = float(((a - b) ** 2).mean())
     return float("inf") if mse == 0 else 10 * np.log10(peak * peak / mse)
 
 
+def upscale_qualities(a: np.ndarray, factors: tuple[int, ...]) -> np.ndarray:
+    """(raster, factor, [PSNR, sharpness]) of a stack of rasters that were made smaller by each factor and enlarged again; sharpness is a share of the Laplacian's variance."""
+    h, w = a.shape[1:]
+    sharp, out = _laplacian_variances(a), np.empty((len(a), len(factors), 2))
+    for k, factor in enumerate(factors):
+        to = max(1, h // factor), max(1, w // factor)
+        rows, cols = (np.diff(np.linspace(0, size, n + 1)) for size, n in zip((h, w), to, strict=True))
+        small = _resample(_box, a, *to, TILE) / np.outer(rows, cols)
+        again = _resample(_lanczos, small, h, w, TILE)
+        out[:, k, 0] = [psnr(x, y) for x, y in zip(a, again, strict=True)]
+        out[:, k, 1] = np.divide(_laplacian_variances(again), sharp, out=np.ones(len(a)), where=sharp > 0)
+    return out
+
+
 def upscale_quality(a: np.ndarray, factor: int) -> tuple[float, float]:
-    """PSNR and sharpness (share of the Laplacian's variance) of a raster that was made smaller by `factor` and enlarged again."""
-    small = _resize(a, max(1, a.shape[0] // factor), max(1, a.shape[1] // factor))
-    again = lanczos(small, *a.shape)
-    sharp = laplacian_variance(a)
-    return psnr(a, again), laplacian_variance(again) / sharp if sharp > 0 else 1.0
+    """PSNR and sharpness of one raster."""
+    psnr, sharpness = upscale_qualities(a[None], (factor,))[0, 0]
+    return float(psnr), float(sharpness)
 
 
-def upscale_udf(factor: int):
-    """(psnr, sharpness) of whole rasters, whatever their size."""
+def upscale_udf(*factors: int):
+    """psnr_k and sharpness_k of whole rasters, whatever their size, for each factor k; rasters of one size are worked on together."""
+    names = [f"{n}_{k}" for k in factors for n in ("psnr", "sharpness")]
 
-    @F.pandas_udf(T.StructType([T.StructField("psnr", T.DoubleType()), T.StructField("sharpness", T.DoubleType())]))
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
     def run(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_each(lambda a: upscale_quality(a, factor), width, height, pixels), columns=["psnr", "sharpness"])
+        places: dict[tuple[int, int], list[int]] = {}
+        for i, size in enumerate(zip(height, width, strict=True)):
+            places.setdefault(size, []).append(i)
+        px, out = pixels.to_numpy(), np.empty((len(pixels), len(factors), 2))
+        for (h, w), at in places.items():
+            step = max(1, STACK_PIXELS // (h * w))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                out[some] = upscale_qualities(np.stack([_numbers(px[i]).reshape(h, w) for i in some]), factors)
+        return pd.DataFrame(out.reshape(len(out), -1), columns=names)
 
     return run

@@ -126,10 +126,9 @@ def sc_top_labels(c: Catalog) -> DataFrame:
 
 
 def _rasters(c: Catalog) -> DataFrame:
-    """Square rasters whose pixels are the characters of a whole text, from its start again where the square is larger."""
+    """Square rasters whose pixels are the characters of a whole text, from its start again where the square is larger; pixels stay a text on their way to Python."""
     side = F.ceil(F.sqrt(F.length("text"))).cast("int")
-    letters = F.split(F.repeat("text", F.lit(4)), "")
-    px = F.transform(F.slice(letters, F.lit(1), side * side), lambda x: F.ascii(x).cast("double"))
+    px = F.substring(F.repeat("text", F.lit(4)), F.lit(1), side * side)
     return c.texts.filter("length(text) > 0").select("asset_id", side.alias("width"), side.alias("height"), px.alias("pixels"))
 
 
@@ -222,9 +221,9 @@ def upscale(c: Catalog) -> DataFrame:
     """How much of each whole raster comes back when it is made smaller by 2 or 4 and enlarged again."""
     from ..functions import raster
 
-    r = _rasters(c)
-    both = [r.select("asset_id", F.lit(k).alias("factor"), raster.upscale_udf(k)("width", "height", "pixels").alias("q")) for k in (2, 4)]
-    return both[0].union(both[1]).select("asset_id", "factor", "q.*")
+    q = _rasters(c).select("asset_id", raster.upscale_udf(2, 4)("width", "height", "pixels").alias("q"))
+    rows = [F.struct(F.lit(k).alias("factor"), F.col(f"q.psnr_{k}").alias("psnr"), F.col(f"q.sharpness_{k}").alias("sharpness")) for k in (2, 4)]
+    return q.select("asset_id", F.inline(F.array(*rows)))
 
 
 @query("SELECT vec_id + 5000 AS embedding_id, CAST(len(embedding) AS INT) AS n, TRUE AS same FROM embeddings")

@@ -256,3 +256,28 @@ def test_upscale_covers_every_text(spark):
     sf = "/root/testdata/sf0.001"
     got = QUERIES["upscale"](spark, sf)
     assert got.count() == 2 * spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 0").count()
+
+
+def test_upscale_reads_texts_once_and_works_on_sizes_together(spark, tmp_path):
+    """Against one raster at a time in one tile: odd characters, tiny and large texts, several of one size and more of it than a stack holds."""
+    from prismlake.plans.catalog_queries import QUERIES
+
+    rng = random.Random(3)
+    texts = ["a", "ab", "aaaaaaaaa", "é😀 x\n\x00z", "\U0010ffff" * 3 + "b", "", None]
+    texts += ["".join(rng.choice("abc éß\n漢😀") for _ in range(n)) for n in (8, 9, 9, 10, 255, 256, 257, 257, 4097, 9001, 40000) + (17000,) * 6]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["upscale"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == plan.count("Scan parquet") == 1, "texts are read and sent once, not once a factor"
+    want = {}
+    for i, t in enumerate(texts):
+        if t:
+            side = int(np.ceil(np.sqrt(len(t))))
+            a = np.resize([float(ord(c)) for c in t], (side, side))
+            for k in (2, 4):
+                again = raster.lanczos(raster._resize(a, max(1, side // k), max(1, side // k)), side, side, 10**6)
+                sharp = raster.laplacian_variance(a)
+                want[i, k] = (raster.psnr(a, again), raster.laplacian_variance(again) / sharp if sharp > 0 else 1.0)
+    found = {(r.asset_id, r.factor): (r.psnr, r.sharpness) for r in got.collect()}
+    assert found.keys() == want.keys() and got.count() == len(want)
+    assert all(np.allclose(found[k], want[k], rtol=1e-9, atol=0) for k in want)
